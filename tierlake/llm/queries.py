@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tierlake.llm import bpe_codec, token_counts
+from tierlake.llm import bpe_codec, ngram_join, token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op6_bpe_encoding_and_decoding": bpe_codec.query,
     "op8_token_counts": token_counts.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL}

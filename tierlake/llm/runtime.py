@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of text that a Python step works on at once.
 SLICE_BYTES = 4_000_000
@@ -33,9 +33,19 @@ class Workspace:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it again."""
+        return self.noted(df, name)[0]
+
+    def noted(self, df: DataFrame, name: str, **notes: Column) -> tuple[DataFrame, dict]:
+        """Write df and read it again; also some aggregates of it, gathered while it is written."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
+        schema, seen = df.schema, {}
+        if notes:
+            watch = Observation()
+            df = df.observe(watch, *(c.alias(k) for k, c in notes.items()))
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if notes:
+            seen = watch.get
+        return self.spark.read.schema(schema).parquet(path), seen
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing needs any more."""

@@ -63,8 +63,9 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     for k in range(width):
         at = np.minimum(first + k, total - 1)
         h = np.where(k < span, mix(h * _BASE + words[at], k), h)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+    ends = np.cumsum(n_out)
+    for a, b in zip((ends - n_out).tolist(), ends.tolist()):
+        h[a:b].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[keep], owner[keep]
