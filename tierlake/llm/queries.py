@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tierlake.llm import bpe_codec, ngram_join, quality, token_counts, toxicity
+from tierlake.llm import bpe_codec, decontaminate, ngram_join, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op3_quality_classifier": quality.query,
+    "op4_benchmark_decontamination": decontaminate.query,
     "op6_bpe_encoding_and_decoding": bpe_codec.query,
     "op8_token_counts": token_counts.query,
     "op10_toxicity": toxicity.query,
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op4_benchmark_decontamination": decontaminate.ORACLE_SQL}
