@@ -21,11 +21,17 @@ def split_at_longest_prefix(consonants: Sequence[str], onsets: set[Phones]) -> i
     return next((i for i in range(len(run), -1, -1) if run[:i] in onsets), None) if run else None
 
 
-def log_shares(counts: dict[Phones, int], unseen: float = 1e-6) -> dict[Phones | None, float]:
-    """Log relative frequencies; None stands for sequences not seen, and the empty sequence always counts as seen once."""
-    own = {**counts, (): 1}
-    total = sum(own.values()) + unseen
-    return {k: math.log(v / total) for k, v in own.items()} | {None: math.log(unseen / total)}
+# The share of what was counted that unseen onsets (codas) get, and what the empty sequence gets of that again.
+UNSEEN_ONSETS, UNSEEN_CODAS, EMPTY = 0.05, 0.025, 0.5
+
+
+def log_shares(counts: dict[Phones, int], unseen: float = UNSEEN_ONSETS) -> dict[Phones | None, float]:
+    """Log relative frequencies; None stands for sequences not seen. The empty sequence has a fixed share, whatever its count."""
+    seen = sum(counts.values())
+    rest = seen * unseen
+    shares = {**counts, None: rest, (): (seen + rest) * unseen * EMPTY}
+    total = sum(shares.values())
+    return {k: math.log(v / total) for k, v in shares.items()}
 
 
 def _best(run: Phones, points: range, left: dict, right: dict) -> int:

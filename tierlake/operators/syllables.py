@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierlake.functions.syllables import log_shares, syllabify
+from tierlake.functions.syllables import UNSEEN_CODAS, UNSEEN_ONSETS, log_shares, syllabify
 
 
 def phone_lists(phones: DataFrame, parent: str = "word_id") -> DataFrame:
@@ -56,7 +56,7 @@ def encode_syllables(phones: DataFrame, nuclei: Sequence[str], method: str = "ma
         known = {tuple(x) for x in custom_onsets} if custom_onsets is not None else {tuple(r.onset) for r in onsets(words, nuclei).collect()} | {()}
         tables = (known, None)
     else:
-        tables = tuple(log_shares({tuple(r[0]): r[1] for r in t.collect()}) for t in (onsets(words, nuclei), codas(words, nuclei)))
+        tables = tuple(log_shares({tuple(r[0]): r[1] for r in t.collect()}, share) for t, share in ((onsets(words, nuclei), UNSEEN_ONSETS), (codas(words, nuclei), UNSEEN_CODAS)))
     vowels = set(nuclei)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
