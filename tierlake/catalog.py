@@ -277,8 +277,8 @@ def group_aggregates(spark, sf):
 @_query("""SELECT l_returnflag, percentile_disc(0.4) WITHIN GROUP (ORDER BY l_extendedprice) AS q40, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median,
 round(percentile_disc(0.75) WITHIN GROUP (ORDER BY l_extendedprice) - percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS iqr FROM lineitem GROUP BY l_returnflag""")
 def quantile_disc(spark, sf):
-    p = "l_extendedprice"
-    return _t(spark, sf, "lineitem", "l_returnflag", p).groupBy("l_returnflag").agg(measures.percentile_disc(p, 0.4).alias("q40"), measures.statistic("median_disc", p).alias("median"), F.round(measures.statistic("iqr_disc", p), 4).alias("iqr"))
+    found = measures.quantiles(_t(spark, sf, "lineitem", "l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"], [0.4, 0.5, 0.75, 0.25])
+    return found.select("l_returnflag", F.col("q0").alias("q40"), F.col("q1").alias("median"), F.round(F.col("q2") - F.col("q3"), 4).alias("iqr"))
 
 
 @_query("SELECT l_partkey, l_suppkey % 10 AS speaker, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity, round(stddev_samp(l_quantity), 6) AS sd_quantity FROM lineitem GROUP BY ALL")
