@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tierlake.llm.columns import coded
 from tierlake.llm.columns import distinct as distinct_in
@@ -152,21 +153,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return Model(float(b), w.astype(np.float32), v.astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """doc_id, score (0 to 1, higher: better) for each row, and the columns `more` as they are.
+def score(docs: DataFrame, model: Model, extend: str | None = None) -> DataFrame:
+    """doc_id, score (0 to 1, higher: better) for each row; or, if `extend` is a
+    name that docs has no column of, all columns of docs and the score under that name.
 
     A null or empty text is scored by its statistics alone. Repeated rows stay; an empty table
-    gives none; other columns are ignored. The model has SIZE features, whatever the input.
+    gives none; other columns are ignored unless extended. The model has SIZE features, whatever the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))
-    rows = documents(docs, *more)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {t}" for c, t in rows.dtypes[2:]), "score double"])
+    rows = docs if extend else documents(docs).select("doc_id", "text")
+    kept = rows.columns if extend else ["doc_id"]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField(extend or "score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in slices(batches):
             logit, _ = _values(own, *features(batch.column("text")), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in more), pa.array(_sigmoid(logit))], names=["doc_id", *more, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(_sigmoid(logit))], names=[*kept, extend or "score"])
 
     return rows.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tierlake.llm.columns import coded, distinct
 from tierlake.llm.labelled import SAMPLE_ROWS, held_out, sample
@@ -158,17 +159,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl
     return Model(kept, w[kept].astype(np.float32), bias)
 
 
-def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """doc_id, score (0 to 1) for each row, and the columns `more` as they are.
+def score(docs: DataFrame, model: Model, extend: str | None = None) -> DataFrame:
+    """doc_id, score (0 to 1) for each row; or, if `extend` is a
+    name that docs has no column of, all columns of docs and the score under that name.
 
     A feature counts once a text. A null or empty text has no features, so its score is that of
-    the intercept. Repeated rows stay; an empty table gives none; other columns are ignored. The
+    the intercept. Repeated rows stay; an empty table gives none. The
     weights have 2**BITS entries at most, whatever the input, and travel with the task.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.features, model.weights, model.bias))
-    rows = documents(docs, *more)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {t}" for c, t in rows.dtypes[2:]), "score double"])
+    rows = docs if extend else documents(docs).select("doc_id", "text")
+    kept = rows.columns if extend else ["doc_id"]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField(extend or "score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -177,7 +180,7 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
             both = features(batch.column("text"), weights)
             logit = np.bincount(both >> BITS, weights[both & ((1 << BITS) - 1)], minlength=batch.num_rows) + own.bias
             values = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in more), pa.array(values)], names=["doc_id", *more, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values)], names=[*kept, extend or "score"])
 
     return rows.mapInArrow(run, schema)
 
