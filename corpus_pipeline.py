@@ -17,18 +17,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _free(docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold."""
     model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return toxicity.score(docs, model, "text", *others).where(F.col("score") < toxicity.TOXIC_FROM).select(*docs.columns)
+    return toxicity.score(docs, model, name := _free(docs)).where(F.col(name) < toxicity.TOXIC_FROM).select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at or above the quality threshold."""
     model = quality.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return quality.score(docs, model, "text", *others).where(F.col("score") >= quality.GOOD_FROM).select(*docs.columns)
+    return quality.score(docs, model, name := _free(docs)).where(F.col(name) >= quality.GOOD_FROM).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
