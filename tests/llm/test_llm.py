@@ -98,9 +98,11 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("pairs", [24, 0])
-def test_ngram_join_against_brute_force(spark, monkeypatch, pairs):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_MEMBER", pairs)  # with 0 every open group is costly, so all goes by double shares
+@pytest.mark.parametrize("pairs, spare", [(24, 0.12), (0, 0.12), (24, -0.5), (0, -1.0)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, pairs, spare):
+    # with 0 every open group is costly; with too few segments sets go by double shares, and with one by prefixes too
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_MEMBER", pairs)
+    monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
     texts = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs_of(spark, texts)).collect()}
     assert got == brute_components(texts)
