@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierlake.corpus import Corpus
 from tierlake.functions.syllables import log_shares, split_at_longest_onset, split_by_probability, syllabify
-from tierlake.operators import enrich, pauses, rangejoin, syllables, tracks
+from tierlake.operators import enrich, formants, measures, pauses, rangejoin, syllables, tracks
 
 from fixtures import NUCLEI, timed
 
@@ -110,3 +112,31 @@ def test_save_and_open(spark, tmp_path):
     assert again.query(again.word).count() == 6 and again.schema.to_json() == c.schema.to_json()
     again.remove_discourse("d1")
     assert again.query(again.word).count() == 0 and again.speakers.count() == 0
+
+
+def test_refinement_picks_what_fits(spark):
+    chance = np.random.default_rng(3)
+    rows = []
+    for token in range(40):
+        good = chance.integers(0, 4)
+        for k in range(4):
+            x = (500 + chance.normal(0, 10), 1500 + chance.normal(0, 20)) if k == good or k == 1 and token % 3 else (900 + 50 * k, 400 * k)
+            rows.append(("s", "a", token, k, float(x[0]), float(x[1])))
+    rows += [("s", "b", 100, 1, 1.0, 1.0), ("s", "b", 100, 2, 2.0, 2.0)]
+    table = spark.createDataFrame(rows, "speaker string, vowel string, id long, candidate int, f1 double, f2 double")
+    given = {("s", "a"): ([500.0, 1500.0], [[100.0, 0.0], [0.0, 400.0]])}
+    got = formants.refined(table, ["f1", "f2"], ["speaker", "vowel"], default=1, prototypes_of=given).collect()
+    assert len(got) == 41 and all(abs(r.f1 - 500) < 60 for r in got if r.vowel == "a")
+    assert [r.candidate for r in got if r.vowel == "b"] == [1]
+
+
+def test_quantiles_are_exact(spark):
+    chance = random.Random(1)
+    rows = [(g, float(chance.choice(range(50)) if g == "ties" else chance.random())) for g in ("ties", "free") for _ in range(3000)] + [("one", 4.0), ("one", None), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in measures.quantiles(table, "v", ["g"], [0.0, 0.4, 1.0]).collect()}
+    want = {}
+    for g in ("ties", "free", "one"):
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        want[g] = tuple(v[max(math.ceil(p * len(v)), 1) - 1] for p in (0.0, 0.4, 1.0))
+    assert got == want

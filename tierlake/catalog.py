@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierlake.operators import enrich, measures, metadata, pauses, rangejoin, syllables, tracks, windows
+from tierlake.operators import enrich, formants, measures, metadata, pauses, rangejoin, syllables, tracks, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,6 +378,37 @@ def speaker_adjusted_range(spark, sf):
     return tracks.speaker_range(_events(spark, sf), "value", ["user_id"], floor=10, ceiling=150)
 
 
+@_query()
+def mahalanobis_refinement(spark, sf):
+    """Four neighbouring dimensions of a vector stand for the candidates of a token; labels are the groups."""
+    rows = _t(spark, sf, "embeddings").where("size(embedding) >= 8").select("vec_id", "label", F.explode(F.array(*(F.struct(F.lit(k).alias("candidate"), F.get("embedding", F.lit(k)).cast("double").alias("f1"), F.get("embedding", F.lit(k + 1)).cast("double").alias("f2")) for k in range(4)))).alias("c"))
+    return formants.refined(rows.select("vec_id", "label", "c.*"), ["f1", "f2"], ["label"], "vec_id", default=1)
+
+
+@_query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS mean_1, round(avg(embedding[2]::DOUBLE), 6) AS mean_2, round(covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 6) AS covariance, count(*) AS n FROM embeddings GROUP BY label")
+def prototype_statistics(spark, sf):
+    rows = _t(spark, sf, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("f1"), F.get("embedding", F.lit(1)).cast("double").alias("f2"))
+    found = formants.prototypes(rows, ["f1", "f2"], ["label"])
+    at = lambda c, i: F.round(F.get(c, F.lit(i)), 6)
+    return found.select("label", at("mean", 0).alias("mean_1"), at("mean", 1).alias("mean_2"), at("covariance", 1).alias("covariance"), "n")
+
+
+@_query(f"""WITH {_SESS}, r AS (SELECT user_id, session, count(*) / nullif((max(t) - min(t)) / 3600e6, 0) AS rate FROM ss GROUP BY user_id, session) SELECT user_id, round(avg(rate), 6) AS average_rate FROM r GROUP BY user_id""")
+def average_speech_rate(spark, sf):
+    rates = _sessions(spark, sf).groupBy("user_id", "session").agg(F.try_divide(F.count("*"), (F.max("t") - F.min("t")) / F.lit(3600e6)).alias("rate"))
+    return rates.groupBy("user_id").agg(F.round(F.avg("rate"), 6).alias("average_rate"))
+
+
+@_query("SELECT user_id, event_type, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value FROM events GROUP BY ALL")
+def acoustic_statistic_by_both(spark, sf):
+    return measures.measure(_events(spark, sf), "value", ["user_id", "event_type"]).select("user_id", "event_type", F.round("mean_value", 6).alias("mean_value"), F.round("sd_value", 6).alias("sd_value"))
+
+
+@_query("SELECT user_id, count(*) AS n FROM (SELECT user_id, value FROM events GROUP BY user_id, value HAVING count(*) >= 1) GROUP BY user_id HAVING count(*) >= 50")
+def aggregate_filter(spark, sf):
+    return _events(spark, sf).select("user_id", "value").distinct().groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 50")
+
+
 # -- lexicon, subsets, entities, metadata -------------------------------------------------
 
 
