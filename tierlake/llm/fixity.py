@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierlake.llm.runtime import Workspace
+
 #: Consecutive ids of a shard, and children of a tree node.
 SHARD_IDS = 1024
 FANOUT = 16
@@ -37,10 +37,14 @@ def leaves(recs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Hash trees of the shards: level 0 has a node for each record's digest and byte range, each further level one for FANOUT nodes in order."""
+    """Hash trees of the shards: level 0 has a node for each record's digest and byte range, each further level one for FANOUT nodes in order.
+
+    Records are read and hashed once: leaves and levels are written to the shared folder.
+    """
 
     def __init__(self, leaf: DataFrame):
-        self.leaf = leaf
+        space = Workspace(leaf.sparkSession, "fixity")
+        leaf = self.leaf = space.keep(leaf, "leaves")
         most = leaf.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
         nodes = leaf.select("shard", "place", F.sha2(F.concat_ws("|", "sha256", "offset", "length"), 256).alias("node"))
         self.levels = [nodes]
@@ -48,7 +52,7 @@ class Tree:
             most = -(-most // FANOUT)
             children = F.array_sort(F.collect_list(F.struct("place", "node")))
             up = self.levels[-1].groupBy("shard", F.floor(F.col("place") / FANOUT).cast("long").alias("up")).agg(children.alias("c"))
-            self.levels.append(up.select("shard", F.col("up").alias("place"), F.sha2(F.array_join(F.transform("c", lambda x: x["node"]), ""), 256).alias("node")))
+            self.levels.append(space.keep(up.select("shard", F.col("up").alias("place"), F.sha2(F.array_join(F.transform("c", lambda x: x["node"]), ""), 256).alias("node")), "level"))
 
 
 def audit(one: Tree, other: Tree) -> DataFrame:
