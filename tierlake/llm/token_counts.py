@@ -78,6 +78,8 @@ def count(docs: DataFrame, cache: str | None = None, vocabulary: str | None = No
     new = todo.select("content", "text").mapInArrow(run, "content string, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # a table of its own, so that the join deals out both sides and the copies of a hot content can be split
+    counts = space.keep(counts, "counts")
     return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
