@@ -1,10 +1,10 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
+from tierlake.corpus import list_corpora
 from tierlake.errors import ParseFailure
-from tierlake.sources import readers, sinks
+from tierlake.sources import readers, sinks, tiers
 from tierlake.streaming import windows
 
 GRID = """File type = "ooTextFile"
@@ -112,3 +112,21 @@ def test_streams(spark, tmp_path):
     batch = windows.bucket_means(rows, "value", "60 seconds", "1 minute", "user_id").orderBy("begin").collect()
     assert [(r.n, r["mean"]) for r in batch] == [(2, 5.0), (1, 100.0)]
     assert [r.n for r in windows.utterances(rows, "30 seconds", "1 minute", "user_id").orderBy("begin").collect()] == [2, 1]
+
+
+def test_tier_specs_and_points(spark, tmp_path):
+    rows = [("w", "one", 0.0, 0.5), ("w", "two", 0.5, 1.0), ("p", "a", 0.0, 0.2), ("p", "b", 0.2, 0.5), ("p", "c", 0.5, 1.0), ("tone", "H*", 0.25, 0.25), ("pos", "NN", 0.5, 1.0), ("gloss", "eins", 0.0, 0.5)]
+    table = spark.createDataFrame([(*r, "s", "d") for r in rows], "tier string, label string, begin double, end double, speaker string, discourse string")
+    spec = tiers.TierSpec
+    c = tiers.build(spark, "t", table, [spec("w", "word"), spec("p", "phone"), spec("tone", "word", "subannotation"), spec("pos", "word", "token_property"), spec("gloss", "word", "type_property")], ["phone", "word"])
+    got = {r[0]: tuple(r[1:]) for r in c.query(c.word).columns(c.word.label, c.word.pos, c.word.gloss, c.word.tone.label).all()}
+    assert got == {"one": (None, "eins", ["H*"]), "two": ("NN", None, None)}
+    c.query(c.phone).set_properties(f1=500.0)
+    tiers.export_points(c, "phone", ["f1"], str(tmp_path / "points"))
+    c.query(c.phone).set_properties(f1=None)
+    tiers.import_points(c, "phone", str(tmp_path / "points"), ["f1"])
+    assert {r.f1 for r in c.tokens["phone"].collect()} == {500.0}
+    c.save(str(tmp_path / "store"), 1)
+    assert list_corpora(spark, str(tmp_path / "store")) == ["t"] and list_corpora(spark, str(tmp_path / "none")) == []
+    with pytest.raises(ValueError):
+        spec("x", "word", "nothing")

@@ -16,6 +16,13 @@ from tierlake.schema import TOKEN_COLUMNS, Schema
 KEYS = ("discourse", "speaker")
 
 
+def list_corpora(spark: SparkSession, root: str) -> list[str]:
+    """Names of the corpora saved under a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
 class Corpus:
     """Tables are lazy; enrichment replaces them by new plans, and save() writes them as a new version.
 

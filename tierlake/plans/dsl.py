@@ -357,6 +357,12 @@ class _Plan:
         if not isinstance(value, Attribute):
             return F.lit(value)
         node, name = value.node, value.name
+        if name == "*":
+            if node.step_kind == "shift":
+                return self.place(replace(node, steps=node.steps[:-1], subsets=()))(f"_shift_{node.steps[-1][1]}")
+            at, prefix = self.place(node), self.prefixes[(node.steps, node.subsets)] if node.steps else "n0"
+            names = [c.removeprefix(f"{prefix}__") for c in self.df.columns if c.startswith(f"{prefix}__") and not c.startswith(f"{prefix}___")]
+            return F.struct(*(at(n).alias(n) for n in names))
         if name == "position":
             return F.col(f"n0___position_{node.steps[0][1]}_{'_'.join(node.subsets)}")
         at = self.place(node)
@@ -491,6 +497,10 @@ class Query:
         self.shown += values
         return self
 
+    def preload(self, *nodes: Node) -> Query:
+        """Show whole neighbours, levels above or entities as structs, under their place's name."""
+        return self.columns(*(Attribute(n, "*", Attribute(n, "*").label.removesuffix("_*")) for n in nodes))
+
     def clear_columns(self) -> Query:
         self.shown = []
         return self
