@@ -20,11 +20,11 @@ def connected(edges: DataFrame, space: Workspace) -> DataFrame:
     while True:
         both = pairs.union(pairs.select("b", "a"))
         # written first, so that the join below deals out both sides itself and a hub's rows can be split
-        least = space.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = space.keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = space.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", narrow=True)
+        large = space.keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", narrow=True)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new, now = space.noted(small, "small", rows=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        new, now = space.noted(small, "small", narrow=True, rows=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         space.drop(least, large, *(() if first else (pairs,)))
         pairs, first = new, False
         if now == mark:

@@ -7,12 +7,14 @@ differences spoil H segments at most, linked sets agree on m - H whole segments.
 subset is one 64-bit key (a sum of scrambled hashes, so that taking an element away is one
 subtraction).
 
-Cost-based allocation: m has some segments to spare. Empty segments, and segments whose key would pair
-too many sets of different components, get no share. Agreeing segments without a share are
-without a share on both sides, so a pair is lost only if both sets lack more than m - H - 1
-segments. Such sets get the double share on the segments that they have: subset and one-deletion
-neighbourhood, which finds pairs that differ in one shingle there; sets that even so have shares
-for less than H + 1 differences also index the prefix of their sorted shingles.
+Cost-based allocation: a set needs shares for H + 1 differences, one for each segment it relies
+on, and m has some segments to spare. Keys whose groups would pair few sets of different
+components are used by all. The other groups are costly; a set uses as many of them, the
+smallest first, as it is short of H + 1 shares without them. A pair needs the shares of one of
+its sets only. Sets with less than H + 1 segments that aren't empty can't have enough; these few
+index double shares for one another: each subset with its one-deletion neighbourhood, which
+finds pairs that differ in one shingle there, again the cheapest ones that make H + 1. If even
+those are too few, they add the prefix of their sorted shingles.
 
 Work in large groups of near copies: members of a key's group are first tested against single
 centres; only pairs that are still in different components are tested one by one. Every link is
@@ -24,11 +26,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tierlake.llm.components import connected
 from tierlake.llm.runtime import Workspace, documents, slices
@@ -39,7 +43,7 @@ BUCKET_ENTRIES = 1_500_000
 #: Entries that a task gathers before it deals them out.
 FLUSH_ENTRIES = 1_500_000
 #: Rounds of tests against single centres.
-CENTRES = 3
+CENTRES = 2
 #: A key whose group has more cross-component pairs a member than this gets no share.
 PAIRS_PER_MEMBER = 24
 
@@ -209,6 +213,8 @@ class _Join:
         self.spark, self.docs = docs.sparkSession, documents(docs)
         self.bands, self.width = Bands(threshold), width
         self.space = Workspace(self.spark, "ngram-join")
+        self.links: DataFrame | None = None
+        self.roots: DataFrame | None = None
 
     def digests(self) -> DataFrame:
         """doc_id, n_shingles, id, id2 and whether empty segments alone leave the set short of shares."""
@@ -255,21 +261,26 @@ class _Join:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
 
     def sets(self, wanted: DataFrame, digests: DataFrame) -> DataFrame:
-        """id, n, set (sorted hashes) and sketch of the wanted ids, from one document of each."""
-        width = self.width
-        some = digests.join(wanted, "id", "left_semi").groupBy("id", "id2").agg(F.min("doc_id").alias("first"))
+        """id, n, set (sorted hashes), sketch and rooms of the wanted ids, from one document of each. rooms: for both bands, the segments that aren't empty less H."""
+        bands, width = self.bands, self.width
+        some = digests.groupBy("id", "id2").agg(F.min("doc_id").alias("first")).join(wanted, "id", "left_semi")
         texts = self.docs.join(some.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, most=2_000_000):
                 h, bounds = shingle_sets(batch.column("text"), width)
                 own = [h[a:b] for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(h, bounds)[0]), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_sketch(x) for x in own], pa.binary())], ["id", "n", "set", "sketch"])
+                owner, level, first, _, sizes, _, _ = _segments(h, bounds, bands)
+                full = np.concatenate([[0], np.cumsum(sizes > 0)])
+                rooms: list[list[dict]] = [[] for _ in own]
+                for i, at, room in zip(owner.tolist(), level.tolist(), (full[first[1:]] - full[first[:-1]] - bands.most[level]).tolist()):
+                    rooms[i].append({"level": at, "room": room})
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(h, bounds)[0]), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_sketch(x) for x in own], pa.binary()), pa.array(rooms, pa.list_(pa.struct([("level", pa.int32()), ("room", pa.int64())])))], ["id", "n", "set", "sketch", "rooms"])
 
-        return self.space.keep(texts.mapInArrow(run, "id long, n long, set binary, sketch binary").where("n > 0"), "sets")
+        return self.space.keep(texts.mapInArrow(run, "id long, n long, set binary, sketch binary, rooms array<struct<level:int,room:long>>").where("n > 0"), "sets")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+    def verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Those of the pairs (a, b) that link, and how many they are."""
         bands = self.bands
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,79 +304,118 @@ class _Join:
             return table
 
         some = both(pairs, {"n": ("na", "nb"), "sketch": ("sa", "sb")}).mapInArrow(near, "a long, b long")
-        return self.space.keep(both(some, {"set": ("x", "y")}).mapInArrow(exact, "a long, b long").distinct(), "links")
-
-    def merged(self, links: DataFrame) -> DataFrame:
-        """node, root."""
-        return self.space.keep(connected(links, self.space), "roots")
-
-    def settle(self, groups: DataFrame, links: DataFrame | None, cost: float) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-        """Test the groups' pairs: (all links, components, groups that cost too much and were left out)."""
+        links, seen = self.space.noted(both(some, {"set": ("x", "y")}).mapInArrow(exact, "a long, b long").distinct(), "links", narrow=True, rows=F.count(F.lit(1)))
+        return links, seen["rows"]
+
+    def test(self, pairs: DataFrame) -> int:
+        """Verify the pairs (a, b) and merge what links; returns how many pairs there were."""
+        pairs, seen = self.space.noted(pairs.distinct(), "pairs", narrow=True, rows=F.count(F.lit(1)))
+        if seen["rows"]:
+            new, found = self.verified(pairs)
+            if found:
+                self.links = new if self.links is None else self.links.union(new)
+                self.roots = self.space.keep(connected(self.links, self.space), "roots", narrow=True)
+        return seen["rows"]
+
+    def rooted(self, table: DataFrame) -> DataFrame:
+        """table with the root of each id's component so far."""
+        if self.roots is None:
+            return table.withColumn("root", F.col("id"))
+        return table.join(self.roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def settle(self, groups: DataFrame) -> list[DataFrame]:
+        """Test members against centres; returns the pairs that are left: all of different components in cheap groups, and those that allocation asks for in costly ones."""
         ordered = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
-        roots = self.merged(links) if links is not None else None
-
-        def test(pairs: DataFrame) -> bool:
-            nonlocal links, roots
-            pairs, seen = self.space.noted(pairs.select(*ordered).distinct(), "pairs", rows=F.count(F.lit(1)))
-            if seen["rows"]:
-                new = self.verified(pairs)
-                links = new if links is None else links.union(new)
-                roots = self.merged(links)
-            return seen["rows"] > 0
-
-        def members() -> DataFrame:
-            if roots is None:
-                return groups.withColumn("root", F.col("id"))
-            return groups.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
         for turn in range(CENTRES):
-            now = members()
+            now = self.rooted(groups)
             order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            centres = self.space.keep(now.groupBy("gid").agg(F.min_by(F.struct(F.col("id").alias("centre"), F.col("root").alias("middle")), order).alias("c")).select("gid", "c.*"), "centres")
-            if not test(now.join(centres, "gid").where("id <> centre and root <> middle")):
+            centres = self.space.keep(now.groupBy("gid").agg(F.min_by(F.struct(F.col("id").alias("centre"), F.col("root").alias("middle")), order).alias("c")).select("gid", "c.*"), "centres", narrow=True)
+            if not self.test(now.join(centres, "gid").where("id <> centre and root <> middle").select(*ordered)):
                 break
-        now = self.space.keep(members(), "members")
+        left: list[DataFrame] = []
+        now = self.space.keep(self.rooted(groups), "members")
         split = now.groupBy("gid", "root").count().groupBy("gid").agg(F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max_by("root", F.struct("count", "root")).alias("major")).where("squares < size * size")
-        split, seen = self.space.noted(split.withColumn("costly", F.expr("size * size - squares") > 2 * cost * F.col("size")), "split", cheap=F.count_if(~F.col("costly")), costly=F.count_if("costly"))
+        split, seen = self.space.noted(split.withColumn("costly", F.expr("size * size - squares") > 2 * PAIRS_PER_MEMBER * F.col("size")), "split", narrow=True, cheap=F.count_if(~F.col("costly")), costly=F.count_if("costly"))
         if seen["cheap"]:
             open_ = now.join(split.where("not costly").select("gid", "major"), "gid")
-            minor = self.space.keep(open_.where("root <> major").select("gid", F.col("id").alias("centre"), F.col("root").alias("middle")), "minor")
-            test(open_.join(minor, "gid").where("root <> middle"))
-        costly = self.space.keep(now.join(split.where("costly").select("gid"), "gid", "left_semi"), "costly") if seen["costly"] else None
-        return links, roots, costly
-
-    def wide(self, costly: DataFrame | None, total: int) -> DataFrame:
-        """Groups by double shares among the sets that lack too many segments."""
+            minor = self.space.keep(open_.where("root <> major").select("gid", F.col("id").alias("centre"), F.col("root").alias("middle")), "minor", narrow=True)
+            left.append(open_.join(minor, "gid").where("root <> middle").select(*ordered))
+        if seen["costly"]:
+            left += self.allotted(now.join(split.where("costly").select("gid", "size"), "gid"))
+        return left
+
+    def allotted(self, members: DataFrame) -> list[DataFrame]:
+        """The pairs, in costly groups, of each set that is short of shares: with the smallest groups that make up for it."""
+        rooms = self.table.select("id", F.explode("rooms").alias("_r")).select("id", F.col("_r.level").alias("level"), F.col("_r.room").alias("room")).where("room > 0").distinct()
+        mine = Window.partitionBy("id", "level")
+        upto = F.sum("n_keys").over(mine.orderBy("size", "gid").rowsBetween(Window.unboundedPreceding, 0))
+        # the groups of one set in one band: fewer than it has segments
+        short = members.join(rooms, ["id", "level"]).withColumns({"need": F.sum("n_keys").over(mine) + 1 - F.col("room"), "before": upto - F.col("n_keys")}).where("before < need")
+        probes, seen = self.space.noted(self.rooted(short.select("gid", "id").distinct()).select("gid", F.col("id").alias("centre"), F.col("root").alias("middle")), "probes", narrow=True, rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            return []
+        others = self.rooted(members.select("gid", "id"))
+        return [others.join(probes, "gid").where("root <> middle").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))]
+
+    def wide(self) -> list[DataFrame]:
+        """Pairs among the sets with too many empty segments, by the cheapest double shares of each."""
         bands = self.bands
-        buckets = self._buckets(total)
-        # a set has two bands, so two entries at most
-        lack = costly.groupBy("id", "level").agg(F.sum("n_keys").alias("n_keys")).groupBy("id").agg(F.collect_list(F.struct("level", "n_keys")).alias("lack")) if costly is not None else None
+        sets = self.table.where(F.exists("rooms", lambda r: r["room"] < 1)).select("id", "set")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dealer = _Dealer(buckets)
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for sid, blob, lacks in zip(batch.column("id").to_pylist(), batch.column("set"), batch.column("lack").to_pylist()):
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                for sid, blob in zip(batch.column("id").to_pylist(), batch.column("set")):
                     h = np.frombuffer(blob.as_buffer(), np.uint64)
-                    gone: dict[int, int] = {}
-                    for x in lacks or ():
-                        gone[x["level"]] = gone.get(x["level"], 0) + x["n_keys"]
                     owner, level, first, sums, sizes, slot, part = _segments(h, np.array([0, len(h)]), bands)
                     for p, at in enumerate(level.tolist()):
                         own = sizes[first[p] : first[p + 1]]
-                        if (own > 0).sum() - gone.get(at, 0) > bands.most[at]:
+                        if (own > 0).sum() > bands.most[at]:
                             continue
                         use = np.flatnonzero(own) + first[p]
-                        keys = [_key(sums[use], np.full(len(use), p), level, first, use)]
                         mine = (slot >= first[p]) & (slot < first[p + 1]) & (sizes[slot] > 1)
-                        keys.append(_key(sums[slot[mine]] - part[mine], np.full(int(mine.sum()), p), level, first, slot[mine]))
+                        places, takes = np.concatenate([use, slot[mine]]), np.concatenate([np.zeros(len(use), np.uint64), part[mine]])
+                        keys = _key(sums[places] - takes, np.full(len(places), p), level, first, places)
+                        segment, share = places - first[p], np.repeat([1, 2], [len(use), int(mine.sum())])
                         if np.minimum(own, 2).sum() <= bands.most[at]:
-                            rest = len(h) - -(-len(h) * bands.num // bands.den) + 1
-                            keys.append(mix(h[:rest], 37))
-                        keys = np.unique(np.concatenate(keys))
-                        yield from dealer.add(keys, np.full(len(keys), sid, np.int64), np.full(len(keys), at))
-            yield from dealer.flush()
-
-        return self._matched((self.table.select("id", "set").join(lack, "id", "left") if lack is not None else self.table.select("id", "set", F.lit(None).cast("array<struct<level:int,n_keys:long>>").alias("lack"))).mapInArrow(run, _Dealer.ddl), buckets, "wide")
+                            rest = h[: len(h) - -(-len(h) * bands.num // bands.den) + 1]
+                            keys, segment, share = np.concatenate([keys, mix(rest, 37)]), np.concatenate([segment, np.full(len(rest), -1)]), np.concatenate([share, np.full(len(rest), 1)])
+                        for column, value in zip(out, (keys.view(np.int64), np.full(len(keys), sid, np.int64), np.full(len(keys), at, np.int32), segment.astype(np.int32), share.astype(np.int32))):
+                            column.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "id", "level", "segment", "share"])
+
+        entries, seen = self.space.noted(sets.mapInArrow(index, "key long, id long, level int, segment int, share int"), "entries", rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            return []
+        shared = self.space.keep(entries.groupBy("key").agg(F.count_distinct("id").alias("n")).where("n > 1"), "shared", narrow=True)
+        cost = entries.join(shared, "key", "left").groupBy("id", "level", "segment").agg(F.sum(F.when(F.col("share") == 1, F.coalesce("n", F.lit(1)) - 1).otherwise(0)).alias("one"), F.sum(F.coalesce("n", F.lit(1)) - 1).alias("two"), F.max("share").alias("most"))
+        # the segments of one set in one band: fewer than it has shingles
+        plans = cost.groupBy("id", "level").agg(F.collect_list(F.struct("segment", "one", "two", "most")).alias("segments"))
+
+        def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list[int]] = [[], [], [], []]
+                for sid, level, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "level", "segments"))):
+                    offers = []
+                    for x in segments:
+                        if x["segment"] >= 0:
+                            offers.append((x["one"], 1, x["segment"]))
+                            if x["most"] > 1:
+                                offers.append((max(x["two"] - x["one"], x["one"]), 2, x["segment"]))
+                    chosen = {s: v for _, v, s in sorted(offers)[: int(bands.most[level]) + 1]}
+                    if any(x["segment"] < 0 for x in segments):
+                        chosen[-1] = 1
+                    for s, v in chosen.items():
+                        for column, value in zip(out, (sid, level, s, v)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id", "level", "segment", "upto"])
+
+        chosen = plans.mapInArrow(allot, "id long, level int, segment int, upto int")
+        probes = entries.join(chosen, ["id", "level", "segment"]).where("share <= upto").join(shared.select("key"), "key", "left_semi").select("key", F.col("id").alias("centre")).distinct()
+        probes = self.space.keep(self.rooted(probes.withColumnRenamed("centre", "id")).withColumnsRenamed({"id": "centre", "root": "middle"}), "probes", narrow=True)
+        others = self.rooted(entries.join(shared.select("key"), "key", "left_semi").select("key", "id").distinct())
+        return [others.join(probes, "key").where("root <> middle").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))]
 
     def components(self) -> DataFrame:
         digests, total = self.space.noted(self.digests(), "digests", shingles=F.sum("n_shingles"), short=F.count_if("short"))
@@ -373,11 +423,11 @@ class _Join:
         wanted = groups.select("id")
         if total["short"]:
             wanted = wanted.union(digests.where("short").select("id"))
-        self.table = self.sets(self.space.keep(wanted.distinct(), "wanted"), digests)
-        links, roots, costly = self.settle(groups, None, PAIRS_PER_MEMBER)
-        if total["short"] or costly is not None:
-            more = self.wide(costly, total["shingles"] or 0)
-            links, roots, _ = self.settle(more, links, float("inf"))
+        self.table = self.sets(self.space.keep(wanted.distinct(), "wanted", narrow=True), digests)
+        left = self.settle(groups) + (self.wide() if total["short"] else [])
+        if left:
+            self.test(reduce(DataFrame.union, left))
+        links, roots = self.links, self.roots
         sets = digests.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
         if links is None:
             classes = self.space.keep(sets.select("id", F.col("least").alias("class_id"), F.col("least").alias("component_id"), F.lit(0).alias("n_links")), "components")

@@ -31,14 +31,19 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """Write df and read it again."""
-        return self.noted(df, name)[0]
+        return self.noted(df, name, narrow)[0]
 
-    def noted(self, df: DataFrame, name: str, **notes: Column) -> tuple[DataFrame, dict]:
-        """Write df and read it again; also some aggregates of it, gathered while it is written."""
+    def noted(self, df: DataFrame, name: str, narrow: bool = False, **notes: Column) -> tuple[DataFrame, dict]:
+        """Write df and read it again; also some aggregates of it, gathered while it is written.
+
+        narrow: rows of a few numbers, so that four shuffle partitions make a task's file.
+        """
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:6]}"
         schema, seen = df.schema, {}
+        if narrow:
+            df = df.coalesce(max(12, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         if notes:
             watch = Observation()
             df = df.observe(watch, *(c.alias(k) for k, c in notes.items()))
