@@ -45,7 +45,7 @@ FLUSH_ENTRIES = 1_500_000
 #: Rounds of tests against single centres.
 CENTRES = 2
 #: A key whose group has more cross-component pairs a member than this gets no share.
-PAIRS_PER_MEMBER = 24
+PAIRS_PER_MEMBER = 2
 
 
 class Bands:
