@@ -39,7 +39,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; documents without words stay."""
-    gone = ngram_join.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = ngram_join.components(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

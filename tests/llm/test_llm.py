@@ -108,6 +108,61 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, pairs, spare):
     assert got == brute_components(texts)
 
 
+def brute_links(texts):
+    sets, least = [], {}
+    for i, t in enumerate(texts):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")).encode().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+        least.setdefault(sets[-1], i)
+    own = [s for s in least if s]
+    return {tuple(sorted((least[a], least[b]))) for k, a in enumerate(own) for b in own[:k] if 100 * len(a & b) >= 80 * len(a | b)}, [least[s] for s in sets]
+
+
+def one_cluster():
+    """Near copies of one text that nearly all link with one another."""
+    chance = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        own[chance.randrange(120)] = f"x{i}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("spare", [0.12, -0.5, -1.0])
+def test_ngram_join_finds_all_links(spark, monkeypatch, spare):
+    monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
+    texts = near_copies() + one_cluster()
+    want, classes = brute_links(texts)
+    docs = docs_of(spark, texts)
+    rows = ngram_join.links(docs).collect()
+    assert len(rows) == len(want) and {(r.class_a, r.class_b) for r in rows} == want
+    got = {r.doc_id: r for r in ngram_join.join(docs).collect()}
+    degree = {i: sum(c in x for x in want) for i, c in enumerate(classes)}
+    assert max(degree.values()) >= 59 and {i: r.n_links for i, r in got.items()} == degree
+    assert {i: r.class_id for i, r in got.items() if r.n_shingles} == {i: c for i, c in enumerate(classes) if (texts[i] or "").strip()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts)
+
+
+@pytest.mark.parametrize("pairs, spare", [(24, 0.12), (0, 0.12), (24, -0.5), (0, -1.0)])
+def test_ngram_components_against_brute_force(spark, monkeypatch, pairs, spare):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_MEMBER", pairs)
+    monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
+    texts = near_copies() + one_cluster()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_ngram_links_of_rows_without_id(spark):
+    text = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join(text)), (7, " ".join([*text, "z"])), (8, "other"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.links(docs).collect()] == [(7, None)]
+    assert {(r.doc_id, r.n_links) for r in ngram_join.join(docs).collect()} == {(None, 1), (7, 1), (8, 0), (9, 0)}
+    assert ngram_join.links(docs.where("doc_id > 7")).count() == 0
+
+
 def test_ngram_join_edges(spark):
     text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     one = docs_of(spark, [text, text, None])

@@ -20,6 +20,10 @@ Work in large groups of near copies: members of a key's group are first tested a
 centres; only pairs that are still in different components are tested one by one. Every link is
 verified on the whole sets; a parity sketch discards pairs before that only where it proves that
 they differ too much. Exact copies share one id (a digest of the set), and are never paired.
+
+All links or components only: join and links test every pair that the shares ask for, so they
+find each link of each set. components leaves out pairs whose sets are known to be in one
+component already; it finds the same components, but not all links within them.
 """
 
 from __future__ import annotations
@@ -417,49 +421,79 @@ class _Join:
         others = self.rooted(entries.join(shared.select("key"), "key", "left_semi").select("key", "id").distinct())
         return [others.join(probes, "key").where("root <> middle").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))]
 
-    def components(self) -> DataFrame:
+    def run(self, complete: bool) -> DataFrame:
+        """Find links: all if complete, otherwise as many as the components need. Returns the digests."""
         digests, total = self.space.noted(self.digests(), "digests", shingles=F.sum("n_shingles"), short=F.count_if("short"))
         groups = self.index(total["shingles"] or 0)
         wanted = groups.select("id")
         if total["short"]:
             wanted = wanted.union(digests.where("short").select("id"))
         self.table = self.sets(self.space.keep(wanted.distinct(), "wanted", narrow=True), digests)
-        left = self.settle(groups) + (self.wide() if total["short"] else [])
+        # without roots each set is its own component, and no pair is left out
+        left = self.allotted(groups.join(groups.groupBy("gid").agg(F.count("*").alias("size")), "gid")) if complete else self.settle(groups)
+        left += self.wide() if total["short"] else []
         if left:
             self.test(reduce(DataFrame.union, left))
+        return digests
+
+    def classes(self, digests: DataFrame) -> DataFrame:
+        """Each set's id, class_id, component_id and n_links (of the links found)."""
         links, roots = self.links, self.roots
         sets = digests.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
         if links is None:
-            classes = self.space.keep(sets.select("id", F.col("least").alias("class_id"), F.col("least").alias("component_id"), F.lit(0).alias("n_links")), "components")
-        else:
-            degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-            named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            named = self.space.keep(named.join(degree, "id", "left"), "named")
-            least = self.space.keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-            classes = self.space.keep(named.join(least, "root").select("id", F.col("least").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+            return self.space.keep(sets.select("id", F.col("least").alias("class_id"), F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links")), "components")
+        degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+        named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named = self.space.keep(named.join(degree, "id", "left"), "named")
+        least = self.space.keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        return self.space.keep(named.join(least, "root").select("id", F.col("least").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
+
+    def documents(self, digests: DataFrame) -> DataFrame:
         one = F.col("n_shingles") > 0
-        return digests.join(classes, "id", "left").select(
-            "doc_id", "n_shingles", F.when(one, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(one, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(one, F.col("n_links")).otherwise(F.lit(0)).alias("n_links_tested")
+        return digests.join(self.classes(digests), "id", "left").select(
+            "doc_id", "n_shingles", F.when(one, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(one, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(one, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")
         )
 
+    def pairs(self, digests: DataFrame) -> DataFrame:
+        """class_a, class_b of the links found."""
+        sets = digests.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("class_id"))
+        links = self.links if self.links is not None else self.spark.createDataFrame([], "a long, b long")
+        for side in ("a", "b"):
+            links = links.join(sets.select(F.col("id").alias(side), F.col("class_id").alias(f"class_{side}")), side)
+        first = F.coalesce(F.col("class_a") < F.col("class_b"), F.col("class_a").isNotNull())
+        return links.select(F.when(first, F.col("class_a")).otherwise(F.col("class_b")).alias("class_a"), F.when(first, F.col("class_b")).otherwise(F.col("class_a")).alias("class_b"))
+
 
 def join(docs: DataFrame, threshold: str | Fraction = "4/5", width: int = WIDTH) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, class_id, n_links_tested.
+    """Per row of docs: doc_id, n_shingles, component_id, class_id, n_links.
 
     component_id is the smallest doc_id reachable over links (Jaccard similarity of the shingle
-    sets at or above the threshold), class_id the smallest doc_id with the same set, and
-    n_links_tested the verified links between that class and others; links inside a component
-    that no test was needed for are not counted. Texts that are null or without words have no
-    shingle, link with nothing and get their own doc_id. Repeated rows are rows of one class.
-    A null doc_id takes part like others, and is reported as component only where no row of the
-    component has an id. An empty table gives no rows. Extra columns are ignored.
+    sets at or above the threshold), class_id the smallest doc_id with the same set, and n_links
+    the number of other classes that this class links with; all links are found and verified, so
+    the work grows with their number. Texts that are null or without words have no shingle, link
+    with nothing and get their own doc_id. Repeated rows are rows of one class. A null doc_id
+    takes part like others, and is reported as component only where no row of the component has
+    an id. An empty table gives no rows. Extra columns are ignored.
     """
-    return _Join(docs, Fraction(threshold), width).components()
+    run = _Join(docs, Fraction(threshold), width)
+    return run.documents(run.run(complete=True))
+
+
+def links(docs: DataFrame, threshold: str | Fraction = "4/5", width: int = WIDTH) -> DataFrame:
+    """class_a, class_b: all pairs of classes that link, once each, the smaller class_id first (a null one last)."""
+    run = _Join(docs, Fraction(threshold), width)
+    return run.pairs(run.run(complete=True))
+
+
+def components(docs: DataFrame, threshold: str | Fraction = "4/5", width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id as join gives them, without the work of links that change no component."""
+    run = _Join(docs, Fraction(threshold), width)
+    return run.documents(run.run(complete=False)).drop("n_links")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: components of all documents at a similarity of 0.8 on shingles of five words."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 _SQL_WORDS = r"""
