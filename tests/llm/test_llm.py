@@ -253,6 +253,48 @@ def test_decontamination(spark, settings):
     assert decontaminate.contamination(docs, items.limit(0), settings).count() == 0
 
 
+def test_decontamination_finds_edited_items(spark):
+    _, items = benchmark_of(spark)
+    texts = {r.item_id: r.text.split() for r in items.where("item_id < 40").collect()}
+    docs, want = [], set()
+    for i, w in texts.items():
+        n = len(w) // 4
+        for k in range(n):  # each word of the answer changed, left out, or with a new one before it
+            for own in ([*w[: len(w) - n + k], "zz", *w[len(w) - n + k + 1 :]], w[: len(w) - n + k] + w[len(w) - n + k + 1 :], [*w[: len(w) - n + k], "zz", *w[len(w) - n + k :]]):
+                want.add((len(docs), i))
+                docs.append("zzz " * 30 + " ".join(own) + " yyy" * 30)
+        for k in range(len(w) - n):
+            want.add((len(docs), i))
+            docs.append(" ".join([*w[:k], "zz", *w[k + 1 :]]))
+    whole = len(docs)
+    docs += [" ".join(w[: len(w) - len(w) // 4]) + " zzz" * 30 for w in texts.values()]  # no answer
+    docs += [" ".join(w[len(w) - len(w) // 4 :]) + " zzz" * 30 for w in texts.values()]  # no question
+    # each second word another: too many edits
+    docs += [" ".join(x if k % 2 else "zz" for k, x in enumerate(w)) for w in texts.values()]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs_of(spark, docs), items.where("item_id < 40")).collect()}
+    assert got == want and max(d for d, _ in got) < whole
+
+
+def test_edits_against_brute_force():
+    chance = np.random.default_rng(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    for _ in range(60):
+        part, words = chance.integers(0, 4, chance.integers(1, 7)), chance.integers(0, 4, chance.integers(0, 12))
+        assert decontaminate._edits(part, words).tolist() == [min(distance(part, words[i:j]) for i in range(j + 1)) for j in range(len(words) + 1)]
+        answer = chance.integers(0, 4, chance.integers(1, 4))
+        want = any(distance(part, words[i:j]) <= len(part) * 2 // 5 and distance(answer, words[j:k]) <= len(answer) * 2 // 5 for i in range(len(words) + 1) for j in range(i, len(words) + 1) for k in range(j, len(words) + 1))
+        assert decontaminate._stands(part, answer, words, 0.4) == want
+
+
 def test_block_max_wand_against_all_scores():
     chance = random.Random(13)
     texts = [" ".join(chance.choice("abcdefghijklmnop") + chance.choice("qrst") for _ in range(chance.randint(3, 40))) for _ in range(90)]

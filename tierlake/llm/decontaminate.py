@@ -6,7 +6,9 @@ fits items of all lengths. A look at block maxima comes first, for all passages
 once: a passage whose terms' maxima add up to less than the threshold in every block of items
 retrieves nothing; larger blocks are tried before smaller ones. The others walk the postings by
 block-max WAND. A retrieved item counts as contained if enough of its question and of its answer
-stand word by word in the document.
+stand word by word in the document, in grams; or, as one changed word spoils most grams of a
+short part, if question and answer follow each other in one place of the document with few
+enough words changed, left out or put in.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ _FAR = 1 << 62
 
 @dataclass(frozen=True)
 class Settings:
-    """window and stride of passages in words, BM25's k1 and b, retrieval and overlap thresholds, gram width, items of the blocks (larger first; the last are the postings' blocks), items of an index, and the bytes of benchmark text that one pass takes."""
+    """window and stride of passages in words, BM25's k1 and b, retrieval and overlap thresholds, gram width, the share of a part's words that may be edited where it stands, items of the blocks (larger first; the last are the postings' blocks), items of an index, and the bytes of benchmark text that one pass takes."""
 
     window: int = 64
     stride: int = 32
@@ -40,6 +42,7 @@ class Settings:
     retrieve: float = 0.4
     overlap: float = 0.5
     grams: int = 5
+    edits: float = 0.4
     blocks: tuple[int, ...] = (8, 4)
     index_items: int = 512
     pass_bytes: int = 2_000_000
@@ -72,6 +75,39 @@ def _grams(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _edits(part: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each place between words, the fewest edits (a word changed, left out or put in) that make the part of a run of words which ends there."""
+    places = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
+    for word in part:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (words != word))
+        row = np.minimum.accumulate(new - places) + places
+    return row
+
+
+def _stands(question: np.ndarray, answer: np.ndarray, words: np.ndarray, share: float) -> bool:
+    """Whether question and answer follow each other in one place, each with at most `share` of its words edited."""
+    most = [int(len(p) * share + 1e-9) for p in (question, answer)]
+    item = np.concatenate([question, answer])
+    hits = np.concatenate([[0], np.cumsum(np.isin(words, item))])
+    # a place takes so many words at most, and so many of them are the item's
+    span = min(len(item) + sum(most), len(words))
+    full = hits[span:] - hits[: len(hits) - span] >= len(item) - sum(most)
+    near = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(full)
+    np.add.at(near, at, 1)
+    np.add.at(near, at + span, -1)
+    inside = np.concatenate([[0], np.cumsum(near)[:-1] > 0, [0]]).astype(np.int8)
+    turns = np.flatnonzero(np.diff(inside))
+    for a, b in zip(turns[::2], turns[1::2]):
+        run = words[a:b]
+        before = _edits(question, run) <= most[0]
+        if before.any() and (before & (_edits(answer[::-1], run[::-1])[::-1] <= most[1])).any():
+            return True
+    return False
+
+
 class Index:
     """Postings of some benchmark items: item numbers and normalised impacts by term, with the largest impact of each term and block."""
 
@@ -83,9 +119,10 @@ class Index:
         keep = [i for i, w in enumerate(own) if len(w)]
         self.ids, own = [ids[i] for i in keep], [own[i] for i in keep]
         # the last quarter of an item's words is its answer
-        self.parts = []
+        self.parts, self.texts = [], []
         for w in own:
             cut = len(w) - max(1, len(w) // 4)
+            self.texts.append((w[:cut], w[cut:]))
             self.parts.append([(width := min(s.grams, len(p)), _grams(p, width)) for p in (w[:cut], w[cut:])])
         n = len(own)
         terms, number = np.unique(np.concatenate(own), return_inverse=True) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -222,7 +259,7 @@ class Index:
                 if width not in known:
                     known[width] = _grams(words, width)
                 shares.append(float(np.isin(grams, known[width], assume_unique=True).mean()) if len(grams) else 1.0)
-            if min(shares) >= self.settings.overlap:
+            if min(shares) >= self.settings.overlap or _stands(*self.texts[item], words, self.settings.edits):
                 yield self.ids[item], value, *shares
 
 
@@ -245,7 +282,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     The benchmark goes in passes over the documents, each with at most about `pass_bytes` of its
     text in a broadcast (a single item is never cut); word statistics are those of the whole
     benchmark. An item's last quarter of words is taken as its answer, what stands before as its
-    question. Null or empty texts of either side, and items with a null id, match nothing;
+    question. The overlaps are shares of grams; they are below `overlap` where an edited item was
+    found in one place. Null or empty texts of either side, and items with a null id, match nothing;
     repeated rows are matched each; an item_id that occurs twice is two items; other columns are
     ignored; an empty table on either side gives no rows.
     """
@@ -288,7 +326,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 _SQL_WORD = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: By brute force, without the index: every gram of every item against every document.
+#: By brute force, without the index: every gram of every item against every document. Edited items that only `edits` accepts are not in it.
 ORACLE_SQL = f"""WITH items AS (SELECT item_id, regexp_extract_all({_SQL_LOWER}, {_SQL_WORD}) AS w FROM benchmark),
 parts AS (
   SELECT item_id, 'q' AS part, w[:len(w) - greatest(1, len(w) // 4)] AS p FROM items WHERE len(w) > 0
