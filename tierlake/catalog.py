@@ -497,6 +497,30 @@ def maxonset_split(spark, sf):
     return runs.select("consonants", syllables.longest_onset_split(F.split("consonants", ""), legal).cast("int").alias("split"))
 
 
+def _all_words(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of each part's name, a row each."""
+    return _t(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("word_id"), F.explode(F.split("p_name", " ")).alias("word"))
+
+
+@_query("SELECT regexp_extract(w, '^([^aeiou]*)[aeiou]', 1) AS onset, count(*) AS freq FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE regexp_matches(w, '[aeiou]') GROUP BY onset")
+def onset_freq_all_words(spark, sf):
+    return syllables.onsets(_all_words(spark, sf).withColumn("phones", F.split("word", "")), _VOWELS).select(F.array_join("onset", "").alias("onset"), "freq")
+
+
+@_query("SELECT regexp_extract(w, '[aeiou]([^aeiou]*)$', 1) AS coda, count(*) AS freq FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE regexp_matches(w, '[aeiou]') GROUP BY coda")
+def coda_freq_all_words(spark, sf):
+    return syllables.codas(_all_words(spark, sf).withColumn("phones", F.split("word", "")), _VOWELS).select(F.array_join("coda", "").alias("coda"), "freq")
+
+
+@_query("""WITH p AS (SELECT string_split_regex(w, '[aeiou]') AS s FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)), w AS (SELECT DISTINCT unnest(s[2:len(s) - 1]) AS c FROM p WHERE len(s) > 2) SELECT c AS consonants,
+(SELECT min(i) FROM (SELECT unnest(range(0, len(c) + 1)) AS i) WHERE substr(c, (i + 1)::INTEGER) IN ('', 'l', 'n', 'r', 'd', 't', 'st', 'ch', 'nd'))::INTEGER AS split FROM w WHERE c <> ''""")
+def maxonset_split_all_words(spark, sf):
+    # a vowel can end one run and begin the next
+    runs = _all_words(spark, sf).select(F.explode(F.regexp_extract_all("word", F.lit("[aeiou]([^aeiou]+)(?=[aeiou])"), F.lit(1))).alias("consonants")).distinct()
+    legal = [list(x) for x in ("", "l", "n", "r", "d", "t", "st", "ch", "nd")]
+    return runs.select("consonants", syllables.longest_onset_split(F.split("consonants", ""), legal).cast("int").alias("split"))
+
+
 @_query("SELECT p_partkey, i::INTEGER AS place, CASE WHEN len(w) = 2 THEN w[i] END AS stress FROM (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))")
 def stress_from_property(spark, sf):
     base = _t(spark, sf, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("-")).alias("pattern"), F.split("p_name", " ").alias("w"))
