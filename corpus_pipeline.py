@@ -37,16 +37,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, name := _free(docs)).where(F.col(name) >= quality.GOOD_FROM).select(*docs.columns)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
+    """docs with a number of each row's own, written so that it stays the same."""
+    return Workspace(spark, "rows").keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without words stay."""
-    gone = ngram_join.components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row: one with the smallest id (null only if no row has one); documents without words stay."""
+    rows = _keyed(spark, docs, key := _free(docs))
+    groups = ngram_join.components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    first = rows.select(key, "doc_id").join(groups, key).groupBy("_group").agg(F.min_by(key, order).alias(key)).select(key)
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    gone = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item; each row is judged by its own text."""
+    rows = _keyed(spark, docs, key := _free(docs))
+    gone = decontaminate.contamination(rows.select(F.col(key).alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
