@@ -98,10 +98,10 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("pairs, spare", [(24, 0.12), (0, 0.12), (24, -0.5), (0, -1.0)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, pairs, spare):
-    # with 0 every open group is costly; with too few segments sets go by double shares, and with one by prefixes too
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_MEMBER", pairs)
+@pytest.mark.parametrize("double, spare", [(1, 0.12), (0, 0.12), (10**9, 0.12), (0, -0.5), (1, -1.0)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, double, spare):
+    # with 0 all shares that cost anything are double, with 10**9 none; with too few segments all sets go by double shares, and with one by prefixes too
+    monkeypatch.setattr(ngram_join, "DOUBLE_FROM", double)
     monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
     texts = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs_of(spark, texts)).collect()}
@@ -145,9 +145,9 @@ def test_ngram_join_finds_all_links(spark, monkeypatch, spare):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts)
 
 
-@pytest.mark.parametrize("pairs, spare", [(24, 0.12), (0, 0.12), (24, -0.5), (0, -1.0)])
-def test_ngram_components_against_brute_force(spark, monkeypatch, pairs, spare):
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_MEMBER", pairs)
+@pytest.mark.parametrize("double, spare", [(1, 0.12), (0, 0.12), (10**9, 0.12), (0, -0.5), (1, -1.0)])
+def test_ngram_components_against_brute_force(spark, monkeypatch, double, spare):
+    monkeypatch.setattr(ngram_join, "DOUBLE_FROM", double)
     monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
     texts = near_copies() + one_cluster()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts)).collect()}

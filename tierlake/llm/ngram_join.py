@@ -7,19 +7,23 @@ differences spoil H segments at most, linked sets agree on m - H whole segments.
 subset is one 64-bit key (a sum of scrambled hashes, so that taking an element away is one
 subtraction).
 
-Cost-based allocation: a set needs shares for H + 1 differences, one for each segment it relies
-on, and m has some segments to spare. Keys whose groups would pair few sets of different
-components are used by all. The other groups are costly; a set uses as many of them, the
-smallest first, as it is short of H + 1 shares without them. A pair needs the shares of one of
-its sets only. Sets with less than H + 1 segments that aren't empty can't have enough; these few
-index double shares for one another: each subset with its one-deletion neighbourhood, which
-finds pairs that differ in one shingle there, again the cheapest ones that make H + 1. If even
-those are too few, they add the prefix of their sorted shingles.
-
-Work in large groups of near copies: members of a key's group are first tested against single
-centres; only pairs that are still in different components are tested one by one. Every link is
-verified on the whole sets; a parity sketch discards pairs before that only where it proves that
-they differ too much. Exact copies share one id (a digest of the set), and are never paired.
+Cost-based allocation: a set needs shares for H + 1 differences. A segment's subset gives one, a
+subset with its one-deletion neighbourhood two, as it finds all sets that differ by one shingle
+there; a segment may also give none. The cost of a share is the number of sets of other
+components that it meets. Each set takes the cheapest single shares that make H + 1; where these
+would meet more sets than the set has shingles, it takes the cheapest of single and double shares
+instead, among the sets that have a group in common with it. A pair needs the shares of one of
+its sets only: that of the smaller component, so the members of a large group of near copies
+never look for each other again, nor for those that differ from them. Sets with less than H + 1
+segments that aren't empty are looked for by all others, and use double shares among each other;
+if even those are too few, they add the prefix of their sorted shingles.
+
+Work in large groups of near copies: members of a key's group are first tested against its
+smallest id, which brings most links together; only pairs that are in different components
+after that are looked for by shares. What shares pair is compared by a parity sketch within the
+join; it proves that most others differ too much, so only pairs near the threshold leave the join.
+Every link is verified on the whole sets. Exact copies share one id (a digest of the set; if two
+sets share it, both get another), and are never paired.
 
 All links or components only: join and links test every pair that the shares ask for, so they
 find each link of each set. components leaves out pairs whose sets are known to be in one
@@ -43,13 +47,15 @@ from tierlake.llm.runtime import Workspace, documents, slices
 from tierlake.llm.shingles import WIDTH, mix, shingle_sets
 
 #: Index entries (16 bytes) that a task takes at about.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 750_000
 #: Entries that a task gathers before it deals them out.
-FLUSH_ENTRIES = 1_500_000
-#: Rounds of tests against single centres.
-CENTRES = 2
-#: A key whose group has more cross-component pairs a member than this gets no share.
-PAIRS_PER_MEMBER = 2
+FLUSH_ENTRIES = 1_000_000
+#: A set whose single shares would compare it with more than this times its shingles uses double shares, whose entries cost about as much.
+DOUBLE_FROM = 1
+#: Words of the sketch that pairs of a group are compared by.
+FOLD = 16
+#: Ids of wanted texts that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 class Bands:
@@ -191,15 +197,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in out], ["gid", "level", "n_keys", "id"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of some buckets of double shares -> those under keys of two ids or more, one of which is probing, with the number of subsets (ones) and of deletions (twos) under the key."""
+    parts = [[np.frombuffer(v, t) for v, t in zip(row, (np.uint64, np.int64, np.uint8, np.int64))] for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+    if not parts:
+        return
+    keys, ids, levels, notes = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.lexsort((notes, ids, keys))
+    keys, ids, levels, notes = keys[order], ids[order], levels[order], notes[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (notes[1:] != notes[:-1])
+    keys, ids, levels, notes = keys[fresh], ids[fresh], levels[fresh], notes[fresh]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(begin, len(keys)))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    live = (np.add.reduceat(new.astype(np.int64), begin) > 1) & (np.add.reduceat(notes & 1, begin) > 0)
+    ones = np.add.reduceat(1 - (notes >> 2 & 1), begin)
+    pick = np.repeat(live, sizes)
+    ones, twos = np.repeat(ones, sizes)[pick], np.repeat(sizes - ones, sizes)[pick]
+    keys, ids, levels, notes = keys[pick], ids[pick], levels[pick], notes[pick]
+    out = [keys.view(np.int64), ids, levels.astype(np.int32), ((notes >> 3) - 1).astype(np.int32), ((notes >> 2 & 1) + 1).astype(np.int32), ((notes >> 1 & 1) + 1).astype(np.int32), (notes & 1).astype(bool), ones, twos]
+    for i in range(0, len(keys), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in out], ["key", "id", "level", "segment", "share", "most", "probing", "ones", "twos"])
+
+
 def _sketch(h: np.ndarray) -> bytes:
-    """Parities of how many elements fall on each of 2**k >= n bits (at least 64); halves folded together give the next shorter sketch."""
-    bits = 64
-    while bits < len(h):
+    """Parities of how many elements fall on each of 2**k >= 2 n bits (at least 1024); halves folded together give the next shorter sketch."""
+    bits = 64 * FOLD
+    while bits < 2 * len(h):
         bits *= 2
     odd = np.bincount((mix(h, 31) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(sketch: bytes) -> np.ndarray:
+    """The sketch of FOLD words."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.int64).reshape(-1, FOLD), axis=0)
+
+
 def _sketch_distance(a: bytes, b: bytes) -> int:
     """At least so many elements are in one set only."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -219,69 +256,123 @@ class _Join:
         self.space = Workspace(self.spark, "ngram-join")
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
+        self.clashing = np.zeros(0, np.int64)
 
-    def digests(self) -> DataFrame:
-        """doc_id, n_shingles, id, id2 and whether empty segments alone leave the set short of shares."""
-        bands, width = self.bands, self.width
+    # -- sets -----------------------------------------------------------------------------
+
+    @staticmethod
+    def _ids(h: np.ndarray, bounds: np.ndarray, clashing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each set and its second digest. Where two sets had one id, theirs come from the second digest."""
+        one, two = _digests(h, bounds)
+        if len(clashing):
+            one = np.where(np.isin(one, clashing), mix(two.view(np.uint64), 7).view(np.int64), one)
+        return one, two
+
+    def _digested(self) -> DataFrame:
+        bands, width, clashing, ids = self.bands, self.width, self.clashing, self._ids
+        schema = "doc_id long, n_shingles long, id long, id2 long, level int, room long, units long, room_below long, units_below long, sketch binary, fold array<long>"
+        names = [c.split()[0] for c in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 h, bounds = shingle_sets(batch.column("text"), width)
+                rows = batch.num_rows
                 owner, level, first, _, sizes, _, _ = _segments(h, bounds, bands)
-                full = np.concatenate([[0], np.cumsum(sizes > 0)])
-                short = np.zeros(batch.num_rows, bool)
-                np.logical_or.at(short, owner, full[first[1:]] - full[first[:-1]] <= bands.most[level])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, _digests(h, bounds)), pa.array(short)], ["doc_id", "n_shingles", "id", "id2", "short"])
+                full, double = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes > 0, np.minimum(sizes, 2)))
+                room, units = (c[first[1:]] - c[first[:-1]] - bands.most[level] for c in (full, double))
+                own = bands.of(np.diff(bounds))
+                columns = []
+                for down in (0, 1):
+                    here = level == own[owner] - down
+                    for values in (room, units):
+                        out, known = np.zeros(rows, np.int64), np.zeros(rows, bool)
+                        out[owner[here]], known[owner[here]] = values[here], True
+                        columns.append(pa.array(out, mask=~known))
+                sketches = [_sketch(h[a:b]) for a, b in zip(bounds, bounds[1:])]
+                folds = np.concatenate([_folded(x) for x in sketches])
+                folds = pa.ListArray.from_arrays(pa.array(np.arange(0, FOLD * rows + 1, FOLD, dtype=np.int32)), pa.array(folds))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), *map(pa.array, ids(h, bounds, clashing)), pa.array(own.astype(np.int32)), *columns, pa.array(sketches, pa.binary()), folds], names)
+
+        return self.docs.mapInArrow(run, schema)
+
+    def prepare(self) -> int:
+        """Write digests (a row for each document) and sets (one for each distinct set); returns how many shingles there are."""
+        for _ in range(3):
+            rows, total = self.space.noted(self._digested(), "digests", shingles=F.sum("n_shingles"))
+            one = rows.where("n_shingles > 0").groupBy("id").agg(
+                F.min("doc_id").alias("least"), F.min("id2").alias("low"), F.max("id2").alias("high"),
+                *(F.any_value(c).alias(c) for c in ("n_shingles", "level", "room", "units", "room_below", "units_below", "sketch", "fold")),
+            )
+            sets, seen = self.space.noted(one.withColumnRenamed("n_shingles", "n"), "sets", clashes=F.count_if(F.col("low") != F.col("high")))
+            self.digests, self.sets = rows.select("doc_id", "n_shingles", "id"), sets.drop("low", "high")
+            if not seen["clashes"]:
+                break
+            # of 2**32 sets one pair is expected to share an id, so these are few whatever the input
+            found = sets.where(F.col("low") != F.col("high")).select("id").toArrow()["id"].to_numpy()
+            self.clashing = np.concatenate([self.clashing, found])
+        else:
+            raise RuntimeError("digests of sets go on clashing")
+        return total["shingles"] or 0
+
+    def rooms(self) -> DataFrame:
+        """id, n, level, room (segments that aren't empty less H) and units (shares at most two a segment, less H), for both bands of a set."""
+        here = F.struct("level", "room", "units")
+        below = F.struct((F.col("level") - 1).alias("level"), F.col("room_below").alias("room"), F.col("units_below").alias("units"))
+        return self.sets.select("id", "n", F.explode(F.array(here, below)).alias("_r")).select("id", "n", "_r.*").where("room is not null")
+
+    def texts(self, wanted: DataFrame) -> tuple[DataFrame, int]:
+        """The texts of one document of each wanted id (where doc_ids repeat or are null, of some more), and of how many doc_ids."""
+        some, seen = self.space.noted(self.sets.join(wanted, "id", "left_semi").select("least").distinct(), "some", narrow=True, rows=F.count(F.lit(1)))
+        # up to BROADCAST_IDS ids of 8 bytes travel to the executors; more are joined by a shuffle of the texts
+        some = F.broadcast(some) if seen["rows"] <= BROADCAST_IDS else some
+        return self.docs.join(some, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text"), seen["rows"]
+
+    def blobs(self, wanted: DataFrame) -> DataFrame:
+        """id and set (sorted hashes) of the wanted ids, once each."""
+        width, clashing, ids = self.width, self.clashing, self._ids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                h, bounds = shingle_sets(batch.column("text"), width)
+                yield pa.RecordBatch.from_arrays([pa.array(ids(h, bounds, clashing)[0]), pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["id", "set"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, id long, id2 long, short boolean")
+        texts, expected = self.texts(wanted)
+        found, seen = self.space.noted(texts.mapInArrow(run, "id long, set binary"), "blobs", rows=F.count(F.lit(1)))
+        if seen["rows"] > expected:
+            found = self.space.keep(found.groupBy("id").agg(F.any_value("set").alias("set")), "blobs")
+        return found
 
-    def _matched(self, entries: DataFrame, buckets: int, name: str) -> DataFrame:
-        found = entries.repartition(buckets, "bucket").mapInArrow(_groups, "gid long, level int, n_keys long, id long")
-        return self.space.keep(found.groupBy("gid", "level", "id").agg(F.sum("n_keys").alias("n_keys")), name)
+    # -- shares of whole segments ---------------------------------------------------------
 
     def index(self, total: int) -> DataFrame:
-        """The groups of sets with a segment in common."""
-        bands, width = self.bands, self.width
+        """The groups of sets with a segment in common: gid, level, id, n_keys."""
+        bands, width, clashing, ids_of = self.bands, self.width, self.clashing, self._ids
         buckets = self._buckets(total // 2)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dealer = _Dealer(buckets)
             for batch in slices(batches):
                 h, bounds = shingle_sets(batch.column("text"), width)
-                ids, _ = _digests(h, bounds)
+                ids, _ = ids_of(h, bounds, clashing)
+                once = np.zeros(len(ids), bool)  # copies in a slice are indexed once
+                once[np.unique(ids, return_index=True)[1]] = True
+                if not once.all():
+                    sizes = np.diff(bounds)
+                    h, ids, bounds = h[np.repeat(once, sizes)], ids[once], np.concatenate([[0], np.cumsum(sizes[once])])
                 owner, level, first, sums, sizes, _, _ = _segments(h, bounds, bands)
                 slot = np.flatnonzero(sizes)
                 pair = np.searchsorted(first, slot, side="right") - 1
-                once = np.zeros(len(ids), bool)
-                once[np.unique(ids, return_index=True)[1]] = True
-                use = once[owner[pair]]
-                slot, pair = slot[use], pair[use]
                 yield from dealer.add(_key(sums[slot], pair, level, first, slot), ids[owner[pair]], level[pair])
             yield from dealer.flush()
 
-        return self._matched(self.docs.select("text").mapInArrow(run, _Dealer.ddl), buckets, "groups")
+        entries = self.docs.select("text").mapInArrow(run, _Dealer.ddl)
+        found = entries.repartition(buckets, "bucket").mapInArrow(_groups, "gid long, level int, n_keys long, id long")
+        return self.space.keep(found.groupBy("gid", "level", "id").agg(F.sum("n_keys").alias("n_keys")), "groups")
 
     def _buckets(self, entries: int) -> int:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
 
-    def sets(self, wanted: DataFrame, digests: DataFrame) -> DataFrame:
-        """id, n, set (sorted hashes), sketch and rooms of the wanted ids, from one document of each. rooms: for both bands, the segments that aren't empty less H."""
-        bands, width = self.bands, self.width
-        some = digests.groupBy("id", "id2").agg(F.min("doc_id").alias("first")).join(wanted, "id", "left_semi")
-        texts = self.docs.join(some.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, most=2_000_000):
-                h, bounds = shingle_sets(batch.column("text"), width)
-                own = [h[a:b] for a, b in zip(bounds, bounds[1:])]
-                owner, level, first, _, sizes, _, _ = _segments(h, bounds, bands)
-                full = np.concatenate([[0], np.cumsum(sizes > 0)])
-                rooms: list[list[dict]] = [[] for _ in own]
-                for i, at, room in zip(owner.tolist(), level.tolist(), (full[first[1:]] - full[first[:-1]] - bands.most[level]).tolist()):
-                    rooms[i].append({"level": at, "room": room})
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(h, bounds)[0]), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_sketch(x) for x in own], pa.binary()), pa.array(rooms, pa.list_(pa.struct([("level", pa.int32()), ("room", pa.int64())])))], ["id", "n", "set", "sketch", "rooms"])
-
-        return self.space.keep(texts.mapInArrow(run, "id long, n long, set binary, sketch binary, rooms array<struct<level:int,room:long>>").where("n > 0"), "sets")
+    # -- pairs ----------------------------------------------------------------------------
 
     def verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """Those of the pairs (a, b) that link, and how many they are."""
@@ -302,112 +393,155 @@ class _Join:
                     keep.append(bands.linked(int((y[at] == x).sum()), len(x), len(y)))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        def both(table: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+        def both(table: DataFrame, other: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
             for side, place in (("b", 1), ("a", 0)):
-                table = table.join(self.table.select(F.col("id").alias(side), *(F.col(c).alias(names[place]) for c, names in columns.items())), side)
+                table = table.join(other.select(F.col("id").alias(side), *(F.col(c).alias(names[place]) for c, names in columns.items())), side)
             return table
 
-        some = both(pairs, {"n": ("na", "nb"), "sketch": ("sa", "sb")}).mapInArrow(near, "a long, b long")
-        links, seen = self.space.noted(both(some, {"set": ("x", "y")}).mapInArrow(exact, "a long, b long").distinct(), "links", narrow=True, rows=F.count(F.lit(1)))
+        some, seen = self.space.noted(both(pairs, self.sets, {"n": ("na", "nb"), "sketch": ("sa", "sb")}).mapInArrow(near, "a long, b long"), "near", narrow=True, rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            return some, 0
+        blobs = self.blobs(some.select(F.col("a").alias("id")).union(some.select("b")).distinct())
+        links, seen = self.space.noted(both(some, blobs, {"set": ("x", "y")}).mapInArrow(exact, "a long, b long"), "links", narrow=True, rows=F.count(F.lit(1)))
+        self.space.drop(some, blobs)
         return links, seen["rows"]
 
-    def test(self, pairs: DataFrame) -> int:
-        """Verify the pairs (a, b) and merge what links; returns how many pairs there were."""
+    def test(self, pairs: DataFrame) -> None:
+        """Verify the pairs (a, b) and merge what links."""
         pairs, seen = self.space.noted(pairs.distinct(), "pairs", narrow=True, rows=F.count(F.lit(1)))
         if seen["rows"]:
             new, found = self.verified(pairs)
             if found:
                 self.links = new if self.links is None else self.links.union(new)
-                self.roots = self.space.keep(connected(self.links, self.space), "roots", narrow=True)
-        return seen["rows"]
+                roots = connected(self.links, self.space)
+                sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+                self.roots = self.space.keep(roots.join(sizes, "root").select(F.col("node").alias("id"), "root", "size"), "roots", narrow=True)
+        self.space.drop(pairs)
 
     def rooted(self, table: DataFrame) -> DataFrame:
-        """table with the root of each id's component so far."""
+        """table with the root and size of each id's component so far."""
         if self.roots is None:
-            return table.withColumn("root", F.col("id"))
-        return table.join(self.roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    def settle(self, groups: DataFrame) -> list[DataFrame]:
-        """Test members against centres; returns the pairs that are left: all of different components in cheap groups, and those that allocation asks for in costly ones."""
-        ordered = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")]
-        for turn in range(CENTRES):
-            now = self.rooted(groups)
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            centres = self.space.keep(now.groupBy("gid").agg(F.min_by(F.struct(F.col("id").alias("centre"), F.col("root").alias("middle")), order).alias("c")).select("gid", "c.*"), "centres", narrow=True)
-            if not self.test(now.join(centres, "gid").where("id <> centre and root <> middle").select(*ordered)):
-                break
+            return table.withColumns({"root": F.col("id"), "size": F.lit(1).cast("long")})
+        return table.join(self.roots, "id", "left").withColumns({"root": F.coalesce("root", "id"), "size": F.coalesce("size", F.lit(1))})
+
+    def centred(self, groups: DataFrame) -> DataFrame:
+        """Pairs of each group's members with its smallest id."""
+        centres = groups.groupBy("gid").agg(F.min("id").alias("centre"))
+        return groups.join(centres, "gid").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+
+    def met(self, probes: DataFrame, others: DataFrame, on: str, also: str) -> DataFrame:
+        """Pairs of a probe and another entry under one key whose sketches don't prove that they differ too much."""
+        num, den = self.bands.num, self.bands.den
+        folds = self.sets.select("id", F.col("n").alias("_n"), F.col("fold").alias("_f"))
+        x = probes.join(folds, "id").withColumnsRenamed({c: f"x_{c}" for c in ("id", "root", "size", "share", "upto", "_n", "_f") if c in [*probes.columns, "_n", "_f"]})
+        y = others.join(folds, "id")
+        differ = " + ".join(f"bit_count(_f[{i}] ^ x__f[{i}])" for i in range(FOLD))
+        close = f"({differ}) * {den + num} <= (_n + x__n) * {den - num} and abs(_n - x__n) * {den + num} <= (_n + x__n) * {den - num}"
+        return x.join(y, on).where(f"root <> x_root and ({also}) and {close}").select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
+
+    def allotted(self, groups: DataFrame) -> list[DataFrame]:
+        """The pairs of different components that the shares ask for."""
+        rooms = self.rooms()
+        now = self.space.keep(self.rooted(groups.join(rooms.select("id", "level", "n", "room"), ["id", "level"])).withColumn("wide", F.col("room") < 1), "members")
+        self.space.drop(groups)
+        # a pair needs the shares of one of its sets: the one that isn't short of segments, else of the smaller component
+        counts = now.groupBy("gid", "wide", "size", "root").agg(F.count("*").alias("own"))
+        stats = counts.groupBy("gid").agg(F.sum("own").alias("all"), F.max(F.struct("wide", "size", "root")).alias("top")).where("top.wide or all > 1")
+        costs = counts.join(stats, "gid").where("not wide and struct(wide, size, root) <> top and all > own").select("gid", "root", (F.col("all") - F.col("own")).alias("cost"))
+        mine = Window.partitionBy("id", "level")
+        upto = F.sum("n_keys").over(mine.orderBy("cost", "gid").rowsBetween(Window.unboundedPreceding, 0))
+        # the groups of one set in one band: fewer than it has segments
+        plan = now.where("not wide").join(costs, ["gid", "root"]).withColumn("need", F.sum("n_keys").over(mine) + 1 - F.col("room")).withColumn("used", (upto - F.col("n_keys") < F.col("need")))
+        # single shares that would compare more sets than double shares need entries are exchanged for those
+        plan = plan.withColumn("double", F.sum(F.when(F.col("used"), F.col("cost")).otherwise(0)).over(mine) > DOUBLE_FROM * F.col("n")).where("used or double")
+        plan, seen = self.space.noted(plan.select("gid", "id", "level", "root", "size", "double"), "plan", narrow=True, single=F.count_if(~F.col("double")), double=F.count_if("double"))
         left: list[DataFrame] = []
-        now = self.space.keep(self.rooted(groups), "members")
-        split = now.groupBy("gid", "root").count().groupBy("gid").agg(F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.max_by("root", F.struct("count", "root")).alias("major")).where("squares < size * size")
-        split, seen = self.space.noted(split.withColumn("costly", F.expr("size * size - squares") > 2 * PAIRS_PER_MEMBER * F.col("size")), "split", narrow=True, cheap=F.count_if(~F.col("costly")), costly=F.count_if("costly"))
-        if seen["cheap"]:
-            open_ = now.join(split.where("not costly").select("gid", "major"), "gid")
-            minor = self.space.keep(open_.where("root <> major").select("gid", F.col("id").alias("centre"), F.col("root").alias("middle")), "minor", narrow=True)
-            left.append(open_.join(minor, "gid").where("root <> middle").select(*ordered))
-        if seen["costly"]:
-            left += self.allotted(now.join(split.where("costly").select("gid", "size"), "gid"))
+        if seen["single"]:
+            probes = plan.where("not double").select("gid", "id", "root", "size")
+            others = now.join(probes.select("gid").distinct(), "gid", "left_semi").select("gid", "id", "wide", "root", "size")
+            left.append(self.met(probes, others, "gid", "wide or struct(size, root) > struct(x_size, x_root)"))
+        wide = rooms.where("room < 1").select("id", "level")
+        hot = plan.where("double")
+        some = now.join(hot.select("gid").distinct(), "gid", "left_semi").select("id", "level") if seen["double"] else None
+        chosen = hot.select("id", "level").union(wide).distinct()
+        others = wide if some is None else some.union(wide)
+        universe = others.distinct().join(chosen.withColumn("probing", F.lit(True)), ["id", "level"], "left")
+        universe, seen = self.space.noted(universe, "universe", narrow=True, rows=F.count(F.lit(1)))
+        if seen["rows"]:
+            left.append(self.doubled(universe, rooms))
         return left
 
-    def allotted(self, members: DataFrame) -> list[DataFrame]:
-        """The pairs, in costly groups, of each set that is short of shares: with the smallest groups that make up for it."""
-        rooms = self.table.select("id", F.explode("rooms").alias("_r")).select("id", F.col("_r.level").alias("level"), F.col("_r.room").alias("room")).where("room > 0").distinct()
-        mine = Window.partitionBy("id", "level")
-        upto = F.sum("n_keys").over(mine.orderBy("size", "gid").rowsBetween(Window.unboundedPreceding, 0))
-        # the groups of one set in one band: fewer than it has segments
-        short = members.join(rooms, ["id", "level"]).withColumns({"need": F.sum("n_keys").over(mine) + 1 - F.col("room"), "before": upto - F.col("n_keys")}).where("before < need")
-        probes, seen = self.space.noted(self.rooted(short.select("gid", "id").distinct()).select("gid", F.col("id").alias("centre"), F.col("root").alias("middle")), "probes", narrow=True, rows=F.count(F.lit(1)))
-        if not seen["rows"]:
-            return []
-        others = self.rooted(members.select("gid", "id"))
-        return [others.join(probes, "gid").where("root <> middle").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))]
+    # -- double shares --------------------------------------------------------------------
 
-    def wide(self) -> list[DataFrame]:
-        """Pairs among the sets with too many empty segments, by the cheapest double shares of each."""
-        bands = self.bands
-        sets = self.table.where(F.exists("rooms", lambda r: r["room"] < 1)).select("id", "set")
+    def doubled(self, universe: DataFrame, rooms: DataFrame) -> DataFrame:
+        """Pairs of different components that the double shares of the probing (id, level) ask for within universe: id, level, probing."""
+        bands, width, clashing, ids_of = self.bands, self.width, self.clashing, self._ids
+        wanted = universe.groupBy("id").agg(F.max(F.struct("level", "probing")).alias("up"), F.min(F.struct("level", "probing")).alias("low"))
+        # a shingle gives a deletion, and a segment of its own at most, for either band
+        buckets = self._buckets(4 * (self.sets.join(wanted, "id", "left_semi").agg(F.sum("n")).first()[0] or 0))
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for sid, blob in zip(batch.column("id").to_pylist(), batch.column("set")):
-                    h = np.frombuffer(blob.as_buffer(), np.uint64)
-                    owner, level, first, sums, sizes, slot, part = _segments(h, np.array([0, len(h)]), bands)
+                deal: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for sid, blob, up, low in zip(*(batch.column(c).to_pylist() for c in ("id", "set", "up", "low"))):
+                    h = np.frombuffer(blob, np.uint64)
+                    asked = {x["level"]: bool(x["probing"]) for x in (up, low)}
+                    _, level, first, sums, sizes, slot, part = _segments(h, np.array([0, len(h)]), bands)
                     for p, at in enumerate(level.tolist()):
-                        own = sizes[first[p] : first[p + 1]]
-                        if (own > 0).sum() > bands.most[at]:
+                        if at not in asked:
                             continue
+                        own = sizes[first[p] : first[p + 1]]
                         use = np.flatnonzero(own) + first[p]
                         mine = (slot >= first[p]) & (slot < first[p + 1]) & (sizes[slot] > 1)
                         places, takes = np.concatenate([use, slot[mine]]), np.concatenate([np.zeros(len(use), np.uint64), part[mine]])
                         keys = _key(sums[places] - takes, np.full(len(places), p), level, first, places)
-                        segment, share = places - first[p], np.repeat([1, 2], [len(use), int(mine.sum())])
+                        share = np.repeat([1, 2], [len(use), int(mine.sum())])
+                        segment, most = places - first[p], np.minimum(sizes[places], 2)
                         if np.minimum(own, 2).sum() <= bands.most[at]:
                             rest = h[: len(h) - -(-len(h) * bands.num // bands.den) + 1]
-                            keys, segment, share = np.concatenate([keys, mix(rest, 37)]), np.concatenate([segment, np.full(len(rest), -1)]), np.concatenate([share, np.full(len(rest), 1)])
-                        for column, value in zip(out, (keys.view(np.int64), np.full(len(keys), sid, np.int64), np.full(len(keys), at, np.int32), segment.astype(np.int32), share.astype(np.int32))):
+                            keys, share = np.concatenate([keys, mix(rest, 37)]), np.concatenate([share, np.ones(len(rest), np.int64)])
+                            segment, most = np.concatenate([segment, np.full(len(rest), -1)]), np.concatenate([most, np.ones(len(rest), np.int64)])
+                        # segment, then two bits each for the share and the most, one for probing
+                        note = ((segment + 1) << 3 | (share - 1) << 2 | (most - 1) << 1 | asked[at]).astype(np.int64)
+                        for column, value in zip(deal, (keys, np.full(len(keys), sid, np.int64), np.full(len(keys), at, np.uint8), note)):
                             column.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "id", "level", "segment", "share"])
-
-        entries, seen = self.space.noted(sets.mapInArrow(index, "key long, id long, level int, segment int, share int"), "entries", rows=F.count(F.lit(1)))
-        if not seen["rows"]:
-            return []
-        shared = self.space.keep(entries.groupBy("key").agg(F.count_distinct("id").alias("n")).where("n > 1"), "shared", narrow=True)
-        cost = entries.join(shared, "key", "left").groupBy("id", "level", "segment").agg(F.sum(F.when(F.col("share") == 1, F.coalesce("n", F.lit(1)) - 1).otherwise(0)).alias("one"), F.sum(F.coalesce("n", F.lit(1)) - 1).alias("two"), F.max("share").alias("most"))
+                if deal[0]:
+                    keys, sids, levels, notes = (np.concatenate(c) for c in deal[:4])
+                    bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    present, begin = np.unique(bucket[order], return_index=True)
+                    end = np.append(begin[1:], len(order))
+                    cut = lambda x: pa.array([x[order[i:j]].tobytes() for i, j in zip(begin, end)], pa.binary())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), cut(keys), cut(sids), cut(levels), cut(notes)], ["bucket", "keys", "ids", "levels", "notes"])
+
+        blobs = self.blobs(wanted.select("id")).join(wanted, "id")
+        entries = blobs.mapInArrow(index, "bucket int, keys binary, ids binary, levels binary, notes binary")
+        shared = entries.repartition(buckets, "bucket").mapInArrow(_shared, "key long, id long, level int, segment int, share int, most int, probing boolean, ones long, twos long")
+        shared = self.space.keep(shared, "shared")
+        # what an entry meets: a subset meets equal subsets; a double share also those one deletion away
+        cost = shared.where("probing").groupBy("id", "level", "segment").agg(
+            F.sum(F.when(F.col("share") == 1, F.col("ones") - 1).otherwise(0)).alias("one"),
+            F.sum(F.when(F.col("share") == 1, F.col("ones") - 1 + F.col("twos")).otherwise(F.col("ones"))).alias("two"),
+            F.max("most").alias("most"),
+        )
         # the segments of one set in one band: fewer than it has shingles
-        plans = cost.groupBy("id", "level").agg(F.collect_list(F.struct("segment", "one", "two", "most")).alias("segments"))
+        plans = universe.where("probing").select("id", "level").join(rooms.select("id", "level", "units"), ["id", "level"]).join(cost.groupBy("id", "level").agg(F.collect_list(F.struct("segment", "one", "two", "most")).alias("segments")), ["id", "level"])
 
         def allot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[list[int]] = [[], [], [], []]
-                for sid, level, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "level", "segments"))):
+                for sid, level, units, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "level", "units", "segments"))):
+                    # segments that meet nothing give all their shares for nothing
+                    need = 1 - (units - sum(x["most"] for x in segments if x["segment"] >= 0))
                     offers = []
                     for x in segments:
                         if x["segment"] >= 0:
                             offers.append((x["one"], 1, x["segment"]))
                             if x["most"] > 1:
                                 offers.append((max(x["two"] - x["one"], x["one"]), 2, x["segment"]))
-                    chosen = {s: v for _, v, s in sorted(offers)[: int(bands.most[level]) + 1]}
+                    chosen: dict[int, int] = {}
+                    for _, share, segment in sorted(offers)[: max(need, 0)]:
+                        chosen[segment] = max(share, chosen.get(segment, 0))
                     if any(x["segment"] < 0 for x in segments):
                         chosen[-1] = 1
                     for s, v in chosen.items():
@@ -416,47 +550,45 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id", "level", "segment", "upto"])
 
         chosen = plans.mapInArrow(allot, "id long, level int, segment int, upto int")
-        probes = entries.join(chosen, ["id", "level", "segment"]).where("share <= upto").join(shared.select("key"), "key", "left_semi").select("key", F.col("id").alias("centre")).distinct()
-        probes = self.space.keep(self.rooted(probes.withColumnRenamed("centre", "id")).withColumnsRenamed({"id": "centre", "root": "middle"}), "probes", narrow=True)
-        others = self.rooted(entries.join(shared.select("key"), "key", "left_semi").select("key", "id").distinct())
-        return [others.join(probes, "key").where("root <> middle").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))]
-
-    def run(self, complete: bool) -> DataFrame:
-        """Find links: all if complete, otherwise as many as the components need. Returns the digests."""
-        digests, total = self.space.noted(self.digests(), "digests", shingles=F.sum("n_shingles"), short=F.count_if("short"))
-        groups = self.index(total["shingles"] or 0)
-        wanted = groups.select("id")
-        if total["short"]:
-            wanted = wanted.union(digests.where("short").select("id"))
-        self.table = self.sets(self.space.keep(wanted.distinct(), "wanted", narrow=True), digests)
+        probes = shared.where("probing").join(chosen, ["id", "level", "segment"]).where("share <= upto and (ones > 1 or upto > 1)").select("key", "id", "share", "upto")
+        probes = self.space.keep(self.rooted(probes), "probes", narrow=True)
+        others = self.rooted(shared.join(probes.select("key").distinct(), "key", "left_semi").select("key", "id", "share"))
+        return self.met(probes, others, "key", "share = 1 and x_share = 1 or x_upto = 2 and share + x_share < 4")
+
+    # -- results --------------------------------------------------------------------------
+
+    def run(self, complete: bool) -> None:
+        """Find links: all if complete, otherwise as many as the components need."""
+        total = self.prepare()
+        groups = self.index(total)
+        if not complete:
+            self.test(self.centred(groups))
         # without roots each set is its own component, and no pair is left out
-        left = self.allotted(groups.join(groups.groupBy("gid").agg(F.count("*").alias("size")), "gid")) if complete else self.settle(groups)
-        left += self.wide() if total["short"] else []
+        left = self.allotted(groups)
         if left:
             self.test(reduce(DataFrame.union, left))
-        return digests
 
-    def classes(self, digests: DataFrame) -> DataFrame:
+    def classes(self) -> DataFrame:
         """Each set's id, class_id, component_id and n_links (of the links found)."""
-        links, roots = self.links, self.roots
-        sets = digests.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
-        if links is None:
-            return self.space.keep(sets.select("id", F.col("least").alias("class_id"), F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links")), "components")
-        degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-        named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        named = self.space.keep(named.join(degree, "id", "left"), "named")
-        least = self.space.keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        return self.space.keep(named.join(least, "root").select("id", F.col("least").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
-
-    def documents(self, digests: DataFrame) -> DataFrame:
+        named = self.sets.select("id", F.col("least").alias("class_id"))
+        if self.links is None:
+            return named.withColumns({"component_id": F.col("class_id"), "n_links": F.lit(0).cast("long")})
+        degree = self.links.select(F.col("a").alias("id")).union(self.links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+        linked = self.space.keep(self.roots.join(degree, "id", "left").join(named, "id"), "named")
+        least = self.space.keep(linked.groupBy("root").agg(F.min("class_id").alias("component_id")), "least")
+        linked = linked.join(least, "root").select("id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.lit(True).alias("_linked"))
+        named = named.join(linked, "id", "left").select("id", "class_id", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return self.space.keep(named, "components")
+
+    def documents(self) -> DataFrame:
         one = F.col("n_shingles") > 0
-        return digests.join(self.classes(digests), "id", "left").select(
+        return self.digests.join(self.classes(), "id", "left").select(
             "doc_id", "n_shingles", F.when(one, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(one, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(one, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")
         )
 
-    def pairs(self, digests: DataFrame) -> DataFrame:
+    def pairs(self) -> DataFrame:
         """class_a, class_b of the links found."""
-        sets = digests.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("class_id"))
+        sets = self.sets.select("id", F.col("least").alias("class_id"))
         links = self.links if self.links is not None else self.spark.createDataFrame([], "a long, b long")
         for side in ("a", "b"):
             links = links.join(sets.select(F.col("id").alias(side), F.col("class_id").alias(f"class_{side}")), side)
@@ -471,24 +603,28 @@ def join(docs: DataFrame, threshold: str | Fraction = "4/5", width: int = WIDTH)
     sets at or above the threshold), class_id the smallest doc_id with the same set, and n_links
     the number of other classes that this class links with; all links are found and verified, so
     the work grows with their number. Texts that are null or without words have no shingle, link
-    with nothing and get their own doc_id. Repeated rows are rows of one class. A null doc_id
-    takes part like others, and is reported as component only where no row of the component has
-    an id. An empty table gives no rows. Extra columns are ignored.
+    with nothing and get their own doc_id. Very long texts are sets like others, taken whole.
+    Repeated rows are rows of one class. A null doc_id takes part like others, and is reported as
+    component only where no row of the component has an id. An empty table gives no rows. Extra
+    columns are ignored.
     """
     run = _Join(docs, Fraction(threshold), width)
-    return run.documents(run.run(complete=True))
+    run.run(complete=True)
+    return run.documents()
 
 
 def links(docs: DataFrame, threshold: str | Fraction = "4/5", width: int = WIDTH) -> DataFrame:
     """class_a, class_b: all pairs of classes that link, once each, the smaller class_id first (a null one last)."""
     run = _Join(docs, Fraction(threshold), width)
-    return run.pairs(run.run(complete=True))
+    run.run(complete=True)
+    return run.pairs()
 
 
 def components(docs: DataFrame, threshold: str | Fraction = "4/5", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id as join gives them, without the work of links that change no component."""
     run = _Join(docs, Fraction(threshold), width)
-    return run.documents(run.run(complete=False)).drop("n_links")
+    run.run(complete=False)
+    return run.documents().drop("n_links")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of text that a Python step works on at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
