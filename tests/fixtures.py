@@ -1,17 +1,42 @@
-"""A small timed corpus: phones in words in lines."""
+"""A small timed corpus of invented words, and the same as plain Python rows to count by hand or by loops."""
 
 from tierlake.corpus import Corpus
 
-PHONES = "k 0 .1;ae .1 .2;t .2 .3;s .3 .4;aa .5 .6;r .6 .7;k .8 .9;uw .9 1.0;t 1.0 1.1;d 2.0 2.1;aa 2.1 2.2;g 2.2 2.3;z 2.3 2.4;aa 2.4 2.5;r 2.5 2.6;t 2.6 2.7;uw 2.7 2.8;ay 3.0 3.1;g 3.3 3.4;eh 3.4 3.5;s 3.5 3.6"
-WORDS = "cats 0 .4;are .5 .7;cute .8 1.1;dogs 2.0 2.4;are 2.4 2.6;too 2.6 2.8;i 3.0 3.1;guess 3.3 3.6"
-LINES = "x 0 1.1;y 2.0 2.8;z 3.0 3.6"
-NUCLEI = ["ae", "aa", "uw", "ay", "eh"]
+#: discourse, speaker, line, word, begin, phones. A phone lasts a tenth of a second, and 0.02 longer with each place in its word.
+TALK = [
+    ("walk", "ana", "first", "mela", 0.0, ["m", "e", "l", "a"]),
+    ("walk", "ana", "first", "tok", 0.6, ["t", "o", "k"]),
+    ("walk", "ana", "first", "um", 1.0, ["u", "m"]),
+    ("walk", "ana", "first", "strel", 1.4, ["s", "t", "r", "e", "l"]),
+    ("walk", "ana", "second", "mela", 4.0, ["m", "e", "l", "a"]),
+    ("walk", "ana", "second", "o", 4.8, ["o"]),
+    ("walk", "ana", "second", "kanto", 5.0, ["k", "a", "n", "t", "o"]),
+    ("walk", "bo", "third", "tok", 2.5, ["t", "o", "k"]),
+    ("walk", "bo", "third", "um", 2.9, ["u", "m"]),
+    ("walk", "bo", "third", "um", 3.2, ["u", "m"]),
+    ("walk", "bo", "third", "lem", 3.5, ["l", "e", "m"]),
+    ("rest", "ana", "fourth", "strel", 0.5, ["s", "t", "r", "e", "l"]),
+    ("rest", "ana", "fourth", "tok", 1.2, ["t", "o", "k"]),
+]
+NUCLEI = ["a", "e", "o", "u"]
+COLUMNS = ("id", "label", "begin", "end", "discourse", "speaker")
 
 
-def tier(spark, text):
-    rows = [(p[0], float(p[1]), float(p[2]), "s1", "d1") for p in (x.split() for x in text.split(";"))]
-    return spark.createDataFrame(rows, "label string, begin double, end double, speaker string, discourse string")
+def levels():
+    """phone, word and line rows as dicts, linked by ids."""
+    phones, words, lines = [], [], {}
+    for k, (discourse, speaker, line, label, begin, parts) in enumerate(TALK):
+        at, own = begin, {"discourse": discourse, "speaker": speaker, "word_id": f"w{k}", "line_id": line}
+        for i, p in enumerate(parts):
+            end = round(at + 0.1 + 0.02 * i, 2)
+            phones.append({"id": f"p{k}.{i}", "label": p, "begin": at, "end": end, **own})
+            at = end
+        words.append({"id": f"w{k}", "label": label, "begin": begin, "end": at, "discourse": discourse, "speaker": speaker, "line_id": line})
+        row = lines.setdefault(line, {"id": line, "label": line, "begin": begin, "end": at, "discourse": discourse, "speaker": speaker})
+        row["end"] = at
+    return {"phone": phones, "word": words, "line": list(lines.values())}
 
 
-def timed(spark):
-    return Corpus.from_tiers(spark, "timed", {"phone": tier(spark, PHONES), "word": tier(spark, WORDS), "line": tier(spark, LINES)}, ["phone", "word", "line"])
+def talk(spark):
+    frames = {name: spark.createDataFrame(rows, ", ".join(f"{c} {'double' if c in ('begin', 'end') else 'string'}" for c in rows[0])) for name, rows in levels().items()}
+    return Corpus.from_tiers(spark, "talk", {n: t.drop("word_id", "line_id") for n, t in frames.items()}, ["phone", "word", "line"])

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.errors import AttributeMissing, QueryError
-from tierlake.operators import enrich, pauses, syllables, windows
-from tierlake.operators.rangejoin import within
+from tierlake.operators import enrich, measures, pauses, syllables, tracks, windows
+from tierlake.operators.rangejoin import asof, within
 from tierlake.schema import TOKEN_COLUMNS, Schema
 
 KEYS = ("discourse", "speaker")
@@ -117,6 +116,16 @@ class Corpus:
         self.tokens[level] = self.tokens[level].drop("is_pause")
         self.discourses = self.discourses.drop("speech_begin", "speech_end")
 
+    def utterance_words(self, shortest_pause: float = 0.5, shortest: float = 0.0) -> DataFrame:
+        """discourse, speaker, utterance, begin, end and the ids of the first and last word of each utterance, without a level for them."""
+        table = self.tokens[self.schema.word_name]
+        table = table if self.has_pauses else table.withColumn("is_pause", F.lit(False))
+        found = pauses.utterances(table, shortest_pause, shortest, KEYS)
+        spans = found.select(*KEYS, "utterance", F.col("begin").alias("_b"), F.col("end").alias("_e"))
+        inside = within(table.where(~F.col("is_pause")).select(*KEYS, "id", "begin"), spans, KEYS, "begin", "_b", "_e", ["utterance"])
+        ends = inside.groupBy(*KEYS, "utterance").agg(F.min_by("id", F.struct("begin", "id")).alias("first_id"), F.max_by("id", F.struct("begin", "id")).alias("last_id"))
+        return found.join(ends, [*KEYS, "utterance"]).select(*KEYS, "utterance", "begin", "end", "first_id", "last_id")
+
     def encode_utterances(self, shortest_pause: float = 0.5, shortest: float = 0.0) -> None:
         """A level above words; tokens of all levels get the utterance that holds their midpoint."""
         if self.has_utterances:
@@ -147,6 +156,13 @@ class Corpus:
         self.types[level] = enrich.encode_class(self.type_table(level), labels, name)
         self.schema.add_subset("type", level, name)
 
+    def reset_class(self, name: str, level: str | None = None) -> None:
+        """Take a subset of types away."""
+        level = level or self.schema.phone_name
+        if "subsets" in self.type_table(level).columns:
+            self.types[level] = enrich.remove_subset(self.types[level], F.lit(True), name)
+        self.schema.remove_subset("type", level, name)
+
     def encode_syllables(self, nuclei: Sequence[str], method: str = "maxonset", custom_onsets: Sequence[Sequence[str]] | None = None) -> None:
         """A level between phones and words."""
         if self.has_syllables:
@@ -162,18 +178,148 @@ class Corpus:
         self.schema.add("token", phones, syllable_position="string")
         self.schema.add("token", "syllable", place="int")
 
-    def encode_position(self, higher: str, lower: str, name: str) -> None:
-        table = self.tokens[lower]
-        self.tokens[lower] = table.withColumn(name, windows.position([f"{higher}_id"], "begin"))
+    def reset_syllables(self) -> None:
+        """Take the level of syllables and what phones know of it away."""
+        self._drop_level("syllable")
+        phones = self.schema.phone_name
+        self.tokens[phones] = self.tokens[phones].drop("syllable_position")
+        self.schema.remove("token", phones, "syllable_position")
+
+    def encode_stress_to_syllables(self, pattern: str = "[0-9]", clean: bool = True, name: str = "stress") -> None:
+        """What the pattern finds in a syllable's nucleus (digits of its label); phones lose it, if clean."""
+        phones = self.schema.phone_name
+        found, plain = syllables.stress_from_label(F.col("label"), pattern)
+        own = self.tokens[phones].where("syllable_position = 'nucleus' and syllable_id is not null").select(F.col("syllable_id").alias("id"), found.alias(name))
+        self.tokens["syllable"] = self.tokens["syllable"].drop(name).join(own.groupBy("id").agg(F.max(name).alias(name)), "id", "left")
+        if clean:
+            self.tokens[phones] = self.tokens[phones].withColumn("label", plain)
+            self.tokens["syllable"] = self.tokens["syllable"].withColumn("label", F.regexp_replace("label", pattern, ""))
+        self.schema.add("token", "syllable", **{name: "string"})
+
+    def encode_stress_from_word_property(self, prop: str, name: str = "stress") -> None:
+        """Each syllable's part of a word property such as 0-1-0, where it has as many parts as the word has syllables."""
+        words = self.schema.word_name
+        table = self.tokens[words]
+        if prop not in table.columns:
+            table = table.join(self.type_table(words).select("label", prop), "label", "left")
+        own = self.tokens["syllable"]
+        sizes = own.groupBy(f"{words}_id").agg(F.count("*").alias("_size"))
+        side = own.select("id", f"{words}_id", "place").join(sizes, f"{words}_id").join(table.select(F.col("id").alias(f"{words}_id"), prop), f"{words}_id")
+        self.tokens["syllable"] = own.drop(name).join(side.select("id", syllables.stress_from_word_property(side, prop, "place", "_size").alias(name)), "id", "left")
+        self.schema.add("token", "syllable", **{name: "string"})
+
+    def _in_subset(self, level: str, subset: str | None) -> Column | None:
+        """Whether a token, or its type, is in a subset; tokens of types() come with type_subsets."""
+        if subset is None:
+            return None
+        return F.coalesce(F.array_contains("subsets" if self.schema.subset_part(level, subset) == "token" else "type_subsets", subset), F.lit(False))
+
+    def _with_type_subsets(self, level: str, subset: str | None) -> DataFrame:
+        table = self.tokens[level]
+        if subset is None or self.schema.subset_part(level, subset) == "token":
+            return table
+        return table.join(self.types[level].select("label", F.col("subsets").alias("type_subsets")), "label", "left")
+
+    def encode_position(self, higher: str, lower: str, name: str, subset: str | None = None) -> None:
+        """1 + the number of tokens (of a subset) that begin earlier in the token above."""
+        table = self._with_type_subsets(lower, subset)
+        self.tokens[lower] = table.withColumn(name, windows.position([f"{higher}_id"], "begin", self._in_subset(lower, subset)).cast("int")).drop("type_subsets")
         self.schema.add("token", lower, **{name: "int"})
 
-    def encode_count(self, higher: str, lower: str, name: str, as_rate: bool = False) -> None:
-        found = pauses.rate(self.tokens[higher], self.tokens[lower].where(F.col(f"{higher}_id").isNotNull()), "id", f"{higher}_id")
+    def encode_utterance_position(self) -> None:
+        self.encode_position("utterance", self.schema.word_name, "position_in_utterance")
+
+    def reset_utterance_position(self) -> None:
+        self.reset_property(self.schema.word_name, "position_in_utterance")
+
+    def encode_speech_rate(self, subset: str, level: str | None = None) -> None:
+        """Tokens of a subset (syllabics) a second of each utterance."""
+        self.encode_count("utterance", level or self.schema.phone_name, "speech_rate", as_rate=True, subset=subset)
+
+    def reset_speech_rate(self) -> None:
+        self.reset_property("utterance", "speech_rate")
+
+    def reset_property(self, level: str, *names: str) -> None:
+        """Take properties of tokens and types away; those that aren't there are no error."""
+        self.tokens[level] = self.tokens[level].drop(*names)
+        if level in self.types:
+            self.types[level] = self.types[level].drop(*names)
+        for part in ("token", "type"):
+            self.schema.remove(part, level, *names)
+
+    def reset_entity_property(self, entity: str, *names: str) -> None:
+        """Take properties of speakers or discourses away."""
+        setattr(self, f"{entity}s", getattr(self, f"{entity}s").drop(*names))
+        self.schema.remove(entity, None, *names)
+
+    # -- measures
+
+    def _measured(self, level: str, prop: str) -> DataFrame:
+        """id, label, speaker, higher ids and _x, a token's value of a property (its duration, unless it has such a property)."""
+        table = self.tokens[level]
+        value = F.col("end") - F.col("begin") if prop == "duration" and prop not in table.columns else F.col(prop)
+        return table.withColumn("_x", value.cast("double"))
+
+    def measure(self, level: str, statistic: str = "mean", prop: str = "duration", by_speaker: bool = False, speaker: str | None = None) -> DataFrame:
+        """label (and speaker) and a statistic (mean, stdev, median, min, max, sum, count, ...) of a property over a level's tokens, or those of one speaker."""
+        table = self._measured(level, prop)
+        table = table.where(F.col("speaker") == speaker) if speaker is not None else table
+        return table.groupBy("label", *(["speaker"] if by_speaker else [])).agg(measures.statistic(statistic, "_x").alias(f"{statistic}_{prop}"))
+
+    def encode_measure(self, level: str, statistic: str = "mean", prop: str = "duration", by_speaker: bool = False) -> str:
+        """Keep a statistic with the types, or with tokens if it differs by speaker; returns its name."""
+        name = f"{'sd' if statistic == 'stdev' else statistic}_{prop}{'_by_speaker' if by_speaker else ''}"
+        found = self.measure(level, statistic, prop, by_speaker).withColumnRenamed(f"{statistic}_{prop}", name)
+        if by_speaker:
+            self.tokens[level] = self.tokens[level].drop(name).join(found, ["label", "speaker"], "left")
+        else:
+            self.types[level] = self.type_table(level).drop(name).join(found, "label", "left")
+        self.schema.add("token" if by_speaker else "type", level, **{name: "double"})
+        return name
+
+    def _kept(self, level: str, found: DataFrame, name: str) -> str:
+        self.tokens[level] = self.tokens[level].drop(name).join(found.select("id", name), "id", "left")
+        self.schema.add("token", level, **{name: "double"})
+        return name
+
+    def _type_key(self, by_speaker: bool) -> list[str]:
+        return ["label", "speaker"] if by_speaker else ["label"]
+
+    def encode_baseline(self, level: str, prop: str = "duration", by_speaker: bool = False, lower: str | None = None) -> str:
+        """For each token of a level the sum of the mean values of its phones' types."""
+        lower, name = lower or self.schema.lowest, f"baseline_{prop}{'_by_speaker' if by_speaker else ''}"
+        parent = "id" if level == lower else f"{level}_id"
+        found = measures.baseline(self._measured(lower, prop).where(F.col(parent).isNotNull()), "_x", self._type_key(by_speaker), [parent], name)
+        return self._kept(level, found.withColumnRenamed(parent, "id"), name)
+
+    def encode_relativized(self, level: str, prop: str = "duration", by_speaker: bool = False, lower: str | None = None) -> str:
+        """The z-score of a phone within its type; for a higher level the mean of its phones' z-scores."""
+        lower, name = lower or self.schema.lowest, f"relativized_{prop}{'_by_speaker' if by_speaker else ''}"
+        table = self._measured(lower, prop)
+        if level == lower:
+            return self._kept(level, measures.relativised(table, "_x", self._type_key(by_speaker), name), name)
+        parent = f"{level}_id"
+        found = measures.relativised_parent(table.where(F.col(parent).isNotNull()), "_x", self._type_key(by_speaker), [parent], name)
+        return self._kept(level, found.withColumnRenamed(parent, "id"), name)
+
+    def average_speech_rate(self, level: str | None = None, subset: str | None = None) -> DataFrame:
+        """speaker, average_rate: the mean over a speaker's utterances of tokens (of a subset) a second."""
+        level = level or ("syllable" if self.has_syllables else self.schema.word_name)
+        rates = self._rated("utterance", level, subset)
+        return rates.groupBy("speaker").agg(F.avg("rate").alias("average_rate"))
+
+    def _rated(self, higher: str, lower: str, subset: str | None = None) -> DataFrame:
+        below = self._with_type_subsets(lower, subset).where(F.col(f"{higher}_id").isNotNull())
+        flag = self._in_subset(lower, subset)
+        return pauses.rate(self.tokens[higher], below if flag is None else below.where(flag), "id", f"{higher}_id")
+
+    def encode_count(self, higher: str, lower: str, name: str, as_rate: bool = False, subset: str | None = None) -> None:
+        found = self._rated(higher, lower, subset)
         self.tokens[higher] = found.withColumnRenamed("rate" if as_rate else "n", name).drop("n" if as_rate else "rate")
         self.schema.add("token", higher, **{name: "double" if as_rate else "bigint"})
 
-    def encode_rate(self, higher: str, lower: str, name: str) -> None:
-        self.encode_count(higher, lower, name, as_rate=True)
+    def encode_rate(self, higher: str, lower: str, name: str, subset: str | None = None) -> None:
+        self.encode_count(higher, lower, name, as_rate=True, subset=subset)
 
     def enrich_types(self, level: str, properties: DataFrame, case_sensitive: bool = False) -> None:
         """Type properties by label; those already present stay."""
@@ -193,10 +339,12 @@ class Corpus:
         self.schema.add("token", level, **{c: k for c, k in properties.dtypes if c != key})
 
     def enrich_tokens_at(self, level: str, properties: DataFrame, time: str = "time") -> None:
-        """Properties of the token of a discourse that holds a time, ends included."""
-        own = [c for c in properties.columns if c not in ("discourse", time)]
-        spans = self.tokens[level].select("discourse", F.col("begin").alias("_b"), F.col("end").alias("_e"), "id")
-        at = within(properties, spans, ["discourse"], time, "_b", "_e", ["id"])
+        """Properties of the tokens of a discourse that hold a time, ends included: one of each speaker, or only the named speaker's if properties have a speaker."""
+        own = [c for c in properties.columns if c not in (*KEYS, time)]
+        spans = self.tokens[level].select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), "id")
+        if "speaker" not in properties.columns:
+            properties = properties.join(self.speaks_in.select(*KEYS).distinct(), "discourse")
+        at = within(properties, spans, KEYS, time, "_b", "_e", ["id"])
         self.enrich_tokens(level, at.groupBy("id").agg(*(F.max(c).alias(c) for c in own)))
 
     def add_subannotations(self, level: str, name: str, rows: DataFrame) -> None:
@@ -204,6 +352,70 @@ class Corpus:
         self.subannotations[level, name] = rows.withColumns({"begin": F.least("begin", "end"), "end": F.greatest("begin", "end")})
         self.schema.add_subannotation(level, name, **dict(rows.dtypes))
 
+    # -- tracks
+
+    def save_acoustic_track(self, name: str, points: DataFrame, time: str = "time") -> None:
+        """Add points (discourse, speaker, time and measures) to a track; each gets the label of the last phone, word and syllable that began before it."""
+        points = points.withColumnRenamed(time, "time")
+        for level in (self.schema.phone_name, self.schema.word_name, "syllable"):
+            if level in self.tokens:
+                names = self.tokens[level].select(*KEYS, F.col("begin").alias("_b"), F.col("label").alias(f"{level}_label"))
+                points = asof(points, names, KEYS, "time", "_b", [f"{level}_label"])
+        if "utterance" in self.tokens:
+            points = self._in_utterances(points)
+        old = self.tracks.get(name)
+        self.tracks[name] = points if old is None else old.unionByName(points, allowMissingColumns=True)
+        self.schema.tracks[name] = dict(self.tracks[name].dtypes)
+
+    def _in_utterances(self, points: DataFrame) -> DataFrame:
+        spans = self.tokens["utterance"].select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("id").alias("utterance_id"))
+        return within(points.drop("utterance_id"), spans, KEYS, "time", "_b", "_e", ["utterance_id"], inner=False)
+
+    def reassess_utterances(self, name: str) -> None:
+        """Tell the points of a track their utterances anew; null outside of all."""
+        self.tracks[name] = self._in_utterances(self.tracks[name])
+        self.schema.tracks[name] = dict(self.tracks[name].dtypes)
+
+    def has_acoustics(self, discourse: str, name: str) -> bool:
+        """Whether a discourse has a point of a track."""
+        return name in self.tracks and bool(self.tracks[name].where(F.col("discourse") == discourse).limit(1).count())
+
+    def reset_acoustics(self, *names: str) -> None:
+        """Take tracks away; all, if none is named."""
+        for name in names or [*self.tracks]:
+            self.tracks.pop(name, None)
+            self.schema.tracks.pop(name, None)
+
+    def relativise_track(self, name: str, measure: str, by: Sequence[str] = ("speaker",)) -> None:
+        """Add <measure>_relativized to a track: the z-score within the groups of `by`."""
+        self.tracks[name] = tracks.relativise(self.tracks[name].drop(f"{measure}_relativized"), measure, by)
+        self.schema.tracks[name] = dict(self.tracks[name].dtypes)
+
+    def reset_relativised_track(self, name: str, measure: str) -> None:
+        self.tracks[name] = self.tracks[name].drop(f"{measure}_relativized")
+        self.schema.tracks[name] = dict(self.tracks[name].dtypes)
+
+    def acoustic_statistic(self, name: str, measure: str, statistic: str = "mean", by: Sequence[str] = ("speaker",)) -> DataFrame:
+        """by and a statistic of a track's measure; by holds speaker, or the name of a level's label such as phone_label, or both."""
+        return self.tracks[name].groupBy(*by).agg(measures.statistic(statistic, measure).alias(f"{statistic}_{measure}"))
+
+    def encode_acoustic_statistic(self, name: str, measure: str, statistic: str = "mean", level: str | None = None, by_speaker: bool = True) -> str:
+        """Keep a statistic of a track with speakers, with a level's types, or with its tokens if by both; returns its name."""
+        by = ([f"{level}_label"] if level else []) + (["speaker"] if by_speaker else [])
+        column = f"{statistic}_{measure}"
+        found = self.acoustic_statistic(name, measure, statistic, by).withColumnRenamed(f"{level}_label", "label")
+        kind = dict(found.dtypes)[column]
+        if level and by_speaker:
+            self.tokens[level] = self.tokens[level].drop(column).join(found, ["label", "speaker"], "left")
+            self.schema.add("token", level, **{column: kind})
+        elif level:
+            self.types[level] = self.type_table(level).drop(column).join(found, "label", "left")
+            self.schema.add("type", level, **{column: kind})
+        else:
+            self.speakers = self.speakers.drop(column).join(found.withColumnRenamed("speaker", "name"), "name", "left")
+            self.schema.add("speaker", None, **{column: kind})
+        return column
+
     def remove_discourse(self, discourse: str) -> None:
         """All of a discourse, and speakers that are in no other."""
         other = lambda df, c: df.where(~F.col(c).eqNullSafe(discourse))
@@ -223,6 +435,8 @@ class Corpus:
     def save(self, root: str, version: int) -> str:
         """Write all tables and the schema to a new folder of root; versions are never overwritten."""
         path = f"{root}/{self.name}/v{version}"
+        self.schema.tracks = {k: dict(v.dtypes) for k, v in self.tracks.items()}
+        self.schema.type_tables = sorted(self.types)
         for name, table in self._tables().items():
             table.write.parquet(f"{path}/{name}")
         self.spark.createDataFrame([(self.schema.to_json(),)], "value string").coalesce(1).write.text(f"{path}/schema")
@@ -232,10 +446,7 @@ class Corpus:
     def open(cls, spark: SparkSession, path: str) -> Corpus:
         schema = Schema.from_json(spark.read.text(f"{path}/schema", wholetext=True).first()[0])
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        types = {}
-        for level in schema.contains:
-            with contextlib.suppress(Exception):  # a level without types has no table
-                types[level] = read(f"type_{level}")
+        types = {level: read(f"type_{level}") for level in schema.type_tables}
         out = cls(spark, path.rstrip("/").split("/")[-2], schema, {k: read(f"token_{k}") for k in schema.contains}, types, read("speakers"), read("discourses"), read("speaks_in"))
         for level, names in schema.subannotations.items():
             for n in names:
@@ -251,6 +462,8 @@ class Corpus:
             raise AttributeError(name)
         from tierlake.plans.dsl import Node
 
+        if name in ("speaker", "discourse"):
+            return Node(self, name, entity=True)
         if name == "pause":
             return Node(self, self.schema.word_name, pauses=True)
         if name.startswith("lexicon_"):
@@ -262,9 +475,22 @@ class Corpus:
         raise AttributeMissing(f"the corpus has no {name!r}")
 
     def query(self, node) -> object:
-        """A token or lexicon query over a node of this corpus."""
+        """A query over the tokens, types or entities of a node of this corpus."""
         from tierlake.plans.dsl import Node, Query
 
         if not isinstance(node, Node) or node.corpus is not self:
             raise QueryError("a query needs a level of this corpus")
         return Query(node)
+
+    def query_speakers(self) -> object:
+        """A query over speakers: c.speaker.name, their properties, and the discourses they speak in, collected."""
+        return self.query(self.speaker)
+
+    def query_discourses(self) -> object:
+        return self.query(self.discourse)
+
+    def query_metadata(self, node) -> object:
+        """What the columns of a node hold: factors, numerics, levels, ranges."""
+        from tierlake.plans.dsl import Metadata
+
+        return Metadata(node)

@@ -30,10 +30,15 @@ def token_statistics(track: DataFrame, tokens: DataFrame, keys: Sequence[str], m
     return tokens.select(token_id).join(stats, token_id, "left")
 
 
-def collected(track: DataFrame, token_id: str, measures: Sequence[str], time: str = "time") -> DataFrame:
-    """One row for each token with its points in order of time, and the relative time of each."""
+def collected(track: DataFrame, token_id: str, measures: Sequence[str], time: str = "time", tokens: DataFrame | None = None) -> DataFrame:
+    """One row for each token with its points in order of time; with the tokens' begin and end also each point's relative_time (0 at the begin, 1 at the end)."""
     points = F.array_sort(F.collect_list(F.struct(time, *measures)))
-    return track.groupBy(token_id).agg(points.alias("track"))
+    found = track.groupBy(token_id).agg(points.alias("track"))
+    if tokens is None:
+        return found
+    found = found.join(tokens.select(token_id, F.col("begin").cast("double").alias("_b"), F.col("end").cast("double").alias("_e")), token_id)
+    relative = lambda p: F.try_divide(p[time].cast("double") - F.col("_b"), F.col("_e") - F.col("_b"))
+    return found.select(token_id, F.transform("track", lambda p: F.struct(*(p[c].alias(c) for c in (time, *measures)), relative(p).alias("relative_time"))).alias("track"))
 
 
 def relativise(track: DataFrame, measure: str, by: Sequence[str]) -> DataFrame:

@@ -6,8 +6,9 @@
 A node is the queried level or something reached from it: previous and following tokens, a level
 above, the tokens of a level below, the speaker, the discourse, subannotations, the pauses
 beside it, a track. Levels above are joined inner even if only shown; neighbours, tokens below
-and pauses are joined left if only shown and must exist if a filter names them. A filter on
-tokens below also narrows what is shown of them. Neighbours skip pauses.
+and pauses are joined left if only shown and must exist if a filter that always holds (one not
+inside or_) names them. Such a filter on tokens below also narrows what is shown of them.
+Neighbours skip pauses. Speakers and discourses can be queried by themselves.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.errors import AttributeMissing, QueryError
-from tierlake.operators import enrich, tracks, windows
+from tierlake.operators import enrich, metadata, tracks, windows
 
 KEYS = ["discourse", "speaker"]
 _ENDS = {"initial": 1, "final": -1, "penultimate": -2, "antepenultimate": -3}
 _STATISTICS = ("min", "max", "mean", "median", "stdev")
+#: Collected attributes of an entity: the entities it meets, and their channels.
+_BRIDGES = {"speaker": ("discourses", "channels"), "discourse": ("speakers", "channels")}
+_MIRRORED = {"==": "==", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
 
 @dataclass(frozen=True, eq=False)
@@ -38,6 +42,7 @@ class Node:
     subsets: tuple[str, ...] = ()
     pauses: bool = False
     lexicon: bool = False
+    entity: bool = False
 
     @property
     def node_key(self) -> tuple:
@@ -73,10 +78,26 @@ class Node:
     def follows(self, token_id: str) -> Clause:
         return Clause("order", (Attribute(self, "begin"), token_id, 1))
 
+    def not_precedes(self, token_id: str) -> Clause:
+        """Tokens that don't precede a token, those of other chains included."""
+        return Clause("not order", self.precedes(token_id).parts)
+
+    def not_follows(self, token_id: str) -> Clause:
+        return Clause("not order", self.follows(token_id).parts)
+
+    def contains(self, level: str, *labels: str) -> Clause:
+        """Tokens with one of the labels below them; nothing that is shown is narrowed."""
+        return or_(getattr(self, level).label.in_(labels))
+
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
         schema = self.corpus.schema
+        if self.entity:
+            known = ("name", *_BRIDGES[self.root], *getattr(schema, f"{self.root}_properties"), *getattr(self.corpus, f"{self.root}s").columns)
+            if name not in known:
+                raise AttributeMissing(f"{self.root} has no {name!r}")
+            return Attribute(self, name)
         if self.step_kind in ("speaker", "discourse"):
             known = {"name": "", **getattr(schema, f"{self.step_kind}_properties")}
             if name not in known and name not in getattr(self.corpus, f"{self.step_kind}s").columns:
@@ -186,8 +207,8 @@ class Track(_Value):
         raise AttributeError(name)
 
 
-class Aggregate:
-    """An aggregate function; of tokens below, Sum, Average and Count give a value for each row instead."""
+class Aggregate(_Value):
+    """An aggregate function; of tokens below, Sum, Average and Count give a value for each row instead. Comparisons of it filter groups."""
 
     def __init__(self, name: str, value: _Value | None = None, share: float = 0.5):
         self.name, self.value, self.share = name, value, share
@@ -235,14 +256,44 @@ class _Plan:
 
     def __init__(self, query: Query):
         self.q, self.corpus, self.root = query, query.node.corpus, query.node.root
-        values = [v for c in query.clauses for v in c.values()]
-        shown = [v.value if isinstance(v, Aggregate) else v for v in (*query.shown, *query.groups, *query.aggregates, *(v for v, _ in query.order))]
-        self.wanted = [v for v in (*values, *shown) if v is not None]
-        self.needed = {v.node.node_key for v in values}
+        values = [v for c in query.clauses for v in c.values() if not isinstance(v, Aggregate)]
+        self.wanted = [v for v in (*values, *query.listed()) if v is not None]
+        # what a clause names must exist, unless the clause is an alternative
+        self.needed = {v.node.node_key for c in query.flat() if c.op != "or" for v in c.values() if not isinstance(v, Aggregate)}
         self.prefixes: dict[tuple, str] = {}
+        self.markers = 0
         self.df = self._prefixed(self._frame(()), "n0")
         self.prefixes[()] = "n0"
-        self._extra: dict[tuple, Column] = {}
+
+    def _asked(self, steps: tuple, subsets: tuple[str, ...] | None = None) -> set[str]:
+        """Names of the attributes asked of a node; * if something lies beyond it."""
+        out: set[str] = set()
+        for v in self.wanted:
+            if v.node.steps == steps and subsets in (None, v.node.subsets):
+                out.add(v.name if isinstance(v, Attribute) else "*")
+                out |= {"subset"} if v.node.subsets else set()
+            elif v.node.steps[: len(steps)] == steps and len(v.node.steps) > len(steps):
+                kind = v.node.steps[len(steps)][0]
+                out.add(v.name if kind == "end" and len(v.node.steps) == len(steps) + 1 else "*")
+        return out
+
+    def _typed(self, table: DataFrame, level: str, asked: set[str]) -> DataFrame:
+        """table with the properties of its types, if any of them is asked for."""
+        types = self.corpus.types.get(level)
+        if types is None:
+            return table
+        names = [c for c in types.columns if c != "label" and c not in table.columns or c == "subsets"]
+        if not asked & {"*", "subset", *names} and not any(n.split(".")[0] in names for n in asked):
+            return table
+        side = types.select(F.col("label").alias("_type"), *(F.col(c).alias("type_subsets" if c == "subsets" else c) for c in names))
+        return table.join(side, F.col("label") == F.col("_type"), "left").drop("_type")
+
+    def _columns(self, names: set[str], table: DataFrame) -> list[str]:
+        """The columns of table that the named attributes are made of; all, if one is none of them."""
+        parts = {"duration": ("begin", "end"), "count": (), "rate": (), "subset": ("subsets", "type_subsets")}
+        if any(n not in table.columns and n not in parts for n in names):
+            return [c for c in table.columns if not c.startswith("_")]
+        return [c for c in table.columns if c == "id" or any(c == n or c in parts.get(n, ()) for n in names)]
 
     @staticmethod
     def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -252,27 +303,33 @@ class _Plan:
         """The table of the queried level, or of one above, with type properties, neighbours and what pauses need."""
         node = replace(self.q.node, steps=steps)
         level, schema = node.level, self.corpus.schema
+        if self.q.node.entity:
+            table, asked = getattr(self.corpus, f"{self.root}s"), self._asked(())
+            if asked & {*_BRIDGES[self.root]}:
+                # those without a partner drop out
+                other, channels = _BRIDGES[self.root]
+                met = F.array_sort(F.collect_set(F.struct(F.col(other[:-1]), "channel")))
+                bridge = self.corpus.speaks_in.groupBy(F.col(self.root).alias("_name")).agg(met.alias("_met"))
+                bridge = bridge.select("_name", F.array_distinct(F.transform("_met", lambda x: x[other[:-1]])).alias(other), F.transform("_met", lambda x: x["channel"]).alias(channels))
+                table = table.join(bridge, F.col("name") == F.col("_name")).drop("_name")
+            return table
         if self.q.node.lexicon:
             return self.corpus.type_table(level)
-        table = self.corpus.tokens[level]
-        if level in self.corpus.types:
-            types = self.corpus.types[level]
-            names = [c for c in types.columns if c != "label" and c not in table.columns or c == "subsets"]
-            side = types.select(F.col("label").alias("_type"), *(F.col(c).alias("type_subsets" if c == "subsets" else c) for c in names))
-            table = table.join(side, F.col("label") == F.col("_type"), "left").drop("_type")
+        beyond = {n for v in self.wanted if len(v.node.steps) > len(steps) and v.node.steps[: len(steps)] == steps and v.node.steps[len(steps)][0] == "shift" for n in self._asked(v.node.steps[: len(steps) + 1])}
+        flagged = {"subset"} if not steps and self.q.node.subsets or any(isinstance(v, Attribute) and v.name == "position" and v.node.subsets for v in self.wanted) else set()
+        table = self._typed(self.corpus.tokens[level], level, self._asked(steps) - {"*"} | beyond | flagged | ({"*"} if any(isinstance(v, Attribute) and v.name == "*" and v.node.steps == steps for v in self.wanted) else set()))
         if "is_pause" in table.columns:
             table = windows.runs(table, KEYS, ["begin", "id"], "is_pause")
             table = table.withColumns({"_after_pause": windows.next_to(table, KEYS, ["begin", "id"], "is_pause", "after"), "_before_pause": windows.next_to(table, KEYS, ["begin", "id"], "is_pause", "before")})
             table = table.where(F.col("is_pause") if self.q.node.pauses and not steps else ~F.col("is_pause"))
-        own = [c for c in table.columns if not c.startswith("_")]
         shifts = {v.node.steps[len(steps)][1] for v in self.wanted if len(v.node.steps) > len(steps) and v.node.steps[: len(steps)] == steps and v.node.steps[len(steps)][0] == "shift"}
         w = windows.chain(KEYS, ["begin", "id"])
-        table = table.withColumns({f"_shift_{k}": (F.lag if k < 0 else F.lead)(F.struct(*own), abs(k)).over(w) for k in sorted(shifts)})
+        table = table.withColumns({f"_shift_{k}": (F.lag if k < 0 else F.lead)(F.struct(*self._columns(self._asked((*steps, ("shift", k))), table)), abs(k)).over(w) for k in sorted(shifts)})
         if not steps:
             ups = [u for u in schema.higher(level) if f"{u}_id" in table.columns]
             for u in ups:
                 inside = Window.partitionBy(f"{u}_id")
-                aligned = any(c.op in ("left", "right", "not left", "not right") and u in c.parts for c in self.q.flat())
+                aligned = any(c.op in ("left", "right", "not left", "not right") and u in c.parts for c in self.q.leaves())
                 if aligned:
                     table = table.withColumns({f"_left_{u}": F.row_number().over(inside.orderBy("begin", "id")) == 1, f"_right_{u}": F.row_number().over(inside.orderBy(F.desc("end"), F.desc("id"))) == 1})
                 if any(isinstance(v, Attribute) and v.name == "position" and v.node.steps[:1] == (("up", u),) for v in self.wanted):
@@ -329,27 +386,73 @@ class _Plan:
         prefix = self.prefixes[key]
         return lambda c: F.col(f"{prefix}__{c}")
 
+    def _narrows(self, c: Clause) -> bool:
+        """Whether a clause on tokens below always holds and needs nothing but the token."""
+        first = c.parts[0]
+        return c.op in _TESTS and isinstance(first, Attribute) and first.node.step_kind == "down" and first.name not in ("count", "rate") and not any(isinstance(p, _Value) for p in c.parts[1:]) and any(c is d for d in self.q.flat())
+
+    def _item_test(self, c: Clause, at: Callable[[str], Column]) -> Column:
+        """A clause on one token below, whose columns at() gives."""
+        first, *rest = c.parts
+        if first.name == "subset":
+            try:
+                hit = self._subset_test(first.node.level, (rest[0],), at)
+            except QueryError:
+                hit = F.lit(False)
+            return hit if c.op == "==" else ~hit
+        value = at("end") - at("begin") if first.name == "duration" else at(first.name)
+        return _TESTS[c.op](value, *(self.column(r) if isinstance(r, _Value) else r for r in rest))
+
+    def _item_filter(self, c: Clause) -> Callable[[Column], Column]:
+        return lambda x: self._item_test(c, lambda n: x[n])
+
     def _below(self, node: Node, foreign: str) -> DataFrame:
-        """parent and its tokens of a level below in order, narrowed by the filters on them."""
-        level = node.level
-        table = self._frame_below(level)
-        test = self._subset_test(level, node.subsets, F.col)
+        """parent, _n and, if more than their number is asked for, the tokens of a level below in order; narrowed by the filters on them."""
+        level, asked = node.level, self._asked(node.steps, node.subsets)
+        table = self._typed(self.corpus.tokens[level], level, asked | ({"subset"} if node.subsets else set()))
+        test = self._subset_test(level, node.subsets, F.col) & F.col(foreign).isNotNull()
+        clauses = [c for c in self.q.leaves() if isinstance(c.parts[0], Attribute) and c.parts[0].node.node_key == node.node_key]
+        for c in clauses:
+            if self._narrows(c):
+                test = test & F.coalesce(self._item_test(c, F.col), F.lit(False))
+        # attributes that narrow are needed only if they are shown or tested otherwise as well
+        shown = {v.name for v in self.q.listed() if isinstance(v, Attribute) and v.node.node_key == node.node_key}
+        names = (asked if asked - {c.parts[0].name for c in clauses} - shown else shown | {c.parts[0].name for c in clauses if not self._narrows(c)}) - {"count", "rate"}
+        found = [F.count(F.lit(1)).alias("_n")]
+        if names:
+            own = [c for c in self._columns(names, table) if c not in ("begin", "id", foreign)]
+            found.append(F.array_sort(F.collect_list(F.struct("begin", "id", *own))).alias("_items"))
+        return table.where(test).groupBy(F.col(foreign).alias("parent")).agg(*found)
+
+    def _items(self, node: Node) -> Column:
+        """The tokens below that are shown: without those that a comparison with something outside refuses."""
+        items = self.place(node)("_items")
         for c in self.q.flat():
             first = c.parts[0]
-            if isinstance(first, Attribute) and first.node.node_key == node.node_key and c.op in _TESTS and not any(isinstance(p, _Value) for p in c.parts[1:]):
-                value = F.col("end") - F.col("begin") if first.name == "duration" else F.col(first.name)
-                test = test & _TESTS[c.op](value, *c.parts[1:])
-        own = [c for c in table.columns if c not in ("begin", foreign) and not c.startswith("_")]
-        return table.where(test & F.col(foreign).isNotNull()).groupBy(F.col(foreign).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("begin", *own))).alias("_items"))
-
-    def _frame_below(self, level: str) -> DataFrame:
-        table = self.corpus.tokens[level]
-        if level in self.corpus.types:
-            types = self.corpus.types[level]
-            names = [c for c in types.columns if c != "label" and (c not in table.columns or c == "subsets")]
-            side = types.select(F.col("label").alias("_type"), *(F.col(c).alias("type_subsets" if c == "subsets" else c) for c in names))
-            table = table.join(side, F.col("label") == F.col("_type"), "left").drop("_type")
-        return table
+            if c.op in _TESTS and isinstance(first, Attribute) and first.node.node_key == node.node_key and first.name not in ("count", "rate") and not self._narrows(c):
+                items = F.filter(items, self._item_filter(c))
+        return items
+
+    def marked(self, table: DataFrame, on: Callable[[str], Column]) -> Column:
+        """Whether a row meets one of table, whose rows differ in what they are joined by."""
+        self.markers += 1
+        prefix = f"m{self.markers}"
+        self.df = self.df.join(self._prefixed(table.withColumn("hit", F.lit(True)), prefix), on(prefix), "left")
+        return F.coalesce(F.col(f"{prefix}__hit"), F.lit(False))
+
+    @staticmethod
+    def yielded(value: Any, inner: Query) -> DataFrame:
+        """_in: what an inner query yields for an outer attribute."""
+        names = [v.label for v in inner.shown]
+        table = inner.frame()
+        return table.select(F.col(f"`{value.label if value.label in names else table.columns[0]}`").alias("_in")) if names else table.select(F.col(value.name).alias("_in"))
+
+    def anchor(self, c: Clause) -> tuple[DataFrame, Callable[[str], Column]]:
+        """The token that a clause of order names, and what its place makes of a row."""
+        value, token, side = c.parts
+        at = self.place(value.node)
+        one = self.corpus.tokens[value.node.level].where(F.col("id") == token).select(F.col("discourse").alias("d"), F.col("speaker").alias("s"), F.col("begin").alias("at")).dropDuplicates(["d", "s"])
+        return one, lambda p: (at("discourse") == F.col(f"{p}__d")) & (at("speaker") == F.col(f"{p}__s")) & (at("begin") > F.col(f"{p}__at") if side > 0 else at("begin") < F.col(f"{p}__at"))
 
     def column(self, value: Any) -> Column:
         if isinstance(value, Track):
@@ -367,12 +470,14 @@ class _Plan:
             return F.col(f"n0___position_{node.steps[0][1]}_{'_'.join(node.subsets)}")
         at = self.place(node)
         if node.step_kind == "down" or node.step_kind == "sub":
-            items = at("_items")
-            if name == "count":
-                return F.coalesce(F.size(items), F.lit(0))
-            if name == "rate":
+            if name in ("count", "rate"):
+                compared = any(isinstance(c.parts[0], Attribute) and c.parts[0].node.node_key == node.node_key and c.parts[0].name not in ("count", "rate") and not self._narrows(c) for c in self.q.flat() if c.op in _TESTS)
+                n = F.coalesce(F.size(self._items(node)).cast("long") if compared or node.step_kind == "sub" else at("_n"), F.lit(0).cast("long"))
+                if name == "count":
+                    return n
                 parent = self.place(replace(node, steps=node.steps[:-1], subsets=()))
-                return F.try_divide(F.coalesce(F.size(items), F.lit(0)).cast("double"), parent("end") - parent("begin"))
+                return F.try_divide(n.cast("double"), parent("end") - parent("begin"))
+            items = self._items(node)
             if name == "duration":
                 return F.transform(items, lambda x: x["end"] - x["begin"])
             return F.transform(items, lambda x: x[name])
@@ -395,7 +500,7 @@ class _Plan:
             if value.statistic:
                 side = tracks.token_statistics(table, tokens, KEYS, measure)
             else:
-                side = tracks.collected(tracks.slices(table, tokens, KEYS), "id", [measure])
+                side = tracks.collected(tracks.slices(table, tokens, KEYS), "id", [measure], tokens=tokens)
             self._join(key, side, lambda p: F.col("n0__id") == F.col(f"{p}__id"), "left")
         return F.col(f"{self.prefixes[key]}__{f'{value.statistic}_{measure}' if value.statistic else 'track'}")
 
@@ -403,13 +508,25 @@ class _Plan:
         if c.op in ("and", "or"):
             out = None
             for p in c.parts:
-                one = self.test(p)
+                one = F.coalesce(self.test(p), F.lit(False)) if c.op == "or" else self.test(p)
                 out = one if out is None else (out & one if c.op == "and" else out | one)
             return out if out is not None else F.lit(True)
         if c.op in ("left", "right", "not left", "not right"):
             hit = F.col(f"n0___{c.op.split()[-1]}_{c.parts[0]}") & F.col(f"n0__{c.parts[0]}_id").isNotNull()
             return F.col(f"n0__{c.parts[0]}_id").isNotNull() & ~hit if c.op.startswith("not") else hit
+        if c.op in ("order", "not order"):
+            one, on = self.anchor(c)
+            hit = self.marked(one, on)
+            return ~hit if c.op.startswith("not") else hit
         first, *rest = c.parts
+        if c.op in ("in", "not in") and isinstance(rest[0], Query):
+            value = self.column(first)
+            hit = self.marked(self.yielded(first, rest[0]).distinct(), lambda p: value == F.col(f"{p}___in"))
+            return ~hit if c.op == "not in" else hit
+        if isinstance(first, Attribute) and first.node.step_kind == "down" and first.name not in ("count", "rate"):
+            if self._narrows(c):
+                return F.coalesce(self.place(first.node)("_n") > 0, F.lit(False))
+            return F.coalesce(F.exists(self.place(first.node)("_items"), self._item_filter(c)), F.lit(False))
         if isinstance(first, Attribute) and first.name == "subset":
             at = self.place(first.node)
             try:
@@ -426,8 +543,6 @@ class _Plan:
             if isinstance(v, Attribute) and v.node.step_kind == "shift":
                 before = self.place(replace(v.node, steps=v.node.steps[:-1]))
                 exists = exists & before(f"_shift_{v.node.steps[-1][1]}").isNotNull()
-        if isinstance(first, Attribute) and first.node.step_kind == "down" and c.op in _TESTS and first.name not in ("count", "rate"):
-            return F.size(self.place(first.node)("_items")) > 0  # narrowed already
         return exists & _TESTS[c.op](self.column(first), *(self.column(r) if isinstance(r, _Value) else r for r in rest))
 
 
@@ -456,6 +571,19 @@ class Query:
         self.order: list[tuple[Any, bool]] = []
         self._limit: int | None = None
         self._offset = 0
+        self._having: list[Clause] = []
+
+    def leaves(self, clauses: Any = None) -> Iterator[Clause]:
+        """All clauses that are neither and_ nor or_."""
+        for c in self.clauses if clauses is None else clauses:
+            if c.op in ("and", "or"):
+                yield from self.leaves(c.parts)
+            else:
+                yield c
+
+    def listed(self) -> list:
+        """All that is shown, grouped by, aggregated or sorted by."""
+        return [v.value if isinstance(v, Aggregate) else v for v in (*self.shown, *self.groups, *self.aggregates, *(v for v, _ in self.order))]
 
     def flat(self, clauses: list[Clause] | None = None) -> Iterator[Clause]:
         for c in self.clauses if clauses is None else clauses:
@@ -465,15 +593,27 @@ class Query:
                 yield c
 
     def filter(self, *clauses: Clause) -> Query:
-        """All must hold; a further == on an attribute replaces the earlier one, and equal begins or ends of a token and one above are alignment."""
+        """All must hold; a further == on an attribute replaces the earlier one, and equal begins or ends of a token and one above are alignment. Comparisons of aggregates apply to the groups."""
         for c in clauses:
-            c = self._aligned(c)
+            c = self._normal(c)
+            if c.parts and isinstance(c.parts[0], Aggregate):
+                self._having.append(c)
+                continue
             if c.op == "==" and isinstance(c.parts[0], Attribute):
                 same = lambda d: d.op == "==" and isinstance(d.parts[0], Attribute) and (d.parts[0].node.node_key, d.parts[0].name) == (c.parts[0].node.node_key, c.parts[0].name)  # noqa: B023, E731
                 self.clauses = [d for d in self.clauses if not same(d)]
             self.clauses.append(c)
         return self
 
+    def _normal(self, c: Clause) -> Clause:
+        """Alignment is named as such, and tokens below stand on the left of a comparison."""
+        if c.op in ("and", "or"):
+            return Clause(c.op, tuple(self._normal(p) for p in c.parts))
+        below = lambda p: isinstance(p, Attribute) and p.node.step_kind == "down" and p.name not in ("count", "rate")
+        if c.op in _MIRRORED and below(c.parts[1]) and not below(c.parts[0]):
+            return Clause(_MIRRORED[c.op], (c.parts[1], c.parts[0]))
+        return self._aligned(c)
+
     def _aligned(self, c: Clause) -> Clause:
         if c.op in ("==", "!=") and len(c.parts) == 2 and all(isinstance(p, Attribute) for p in c.parts):
             a, b = c.parts
@@ -525,37 +665,23 @@ class Query:
 
     def _matched(self) -> tuple[_Plan, DataFrame]:
         plan = _Plan(self)
-        semis = []
-        tests = []
-        for c in self.clauses:
-            if c.op in ("in", "not in") and isinstance(c.parts[1], Query):
-                semis.append(c)
-            elif c.op == "order":
-                value, token, side = c.parts
-                at = plan.place(value.node)
-                table = self.node.corpus.tokens[value.node.level]
-                one = table.where(F.col("id") == token).select(F.col("discourse").alias("_d"), F.col("speaker").alias("_s"), F.col("begin").alias("_at"))
-                after = at("begin") > F.col("_at") if side > 0 else at("begin") < F.col("_at")
-                plan.df = plan.df.join(one, (at("discourse") == F.col("_d")) & (at("speaker") == F.col("_s")) & after, "left_semi")
-            else:
-                tests.append(c)
-        conditions = [plan.test(c) for c in tests]
+        # where a clause always holds a semi-join says it; alternatives are marked in plan.test
+        semis = [c for c in self.clauses if c.op == "order" or c.op in ("in", "not in") and isinstance(c.parts[1], Query)]
+        conditions = [plan.test(c) for c in self.clauses if not any(c is d for d in semis)]
         for v in plan.wanted:
-            if isinstance(v, Attribute):
-                plan.column(v)
-            elif isinstance(v, Track):
-                plan.column(v)
+            plan.column(v)
+        orders = [plan.anchor(c) for c in semis if c.op == "order"]
         df = plan.df
+        for k, (one, on) in enumerate(orders):
+            df = df.join(plan._prefixed(one, f"o{k}"), on(f"o{k}"), "left_semi")
         if self.node.subsets:
             df = df.where(plan._subset_test(self.node.root, self.node.subsets, lambda c: F.col(f"n0__{c}")))
         for c in conditions:
             df = df.where(c)
         for c in semis:
-            value, inner = c.parts
-            names = [v.label for v in inner.shown]
-            table = inner.frame()
-            wanted = table.select(F.col(f"`{value.label if value.label in names else table.columns[0]}`").alias("_in")) if names else table.select(F.col(value.name).alias("_in"))
-            df = df.join(wanted, plan.column(value) == F.col("_in"), "left_semi" if c.op == "in" else "left_anti")
+            if c.op != "order":
+                value, inner = c.parts
+                df = df.join(plan.yielded(value, inner), plan.column(value) == F.col("_in"), "left_semi" if c.op == "in" else "left_anti")
         return plan, df
 
     def _agg(self, plan: _Plan, a: Aggregate) -> Column:
@@ -568,12 +694,21 @@ class Query:
         disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `_v_{a.label}`)")
         return {"count": F.count, "average": F.avg, "sum": F.sum, "stdev": F.stddev_samp, "max": F.max, "min": F.min, "quantile": lambda _: disc(a.share), "median": lambda _: disc(0.5), "iqr": lambda _: disc(0.75) - disc(0.25)}[a.name](x)
 
+    def _table(self) -> DataFrame:
+        """The table that the query is about."""
+        corpus, level = self.node.corpus, self.node.root
+        if self.node.entity:
+            return getattr(corpus, f"{level}s")
+        return corpus.type_table(level) if self.node.lexicon else corpus.tokens[level]
+
     def frame(self) -> DataFrame:
-        """The result as a DataFrame."""
+        """The result as a DataFrame; of groups and aggregates, if aggregates are all that is shown."""
+        if self.shown and all(isinstance(v, Aggregate) and v.collapses for v in self.shown):
+            return self._grouped(self.shown)
         plan, df = self._matched()
         shown = self.shown
         if not shown:
-            names = [c for c in plan.corpus.tokens[plan.root].columns] if not self.node.lexicon else plan.corpus.type_table(plan.root).columns
+            names = self._table().columns
             out = [F.col(f"n0__{c}").alias(c) for c in names]
         else:
             out = [(self._agg(plan, v) if isinstance(v, Aggregate) else plan.column(v)).alias(v.label) for v in shown]
@@ -586,15 +721,23 @@ class Query:
 
     def aggregate(self, *aggregates: Aggregate):
         """A value, a row for several aggregates, or a DataFrame in order of the first group."""
-        self.aggregates = list(aggregates)
-        plan, df = self._matched()
-        named = [plan.column(v).alias(v.label) for v in self.groups]
-        df = df.withColumns({f"_v_{a.label}": plan.column(a.value) for a in aggregates if a.value is not None})
-        out = df.groupBy(*named).agg(*(self._agg(plan, a).alias(a.label) for a in aggregates))
+        out = self._grouped(aggregates)
         if self.groups:
             return out.orderBy(F.col(f"`{self.groups[0].label}`"))
         row = out.first()
-        return row[0] if len(aggregates) == 1 else row
+        return (row[0] if len(aggregates) == 1 else row) if row else None
+
+    def _grouped(self, aggregates: Any) -> DataFrame:
+        """A row for each group that the comparisons of aggregates leave."""
+        tested = [c.parts[0] for c in self._having]
+        self.aggregates = [*aggregates, *tested]
+        plan, df = self._matched()
+        named = [plan.column(v).alias(v.label) for v in self.groups]
+        df = df.withColumns({f"_v_{a.label}": plan.column(a.value) for a in self.aggregates if a.value is not None})
+        out = df.groupBy(*named).agg(*(self._agg(plan, a).alias(a.label) for a in aggregates), *(self._agg(plan, a).alias(f"_h{i}") for i, a in enumerate(tested)))
+        for i, c in enumerate(self._having):
+            out = out.where(_TESTS[c.op](F.col(f"_h{i}"), *c.parts[1:]))
+        return out.drop(*(f"_h{i}" for i in range(len(tested))))
 
     def count(self) -> int:
         return self._matched()[1].count()
@@ -606,6 +749,14 @@ class Query:
         """Row by row, without holding all of them."""
         return self.frame().toLocalIterator()
 
+    def page(self, number: int, size: int = 10) -> list[Row]:
+        """The rows of one page, counted from 0, in the query's order."""
+        return self.frame().offset(number * size).limit(size).collect()
+
+    def union(self, other: Query) -> DataFrame:
+        """The rows of two queries with the same columns, repeated ones included."""
+        return self.frame().unionByName(other.frame())
+
     def get(self) -> Row:
         """The only row; anything else is an error."""
         found = self.frame().limit(2).collect()
@@ -614,9 +765,11 @@ class Query:
         return found[0]
 
     def to_csv(self, path: str) -> None:
+        """One file folder of CSV; with a track among the columns a row for each of its points, times rounded to four places."""
         from tierlake.sources.sinks import write_csv
 
-        write_csv(self.frame(), path)
+        shown = [v.label for v in self.shown if isinstance(v, Track) and not v.statistic]
+        write_csv(self.frame(), path, shown[0] if shown else None)
 
     def to_json(self) -> DataFrame:
         return self.frame().select(F.to_json(F.struct("*")).alias("value"))
@@ -626,26 +779,33 @@ class Query:
     def _change(self, f: Callable[[DataFrame, Column], DataFrame]) -> None:
         _, df = self._matched()
         corpus, level = self.node.corpus, self.node.root
-        key = "label" if self.node.lexicon else "id"
+        key = "name" if self.node.entity else "label" if self.node.lexicon else "id"
         hits = df.select(F.col(f"n0__{key}").alias("_hit")).distinct()
-        place = corpus.types if self.node.lexicon else corpus.tokens
-        table = corpus.type_table(level) if self.node.lexicon else corpus.tokens[level]
-        marked = table.join(hits, F.col(key) == F.col("_hit"), "left")
-        place[level] = f(marked, F.col("_hit").isNotNull()).drop("_hit")
+        marked = self._table().join(hits, F.col(key) == F.col("_hit"), "left")
+        new = f(marked, F.col("_hit").isNotNull()).drop("_hit")
+        if self.node.entity:
+            setattr(corpus, f"{level}s", new)
+        else:
+            (corpus.types if self.node.lexicon else corpus.tokens)[level] = new
 
     def set_properties(self, **values: Any) -> None:
-        """New values for what matches; None takes them away."""
-        self._change(lambda t, hit: enrich.update(t, hit, **values))
-        schema, part = self.node.corpus.schema, "type" if self.node.lexicon else "token"
-        for name, value in values.items():
-            schema.add(part, self.node.root, **{name: {str: "string", int: "bigint", float: "double", bool: "boolean"}.get(type(value), "string")})
+        """New values for what matches; None takes a property away from all and from the schema."""
+        kinds = {str: "string", int: "bigint", float: "double", bool: "boolean"}
+        new = {n: v for n, v in values.items() if v is not None}
+        gone = [n for n, v in values.items() if v is None]
+        self._change(lambda t, hit: enrich.update(t, hit, **{n: F.lit(v).cast(kinds[type(v)]) for n, v in new.items()}).drop(*gone))
+        schema = self.node.corpus.schema
+        part, level = (self.node.root, None) if self.node.entity else ("type" if self.node.lexicon else "token", self.node.root)
+        schema.remove(part, level, *gone)
+        schema.add(part, level, **{n: kinds[type(v)] for n, v in new.items()})
 
     def create_subset(self, name: str) -> None:
         self._change(lambda t, hit: enrich.add_subset(t, hit, name))
         self.node.corpus.schema.add_subset("type" if self.node.lexicon else "token", self.node.root, name)
 
     def remove_subset(self, name: str) -> None:
-        self._change(lambda t, hit: enrich.remove_subset(t, hit, name))
+        if "subsets" in self._table().columns:
+            self._change(lambda t, hit: enrich.remove_subset(t, hit, name))
 
     def delete(self) -> None:
         self._change(enrich.delete)
@@ -663,4 +823,31 @@ class Query:
         corpus.schema.add("token", level, **dict(side.dtypes[1:]))
 
 
-__all__ = ["Aggregate", "Attribute", "Average", "Clause", "Count", "InterquartileRange", "Max", "Median", "Min", "Node", "Quantile", "Query", "Stdev", "Sum", "Track", "and_", "or_"]
+class Metadata:
+    """What the columns of a node hold: strings are factors, numbers numerics; factors with more than one value but fewer than rows group."""
+
+    def __init__(self, node: Node):
+        corpus = node.corpus
+        self.table = Query(node)._table()
+        if not node.entity and not node.lexicon and node.root in corpus.types:
+            types = corpus.types[node.root]
+            names = [c for c in types.columns if c not in self.table.columns]
+            self.table = self.table.join(types.select("label", *names), "label", "left")
+
+    def factors(self) -> list[str]:
+        return metadata.factors(self.table)
+
+    def numerics(self) -> list[str]:
+        return metadata.numerics(self.table)
+
+    def levels(self, name: str) -> DataFrame:
+        return metadata.levels(self.table, name)
+
+    def range(self, name: str) -> DataFrame:
+        return metadata.value_range(self.table, name)
+
+    def grouping_factors(self) -> list[str]:
+        return metadata.grouping_factors(self.table)
+
+
+__all__ = ["Metadata", "Aggregate", "Attribute", "Average", "Clause", "Count", "InterquartileRange", "Max", "Median", "Min", "Node", "Quantile", "Query", "Stdev", "Sum", "Track", "and_", "or_"]

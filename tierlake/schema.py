@@ -24,6 +24,8 @@ class Schema:
     speaker_properties: dict[str, str] = field(default_factory=dict)
     discourse_properties: dict[str, str] = field(default_factory=dict)
     tracks: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Levels that have a table of types.
+    type_tables: list[str] = field(default_factory=list)
 
     # -- levels
 
@@ -84,7 +86,7 @@ class Schema:
 
     # -- properties and subsets
 
-    def add(self, part: str, level: str | None, **kinds: str) -> None:
+    def add(self, part: str, level: str | None, /, **kinds: str) -> None:
         """Properties by name and type; part is token, type, speaker, discourse."""
         place = getattr(self, f"{part}_properties")
         (place if level is None else place.setdefault(level, {})).update(kinds)
@@ -113,7 +115,7 @@ class Schema:
                 return part
         raise SubsetMissing(f"{level} has no subset {name!r}")
 
-    def add_subannotation(self, level: str, name: str, **kinds: str) -> None:
+    def add_subannotation(self, level: str, name: str, /, **kinds: str) -> None:
         self.subannotations.setdefault(level, {}).setdefault(name, {}).update(kinds)
 
     def remove_subannotation(self, level: str, name: str) -> None:
