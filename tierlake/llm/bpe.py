@@ -23,8 +23,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: A piece that starts like this, or is empty, has to be read together with what stands before it.
 _OPEN = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Most pieces and most of their bytes that one worker remembers.
-CACHE_PIECES = 700_000
-CACHE_BYTES = 24_000_000
+CACHE_PIECES = 250_000
+CACHE_BYTES = 10_000_000
 #: Stands between words in a sweep; no byte's character, so no match crosses it.
 _BORDER = "\u0100"
 _NEVER = np.int64(2**62)
@@ -90,9 +90,10 @@ class Bpe:
         self._split = regex.compile(PATTERN)
         self._whole = np.full(n, -1, np.int8)
         self.words_seen = self.words_merged = 0
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop what encoding remembered."""
         self._slots: dict[str, int] = {}
         self._size = 0
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
@@ -282,7 +283,7 @@ class Bpe:
         Texts are cut before each single space that something other than white space follows;
         the pattern never joins across such a place, so pieces are encoded once and looked up."""
         if len(self._slots) > CACHE_PIECES or self._size > CACHE_BYTES:
-            self._forget()
+            self.forget()
         if texts.offset:
             texts = texts.take(pa.array(np.arange(len(texts))))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")

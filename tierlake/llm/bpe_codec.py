@@ -33,7 +33,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.load(path)
-        for batch in slices(batches):
+        for batch in slices(batches):  # the pieces met are remembered for a task
             ids, bounds = codec.encode(batch.column("text"))
             ids = ids.astype("<u4")
             columns = [
@@ -44,6 +44,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = True)
             if decoded:
                 columns.append(pa.array([codec.decode(ids[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "decoded"][: len(columns)])
+        codec.forget()
 
     return documents(docs).mapInArrow(run, schema)
 

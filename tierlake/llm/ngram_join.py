@@ -50,6 +50,8 @@ from tierlake.llm.shingles import WIDTH, mix, shingle_sets
 BUCKET_ENTRIES = 750_000
 #: Entries that a task gathers before it deals them out.
 FLUSH_ENTRIES = 1_000_000
+#: Entries of a row at most, as rows of half a megabyte and more burden the JVM.
+ROW_ENTRIES = 16_384
 #: A set whose single shares would compare it with more than this times its shingles uses double shares, whose entries cost about as much.
 DOUBLE_FROM = 1
 #: Words of the sketch that pairs of a group are compared by.
@@ -122,6 +124,16 @@ def _key(sums: np.ndarray, pair: np.ndarray, level: np.ndarray, first: np.ndarra
     return mix(sums + place, 17)
 
 
+def _pieces(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of stretches of one bucket in a sorted array, of ROW_ENTRIES at most."""
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    sizes = np.diff(np.append(begin, len(bucket)))
+    cuts = -(-sizes // ROW_ENTRIES)
+    ends = np.cumsum(cuts)
+    begin = np.repeat(begin, cuts) + ROW_ENTRIES * (np.arange(int(ends[-1])) - np.repeat(ends - cuts, cuts))
+    return begin, np.append(begin[1:], len(bucket))
+
+
 class _Dealer:
     """Gathers (key, id, band) entries and gives them out as one row for each bucket."""
 
@@ -145,17 +157,18 @@ class _Dealer:
         bucket = ((keys >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, keys, ids, levels = bucket[order], keys[order], ids[order], levels[order]
+        begin, end = _pieces(bucket)
+        present = bucket[begin]
         new = np.ones(len(keys), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (levels[1:] != levels[:-1]) | (bucket[1:] != bucket[:-1])
+        new[1:] = (ids[1:] != ids[:-1]) | (levels[1:] != levels[:-1])
+        new[begin] = True
         runs = np.flatnonzero(new)
         counts = np.diff(np.append(runs, len(keys))).astype(np.uint32)
-        present, begin = np.unique(bucket, return_index=True)
-        end = np.append(begin[1:], len(keys))
         r0, r1 = np.searchsorted(runs, begin), np.searchsorted(runs, end)
         cut = lambda x, a, b: [x[i:j].tobytes() for i, j in zip(a, b)]
         rows = [present.astype(np.int32), cut(keys, begin, end), cut(ids[runs], r0, r1), cut(levels[runs], r0, r1), cut(counts, r0, r1)]
-        for i in range(0, len(present), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 512], t.type) for x, t in zip(rows, self.schema)], schema=self.schema)
+        for i in range(0, len(present), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 64], t.type) for x, t in zip(rows, self.schema)], schema=self.schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,8 +522,8 @@ class _Join:
                     keys, sids, levels, notes = (np.concatenate(c) for c in deal[:4])
                     bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
-                    present, begin = np.unique(bucket[order], return_index=True)
-                    end = np.append(begin[1:], len(order))
+                    begin, end = _pieces(bucket[order])
+                    present = bucket[order][begin]
                     cut = lambda x: pa.array([x[order[i:j]].tobytes() for i, j in zip(begin, end)], pa.binary())  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), cut(keys), cut(sids), cut(levels), cut(notes)], ["bucket", "keys", "ids", "levels", "notes"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Bytes of text that a Python step works on at once.
 SLICE_BYTES = 2_000_000
+#: Rows of whole texts or sets that travel between Spark and Python at once.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, where the session has Spark's default: its 10,000 rows of whole texts fill both sides' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return what a finished step no longer uses to the system; workers live on and serve other steps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Workspace:
     """Tables written under the shared folder, so that no later step depends on an executor's lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        modest_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
@@ -77,6 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
                 begin, total = i, 0
             total += int(n)
         yield batch.slice(begin)
+    give_back()
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
@@ -86,4 +105,5 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     missing = [c for c in ("doc_id", "text", *more) if c not in df.columns]
     if missing:
         raise ValueError(f"documents lack {missing}")
+    modest_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
