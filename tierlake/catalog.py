@@ -1,7 +1,8 @@
 """The registered queries: each operator applied to the star-schema and stream tables, with the SQL that says the same.
 
-Tokens are events (chain: a user's events in order of time), turns of a conversation, or order
-lines; types are parts; speakers are users and suppliers.
+Tokens are events (words: a user's events in order of time), turns of a conversation, or order
+lines; types are event types and parts; speakers are users and suppliers. Queries of the query
+language are asked of corpora over these tables.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierlake.corpus import Corpus
 from tierlake.operators import enrich, formants, measures, metadata, pauses, rangejoin, syllables, tracks, windows
+from tierlake.plans.dsl import Average, Count, Max, Min, Stdev, Sum, and_, or_
+from tierlake.schema import Schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,27 +57,76 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("event_id", "user_id", "event_type", "value", "t", (F.col("t") / 1e6).alias("begin"), (F.col("following_t") / 1e6).alias("end"))
 
 
+def _speech(spark: SparkSession, sf: str, following: bool = False) -> Corpus:
+    """Events as words (begin and end in microseconds) of users; a word ends where it begins, or where the user's next one does (null for the last)."""
+    words = _t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("label"), F.expr(MICROS).alias("begin"), F.col("user_id").alias("speaker"), F.lit("all").alias("discourse"), F.col("user_id"), "value")
+    words = words.withColumn("end", F.lead("begin").over(windows.chain(["discourse", "speaker"], ["begin", "id"])) if following else F.col("begin"))
+    users = words.groupBy(F.col("user_id").alias("id")).agg(F.min("begin").alias("begin"), F.max("begin").alias("end")).select("id", F.lit(None).cast("string").alias("label"), "begin", "end", F.col("id").alias("speaker"), F.lit("all").alias("discourse"))
+    return Corpus(spark, "events", Schema({"word": "user", "user": None}), {"word": words, "user": users})
+
+
+def _sales(spark: SparkSession, sf: str, speaker: str = "l_suppkey") -> Corpus:
+    """Order lines in orders of customers in nations in regions; parts are the types of lines, suppliers speak them, nations of customers are discourses."""
+    t = lambda n, *c: _t(spark, sf, n, *c)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    lines = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("label"), F.col("l_linenumber").alias("begin"), (F.col("l_linenumber") + 1).alias("end"), F.expr(speaker).alias("speaker"), *none("string", "discourse"), F.col("l_orderkey").alias("order_id"), "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    orders = t("orders").select(F.col("o_orderkey").alias("id"), *none("string", "label"), *none("long", "begin", "end", "speaker"), *none("string", "discourse"), F.col("o_custkey").alias("customer_id"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+    place = lambda n, key, name, *more: t(n).select(F.col(key).alias("id"), F.col(name).alias("label"), *none("long", "begin", "end", "speaker"), *none("string", "discourse"), *more)
+    customers = place("customer", "c_custkey", "c_name", F.col("c_nationkey").alias("nation_id"))
+    nations = place("nation", "n_nationkey", "n_name", F.col("n_regionkey").alias("region_id"))
+    parts = t("part").select(F.col("p_partkey").alias("label"), "p_name", "p_brand", "p_size")
+    speakers = t("supplier").select(F.col("s_suppkey").alias("name"), "s_name", "s_nationkey")
+    homes = nations.select(F.col("id").alias("nation_id"), F.col("label").alias("discourse"))
+    placed = t("orders", "o_orderkey", "o_custkey").join(customers.select(F.col("id").alias("o_custkey"), "nation_id"), "o_custkey").join(homes, "nation_id")
+    meets = lines.select("speaker", F.col("order_id").alias("o_orderkey")).join(placed, "o_orderkey").select("speaker", "discourse", F.lit(0).alias("channel")).distinct()
+    levels = {"line": "order", "order": "customer", "customer": "nation", "nation": "region", "region": None}
+    tokens = {"line": lines, "order": orders, "customer": customers, "nation": nations, "region": place("region", "r_regionkey", "r_name")}
+    return Corpus(spark, "sales", Schema(levels), tokens, {"line": parts}, speakers, homes.select(F.col("discourse").alias("name")), meets)
+
+
+def _talks(spark: SparkSession, sf: str) -> Corpus:
+    """Turns of conversations."""
+    turns = _t(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("label"), F.col("turn").alias("begin"), F.col("turn").alias("end"), F.col("role").alias("speaker"), F.col("conv_id").alias("discourse"), F.col("conv_id").alias("talk_id"))
+    talks = turns.groupBy(F.col("talk_id").alias("id")).agg(F.min("begin").alias("begin"), F.max("end").alias("end")).select("id", *(F.lit(None).cast("string").alias(n) for n in ("label", "speaker")), "begin", "end", F.col("id").alias("discourse"))
+    return Corpus(spark, "talks", Schema({"turn": "talk", "talk": None}), {"turn": turns, "talk": talks})
+
+
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def _shown(line) -> list:
+    """The usual columns of an order line."""
+    return [v.column_name(n) for n, v in zip(_LINE, (line.order_id, line.l_linenumber, line.label, line.l_suppkey, line.l_quantity))]
+
+
 # -- filters ------------------------------------------------------------------------------
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'O'")
 def token_filter_eq(spark, sf):
-    return _t(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_linestatus <> 'O'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    c = _sales(spark, sf)
+    return c.query(c.line).filter(c.line.l_returnflag == "R", c.line.l_linestatus != "O").columns(*_shown(c.line)).frame()
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 200000")
 def token_filter_cmp(spark, sf):
-    return _t(spark, sf, "orders").where((F.col("o_totalprice") > 100000) & (F.col("o_totalprice") <= 200000)).select("o_orderkey", "o_totalprice")
+    c = _sales(spark, sf)
+    o = c.order
+    return c.query(o).filter(o.o_totalprice > 100000, o.o_totalprice <= 200000).columns(o.id.column_name("o_orderkey"), o.o_totalprice.column_name("o_totalprice")).frame()
 
 
 @_query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def token_filter_in(spark, sf):
-    return _t(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority")
+    c = _sales(spark, sf)
+    o = c.order
+    return c.query(o).filter(o.o_orderpriority.in_(["1-URGENT", "2-HIGH"])).columns(o.id.column_name("o_orderkey"), o.o_orderpriority.column_name("o_orderpriority")).frame()
 
 
 @_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'P')")
 def token_filter_not_in(spark, sf):
-    return _t(spark, sf, "orders").where(~F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderstatus")
+    c = _sales(spark, sf)
+    o = c.order
+    return c.query(o).filter(o.o_orderstatus.not_in_(["F", "P"])).columns(o.id.column_name("o_orderkey"), o.o_orderstatus.column_name("o_orderstatus")).frame()
 
 
 @_query(f"WITH {_EV} SELECT event_id FROM (SELECT event_id, lag(event_id) OVER ({_W}) AS p FROM ev) WHERE p IS NULL")
@@ -83,30 +136,37 @@ def token_filter_null(spark, sf):
 
 @_query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '[a-m].*e.')")
 def token_regex_full(spark, sf):
-    return _t(spark, sf, "part").where(F.col("p_name").rlike("^(?:[a-m].*e.)$")).select("p_partkey", "p_name")
+    c = _sales(spark, sf)
+    p = c.lexicon_line
+    return c.query(p).filter(p.p_name.regex("[a-m].*e.")).columns(p.label.column_name("p_partkey"), p.p_name.column_name("p_name")).frame()
 
 
 @_query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' AND o_totalprice > 150000) OR (o_orderstatus = 'F' AND (o_orderpriority = '5-LOW' OR o_totalprice < 5000))")
 def token_and_or(spark, sf):
-    c = F.col
-    return _t(spark, sf, "orders").where(((c("o_orderstatus") == "O") & (c("o_totalprice") > 150000)) | ((c("o_orderstatus") == "F") & ((c("o_orderpriority") == "5-LOW") | (c("o_totalprice") < 5000)))).select("o_orderkey")
+    c = _sales(spark, sf)
+    o = c.order
+    large = and_(o.o_orderstatus == "O", o.o_totalprice > 150000)
+    return c.query(o).filter(or_(large, and_(o.o_orderstatus == "F", or_(o.o_orderpriority == "5-LOW", o.o_totalprice < 5000)))).columns(o.id.column_name("o_orderkey")).frame()
 
 
 @_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
 def subquery_semi(spark, sf):
-    inner = _t(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf, "orders", "o_orderkey", "o_custkey").join(inner, "o_orderkey", "left_semi")
+    c = _sales(spark, sf)
+    inner = c.query(c.line).filter(c.line.l_quantity >= 49).columns(c.line.order_id)
+    return c.query(c.order).filter(c.order.id.in_(inner)).columns(c.order.id.column_name("o_orderkey"), c.order.customer_id.column_name("o_custkey")).frame()
 
 
 @_query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def subquery_anti(spark, sf):
-    inner = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf, "orders", "o_orderkey", "o_custkey").join(inner, "o_orderkey", "left_anti")
+    c = _sales(spark, sf)
+    inner = c.query(c.line).columns(c.line.order_id)
+    return c.query(c.order).filter(c.order.id.not_in_(inner)).columns(c.order.id.column_name("o_orderkey"), c.order.customer_id.column_name("o_custkey")).frame()
 
 
 @_query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 2, 3)")
 def speaker_filter(spark, sf):
-    return _t(spark, sf, "supplier").where(F.col("s_nationkey").isin(1, 2, 3)).select("s_suppkey", "s_name")
+    c = _sales(spark, sf)
+    return c.query_speakers().filter(c.speaker.s_nationkey.in_([1, 2, 3])).columns(c.speaker.name.column_name("s_suppkey"), c.speaker.s_name.column_name("s_name")).frame()
 
 
 # -- hierarchy ----------------------------------------------------------------------------
@@ -115,57 +175,66 @@ def speaker_filter(spark, sf):
 @_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, c_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'A' AND r_name = 'ASIA'""")
 def hier_up_chain(spark, sf):
-    t = lambda n, *c: _t(spark, sf, n, *c)
-    places = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    people = t("customer", "c_custkey", "c_name", "c_nationkey").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    orders = t("orders", "o_orderkey", "o_custkey").join(people, F.col("o_custkey") == F.col("c_custkey"))
-    lines = t("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").where("l_returnflag = 'A'")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "c_name", "n_name", "r_name")
+    c = _sales(spark, sf)
+    person = c.line.order.customer
+    q = c.query(c.line).filter(c.line.l_returnflag == "A", person.nation.region.label == "ASIA")
+    return q.columns(*_shown(c.line), person.label.column_name("c_name"), person.nation.label.column_name("n_name"), person.nation.region.label.column_name("r_name")).frame()
 
 
 @_query("SELECT user_id, list(event_type ORDER BY ts, event_id) AS types, count(*) AS n FROM events GROUP BY user_id")
 def hier_down_collect(spark, sf):
-    items = F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))
-    return _events(spark, sf).groupBy("user_id").agg(F.transform(items, lambda x: x["event_type"]).alias("types"), F.count("*").alias("n"))
+    c = _speech(spark, sf)
+    return c.query(c.user).columns(c.user.id.column_name("user_id"), c.user.word.label.column_name("types"), c.user.word.count.column_name("n")).frame()
 
 
 @_query("SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def hier_down_count(spark, sf):
-    n = _t(spark, sf, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return _t(spark, sf, "orders", "o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))
+    c = _sales(spark, sf)
+    return c.query(c.order).columns(c.order.id.column_name("o_orderkey"), c.order.line.count.column_name("n")).frame()
 
 
 @_query(f"WITH {_EV} SELECT user_id, round(count(*) / nullif((max(t) - min(t)) / 86400e6, 0), 6) AS per_day FROM ev GROUP BY user_id")
 def hier_down_rate(spark, sf):
-    return _events(spark, sf).groupBy("user_id").agg(F.round(F.try_divide(F.count("*"), (F.max("t") - F.min("t")) / F.lit(86400e6)), 6).alias("per_day"))
+    c = _speech(spark, sf)
+    rates = c.query(c.user).columns(c.user.id.column_name("user_id"), c.user.word.rate.column_name("rate")).frame()
+    return rates.select("user_id", F.round(F.col("rate") * F.lit(86400e6), 6).alias("per_day"))
 
 
 @_query(f"WITH {_EV} SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY t)::INTEGER AS place FROM ev")
 def hier_position(spark, sf):
-    return _events(spark, sf).select("event_id", windows.position(["user_id"], "t").alias("place"))
+    c = _speech(spark, sf)
+    return c.query(c.word).columns(c.word.id.column_name("event_id"), c.word.user.word.position.column_name("place")).frame()
 
 
 @_query(f"WITH {_EV} SELECT a.event_id, (1 + (SELECT count(*) FROM ev b WHERE b.user_id = a.user_id AND b.t < a.t AND b.event_type = 'click'))::BIGINT AS place FROM ev a")
 def hier_position_subset(spark, sf):
-    return _events(spark, sf).select("event_id", windows.position(["user_id"], "t", F.col("event_type") == "click").alias("place"))
+    c = _speech(spark, sf)
+    c.encode_class(["click"], "clicked", "word")
+    return c.query(c.word).columns(c.word.id.column_name("event_id"), c.word.user.word.filter_by_subset("clicked").position.column_name("place")).frame()
 
 
 @_query(f"WITH {_EV} SELECT user_id, list(event_id ORDER BY t) AS ids FROM ev WHERE event_type = 'purchase' AND value > 50 GROUP BY user_id")
 def hier_down_exists_narrow(spark, sf):
-    items = F.array_sort(F.collect_list(F.struct("t", "event_id")))
-    return _events(spark, sf).where("event_type = 'purchase' AND value > 50").groupBy("user_id").agg(F.transform(items, lambda x: x["event_id"]).alias("ids"))
+    c = _speech(spark, sf)
+    own = c.user.word
+    return c.query(c.user).filter(own.label == "purchase", own.value > 50).columns(c.user.id.column_name("user_id"), own.id.column_name("ids")).frame()
 
 
 @_query("""SELECT conv_id, l[1] AS initial, l[-1] AS final, l[-2] AS penultimate, l[-3] AS antepenultimate FROM (SELECT conv_id, list(role ORDER BY turn) AS l FROM conversations GROUP BY conv_id)""")
 def positional_first_last_penult(spark, sf):
-    items = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    at = lambda i: F.try_element_at("l", F.lit(i))["role"]
-    return _t(spark, sf, "conversations", "conv_id", "turn", "role").groupBy("conv_id").agg(items.alias("l")).select("conv_id", at(1).alias("initial"), at(-1).alias("final"), at(-2).alias("penultimate"), at(-3).alias("antepenultimate"))
+    c = _talks(spark, sf)
+    turn = c.talk.turn
+    places = [getattr(turn, n).label.column_name(n) for n in ("initial", "final", "penultimate", "antepenultimate")]
+    return c.query(c.talk).columns(c.talk.id.column_name("conv_id"), *places).frame()
 
 
 @_query("SELECT o_custkey, sum(n) AS lines, round(avg(n), 6) AS mean_lines FROM (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY o_custkey")
 def collection_sum_avg(spark, sf):
-    return hier_down_count(spark, sf).join(_t(spark, sf, "orders", "o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_custkey").agg(F.sum("n").alias("lines"), F.round(F.avg("n"), 6).alias("mean_lines"))
+    c = _sales(spark, sf)
+    c.encode_count("order", "line", "n_lines")
+    own = c.customer.order
+    found = c.query(c.customer).filter(own.count > 0).columns(c.customer.id.column_name("o_custkey"), Sum(own.n_lines).column_name("lines"), Average(own.n_lines).column_name("mean_lines")).frame()
+    return found.select("o_custkey", F.col("lines").cast("long").alias("lines"), F.round("mean_lines", 6).alias("mean_lines"))
 
 
 # -- neighbours, alignment, pauses --------------------------------------------------------
@@ -173,16 +242,25 @@ def collection_sum_avg(spark, sf):
 
 @_query(f"WITH {_EV} SELECT event_id, lag(event_type) OVER w AS previous_event_type, lag(event_type, 2) OVER w AS previous_2_event_type, lead(event_type) OVER w AS following_event_type FROM ev WINDOW w AS ({_W})")
 def prev_next(spark, sf):
-    return windows.neighbours(_events(spark, sf), *CHAIN, ["event_type"], before=2).select("event_id", "previous_event_type", "previous_2_event_type", "following_event_type")
+    c = _speech(spark, sf)
+    w = c.word
+    before, after = w.previous, w.following
+    return c.query(w).columns(w.id.column_name("event_id"), before.label.column_name("previous_event_type"), before.previous.label.column_name("previous_2_event_type"), after.label.column_name("following_event_type")).frame()
 
 
 @_query(f"WITH {_EV} SELECT event_id FROM (SELECT event_id, lag(event_type) OVER w AS p, lead(event_type) OVER w AS f FROM ev WINDOW w AS ({_W})) WHERE p = f")
 def mirrored_neighbours(spark, sf):
-    return windows.neighbours(_events(spark, sf), *CHAIN, ["event_type"]).where("previous_event_type = following_event_type").select("event_id")
+    c = _speech(spark, sf)
+    return c.query(c.word).filter(c.word.previous.label == c.word.following.label).columns(c.word.id.column_name("event_id")).frame()
 
 
 def _aligned(side: str, negate: bool) -> Query:
-    return lambda spark, sf: windows.aligned(_t(spark, sf, "conversations", "conv_id", "turn", "role"), ["conv_id"], ["turn"], side, negate)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        c = _talks(spark, sf)
+        q = getattr(c.query(c.turn), f"filter_{'not_' if negate else ''}{side}_aligned")(c.turn.talk)
+        return q.columns(c.turn.talk_id.column_name("conv_id"), c.turn.begin.column_name("turn"), c.turn.label.column_name("role")).frame()
+
+    return run
 
 
 for _side, _agg in (("left", "min"), ("right", "max")):
@@ -194,28 +272,28 @@ for _side, _agg in (("left", "min"), ("right", "max")):
 
 @_query(f"WITH {_EV} SELECT e.event_id, e.event_type FROM ev e JOIN ev a ON a.event_id = 500 AND a.user_id = e.user_id WHERE e.t < a.t")
 def precedes_token(spark, sf):
-    ev = _events(spark, sf)
-    at = ev.where("event_id = 500").select("user_id", F.col("t").alias("at"))
-    return ev.join(at, "user_id").where("t < at").select("event_id", "event_type")
+    c = _speech(spark, sf)
+    return c.query(c.word).filter(c.word.precedes(500)).columns(c.word.id.column_name("event_id"), c.word.label.column_name("event_type")).frame()
 
 
 @_query(f"WITH {_EV} SELECT e.event_id, e.event_type FROM ev e JOIN ev a ON a.event_id = 500 AND a.user_id = e.user_id WHERE e.t > a.t")
 def follows_token(spark, sf):
-    ev = _events(spark, sf)
-    at = ev.where("event_id = 500").select("user_id", F.col("t").alias("at"))
-    return ev.join(at, "user_id").where("t > at").select("event_id", "event_type")
+    c = _speech(spark, sf)
+    return c.query(c.word).filter(c.word.follows(500)).columns(c.word.id.column_name("event_id"), c.word.label.column_name("event_type")).frame()
 
 
 @_query(f"WITH {_EV} SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER ({_W}) AS p FROM ev) WHERE p = 'error' AND event_type <> 'error'")
 def follows_pause(spark, sf):
-    ev = _events(spark, sf).withColumn("is_pause", F.col("event_type") == "error")
-    return ev.withColumn("hit", windows.next_to(ev, *CHAIN, "is_pause", "after")).where("hit AND NOT is_pause").select("event_id")
+    c = _speech(spark, sf)
+    c.encode_pauses(["error"])
+    return c.query(c.word).filter(c.word.follows_pause == True).columns(c.word.id.column_name("event_id")).frame()  # noqa: E712
 
 
 @_query(f"WITH {_EV} SELECT event_id FROM (SELECT event_id, event_type, lead(event_type) OVER ({_W}) AS p FROM ev) WHERE p = 'error' AND event_type <> 'error'")
 def precedes_pause(spark, sf):
-    ev = _events(spark, sf).withColumn("is_pause", F.col("event_type") == "error")
-    return ev.withColumn("hit", windows.next_to(ev, *CHAIN, "is_pause", "before")).where("hit AND NOT is_pause").select("event_id")
+    c = _speech(spark, sf)
+    c.encode_pauses(["error"])
+    return c.query(c.word).filter(c.word.precedes_pause == True).columns(c.word.id.column_name("event_id")).frame()  # noqa: E712
 
 
 @_query(f"""WITH {_EV}, m AS (SELECT *, event_type = 'error' AS p FROM ev), g AS (SELECT *, row_number() OVER ({_W}) - row_number() OVER (PARTITION BY user_id, p ORDER BY t, event_id) AS island FROM m)
@@ -263,15 +341,21 @@ SELECT following_event_type, round(avg(d), 4) AS average_duration, count(*) AS c
 
 @_query(_MINIMUM)
 def token_duration_by_following(spark, sf):
-    df = windows.neighbours(_events(spark, sf), *CHAIN, ["event_type", "t"], before=0).where("event_type = 'error' AND following_event_type IS NOT NULL")
-    return df.groupBy("following_event_type").agg(F.round(F.avg((F.col("following_t") - F.col("t")) / 1e6), 4).alias("average_duration"), F.count("*").alias("count_all"))
+    c = _speech(spark, sf, following=True)
+    w = c.word
+    q = c.query(w).filter(w.label == "error", w.following.label != None).group_by(w.following.label.column_name("following_event_type"))  # noqa: E711
+    found = q.columns(Average(w.duration).column_name("d"), Count()).frame()
+    return found.select("following_event_type", F.round(F.col("d") / 1e6, 4).alias("average_duration"), "count_all")
 
 
 @_query("""SELECT l_returnflag, count(*) AS count_all, round(avg(l_quantity), 6) AS average_quantity, round(sum(l_quantity), 2) AS sum_quantity, round(stddev_samp(l_quantity), 6) AS stdev_quantity,
 max(l_quantity) AS max_quantity, min(l_quantity) AS min_quantity FROM lineitem GROUP BY l_returnflag""")
 def group_aggregates(spark, sf):
-    q = "l_quantity"
-    return _t(spark, sf, "lineitem", "l_returnflag", q).groupBy("l_returnflag").agg(F.count("*").alias("count_all"), F.round(F.avg(q), 6).alias("average_quantity"), F.round(F.sum(q), 2).alias("sum_quantity"), F.round(F.stddev_samp(q), 6).alias("stdev_quantity"), F.max(q).alias("max_quantity"), F.min(q).alias("min_quantity"))
+    c = _sales(spark, sf)
+    x = c.line.l_quantity
+    q = c.query(c.line).group_by(c.line.l_returnflag.column_name("l_returnflag"))
+    found = q.columns(Count(), Average(x), Sum(x), Stdev(x), Max(x), Min(x)).frame()
+    return found.select("l_returnflag", "count_all", *(F.round(f"{n}_quantity", k).alias(f"{n}_quantity") for n, k in (("average", 6), ("sum", 2), ("stdev", 6))), "max_quantity", "min_quantity")
 
 
 @_query("""SELECT l_returnflag, percentile_disc(0.4) WITHIN GROUP (ORDER BY l_extendedprice) AS q40, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median,
@@ -395,8 +479,9 @@ def prototype_statistics(spark, sf):
 
 @_query(f"""WITH {_SESS}, r AS (SELECT user_id, session, count(*) / nullif((max(t) - min(t)) / 3600e6, 0) AS rate FROM ss GROUP BY user_id, session) SELECT user_id, round(avg(rate), 6) AS average_rate FROM r GROUP BY user_id""")
 def average_speech_rate(spark, sf):
-    rates = _sessions(spark, sf).groupBy("user_id", "session").agg(F.try_divide(F.count("*"), (F.max("t") - F.min("t")) / F.lit(3600e6)).alias("rate"))
-    return rates.groupBy("user_id").agg(F.round(F.avg("rate"), 6).alias("average_rate"))
+    c = _speech(spark, sf)
+    c.encode_utterances(_GAP)
+    return c.average_speech_rate("word").select(F.col("speaker").alias("user_id"), F.round(F.col("average_rate") * F.lit(3600e6), 6).alias("average_rate"))
 
 
 @_query("SELECT user_id, event_type, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value FROM events GROUP BY ALL")
@@ -414,23 +499,29 @@ def aggregate_filter(spark, sf):
 
 @_query("SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#11' AND p_size < 20")
 def lexicon_query(spark, sf):
-    return _t(spark, sf, "part").where("p_brand = 'Brand#11' AND p_size < 20").select("p_partkey", "p_name")
+    c = _sales(spark, sf)
+    p = c.lexicon_line
+    return c.query(p).filter(p.p_brand == "Brand#11", p.p_size < 20).columns(p.label.column_name("p_partkey"), p.p_name.column_name("p_name")).frame()
 
 
-def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.add_subset(_t(spark, sf, "part"), F.col("p_size") <= 10, "small")
+def _small(spark: SparkSession, sf: str) -> Corpus:
+    """Sales with small parts as a subset of types."""
+    c = _sales(spark, sf)
+    c.query(c.lexicon_line).filter(c.lexicon_line.p_size <= 10).create_subset("small")
+    return c
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 10 AND l_quantity > 45")
 def subset_filter(spark, sf):
-    small = _parts(spark, sf).where(enrich.in_subset("small")).select(F.col("p_partkey").alias("l_partkey"))
-    return _t(spark, sf, "lineitem").where("l_quantity > 45").join(small, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    c = _small(spark, sf)
+    return c.query(c.line).filter(c.line.subset == "small", c.line.l_quantity > 45).columns(*_shown(c.line)).frame()
 
 
 @_query("SELECT l_orderkey, count(*) FILTER (WHERE p_size <= 10) AS n_subset, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def subset_count(spark, sf):
-    joined = _t(spark, sf, "lineitem", "l_orderkey", "l_partkey").join(_parts(spark, sf).select(F.col("p_partkey").alias("l_partkey"), "subsets"), "l_partkey")
-    return joined.groupBy("l_orderkey").agg(F.count_if(enrich.in_subset("small")).alias("n_subset"), F.count("*").alias("n"))
+    c = _small(spark, sf)
+    own = c.order.line
+    return c.query(c.order).filter(own.count > 0).columns(c.order.id.column_name("l_orderkey"), own.filter_by_subset("small").count.column_name("n_subset"), own.count.column_name("n")).frame()
 
 
 @_query("SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL")
@@ -452,10 +543,9 @@ def metadata_factors(spark, sf):
 
 @_query("""SELECT l_suppkey, list(DISTINCT n_name ORDER BY n_name) AS discourses, count(DISTINCT n_name) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY l_suppkey""")
 def speaker_discourses(spark, sf):
-    people = _t(spark, sf, "customer", "c_custkey", "c_nationkey").join(_t(spark, sf, "nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
-    placed = _t(spark, sf, "orders", "o_orderkey", "o_custkey").join(people, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "n_name")
-    bridge = _t(spark, sf, "lineitem", "l_orderkey", "l_suppkey").join(placed, "l_orderkey").select("l_suppkey", "n_name").distinct()
-    return bridge.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("n_name")).alias("discourses"), F.count("*").alias("n"))
+    c = _sales(spark, sf)
+    found = c.query_speakers().columns(c.speaker.name.column_name("l_suppkey"), c.speaker.discourses.column_name("discourses")).frame()
+    return found.withColumn("n", F.size("discourses").cast("long"))
 
 
 @_query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -474,47 +564,24 @@ def csv_lexicon_case_insensitive(spark, sf):
 _VOWELS = ["a", "e", "i", "o", "u"]
 
 
-def _letters(spark: SparkSession, sf: str) -> DataFrame:
-    """The letters of the first word of each part's name as phones of a word."""
-    return _t(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("word_id"), F.split(F.get(F.split("p_name", " "), F.lit(0)), "").alias("phones"))
-
-
-@_query("SELECT o AS onset, count(*) AS freq FROM (SELECT regexp_extract(string_split(p_name, ' ')[1], '^([^aeiou]*)[aeiou]', 1) AS o, string_split(p_name, ' ')[1] AS w FROM part) WHERE regexp_matches(w, '[aeiou]') GROUP BY o")
-def onset_freq(spark, sf):
-    return syllables.onsets(_letters(spark, sf), _VOWELS).select(F.array_join("onset", "").alias("onset"), "freq")
-
-
-@_query("SELECT o AS coda, count(*) AS freq FROM (SELECT regexp_extract(string_split(p_name, ' ')[1], '[aeiou]([^aeiou]*)$', 1) AS o, string_split(p_name, ' ')[1] AS w FROM part) WHERE regexp_matches(w, '[aeiou]') GROUP BY o")
-def coda_freq(spark, sf):
-    return syllables.codas(_letters(spark, sf), _VOWELS).select(F.array_join("coda", "").alias("coda"), "freq")
-
-
-@_query("""WITH w AS (SELECT DISTINCT regexp_extract(string_split(p_name, ' ')[1], '[aeiou]([^aeiou]+)[aeiou]', 1) AS c FROM part) SELECT c AS consonants,
-(SELECT min(i) FROM (SELECT unnest(range(0, len(c) + 1)) AS i) WHERE substr(c, (i + 1)::INTEGER) IN ('', 'l', 'n', 'r', 'd', 't', 'st', 'ch', 'nd'))::INTEGER AS split FROM w WHERE c <> ''""")
-def maxonset_split(spark, sf):
-    runs = _t(spark, sf, "part").select(F.regexp_extract(F.get(F.split("p_name", " "), F.lit(0)), "[aeiou]([^aeiou]+)[aeiou]", 1).alias("consonants")).where("consonants <> ''").distinct()
-    legal = [list(x) for x in ("", "l", "n", "r", "d", "t", "st", "ch", "nd")]
-    return runs.select("consonants", syllables.longest_onset_split(F.split("consonants", ""), legal).cast("int").alias("split"))
-
-
 def _all_words(spark: SparkSession, sf: str) -> DataFrame:
     """All words of each part's name, a row each."""
     return _t(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("word_id"), F.explode(F.split("p_name", " ")).alias("word"))
 
 
 @_query("SELECT regexp_extract(w, '^([^aeiou]*)[aeiou]', 1) AS onset, count(*) AS freq FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE regexp_matches(w, '[aeiou]') GROUP BY onset")
-def onset_freq_all_words(spark, sf):
+def onset_freq(spark, sf):
     return syllables.onsets(_all_words(spark, sf).withColumn("phones", F.split("word", "")), _VOWELS).select(F.array_join("onset", "").alias("onset"), "freq")
 
 
 @_query("SELECT regexp_extract(w, '[aeiou]([^aeiou]*)$', 1) AS coda, count(*) AS freq FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE regexp_matches(w, '[aeiou]') GROUP BY coda")
-def coda_freq_all_words(spark, sf):
+def coda_freq(spark, sf):
     return syllables.codas(_all_words(spark, sf).withColumn("phones", F.split("word", "")), _VOWELS).select(F.array_join("coda", "").alias("coda"), "freq")
 
 
 @_query("""WITH p AS (SELECT string_split_regex(w, '[aeiou]') AS s FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)), w AS (SELECT DISTINCT unnest(s[2:len(s) - 1]) AS c FROM p WHERE len(s) > 2) SELECT c AS consonants,
 (SELECT min(i) FROM (SELECT unnest(range(0, len(c) + 1)) AS i) WHERE substr(c, (i + 1)::INTEGER) IN ('', 'l', 'n', 'r', 'd', 't', 'st', 'ch', 'nd'))::INTEGER AS split FROM w WHERE c <> ''""")
-def maxonset_split_all_words(spark, sf):
+def maxonset_split(spark, sf):
     # a vowel can end one run and begin the next
     runs = _all_words(spark, sf).select(F.explode(F.regexp_extract_all("word", F.lit("[aeiou]([^aeiou]+)(?=[aeiou])"), F.lit(1))).alias("consonants")).distinct()
     legal = [list(x) for x in ("", "l", "n", "r", "d", "t", "st", "ch", "nd")]
@@ -533,17 +600,21 @@ def stress_from_property(spark, sf):
 
 @_query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' END AS size_class FROM orders")
 def dml_set(spark, sf):
-    return enrich.update(_t(spark, sf, "orders"), F.col("o_totalprice") > 300000, size_class="large").select("o_orderkey", "size_class")
+    c = _sales(spark, sf)
+    c.query(c.order).filter(c.order.o_totalprice > 300000).set_properties(size_class="large")
+    return c.query(c.order).columns(c.order.id.column_name("o_orderkey"), c.order.size_class.column_name("size_class")).frame()
 
 
 @_query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')")
 def dml_delete(spark, sf):
-    return enrich.delete(_t(spark, sf, "orders"), F.col("o_orderstatus") == "F").select("o_orderkey")
+    c = _sales(spark, sf)
+    c.query(c.order).filter(c.order.o_orderstatus == "F").delete()
+    return c.query(c.order).columns(c.order.id.column_name("o_orderkey")).frame()
 
 
 @_query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN ['small'] ELSE [] END AS subsets FROM part")
 def dml_subset(spark, sf):
-    return _parts(spark, sf).select("p_partkey", "subsets")
+    return _small(spark, sf).types["line"].select(F.col("label").alias("p_partkey"), "subsets")
 
 
 @_query("SELECT * FROM (SELECT s_suppkey, s_name FROM supplier) WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)")
@@ -553,7 +624,9 @@ def orphan_removal(spark, sf):
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
 def order_limit_offset(spark, sf):
-    return _t(spark, sf, "orders", "o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(20)
+    c = _sales(spark, sf)
+    o = c.order
+    return c.query(o).columns(o.id.column_name("o_orderkey"), o.o_totalprice.column_name("o_totalprice")).order_by(o.o_totalprice, descending=True).order_by(o.id).offset(10).limit(20).frame()
 
 
 @_query("SELECT o_custkey, o_orderkey, r::INTEGER AS place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
@@ -566,3 +639,145 @@ def top_k_per_group(spark, sf):
 def set_operations(spark, sf):
     a, b, c = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), _t(spark, sf, "supplier").select("s_nationkey"), _t(spark, sf, "customer").where("c_acctbal < -900").select("c_nationkey")
     return a.union(b).distinct().subtract(c)
+
+
+# -- more of the query language and of stored enrichment ----------------------------------
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice <= 300000 OR o_totalprice IS NULL")
+def query_missing_property(spark, sf):
+    c = _sales(spark, sf)
+    c.query(c.order).filter(c.order.o_totalprice > 300000).set_properties(size_class="large")
+    return c.query(c.order).filter(c.order.size_class == None).columns(c.order.id.column_name("o_orderkey")).frame()  # noqa: E711
+
+
+@_query(f"""WITH {_EV}, a AS (SELECT user_id AS u, t AS anchor FROM ev WHERE event_id = 500)
+SELECT event_id FROM ev LEFT JOIN a ON u = user_id WHERE coalesce(t < anchor, false) OR event_type = 'signup'""")
+def query_order_in_alternative(spark, sf):
+    c = _speech(spark, sf)
+    return c.query(c.word).filter(or_(c.word.precedes(500), c.word.label == "signup")).columns(c.word.id.column_name("event_id")).frame()
+
+
+@_query(f"WITH {_EV}, a AS (SELECT user_id AS u, t AS anchor FROM ev WHERE event_id = 500) SELECT event_id FROM ev LEFT JOIN a ON u = user_id WHERE NOT coalesce(t < anchor, false)")
+def query_not_precedes(spark, sf):
+    c = _speech(spark, sf)
+    return c.query(c.word).filter(c.word.not_precedes(500)).columns(c.word.id.column_name("event_id")).frame()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
+def query_subquery_in_alternative(spark, sf):
+    c = _sales(spark, sf)
+    inner = c.query(c.line).filter(c.line.l_quantity >= 49).columns(c.line.order_id)
+    return c.query(c.order).filter(or_(c.order.o_orderpriority == "1-URGENT", c.order.id.in_(inner))).columns(c.order.id.column_name("o_orderkey")).frame()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice < 5000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50)")
+def query_below_in_alternative(spark, sf):
+    c = _sales(spark, sf)
+    return c.query(c.order).filter(or_(c.order.o_totalprice < 5000, c.order.line.l_quantity == 50)).columns(c.order.id.column_name("o_orderkey")).frame()
+
+
+@_query("SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > o_totalprice / 5000 GROUP BY o_orderkey")
+def query_below_against_attribute(spark, sf):
+    c = _sales(spark, sf)
+    c.tokens["order"] = c.tokens["order"].withColumn("bar", F.col("o_totalprice") / 5000)
+    c.schema.add("token", "order", bar="double")
+    own = c.order.line
+    return c.query(c.order).filter(own.l_quantity > c.order.bar).columns(c.order.id.column_name("o_orderkey"), own.count.column_name("n")).frame()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey IN (7, 11, 13, 17, 19))")
+def query_contains(spark, sf):
+    c = _sales(spark, sf)
+    return c.query(c.order).filter(c.order.contains("line", 7, 11, 13, 17, 19)).columns(c.order.id.column_name("o_orderkey")).frame()
+
+
+@_query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id HAVING count(*) >= 50 AND max(value) > 100")
+def query_having(spark, sf):
+    c = _speech(spark, sf)
+    q = c.query(c.word).group_by(c.word.user_id.column_name("user_id")).filter(Count() >= 50, Max(c.word.value) > 100)
+    found = q.columns(Count().column_name("n"), Average(c.word.value).column_name("mean_value")).frame()
+    return found.withColumn("mean_value", F.round("mean_value", 6))
+
+
+@_query("SELECT n_name AS discourse, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS speakers FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
+def discourse_speakers(spark, sf):
+    c = _sales(spark, sf)
+    return c.query_discourses().columns(c.discourse.name.column_name("discourse"), c.discourse.speakers.column_name("speakers")).frame()
+
+
+@_query(f"""WITH {_EV}, m AS (SELECT *, event_type = 'error' AS p FROM ev), g AS (SELECT *, row_number() OVER ({_W}) - row_number() OVER (PARTITION BY user_id, p ORDER BY t, event_id) AS island FROM m),
+runs AS (SELECT user_id, island, (max(t) - min(t))::BIGINT AS pause, count(*) AS n FROM g WHERE p GROUP BY user_id, island), x AS (SELECT *, lead(p) OVER ({_W}) AS np, lead(island) OVER ({_W}) AS ni FROM g)
+SELECT event_id, pause, n FROM x JOIN runs ON runs.user_id = x.user_id AND runs.island = x.ni WHERE np AND NOT p""")
+def query_following_pause(spark, sf):
+    c = _speech(spark, sf)
+    c.encode_pauses(["error"])
+    pause = c.word.following_pause
+    return c.query(c.word).filter(pause.count > 0).columns(c.word.id.column_name("event_id"), pause.duration.column_name("pause"), pause.count.column_name("n")).frame()
+
+
+@_query(f"WITH {_SESS} SELECT user_id, min(t)::BIGINT AS first_t, max(t)::BIGINT AS last_t, arg_min(event_id, (t, event_id)) AS first_event, arg_max(event_id, (t, event_id)) AS last_event FROM ss GROUP BY user_id, session")
+def corpus_utterance_words(spark, sf):
+    found = _speech(spark, sf).utterance_words(_GAP)
+    return found.select(F.col("speaker").alias("user_id"), F.col("begin").alias("first_t"), F.col("end").alias("last_t"), F.col("first_id").alias("first_event"), F.col("last_id").alias("last_event"))
+
+
+@_query(f"WITH {_SESS} SELECT user_id, min(t)::BIGINT AS first_t, round(count(*) / nullif((max(t) - min(t)) / 3600e6, 0), 6) AS rate FROM ss GROUP BY user_id, session")
+def corpus_speech_rate(spark, sf):
+    c = _speech(spark, sf)
+    c.encode_utterances(_GAP)
+    c.encode_rate("utterance", "word", "speech_rate")
+    u = c.utterance
+    found = c.query(u).columns(u.speaker.name.column_name("user_id"), u.begin.column_name("first_t"), u.speech_rate.column_name("rate")).frame()
+    return found.withColumn("rate", F.round(F.col("rate") * F.lit(3600e6), 6))
+
+
+@_query(f"WITH {_SESS} SELECT event_id, rank() OVER (PARTITION BY user_id, session ORDER BY t)::INTEGER AS place FROM ss")
+def corpus_utterance_position(spark, sf):
+    c = _speech(spark, sf)
+    c.encode_utterances(_GAP)
+    c.encode_utterance_position()
+    return c.query(c.word).columns(c.word.id.column_name("event_id"), c.word.position_in_utterance.column_name("place")).frame()
+
+
+@_query("SELECT l_partkey, l_suppkey % 10 AS speaker, round(median(l_quantity), 6) AS median_quantity FROM lineitem GROUP BY ALL")
+def corpus_measure(spark, sf):
+    found = _sales(spark, sf, "l_suppkey % 10").measure("line", "median", "l_quantity", by_speaker=True)
+    return found.select(F.col("label").alias("l_partkey"), "speaker", F.round("median_l_quantity", 6).alias("median_quantity"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, round(m, 6) AS mean_quantity, round(s, 6) AS sd_quantity FROM (SELECT *, l_suppkey % 10 AS speaker FROM lineitem) JOIN (SELECT l_partkey, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) USING (l_partkey)
+JOIN (SELECT l_partkey, l_suppkey % 10 AS speaker, stddev_samp(l_quantity) AS s FROM lineitem GROUP BY ALL) USING (l_partkey, speaker)""")
+def corpus_encode_measure(spark, sf):
+    c = _sales(spark, sf, "l_suppkey % 10")
+    c.encode_measure("line", "mean", "l_quantity")
+    c.encode_measure("line", "stdev", "l_quantity", by_speaker=True)
+    x = c.line
+    found = c.query(x).columns(x.order_id.column_name("l_orderkey"), x.l_linenumber.column_name("l_linenumber"), x.mean_l_quantity.column_name("mean_quantity"), x.sd_l_quantity_by_speaker.column_name("sd_quantity")).frame()
+    return found.withColumns({n: F.round(n, 6) for n in ("mean_quantity", "sd_quantity")})
+
+
+@_query("SELECT o_orderkey, round(sum(m), 6) AS baseline FROM orders LEFT JOIN (lineitem JOIN (SELECT l_partkey, avg(l_quantity) AS m FROM lineitem GROUP BY l_partkey) USING (l_partkey)) ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def corpus_encode_baseline(spark, sf):
+    c = _sales(spark, sf)
+    c.encode_baseline("order", "l_quantity", lower="line")
+    found = c.query(c.order).columns(c.order.id.column_name("o_orderkey"), c.order.baseline_l_quantity.column_name("baseline")).frame()
+    return found.withColumn("baseline", F.round("baseline", 6))
+
+
+@_query("""SELECT o_orderkey, round(avg(CASE WHEN l_orderkey IS NULL THEN NULL WHEN s > 0 THEN (l_quantity - m) / s ELSE 0 END), 6) AS relativised FROM orders LEFT JOIN (lineitem JOIN
+(SELECT l_partkey, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem GROUP BY l_partkey) USING (l_partkey)) ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def corpus_encode_relativized(spark, sf):
+    c = _sales(spark, sf)
+    c.encode_relativized("order", "l_quantity", lower="line")
+    found = c.query(c.order).columns(c.order.id.column_name("o_orderkey"), c.order.relativized_l_quantity.column_name("relativised")).frame()
+    return found.withColumn("relativised", F.round("relativised", 6))
+
+
+@_query("SELECT user_id, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id")
+def corpus_acoustic_statistic(spark, sf):
+    c = _speech(spark, sf)
+    c.tracks["pitch"] = c.tokens["word"].select("discourse", "speaker", F.col("begin").alias("time"), "value")
+    c.encode_acoustic_statistic("pitch", "value")
+    found = c.query_speakers().columns(c.speaker.name.column_name("user_id"), c.speaker.mean_value.column_name("mean_value")).frame()
+    return found.withColumn("mean_value", F.round("mean_value", 6))

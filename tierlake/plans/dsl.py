@@ -130,6 +130,8 @@ class Node:
             if name not in ("label", "subset") and not schema.has("type", self.level, name):
                 raise AttributeMissing(f"types of {self.level} have no {name!r}")
             return Attribute(self, name)
+        if name.endswith("_id") and name.removesuffix("_id") in schema.higher(self.level):
+            return Attribute(self, name)
         known = name in ("id", "label", "begin", "end", "duration", "subset", "follows_pause", "precedes_pause", "count", "rate", "position")
         if not known and not schema.has("token", self.level, name) and not schema.has("type", self.level, name):
             raise AttributeMissing(f"{self.level} has no {name!r}")
@@ -262,6 +264,8 @@ class _Plan:
         self.needed = {v.node.node_key for c in query.flat() if c.op != "or" for v in c.values() if not isinstance(v, Aggregate)}
         self.prefixes: dict[tuple, str] = {}
         self.markers = 0
+        #: What tells a row that matches, if no row was dropped before.
+        self.whole: list[Column] = []
         self.df = self._prefixed(self._frame(()), "n0")
         self.prefixes[()] = "n0"
 
@@ -670,6 +674,11 @@ class Query:
         conditions = [plan.test(c) for c in self.clauses if not any(c is d for d in semis)]
         for v in plan.wanted:
             plan.column(v)
+        if not semis and not self.node.subsets and not plan.markers and "is_pause" not in self._table().columns:
+            every = F.lit(True)
+            for c in conditions:
+                every = every & F.coalesce(c, F.lit(False))
+            plan.whole.append(every)
         orders = [plan.anchor(c) for c in semis if c.op == "order"]
         df = plan.df
         for k, (one, on) in enumerate(orders):
@@ -777,12 +786,17 @@ class Query:
     # -- changes; each replaces the corpus's table by a new plan
 
     def _change(self, f: Callable[[DataFrame, Column], DataFrame]) -> None:
-        _, df = self._matched()
-        corpus, level = self.node.corpus, self.node.root
-        key = "name" if self.node.entity else "label" if self.node.lexicon else "id"
-        hits = df.select(F.col(f"n0__{key}").alias("_hit")).distinct()
-        marked = self._table().join(hits, F.col(key) == F.col("_hit"), "left")
-        new = f(marked, F.col("_hit").isNotNull()).drop("_hit")
+        plan, df = self._matched()
+        corpus, level, table = self.node.corpus, self.node.root, self._table()
+        if len(plan.prefixes) == 1 and plan.whole:
+            # nothing but the rows' own columns decides
+            marked = plan.df.select(*(F.col(f"n0__{c}").alias(c) for c in table.columns), plan.whole[0].alias("_hit"))
+            new = f(marked, F.col("_hit")).drop("_hit")
+        else:
+            key = "name" if self.node.entity else "label" if self.node.lexicon else "id"
+            hits = df.select(F.col(f"n0__{key}").alias("_hit")).distinct()
+            marked = table.join(hits, F.col(key) == F.col("_hit"), "left")
+            new = f(marked, F.col("_hit").isNotNull()).drop("_hit")
         if self.node.entity:
             setattr(corpus, f"{level}s", new)
         else:
