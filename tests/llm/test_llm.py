@@ -385,6 +385,24 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(table.limit(0), table, 5).count() == 0
 
 
+@pytest.mark.parametrize("scale", [10**6, 10**9, 10**13])
+def test_top_k_is_exact_for_large_numbers(spark, monkeypatch, scale):
+    """Scores beyond 2**53 and beyond 64 bits, and rows that share a vec_id."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    chance = random.Random(scale)
+    base = [scale + chance.randrange(5) for _ in range(8)]
+    rows = [(i // 2, [float(v + chance.randrange(3)) for v in base]) for i in range(200)]
+    rows += [(3, rows[0][1])] * 2
+    table = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {}
+    for r in topk.top_k(table, table.where("vec_id % 10 = 0"), 5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    dot = lambda x, y: sum(int(a) * int(b) for a, b in zip(x, y))
+    for q in range(0, 100, 10):
+        pairs = sorted((-min(dot(x, y), 2**63 - 1), j) for i, x in rows if i == q for j, y in rows if j != q)[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(j, -s) for s, j in pairs]
+
+
 def test_shingles_of_slices():
     import pyarrow as pa
 

@@ -1,22 +1,32 @@
 """Exact top-k inner-product search by ball trees, branch and bound in each shard.
 
-Candidates are dealt into shards of bounded size, queries into blocks of bounded size; each
-(shard, block) pair is one group. A first pass answers each block in one shard only; the k-th
-score it finds is a lower bound that all shards share in the second pass, where it rises further
-from leaf to leaf. A node can be skipped for a query if q.c + |q| r (centre c, radius r) is below it.
+Candidates are dealt to the nearest of some pivots, and large clusters into shards of bounded
+size, each searched through a ball tree of its own. A query first asks one shard of its most
+promising cluster; the k-th score so far is a lower bound that the shards of the next wave share:
+only clusters whose ball reaches it are asked. A node or cluster can be skipped for a query if
+q.c + |q| r (centre c, radius r) is below the bound. Inside a shard the bound rises from leaf to leaf.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierlake.llm.runtime import Workspace, give_back
+
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF_ROWS = 64
+#: Most pivots; they and their clusters' balls travel to the driver and to each task.
+PIVOTS = 1024
+#: Clusters that are asked before the last wave.
+NEAR = 3
+_LONG = 2**63
 
 
 class BallTree:
@@ -70,21 +80,41 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _bound(q: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of queries with balls, rounded up."""
+    out = q @ centre.T + np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * radius
+    return out + 1e-9 * np.abs(out) + 1e-6
+
+
+def _exactly(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type in which their inner products are exact: doubles up to 2**53, then 64-bit and at last Python's integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
+    if most < 2**53:
+        return q, x
+    if most < 2**62:
+        return q.astype(np.int64), x.astype(np.int64)
+    return tuple(np.array([[int(v) for v in row] for row in y], object).reshape(y.shape) for y in (q, x))
+
+
 def _search(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if candidates.num_rows and queries.num_rows:
             x, ids = _matrix(candidates["v"]), candidates["vec_id"].to_numpy()
             q, names = _matrix(queries["q"]), queries["query_id"].to_numpy()
             tree = BallTree(x)
             x, ids = x[tree.order], ids[tree.order]
             shared = queries["kth"].to_numpy()
-            least = np.where(np.isnan(shared), -np.inf, shared)
-            best: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]  # (score, -id), the best first
+            # a score beyond 2**53 may have been rounded up
+            least = np.where(np.isnan(shared), -np.inf, shared - 1e-15 * np.abs(shared))
+            exact_q, exact_x = _exactly(q, x)
+            best: list[list[tuple]] = [[] for _ in range(len(q))]  # (score, -id), the best first
             for a, b, who in tree.leaves(q, np.sqrt(np.einsum("ij,ij->i", q, q)), least):
-                scores = q[who] @ x[a:b].T
+                scores = exact_q[who] @ exact_x[a:b].T
+                if scores.dtype == object:
+                    scores = np.minimum(np.maximum(scores, -_LONG), _LONG - 1)
                 own = names[who][:, None] == ids[a:b][None, :]
-                hits = (scores >= least[who][:, None]) & ~own
+                hits = (scores >= least[who][:, None]).astype(bool) & ~own
                 for i in np.flatnonzero(hits.any(1)):
                     j = np.flatnonzero(hits[i])
                     row = best[who[i]]
@@ -92,51 +122,133 @@ def _search(k: int):
                     row.sort(reverse=True)
                     del row[k:]
                     if len(row) == k:
-                        least[who[i]] = max(least[who[i]], row[-1][0])
-            for name, row in zip(names.tolist(), best):
-                out[0] += [name] * len(row)
-                out[1] += [-i for _, i in row]
-                out[2] += [int(v) for v, _ in row]
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                        worst = float(row[-1][0])
+                        least[who[i]] = max(least[who[i]], worst - (1e-15 * abs(worst) if abs(worst) >= 2**53 else 0))
+            for key, name, row in zip(queries["key"].to_pylist(), names.tolist(), best):
+                out[0] += [key] * len(row)
+                out[1] += [name] * len(row)
+                out[2] += [-i for _, i in row]
+                out[3] += [int(v) for v, _ in row]
+        give_back()
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["key", "query_id", "vec_id", "score"])
 
     return run
 
 
+class _TopK:
+    """One search: vectors dealt to clusters, queries with keys of their own, and what was found so far."""
+
+    def __init__(self, vectors: DataFrame, queries: DataFrame, k: int):
+        self.k, self.space = k, Workspace(vectors.sparkSession, "top-k")
+        fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+        clean = lambda df: df.select("vec_id", "v").where("vec_id is not null and size(v) > 0").where(fine).withColumn("dim", F.size("v"))
+        self.queries = self.space.keep(clean(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", F.monotonically_increasing_id().alias("key")), "queries")
+        vectors = clean(vectors)
+        few = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOTS).select("dim", "v").toArrow()
+        # a cluster for each SHARD_ROWS rows at most, as smaller ones need more groups than they spare
+        n = max(1, min(PIVOTS, -(-vectors.count() // SHARD_ROWS)))
+        pivots: dict[int, np.ndarray] = {}
+        for dim, v in zip(few["dim"].to_pylist()[:n], few["v"].to_pylist()[:n]):
+            pivots.setdefault(dim, []).append(v)
+        self.pivots = pivots = {d: np.unique(np.array(v, float), axis=0) for d, v in pivots.items()}
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = batch.column("dim").to_numpy()
+                for dim in np.unique(dims):
+                    own = batch.filter(pa.array(dims == dim))
+                    x, p = _matrix(own.column("v")), pivots.get(int(dim))
+                    if p is None:
+                        at, far = np.full(len(x), -1), np.zeros(len(x))
+                    else:
+                        at = (x @ p.T - 0.5 * np.einsum("ij,ij->i", p, p)).argmax(1)
+                        far = np.sqrt(np.einsum("ij,ij->i", x - p[at], x - p[at])) * (1 + 1e-12)
+                    yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), own.column("dim"), pa.array(at.astype(np.int32)), pa.array(far)], ["vec_id", "v", "dim", "pivot", "far"])
+
+        dealt = vectors.mapInArrow(deal, "vec_id long, v array<double>, dim int, pivot int, far double")
+        dealt = self.space.keep(dealt.withColumn("row", F.monotonically_increasing_id()), "vectors")
+        sizes = dealt.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+        self.sizes = self.space.keep(sizes.withColumn("salts", F.ceil(F.col("n") / SHARD_ROWS).cast("long")), "sizes", narrow=True)
+        self.vectors = dealt.join(self.sizes.select("dim", "pivot", "salts"), ["dim", "pivot"]).withColumn("salt", F.pmod("row", "salts")).select("vec_id", "v", "dim", "pivot", "salt")
+        # PIVOTS rows at most: clusters of lengths without a pivot are always asked
+        self.radius = {(r.dim, r.pivot): r.radius for r in self.sizes.where("pivot >= 0").collect()}
+        self.found: DataFrame | None = None
+
+    def _asked(self, wave: int) -> DataFrame:
+        """The queries of a wave for each shard: the first asks one shard of the most promising cluster, the second the NEAR best, the third all others that reach the k-th score."""
+        pivots, radius = self.pivots, self.radius
+        asking = self.queries.withColumn("kth", F.lit(None).cast("double"))
+        if self.found is not None:
+            order = Window.partitionBy("key").orderBy(F.desc("score"))
+            kth = self.found.select("key", "score", F.row_number().over(order).alias("_r")).where(F.col("_r") == self.k).select("key", F.col("score").cast("double").alias("kth"))
+            asking = self.queries.join(kth, "key", "left")
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = batch.column("dim").to_numpy()
+                for dim in np.unique(dims):
+                    own = batch.filter(pa.array(dims == dim))
+                    p = pivots.get(int(dim))
+                    if p is None:
+                        who, at = np.arange(own.num_rows), np.full(own.num_rows, -1)
+                        place = np.zeros(own.num_rows, np.int64)
+                    else:
+                        reach = np.array([radius.get((int(dim), i), -np.inf) for i in range(len(p))])
+                        bounds = np.where(np.isinf(reach), -np.inf, _bound(_matrix(own.column("q")), p, np.where(np.isinf(reach), 0, reach)))
+                        kth = own.column("kth").to_numpy(zero_copy_only=False).astype(float)
+                        least = np.where(np.isnan(kth), -np.inf, kth - 1e-15 * np.abs(kth))
+                        order = np.argsort(-bounds, axis=1, kind="stable")
+                        ranked = np.take_along_axis(bounds, order, 1)
+                        who, place = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
+                        at = order[who, place]
+                    if wave < 3:
+                        use = place < (1 if wave == 1 else NEAR)
+                    else:
+                        use = place >= NEAR
+                    who, at, place = who[use], at[use], place[use]
+                    for i in range(0, len(who), 4096):
+                        part = own.take(pa.array(who[i : i + 4096]))
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "query_id", "q", "dim", "kth")), pa.array(at[i : i + 4096].astype(np.int32)), pa.array(place[i : i + 4096] == 0)], ["key", "query_id", "q", "dim", "kth", "pivot", "home"])
+
+        chosen = asking.mapInArrow(choose, "key long, query_id long, q array<double>, dim int, kth double, pivot int, home boolean")
+        chosen = chosen.join(self.sizes.select("dim", "pivot", "salts"), ["dim", "pivot"])
+        first = F.pmod("key", "salts")
+        if wave == 1:
+            return chosen.withColumn("salt", first)
+        return chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).where(~F.col("home") | (F.col("salt") != first))
+
+    def ask(self, wave: int) -> None:
+        shard = ["dim", "pivot", "salt"]
+        asked, seen = self.space.noted(self._asked(wave).select("key", "query_id", "q", "kth", *shard), "asked", rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            return
+        blocks = asked.groupBy(*shard).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("long").alias("blocks"))
+        asked = asked.join(blocks, shard).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).drop("blocks")
+        # a shard goes to as many groups as its queries fill, and to none if no query asks it
+        near = self.vectors.join(blocks, shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        run = _search(self.k)
+        found = near.groupBy(*shard, "block").cogroup(asked.groupBy(*shard, "block")).applyInArrow(lambda a, b: run(a, b), "key long, query_id long, vec_id long, score long")
+        new = self.space.keep(found, "found", narrow=True)
+        self.found = new if self.found is None else self.found.union(new)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of `vectors` with the largest inner product, ties to the smaller vec_id.
 
-    Both tables have vec_id (long) and v (array<double>, whole numbers whose inner products stay
-    below 2**53, as those are exact). A query's own vec_id is no candidate. Rows with a null id
-    or vector, or a vector with a null or non-finite component, take no part; of rows that share
-    a vec_id the one with the smallest vector does; vectors meet only those of their own length.
+    Both tables have vec_id (long) and v (array<double> of whole numbers). Scores are exact; one
+    beyond 64 bits counts as the largest or smallest long. Each row is a candidate of
+    its own, also where rows share a vec_id; candidates with the query's vec_id are left out, and
+    queries that share an id are ranked together. Rows with a null id or vector, or a vector with
+    a null or non-finite component, take no part; vectors meet only those of their own length.
     Fewer than k candidates give fewer rows, an empty table none; other columns are ignored.
     """
-
-    def clean(df: DataFrame) -> DataFrame:
-        fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-        return df.select("vec_id", "v").where("vec_id is not null and size(v) > 0").where(fine).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-
-    vectors = clean(vectors)
-    queries = clean(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim"))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    queries = queries.withColumn("q_block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    schema = "query_id long, vec_id long, score long"
-    run = _search(k)
-
-    def answer(candidates: DataFrame, asked: DataFrame) -> DataFrame:
-        return candidates.groupBy("dim", "shard", "block").cogroup(asked.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(lambda a, b: run(a, b), schema)
-
-    home = lambda block: F.pmod(F.col(block), F.lit(shards)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("int"), F.lit(n - 1).cast("int")))
-    everywhere = vectors.withColumn("block", numbers(blocks))
-    first = answer(everywhere.where(home("block") == F.col("shard")), queries.withColumn("q_shard", home("q_block")).withColumn("kth", F.lit(None).cast("double")))
-    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth")).where(F.col("n") == k)
-    asked = queries.join(kth.select("query_id", "kth"), "query_id", "left").withColumn("q_shard", numbers(shards))
+    search = _TopK(vectors, queries, k)
+    for wave in (1, 2, 3):
+        search.ask(wave)
+    if search.found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = answer(everywhere, asked)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search.found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
