@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tierlake.llm.columns import coded
 from tierlake.llm.columns import distinct as distinct_in
-from tierlake.llm.labelled import SAMPLE_ROWS, held_out, sample
+from tierlake.llm.labelled import SAMPLE_ROWS, gathered, held_out, sample
 from tierlake.llm.runtime import documents, slices
 
 BITS = 14
@@ -103,8 +103,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, factors: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-4, batch: int = 128) -> Model:
-    """Fit on at most `rows` labelled rows (see labelled.sample) by AdaGrad. Without any, every score is a half."""
+@dataclass(frozen=True)
+class Settings:
+    """Factors of a feature, AdaGrad's epochs, rate and batch, and the penalty."""
+
+    factors: int = 4
+    epochs: int = 12
+    rate: float = 0.1
+    l2: float = 1e-4
+    batch: int = 128
+
+
+def _examples(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Feature numbers, values and truths of at most `rows` labelled rows, in order of ids, labels and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -115,44 +126,70 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             pack = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pack(what), pack(x)], ["doc_id", "y", "what", "x"])
 
-    known = sample(docs, labels, label, rows).mapInArrow(run, "doc_id long, y int, what binary, x binary").toArrow()
+    known = gathered(sample(docs, labels, label, rows).mapInArrow(run, "doc_id long, y int, what binary, x binary"), "what", rows)
     examples = sorted(zip(*(known[c].to_pylist() for c in ("doc_id", "y", "what", "x"))))
+    return [np.frombuffer(e[2], np.uint32) for e in examples], [np.frombuffer(e[3], np.float32) for e in examples], np.array([e[1] for e in examples], float)
+
+
+def learn(what: list[np.ndarray], x: list[np.ndarray], truth: np.ndarray, settings: Settings = Settings()) -> Model:
+    """A factorisation machine by AdaGrad over examples in a random order that is always the same. Without examples, every score is a half."""
+    s = settings
     chance = np.random.default_rng(13)
-    v = chance.normal(0, 0.05, (SIZE, factors))
+    v = chance.normal(0, 0.05, (SIZE, s.factors))
     w = np.zeros(SIZE)
-    if not examples:
-        return Model(0.0, w.astype(np.float32), np.zeros((SIZE, factors), np.float32))
-    truth = np.array([e[1] for e in examples], float)
+    if not len(what):
+        return Model(0.0, w.astype(np.float32), np.zeros((SIZE, s.factors), np.float32))
     share = np.clip(truth.mean(), 1e-3, 1 - 1e-3)
     b = float(np.log(share / (1 - share)))
-    what = [np.frombuffer(e[2], np.uint32) for e in examples]
-    x = [np.frombuffer(e[3], np.float32) for e in examples]
-    del known
-    gw, gv, gb = np.full(SIZE, 1e-2), np.full((SIZE, factors), 1e-2), 1e-2
-    for _ in range(epochs):
-        order = chance.permutation(len(examples))
-        for begin in range(0, len(order), batch):
-            some = order[begin : begin + batch]
+    gw, gv, gb = np.full(SIZE, 1e-2), np.full((SIZE, s.factors), 1e-2), 1e-2
+    for _ in range(s.epochs):
+        order = chance.permutation(len(what))
+        for begin in range(0, len(order), s.batch):
+            some = order[begin : begin + s.batch]
             who = np.repeat(np.arange(len(some)), [len(what[i]) for i in some])
             at, xs = np.concatenate([what[i] for i in some]).astype(np.int64), np.concatenate([x[i] for i in some]).astype(float)
             logit, sums = _values(Model(b, w, v), who, at, xs, len(some))
             error = (_sigmoid(logit) - truth[some]) / len(some)
             ex = error[who] * xs
             used, at = np.unique(at, return_inverse=True)
-            g = np.bincount(at, ex, minlength=len(used)) + l2 * w[used]
+            g = np.bincount(at, ex, minlength=len(used)) + s.l2 * w[used]
             gw[used] += g * g
-            w[used] -= rate * g / np.sqrt(gw[used])
-            for f in range(factors):
+            w[used] -= s.rate * g / np.sqrt(gw[used])
+            for f in range(s.factors):
                 own = v[used, f]
-                g = np.bincount(at, ex * (sums[who, f] - own[at] * xs), minlength=len(used)) + l2 * own
+                g = np.bincount(at, ex * (sums[who, f] - own[at] * xs), minlength=len(used)) + s.l2 * own
                 gv[used, f] += g * g
-                v[used, f] = own - rate * g / np.sqrt(gv[used, f])
+                v[used, f] = own - s.rate * g / np.sqrt(gv[used, f])
             g = error.sum()
             gb += g * g
-            b -= rate * g / np.sqrt(gb)
+            b -= s.rate * g / np.sqrt(gb)
     return Model(float(b), w.astype(np.float32), v.astype(np.float32))
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> Model:
+    """Fit on at most `rows` labelled rows (see labelled.sample). Without any, every score is a half."""
+    return learn(*_examples(docs, labels, label, rows), settings)
+
+
+def fold_losses(docs: DataFrame, labels: DataFrame, settings: Sequence[Settings], label: str = "quality", rows: int = SAMPLE_ROWS, folds: int = 3) -> list[float]:
+    """The mean log loss of each settings over folds of the rows that may be learnt from; held-out rows play no part. The defaults were chosen by it."""
+    what, x, truth = _examples(docs, labels, label, rows)
+    fold = np.random.default_rng(3).integers(0, folds, len(what))
+    out = []
+    for s in settings:
+        loss = 0.0
+        for k in range(folds):
+            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            model = learn([what[i] for i in rest], [x[i] for i in rest], truth[rest], s)
+            who = np.repeat(np.arange(len(own)), [len(what[i]) for i in own])
+            if len(own):
+                logit, _ = _values(model, who, np.concatenate([what[i] for i in own]).astype(np.int64), np.concatenate([x[i] for i in own]).astype(float), len(own))
+                p = np.clip(_sigmoid(logit), 1e-6, 1 - 1e-6)
+                loss -= float(np.log(np.where(truth[own] > 0, p, 1 - p)).sum())
+        out.append(loss / max(len(what), 1))
+    return out
+
+
 def score(docs: DataFrame, model: Model, extend: str | None = None) -> DataFrame:
     """doc_id, score (0 to 1, higher: better) for each row; or, if `extend` is a
     name that docs has no column of, all columns of docs and the score under that name.

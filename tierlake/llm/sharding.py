@@ -2,8 +2,9 @@
 
 A store is a folder with data/<run>/*.parquet and manifest/<version>.json. A manifest lists the
 live files with their sizes. A version is committed by renaming a finished manifest to its
-number, which fails if that number is taken; readers use the highest number, so they see the
-files of exactly one version. Files are never changed; those of older versions stay until vacuum().
+number, which fails if that number is taken (on HDFS and local file systems; where rename
+replaces its target, as in some object stores, one writer at a time is needed); readers use the
+highest number, so they see the files of exactly one version. Files are never changed; those of older versions stay until vacuum().
 Compaction neither shuffles nor looks into rows: Spark packs the files of a tier into read
 partitions of the target size, and each is written as one file.
 """
@@ -90,28 +91,48 @@ class ShardStore:
         plain = lambda s: [(f["name"], f["type"]) for f in json.loads(s)["fields"]]
         if now["schema"] and plain(now["schema"]) != plain(schema):
             raise ValueError("arrivals have other columns than the store")
-        return self.commit(now["version"], now["schema"] or schema, now["files"] | self._write(arrivals))
+        made = self._write(arrivals)
+        return self._kept(made, lambda: self.commit(now["version"], now["schema"] or schema, now["files"] | made))
+
+    def _kept(self, made: dict[str, int], commit) -> int:
+        """commit(), and none of the files made for it if it is refused."""
+        try:
+            return commit()
+        except Conflict:
+            for name in made:
+                self._fs.delete(self._path(f"{self.root}/{name}"), False)
+            raise
+
+    def due(self, files: dict[str, int] | None = None) -> list[int]:
+        """Tiers with fan_in files or more, the smallest files first; full shards are never due."""
+        tiers: dict[int, int] = {}
+        for size in (self.manifest()["files"] if files is None else files).values():
+            tiers[self.policy.tier(size)] = tiers.get(self.policy.tier(size), 0) + 1
+        return sorted((t for t, n in tiers.items() if t and n >= self.policy.fan_in), reverse=True)
 
     def compact(self) -> int:
-        """Merge every tier that has fan_in files or more, smallest first, until none is left; returns the version."""
+        """Merge every tier that is due, smallest files first, until none is left that gets fewer files by it; returns the version."""
+        stuck: set[frozenset] = set()
         while True:
-            now, tiers = self.manifest(), {}
-            for name, size in now["files"].items():
-                tiers.setdefault(self.policy.tier(size), []).append(name)
-            due = [t for t, names in tiers.items() if t and len(names) >= self.policy.fan_in]
-            if not due:
+            now = self.manifest()
+            for tier in self.due(now["files"]):
+                merge = sorted(n for n, size in now["files"].items() if self.policy.tier(size) == tier)
+                if frozenset(merge) not in stuck:
+                    break
+            else:
                 return now["version"]
-            merge = tiers[max(due)]
-            total = sum(now["files"][n] for n in merge)
             # a session of its own: packing is a matter of these three settings, and the caller's stay as they are
             own = self.spark.newSession()
             for key, value in (("maxPartitionBytes", self.policy.target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
                 own.conf.set(f"spark.sql.files.{key}", str(value))
-            rows = own.read.schema(self._schema(now)).parquet(*(f"{self.root}/{n}" for n in merge))
-            made = self._write(rows)
-            self.commit(now["version"], now["schema"], {n: s for n, s in now["files"].items() if n not in set(merge)} | made)
-            if len(made) >= len(merge) and total >= sum(made.values()):
-                return now["version"] + 1
+            made = self._write(own.read.schema(self._schema(now)).parquet(*(f"{self.root}/{n}" for n in merge)))
+            if len(made) >= len(merge):
+                stuck.add(frozenset(merge))
+                for name in made:
+                    self._fs.delete(self._path(f"{self.root}/{name}"), False)
+                continue
+            files = {n: s for n, s in now["files"].items() if n not in set(merge)} | made
+            self._kept(made, lambda: self.commit(now["version"], now["schema"], files))  # noqa: B023
 
     @staticmethod
     def _schema(manifest: dict):
@@ -157,9 +178,16 @@ def shard(docs: DataFrame, root: str | None = None, arrivals: int = 3, policy: P
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: all documents as the compacted store holds them, with a digest of each text."""
-    rows = shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).read()
-    return rows.select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-
-
-ORACLE_SQL = "SELECT doc_id, lang, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+    """op2: all documents as the compacted store holds them, with a digest of each text; whether a row's file fits the target (and a tenth), is listed with its true size, and no tier is due."""
+    store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    files = store.manifest()["files"]
+    # a row for each file: as many as the store has shards
+    sizes = spark.createDataFrame([(n.rsplit("/", 1)[1], s) for n, s in files.items()], "_file string, _size long")
+    rows = store.read().select("doc_id", "lang", "source", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_size").alias("_bytes")).join(sizes, "_file", "left")
+    return rows.select(
+        "doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        (F.col("_bytes") <= int(store.policy.target * 1.1)).alias("fits"), F.col("_bytes").eqNullSafe(F.col("_size")).alias("listed"), F.lit(not store.due(files)).alias("settled"),
+    )
+
+
+ORACLE_SQL = "SELECT doc_id, lang, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, true AS fits, true AS listed, true AS settled FROM documents"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tierlake.llm.columns import coded, distinct
-from tierlake.llm.labelled import SAMPLE_ROWS, held_out, sample
+from tierlake.llm.labelled import SAMPLE_ROWS, gathered, held_out, sample
 from tierlake.llm.runtime import documents, slices
 from tierlake.llm.shingles import mix
 
@@ -115,8 +115,8 @@ def features(texts: pa.Array, weights: np.ndarray | None = None) -> np.ndarray:
     return both
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl = Ftrl(), rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most `rows` labelled rows (see labelled.sample). Without any, every score is 0."""
+def _examples(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features and truths of at most `rows` labelled rows, in order of ids, labels and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -125,17 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl
             numbers = (both & ((1 << BITS) - 1)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([numbers[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["doc_id", "y", "numbers"])
 
-    known = sample(docs, labels, label, rows).mapInArrow(run, "doc_id long, y int, numbers binary").toArrow()
-    examples = sorted(zip(known["doc_id"].to_pylist(), known["y"].to_pylist(), known["numbers"].to_pylist()))
-    if not examples:
+    known = gathered(sample(docs, labels, label, rows).mapInArrow(run, "doc_id long, y int, numbers binary"), "numbers", rows)
+    examples = sorted(zip(*(known[c].to_pylist() for c in ("doc_id", "y", "numbers"))))
+    return [np.frombuffer(x, np.uint32) for _, _, x in examples], np.array([y for _, y, _ in examples], float)
+
+
+def learn(numbers: list[np.ndarray], truth: np.ndarray, settings: Ftrl = Ftrl()) -> Model:
+    """FTRL-proximal over examples (their feature numbers, each once) in a random order that is always the same. Without examples, every score is 0."""
+    if not len(numbers):
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0)
     order = np.random.default_rng(11)
-    numbers = [np.frombuffer(x, np.uint32) for _, _, x in examples]
     often = np.zeros(1 << BITS, np.int64)
     for x in numbers:
         often[x] += 1
-    numbers = [x[often[x] >= LEAST_ROWS] for x in numbers]
-    truth = np.array([y for _, y, _ in examples], float)
+    # a feature of few rows tells little; in a sample of very few rows all count
+    numbers = [x[often[x] >= min(LEAST_ROWS, len(numbers) // 4)] for x in numbers]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     share = np.clip(truth.mean(), 1e-3, 1 - 1e-3)
     bias, seen = float(np.log(share / (1 - share))), 1.0
@@ -145,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl
         return np.where(np.abs(z) <= s.l1, 0.0, (np.sign(z) * s.l1 - z) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
 
     for _ in range(s.epochs):
-        for i in order.permutation(len(examples)):
+        for i in order.permutation(len(numbers)):
             at = numbers[i]
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
@@ -159,6 +163,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl
     return Model(kept, w[kept].astype(np.float32), bias)
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl = Ftrl(), rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on at most `rows` labelled rows (see labelled.sample). Without any, every score is 0."""
+    return learn(*_examples(docs, labels, label, rows), settings)
+
+
+def fold_losses(docs: DataFrame, labels: DataFrame, settings: Sequence[Ftrl], label: str = "toxic", rows: int = SAMPLE_ROWS, folds: int = 3) -> list[float]:
+    """The mean log loss of each settings over folds of the rows that may be learnt from; held-out rows play no part. The defaults were chosen by it."""
+    numbers, truth = _examples(docs, labels, label, rows)
+    fold = np.random.default_rng(3).integers(0, folds, len(numbers))
+    out = []
+    for s in settings:
+        loss = 0.0
+        for k in range(folds):
+            model = learn([x for x, f in zip(numbers, fold) if f != k], truth[fold != k], s)
+            dense = model.dense()
+            for x, y in ((numbers[i], truth[i]) for i in np.flatnonzero(fold == k)):
+                p = np.clip(1 / (1 + np.exp(-np.clip(dense[x].sum() + model.bias, -50, 50))), 1e-6, 1 - 1e-6)
+                loss -= np.log(p if y else 1 - p)
+        out.append(loss / max(len(numbers), 1))
+    return out
+
+
 def score(docs: DataFrame, model: Model, extend: str | None = None) -> DataFrame:
     """doc_id, score (0 to 1) for each row; or, if `extend` is a
     name that docs has no column of, all columns of docs and the score under that name.
