@@ -239,6 +239,73 @@ def test_factorisation_identity():
     assert quality._values(model, np.zeros(6, int), what, x, 1)[0][0] == pytest.approx(direct)
 
 
+def test_ftrl_against_plain_loops():
+    """The same examples one by one with dictionaries and the textbook's formulas."""
+    chance = np.random.default_rng(4)
+    numbers = [np.unique(chance.integers(0, 40, 12)).astype(np.uint32) for _ in range(120)]
+    truth = np.array([float(3 in x or 7 in x) for x in numbers])
+    s = toxicity.Ftrl(alpha=0.3, l1=3.0, l2=0.1, epochs=3)
+    model = toxicity.learn(numbers, truth, s)
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= s.l1 else -(z[i] - np.sign(z[i]) * s.l1) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+    bias, seen, order = float(np.log(truth.mean() / (1 - truth.mean()))), 1.0, np.random.default_rng(11)
+    for _ in range(s.epochs):
+        for e in order.permutation(len(numbers)):
+            own = numbers[e].tolist()
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - truth[e]
+            for i in own:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            seen += g * g
+            bias -= s.alpha * g / (1 + seen**0.5)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(model.features.tolist(), model.weights.tolist())) == pytest.approx(want, rel=1e-4) and model.bias == pytest.approx(bias) and len(want) < 40
+    assert toxicity.learn([], np.zeros(0)).bias == -50.0
+
+
+def test_factorisation_machine_learns_by_gradient():
+    """The first AdaGrad step against numeric derivatives of the loss."""
+    what, x, truth = [np.array([1, 2, 5], np.uint32), np.array([2, 4], np.uint32)], [np.array([1.0, 0.5, 2.0], np.float32), np.array([0.3, 1.0], np.float32)], np.array([1.0, 0.0])
+    s = quality.Settings(factors=2, epochs=1, rate=0.1, l2=0.0, batch=2)
+    start = quality.learn(what, x, truth, quality.Settings(factors=2, epochs=0))
+    after = quality.learn(what, x, truth, s)
+
+    def loss(linear, factors):
+        out = 0.0
+        for i, (at, v) in enumerate(zip(what, x)):
+            y = start.bias + sum(linear[k] * c for k, c in zip(at, v)) + sum(factors[at[a]] @ factors[at[b]] * v[a] * v[b] for a in range(len(at)) for b in range(a))
+            p = 1 / (1 + np.exp(-y))
+            out -= np.log(p if truth[i] else 1 - p) / 2
+        return out
+
+    linear, factors, step = start.linear.astype(float), start.factors.astype(float), 1e-5
+    for k in (1, 2, 4, 5):
+        up, down = linear.copy(), linear.copy()
+        up[k], down[k] = up[k] + step, down[k] - step
+        g = (loss(up, factors) - loss(down, factors)) / (2 * step)
+        assert after.linear[k] == pytest.approx(linear[k] - s.rate * g / np.sqrt(1e-2 + g * g), abs=1e-3)
+        for f in range(2):
+            up, down = factors.copy(), factors.copy()
+            up[k, f], down[k, f] = up[k, f] + step, down[k, f] - step
+            g = (loss(linear, up) - loss(linear, down)) / (2 * step)
+            assert after.factors[k, f] == pytest.approx(factors[k, f] - s.rate * g / np.sqrt(1e-2 + g * g), abs=1e-3)
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i} " * (1 + i % 3)) for i in range(400)] + [(1, "text 1 text 1 ")] * 5, "doc_id long, text string").withColumn("y", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", 30).collect()
+    assert len(got) == 30 and len({(r.doc_id, r.text) for r in got}) == 30 and all(r.y == r.doc_id % 2 and r.doc_id < 50 for r in got)
+    assert labelled.gathered(spark.createDataFrame([(1, 0, b"x" * 9), (2, 0, b"x" * 9)], "doc_id long, y int, f binary"), "f", 1).num_rows == 2
+    many = spark.createDataFrame([(i, 0, b"x" * 9000) for i in range(4)], "doc_id long, y int, f binary")
+    assert labelled.gathered(many, "f", 1).num_rows == 1
+    assert len(toxicity.fold_losses(docs, labels, [toxicity.Ftrl(epochs=1)])) == 1 and len(quality.fold_losses(docs, labels, [quality.Settings(epochs=1)], "toxic")) == 1
+    wide = toxicity.score(docs.withColumn("score", F.lit(3)), toxicity.fit(docs, labels), "_score")
+    assert wide.columns == ["doc_id", "text", "y", "score", "_score"] and wide.count() == 405
+
+
 def benchmark_of(spark):
     chance = random.Random(11)
     word = lambda: "".join(chance.choice("abcdefgh") for _ in range(chance.randint(2, 5)))

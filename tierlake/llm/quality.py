@@ -107,7 +107,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Settings:
     """Factors of a feature, AdaGrad's epochs, rate and batch, and the penalty."""
 
-    factors: int = 4
+    factors: int = 8
     epochs: int = 12
     rate: float = 0.1
     l2: float = 1e-4
