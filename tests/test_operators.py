@@ -44,6 +44,14 @@ def test_encode_syllables(spark):
     assert c.query(c.phone).filter(c.phone.syllable_position == "onset").count() == 16
 
 
+def test_words_without_a_nucleus(spark):
+    rows = [(f"p{i}", x, i / 10, (i + 1) / 10, "w") for i, x in enumerate("strt")]
+    phones = spark.createDataFrame(rows, "id string, label string, begin double, end double, word_id string")
+    for method, parts in (("maxonset", "oooc"),):
+        found = syllables.encode_syllables(phones, ["a"], method, [["s", "t", "r"], ["s"]]).orderBy("begin", "phone_id").collect()
+        assert "".join(r.part[0] for r in sorted(found, key=lambda r: r.phone_id)) == parts
+
+
 def words(spark, text):
     rows = [(str(i), p[0], float(p[1]), float(p[2]), "d", "s", p[0] == "sil") for i, p in enumerate(x.split() for x in text.split(";"))]
     return spark.createDataFrame(rows, "id string, label string, begin double, end double, discourse string, speaker string, is_pause boolean")

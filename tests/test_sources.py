@@ -3,7 +3,7 @@ import os
 import pytest
 
 from tierlake.corpus import list_corpora
-from tierlake.errors import ParseFailure
+from tierlake.errors import ParseFailure, QueryError
 from tierlake.sources import readers, sinks, tiers
 from tierlake.streaming import windows
 
@@ -130,3 +130,56 @@ def test_tier_specs_and_points(spark, tmp_path):
     assert list_corpora(spark, str(tmp_path / "store")) == ["t"] and list_corpora(spark, str(tmp_path / "none")) == []
     with pytest.raises(ValueError):
         spec("x", "word", "nothing")
+
+
+def test_inspection_and_corpus_of_a_folder(spark, tmp_path):
+    (tmp_path / "in" / "anna").mkdir(parents=True)
+    for i in range(2):
+        (tmp_path / "in" / "anna" / f"d{i}.TextGrid").write_text(GRID)
+    (tmp_path / "in" / "anna" / "note.txt").write_text("some words")
+    found = readers.inspect_directory(spark, str(tmp_path / "in"))
+    assert found == {"mfa": 2, "orthography": 1} and readers.guess_textgrid_format(["ORT", "MAU", "KAN"]) == "maus" and readers.guess_textgrid_format(["a", "b"]) == "textgrid"
+    c = readers.load_corpus(spark, str(tmp_path / "in"), "x")
+    assert c.schema.contains == {"phone": "word", "word": None} and c.query(c.word).count() == 4 and c.query(c.phone).filter(c.phone.word.label.regex("say.*")).count() == 2
+    other = readers.load_corpus(spark, str(tmp_path / "in" / "anna" / "d1.TextGrid"), "y", "mfa")
+    with pytest.raises(QueryError):
+        c.add(other)
+    c.remove_discourse("d1")
+    c.add(other)
+    assert c.query(c.word).count() == 4 and {r["name"] for r in c.discourses.collect()} == {"d0", "d1"}
+    (tmp_path / "in" / "anna" / "bad.TextGrid").write_text('"nothing"')
+    with pytest.raises(ParseFailure, match="bad"):
+        readers.load_corpus(spark, str(tmp_path / "in"), "x", "mfa")
+    with pytest.raises(ParseFailure):
+        readers.load_corpus(spark, str(_empty(tmp_path)), "x")
+
+
+def _empty(tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.unknown").write_text("?")
+    return tmp_path / "none"
+
+
+def test_transcriptions_and_guesses(spark):
+    got = readers.parse_transcription("k.a1.n-t.o0", ".", morphemes="-", numbers="stress")
+    assert [(r["label"], r["morpheme"], r.get("stress")) for r in got] == [("k", "0", None), ("a", "0", "1"), ("n", "0", None), ("t", "1", None), ("o", "1", "0")]
+    assert [r["label"] for r in readers.parse_transcription("tsha2n", digraphs=["tsh"], numbers="tone")] == ["tsh", "a", "n"]
+    assert readers.split_morphemes("un-do=ing") == ["un", "do", "ing"]
+    table = lambda values: spark.createDataFrame([(v,) for v in values], "v string")
+    kind = lambda values: readers.guess_type(table(values), "v").first().kind
+    assert kind(["1", "2.5", "x"]) == "numeric" and kind(["H*", "L%", "L-H%"]) == "tobi" and kind(["k.a.t", "d.o"]) == "transcription"
+    assert kind(["a", "b"] * 20) == "grouping" and kind([f"word{i}" for i in range(9)]) == "orthography"
+    assert readers.guess_delimiter(table(["k;a;t", "d;o", "a.b"]), "v") == ";" and readers.guess_delimiter(table(["kat", None]), "v") is None
+
+
+def test_sound_headers(spark, tmp_path):
+    import wave
+
+    with wave.open(str(tmp_path / "one.wav"), "wb") as out:
+        out.setnchannels(2)
+        out.setsampwidth(2)
+        out.setframerate(8000)
+        out.writeframes(bytes(4 * 4000))
+    (tmp_path / "two.wav").write_bytes(b"no sound")
+    got = {r.discourse: (r.sampling_rate, r.n_channels, r.duration) for r in readers.sound_info(spark, str(tmp_path)).collect()}
+    assert got == {"one": (8000, 2, 0.5), "two": (None, None, None)}

@@ -67,6 +67,24 @@ class Corpus:
             tokens[level] = table.drop("_mid")
         return cls(spark, name, schema, tokens)
 
+    def add(self, other: Corpus) -> None:
+        """Take over the discourses of a corpus with the same levels; one that is here already is refused."""
+        if other.schema.contains != self.schema.contains:
+            raise QueryError("the corpora have other levels")
+        twice = self.discourses.select("name").intersect(other.discourses.select("name")).limit(5).collect()
+        if twice:
+            raise QueryError(f"discourses that are here already: {', '.join(str(r.name) for r in twice)}")
+        both = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+        self.tokens = {k: both(v, other.tokens[k]) for k, v in self.tokens.items()}
+        for mine, theirs in ((self.subannotations, other.subannotations), (self.tracks, other.tracks)):
+            mine.update({k: both(mine[k], v) if k in mine else v for k, v in theirs.items()})
+        for level, table in other.types.items():
+            own = self.types.get(level)
+            self.types[level] = table if own is None else both(own, table.join(own.select("label"), "label", "left_anti"))
+        self.speakers = both(self.speakers, other.speakers.join(self.speakers.select("name"), "name", "left_anti"))
+        self.discourses, self.speaks_in = both(self.discourses, other.discourses), both(self.speaks_in, other.speaks_in)
+        self.schema.update(other.schema)
+
     # -- state
 
     @property

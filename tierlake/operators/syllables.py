@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierlake.functions.syllables import UNSEEN_CODAS, UNSEEN_ONSETS, log_shares, syllabify
+from tierlake.functions.syllables import UNSEEN_CODAS, UNSEEN_ONSETS, log_shares, split_at_longest_prefix, split_prefix_by_probability, syllabify
 
 
 def phone_lists(phones: DataFrame, parent: str = "word_id") -> DataFrame:
@@ -65,8 +65,11 @@ def encode_syllables(phones: DataFrame, nuclei: Sequence[str], method: str = "ma
             for word, labels in zip(batch[parent], batch["phones"]):
                 labels = list(labels)
                 for k, s in enumerate(syllabify(labels, vowels, *tables, method=method)):
+                    # a syllable without a nucleus is an onset and what is left
+                    bare = s.nucleus < 0 and (split_at_longest_prefix(labels, tables[0]) if method == "maxonset" else split_prefix_by_probability(labels, *tables))
+                    border = s.nucleus if s.nucleus >= 0 else s.stop if bare is None else s.first + bare
                     for i in range(s.first, s.stop):
-                        part = "nucleus" if i == s.nucleus else "onset" if s.nucleus < 0 or i < s.nucleus else "coda"
+                        part = "nucleus" if i == s.nucleus else "onset" if i < border else "coda"
                         out.append((word, k + 1, s.first, s.stop, i, part))
             yield pd.DataFrame(out, columns=[parent, "place", "first", "stop", "i", "part"])
 

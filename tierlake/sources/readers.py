@@ -212,6 +212,26 @@ def split_transcription(value: str, delimiter: str | None = None, digraphs: Sequ
     return re.findall("|".join(options), value)
 
 
+def parse_transcription(value: str, delimiter: str | None = None, digraphs: Sequence[str] = (), ignored: str = "", morphemes: str = "", numbers: str | None = None) -> list[dict[str, str]]:
+    """Segments of a transcription with the number of their morpheme and, if numbers is stress or tone, the digits of each segment under that name; the label is without them."""
+    out = []
+    parts = split_morphemes(value, morphemes) if morphemes else [value]
+    for k, part in enumerate(parts):
+        for segment in split_transcription(part, delimiter, digraphs, ignored):
+            digits = "".join(re.findall(r"\d+", segment)) if numbers else ""
+            if numbers and not delimiter and segment.isdigit() and out:
+                out[-1][numbers] = out[-1].get(numbers, "") + segment
+                continue
+            row = {"label": re.sub(r"\d+", "", segment) if numbers else segment, "morpheme": str(k)}
+            out.append(row | ({numbers: digits} if digits else {}))
+    return out
+
+
+def split_morphemes(value: str, delimiters: str = "-=") -> list[str]:
+    """Morphemes of a word."""
+    return [x for x in re.split(f"[{re.escape(delimiters)}]", value) if x]
+
+
 # -- tables of files ----------------------------------------------------------------------
 
 
@@ -288,6 +308,83 @@ def load(spark: SparkSession, path: str, format: str, speaker: Callable[[Column]
     return Loaded(_run(_files(spark, path, pattern, speaker), parse, ["value"]))
 
 
+#: A format for each file extension; TextGrids are told apart by their tiers, and text by what it holds.
+_EXTENSIONS = {"textgrid": "textgrid", "words": "buckeye", "wrd": "timit", "par": "partitur", "par,1": "partitur", "txt": "orthography"}
+
+
+def guess_textgrid_format(tiers: Sequence[str]) -> str:
+    """The aligner whose names of word and phone tiers are among a file's tiers, or textgrid."""
+    own = [t.lower() for t in tiers]
+    paired = [t for t in own if " - " in t]
+    for name, a in ALIGNERS.items():
+        if a.single:
+            names = own
+        else:
+            names = [t.rsplit(" - ", 1)[1 if a.speaker_first else 0].strip() for t in paired]
+        if all(any(n.startswith(k) for n in names) for k in (a.word, a.phone)):
+            # files that carry upper-case tiers are of one kind of aligner, the others of the other
+            return name
+    return "textgrid"
+
+
+def inspect_directory(spark: SparkSession, path: str) -> dict[str, int]:
+    """How many files of a folder are of each format, the most frequent first."""
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kinds = []
+            for name, value in zip(batch["path"], batch["value"]):
+                kind = _EXTENSIONS.get(name.rsplit(".", 1)[-1].lower())
+                if kind == "textgrid":
+                    try:
+                        kind = guess_textgrid_format(list(dict.fromkeys(t[0] for t in textgrid(value or ""))))
+                    except (ParseFailure, ValueError, IndexError, TypeError):
+                        pass
+                kinds.append(kind)
+            yield pd.DataFrame({"kind": kinds})
+
+    found = _files(spark, path, "*", speaker_from_directory).select("path", "value").mapInPandas(tell, "kind string")
+    rows = found.where("kind is not null").groupBy("kind").count().orderBy(F.desc("count"), "kind").collect()
+    return {r["kind"]: r["count"] for r in rows}
+
+
+def load_corpus(spark: SparkSession, path: str, name: str, format: str | None = None, order: Sequence[str] = ("phone", "word", "line"), strict: bool = True, **options):  # noqa: A002
+    """A corpus of a file or folder; without a format, of the one that most of its files have. order: the levels from the lowest on. Files that can't be read are an error that names them, unless not strict."""
+    from tierlake.corpus import Corpus
+
+    if format is None:
+        found = inspect_directory(spark, path)
+        if not found:
+            raise ParseFailure(path, "no file of a known format")
+        format = next(iter(found))  # noqa: A001
+    loaded = load(spark, path, format, **options)
+    bad = loaded.errors.limit(20).collect() if strict else []
+    if bad:
+        raise ParseFailure(path, "; ".join(f"{r.path}: {r.error}" for r in bad))
+    tiers = loaded.tiers()
+    return Corpus.from_tiers(spark, name, tiers, [x for x in order if x in tiers])
+
+
+def sound_info(spark: SparkSession, path: str) -> DataFrame:
+    """discourse (the file's stem), path, sampling_rate, n_channels and duration of WAV files, from their headers; nulls where a header can't be read."""
+    import io
+    import wave
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for where, content in zip(batch["path"], batch["content"]):
+                try:
+                    with wave.open(io.BytesIO(bytes(content))) as sound:
+                        out.append((where, sound.getframerate(), sound.getnchannels(), sound.getnframes() / sound.getframerate()))
+                except (wave.Error, EOFError, ZeroDivisionError):
+                    out.append((where, None, None, None))
+            yield pd.DataFrame(out, columns=["path", "sampling_rate", "n_channels", "duration"]).astype({"sampling_rate": "Int32", "n_channels": "Int32"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, sampling_rate int, n_channels int, duration double").select(stem(F.col("path")).alias("discourse"), "path", "sampling_rate", "n_channels", "duration")
+
+
 def tracks_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """discourse (the file's stem), time and the measures of CSVs with the header time,m1,..."""
     raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
@@ -308,8 +405,20 @@ def guess_tiers(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("tier").agg(mean.alias("mean")).withColumn("kind", F.when(near(WORD_MEAN) > near(SEGMENT_MEAN), "word").when(F.col("mean").isNotNull(), "segment"))
 
 
+# Labels of tones and break indices.
+_TONES = r"^[*!]?[HL][*%!+\-HL]*$"
+
+
 def guess_type(values: DataFrame, column: str, delimiters: str = ".;,-") -> DataFrame:
-    """One row: numeric, transcription (values with delimiters) or orthography, by the majority of values."""
+    """One row: numeric, tobi (tones), transcription (values with delimiters), grouping (fewer than a tenth are distinct, and none has white space) or orthography, by the majority of values."""
     c = F.col(column)
-    kind = F.when(c.try_cast("double").isNotNull(), "numeric").when(c.rlike(f"[^{re.escape(delimiters)}][{re.escape(delimiters)}][^{re.escape(delimiters)}]"), "transcription").otherwise("orthography")
-    return values.where(c.isNotNull()).agg(F.mode(kind, True).alias("kind"))
+    kind = F.when(c.try_cast("double").isNotNull(), "numeric").when(c.rlike(_TONES), "tobi").when(c.rlike(f"[^{re.escape(delimiters)}][{re.escape(delimiters)}][^{re.escape(delimiters)}]"), "transcription").otherwise("orthography")
+    found = values.where(c.isNotNull()).agg(F.mode(kind, True).alias("kind"), F.count_distinct(c).alias("_n"), F.count("*").alias("_all"), F.count_if(c.rlike(r"\s")).alias("_spaced"))
+    return found.select(F.when((F.col("kind") == "orthography") & (F.col("_n") * 10 < F.col("_all")) & (F.col("_spaced") == 0), "grouping").otherwise(F.col("kind")).alias("kind"))
+
+
+def guess_delimiter(values: DataFrame, column: str, delimiters: str = ".;,-") -> str | None:
+    """The delimiter that stands inside most values, the first of equals; None if none stands in any."""
+    counts = values.agg(*(F.count_if(F.col(column).rlike(rf".{re.escape(d)}.")).alias(str(i)) for i, d in enumerate(delimiters))).first()
+    best = max(range(len(delimiters)), key=lambda i: (counts[str(i)] or 0, -i))
+    return delimiters[best] if counts[str(best)] else None
