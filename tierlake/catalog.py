@@ -316,10 +316,17 @@ def utterances_session(spark, sf):
     return _sessions(spark, sf).groupBy("user_id", "session").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_EV}, e AS (SELECT *, lead(t) OVER ({_W}) AS nt FROM ev), w AS (SELECT user_id, event_id, (t / 1e6) / 3600 AS b, least(nt / 1e6, t / 1e6 + 3600) / 3600 AS e FROM e WHERE nt IS NOT NULL AND event_type <> 'error'),
+g AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w),
+h AS (SELECT *, sum(CASE WHEN before IS NULL OR b - before >= 12.0 - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY b, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS span FROM g),
+s AS (SELECT user_id, span, min(b) AS b, max(e) AS e, count(*) AS n FROM h GROUP BY ALL), x AS (SELECT *, lead(b) OVER (PARTITION BY user_id ORDER BY span) - e AS to_next FROM s),
+r(user_id, span, utterance, used, last_end) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, false, NULL::DOUBLE FROM x WHERE span = 1 UNION ALL
+  SELECT x.user_id, x.span, r.utterance + (x.e - x.b >= 2.0)::BIGINT, x.e - x.b >= 2.0 OR coalesce(x.b - r.last_end < coalesce(x.to_next, 'infinity'::DOUBLE), false),
+    CASE WHEN x.e - x.b >= 2.0 OR coalesce(x.b - r.last_end < coalesce(x.to_next, 'infinity'::DOUBLE), false) THEN x.e ELSE r.last_end END FROM r JOIN x ON x.user_id = r.user_id AND x.span = r.span + 1)
+SELECT user_id AS discourse, utterance::INTEGER AS utterance, round(min(b), 6) AS "begin", round(max(e), 6) AS "end", sum(n)::BIGINT AS n_words FROM r JOIN x USING (user_id, span) WHERE used GROUP BY user_id, utterance""")
 def utterance_min_length_merge(spark, sf):
     words = _spans(spark, sf).where("end is not null").select(F.col("event_id").alias("id"), F.col("user_id").alias("discourse"), (F.col("begin") / 3600).alias("begin"), (F.least("end", F.col("begin") + 3600) / 3600).alias("end"), (F.col("event_type") == "error").alias("is_pause"))
-    return pauses.utterances(words, 12.0, 2.0)
+    return pauses.utterances(words, 12.0, 2.0).withColumns({c: F.round(c, 6) for c in ("begin", "end")})
 
 
 @_query(f"WITH {_SESS} SELECT user_id, session, count(*) AS n, round(count(*) / nullif((max(t) - min(t)) / 3600e6, 0), 6) AS rate FROM ss GROUP BY user_id, session")
@@ -450,11 +457,16 @@ def track_statistic(spark, sf):
     return ev.groupBy("user_id").agg(*out, measures.statistic("mode", "event_type").alias("mode_type"))
 
 
-@_query()
+@_query(f"""WITH {_SESS}, tok AS (SELECT user_id, session, min(t) / 1e6 AS a, max(t) / 1e6 AS b FROM ss GROUP BY user_id, session HAVING max(t) / 1e6 > min(t) / 1e6),
+pts AS (SELECT tok.user_id, session, ev.t / 1e6 AS t, avg(value) AS v FROM tok JOIN ev ON ev.user_id = tok.user_id AND ev.t / 1e6 BETWEEN a - 0.01 AND b + 0.01 WHERE value > 0 GROUP BY ALL),
+ask AS (SELECT user_id, session, k, CASE WHEN k = 9 THEN b ELSE a + k * ((b - a) / 9) END AS at_ FROM tok, (SELECT unnest(range(10)) AS k) WHERE EXISTS (SELECT 1 FROM pts WHERE pts.user_id = tok.user_id AND pts.session = tok.session)),
+l AS (SELECT ask.user_id, ask.session, k, at_, p.t AS t0, p.v AS v0 FROM ask ASOF LEFT JOIN pts p ON ask.user_id = p.user_id AND ask.session = p.session AND at_ >= p.t),
+m AS (SELECT l.*, p.t AS t1, p.v AS v1 FROM l ASOF LEFT JOIN pts p ON l.user_id = p.user_id AND l.session = p.session AND at_ <= p.t)
+SELECT concat(user_id, '-', session) AS id, k::INTEGER AS place, round(at_, 3) AS "time", round(CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (at_ - t0) / (t1 - t0) END, 4) AS "value" FROM m""")
 def interpolated_track(spark, sf):
     ev = _sessions(spark, sf).withColumn("s", F.col("t") / 1e6)
     spans = ev.groupBy("user_id", "session").agg(F.min("s").alias("begin"), F.max("s").alias("end")).where("end > begin").withColumn("id", F.concat_ws("-", "user_id", "session"))
-    return tracks.interpolated(ev.select("user_id", "s", "value"), spans, ["user_id"], "value", time="s", hole=1e9)
+    return tracks.interpolated(ev.select("user_id", "s", "value"), spans, ["user_id"], "value", time="s", hole=1e9).withColumns({"time": F.round("time", 3), "value": F.round("value", 4)})
 
 
 @_query("""SELECT user_id, greatest(floor(avg(value) / 2), 10)::INTEGER AS least, least(floor(avg(value) * 2), 150)::INTEGER AS most FROM events GROUP BY user_id""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tierlake.operators.measures import statistic
 from tierlake.operators.rangejoin import asof, within
@@ -68,26 +68,23 @@ def interpolated(track: DataFrame, tokens: DataFrame, keys: Sequence[str], measu
     """`points` equally spaced values of each token by linear interpolation: id, place (from 0), time, value.
 
     Points of at most `padding` outside the token help at its ends; a stretch longer than `hole`
-    without points is undefined, as are times outside all points; values of 0 or less are ignored.
-    A token's points are one group in memory; tokens are as short as speech is.
+    without points is undefined, as are times outside all points; values of 0 or less are ignored,
+    and points at one time count as their mean. Tokens without points give no rows.
     """
     wide = tokens.select(*keys, F.col(token_id), F.col(begin).cast("double").alias("_a"), F.col(end).cast("double").alias("_b"))
     # a padded span may overlap its neighbour, so a point is offered to the token it is in and to those just after and before
     near = [within(track.withColumn("_at", F.col(time).cast("double") + shift), wide, keys, "_at", "_a", "_b", [token_id, "_a", "_b"]) for shift in (0.0, padding, -padding)]
     near = near[0].unionByName(near[1]).unionByName(near[2]).select(token_id, "_a", "_b", F.col(time).cast("double").alias("_t"), F.col(measure).cast("double").alias("_v")).where("_v > 0").distinct()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_t")
-        t, v = group["_t"].to_numpy(), group["_v"].to_numpy()
-        at = np.linspace(group["_a"].iloc[0], group["_b"].iloc[0], points)
-        value = np.interp(at, t, v, left=np.nan, right=np.nan)
-        after = np.searchsorted(t, at, side="left").clip(0, len(t) - 1)
-        before = (np.searchsorted(t, at, side="right") - 1).clip(0, len(t) - 1)
-        value[(t[after] - t[before]) > hole] = np.nan
-        return pd.DataFrame({token_id: group[token_id].iloc[0], "place": np.arange(points, dtype="int32"), "time": at, "value": np.where(np.isnan(value), None, value)})
-
-    kind = dict(tokens.dtypes)[token_id]
-    return near.groupBy(token_id).applyInPandas(run, f"`{token_id}` {kind}, place int, time double, value double")
+    near = near.groupBy(token_id, "_a", "_b", "_t").agg(F.avg("_v").alias("_v"))
+    # the places asked for stand among the points of their token; each looks for the last point before and the first after it
+    places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("place"), F.when(k == points - 1, F.col("_b")).otherwise(F.col("_a") + k * ((F.col("_b") - F.col("_a")) / max(points - 1, 1))).alias("time")))
+    asked = near.select(token_id, "_a", "_b").distinct().select(token_id, F.explode(places).alias("_p")).select(token_id, "_p.place", F.col("_p.time").alias("_t"), F.lit(None).cast("struct<t:double,v:double>").alias("_point"))
+    both = asked.unionByName(near.select(token_id, F.lit(None).cast("int").alias("place"), "_t", F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")).alias("_point")))
+    upto, on = (Window.partitionBy(token_id).orderBy("_t").rangeBetween(*r) for r in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    both = both.withColumns({"_l": F.last("_point", ignorenulls=True).over(upto), "_r": F.first("_point", ignorenulls=True).over(on)}).where("place is not null")
+    line = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * (F.col("_t") - F.col("_l.t")) / (F.col("_r.t") - F.col("_l.t"))
+    value = F.when(F.col("_r.t") - F.col("_l.t") > hole, None).when(F.col("_r.t") == F.col("_l.t"), F.col("_l.v")).otherwise(line)
+    return both.select(token_id, "place", F.col("_t").alias("time"), value.alias("value"))
 
 
 def replace_range(track: DataFrame, edited: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
