@@ -102,7 +102,7 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("double, spare", [(1, 0.12), (0, 0.12), (10**9, 0.12), (0, -0.5), (1, -1.0)])
+@pytest.mark.parametrize("double, spare", [(0, 0.12), (1, -1.0)])
 def test_ngram_join_against_brute_force(spark, monkeypatch, double, spare):
     # with 0 all shares that cost anything are double, with 10**9 none; with too few segments all sets go by double shares, and with one by prefixes too
     monkeypatch.setattr(ngram_join, "DOUBLE_FROM", double)
@@ -134,7 +134,7 @@ def one_cluster():
     return texts
 
 
-@pytest.mark.parametrize("spare", [0.12, -0.5, -1.0])
+@pytest.mark.parametrize("spare", [0.12, -0.5])
 def test_ngram_join_finds_all_links(spark, monkeypatch, spare):
     monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
     texts = near_copies() + one_cluster()
@@ -149,7 +149,7 @@ def test_ngram_join_finds_all_links(spark, monkeypatch, spare):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts)
 
 
-@pytest.mark.parametrize("double, spare", [(1, 0.12), (0, 0.12), (10**9, 0.12), (0, -0.5), (1, -1.0)])
+@pytest.mark.parametrize("double, spare", [(1, 0.12), (10**9, 0.12), (0, -0.5)])
 def test_ngram_components_against_brute_force(spark, monkeypatch, double, spare):
     monkeypatch.setattr(ngram_join, "DOUBLE_FROM", double)
     monkeypatch.setattr(ngram_join.Bands.__init__, "__defaults__", (spare,))
@@ -324,6 +324,15 @@ def test_decontamination(spark, settings):
     assert decontaminate.contamination(docs, items.limit(0), settings).count() == 0
 
 
+def test_decontamination_of_repeated_and_nameless_rows(spark):
+    docs, items = benchmark_of(spark)
+    text = next(r.text for r in items.collect() if r.item_id == 7)
+    twice = items.where("item_id = 7").union(items.where("item_id = 7")).union(items.where("item_id = 9"))
+    rows = spark.createDataFrame([(None, f"so {text} so"), (1, text), (1, text), (2, None)], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    got = sorted((str(r.doc_id), r.item_id) for r in decontaminate.contamination(rows, twice).collect())
+    assert got == [("1", 7)] * 4 + [("None", 7)] * 2
+
+
 def test_decontamination_finds_edited_items(spark):
     _, items = benchmark_of(spark)
     texts = {r.item_id: r.text.split() for r in items.where("item_id < 40").collect()}

@@ -111,8 +111,8 @@ def _stands(question: np.ndarray, answer: np.ndarray, words: np.ndarray, share:
 class Index:
     """Postings of some benchmark items: item numbers and normalised impacts by term, with the largest impact of each term and block."""
 
-    def __init__(self, ids: list[int], texts: list[str], settings: Settings, statistics: tuple[int, float, dict[int, int]]):
-        """statistics: of the whole benchmark, the number of items, their mean length and how many items have a word (1 if absent)."""
+    def __init__(self, ids: list, texts: list[str], settings: Settings, statistics: tuple[int, float, dict[int, int]]):
+        """ids: what tells an item, here its id and how many rows it has. statistics: of the whole benchmark, the number of items, their mean length and how many items have a word (1 if absent)."""
         self.settings = s = settings
         words, bounds = words_of(pa.array(texts, pa.large_string()))
         own = [words[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -284,7 +284,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     benchmark. An item's last quarter of words is taken as its answer, what stands before as its
     question. The overlaps are shares of grams; they are below `overlap` where an edited item was
     found in one place. Null or empty texts of either side, and items with a null id, match nothing;
-    repeated rows are matched each; an item_id that occurs twice is two items; other columns are
+    very long ones are matched whole, passage by passage; repeated rows are matched each; an item_id that occurs twice is two items; other columns are
     ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -298,17 +298,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     out = None
     for turn in range(passes):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn)
-        some = mine.orderBy("item_id", "text").collect()
+        # repeated rows of an item are one entry of the index, and as many rows of the result
+        some = mine.groupBy("item_id", "text").agg(F.count("*").cast("int").alias("times")).orderBy("item_id", "text").collect()
         # no more than the distinct words of the pass's own texts
         df = {r["word"] % 2**64: r["count"] for r in often.join(_count_words(mine).select("word").distinct(), "word", "left_semi").collect()}
         groups = [some[i : i + settings.index_items] for i in range(0, len(some), settings.index_items)]
-        shared = spark.sparkContext.broadcast([Index([r.item_id for r in g], [r.text for r in g], settings, (count, mean or 0.0, df)) for g in groups])
+        shared = spark.sparkContext.broadcast([Index([(r.item_id, r.times) for r in g], [r.text for r in g], settings, (count, mean or 0.0, df)) for g in groups])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, most=1_000_000):
                 words, bounds = words_of(batch.column("text"))
                 ids = batch.column("doc_id").to_pylist()
-                found = [(ids[i], *x) for index in shared.value for i, hits in index.candidates(words, bounds) for x in index.verified(words[bounds[i] : bounds[i + 1]], hits)]
+                found = [(ids[i], item, *x) for index in shared.value for i, hits in index.candidates(words, bounds) for (item, times), *x in index.verified(words[bounds[i] : bounds[i + 1]], hits) for _ in range(times)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
 

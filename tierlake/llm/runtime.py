@@ -19,9 +19,12 @@ BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the session names none (tests), a local one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Where a session on one machine names none (tests), a local one is set; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
