@@ -793,3 +793,20 @@ def corpus_acoustic_statistic(spark, sf):
     c.encode_acoustic_statistic("pitch", "value")
     found = c.query_speakers().columns(c.speaker.name.column_name("user_id"), c.speaker.mean_value.column_name("mean_value")).frame()
     return found.withColumn("mean_value", F.round("mean_value", 6))
+
+
+@_query(f"""WITH {_SESS}, tok AS (SELECT user_id, session, min(t) AS a, max(t) AS b FROM ss GROUP BY ALL),
+p AS (SELECT ss.user_id, ss.session, CASE WHEN b > a THEN least(floor((t - a)::DOUBLE / ((b - a)::DOUBLE / 4)), 3) ELSE 0 END::INTEGER AS bucket, value FROM ss JOIN tok USING (user_id, session)),
+m AS (SELECT user_id, session, bucket, avg(value) AS mean FROM p GROUP BY ALL), k AS (SELECT unnest(range(4))::INTEGER AS bucket)
+SELECT concat(tok.user_id, '-', tok.session) AS id, k.bucket, round(mean, 6) AS mean FROM tok CROSS JOIN k LEFT JOIN m ON m.user_id = tok.user_id AND m.session = tok.session AND m.bucket = k.bucket""")
+def track_buckets(spark, sf):
+    ev = _sessions(spark, sf)
+    spans = ev.groupBy("user_id", "session").agg(F.min("t").alias("begin"), F.max("t").alias("end")).withColumn("id", F.concat_ws("-", "user_id", "session"))
+    return tracks.buckets(ev.select("user_id", "t", "value"), spans, ["user_id"], "value", 4, time="t").select("id", "bucket", F.round("mean", 6).alias("mean"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_suppkey = 1 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_suppkey = 2")
+def query_union(spark, sf):
+    c = _sales(spark, sf)
+    own = lambda k: c.query(c.line).filter(c.line.l_suppkey == k).columns(*_shown(c.line))
+    return own(1).union(own(2))
