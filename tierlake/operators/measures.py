@@ -30,27 +30,28 @@ def statistic(name: str, column: str) -> Column:
     }[name]()
 
 
-def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence[float], cuts: int = 64) -> DataFrame:
+def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence[float], cuts: int = 32) -> DataFrame:
     """by and q0, q1, ...: the discrete percentile of each share, exact for groups of any size.
 
     percentile_disc keeps a group's values in one task. Here approximate cut points deal each
     group's values into buckets, the buckets' counts tell which one holds a rank, and only that
-    bucket's values are ordered. Nulls don't count; a group without values has no row.
+    bucket's distinct values are shuffled and ordered: a `cuts`-th of a group for each share.
+    Nulls don't count; a group without values has no row.
     """
-    rows = table.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    points = F.percentile_approx(column, [i / cuts for i in range(1, cuts)], 1000)
-    bounds = table.where(F.col(column).isNotNull()).groupBy(*by).agg(points.alias("_cuts"))
-    dealt = rows.join(bounds, [*by]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    rows = table.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 1000).alias("_cuts"))
+    dealt = rows.join(bounds, [*by]).withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))).drop("_cuts")
     # at most `cuts` rows a group from here on
-    sums = dealt.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+    sums = dealt.groupBy(*by, "_b").agg(F.count("*").alias("_s"))
     order = Window.partitionBy(*by).orderBy("_b")
     sums = sums.withColumns({"_upto": F.sum("_s").over(order), "_n": F.sum("_s").over(Window.partitionBy(*by))})
     asked = sums.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)))).alias("_q"))
     asked = asked.withColumn("_rank", F.greatest(F.ceil(F.col("_q.p") * F.col("_n")), F.lit(1))).where("_rank <= _upto AND _rank > _upto - _s")
-    asked = asked.select(*by, "_b", F.col("_q.i").alias("_i"), (F.col("_rank") - (F.col("_upto") - F.col("_s"))).alias("_left"))
-    inside = dealt.join(asked, [*by, "_b"])
-    inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v")))
-    return inside.where("_upto >= _left").groupBy(*by).agg(*(F.min(F.when(F.col("_i") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(shares))))
+    asked = asked.groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col("_q.i").alias("i"), (F.col("_rank") - (F.col("_upto") - F.col("_s"))).alias("left"))).alias("_asked"))
+    inside = dealt.join(asked.select(*by, "_b"), [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"))
+    inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v")))
+    found = inside.join(asked, [*by, "_b"]).select(*by, "_v", "_upto", F.explode("_asked").alias("_a")).where("_upto >= _a.left")
+    return found.groupBy(*by).agg(*(F.min(F.when(F.col("_a.i") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(shares))))
 
 
 def measure(tokens: DataFrame, column: str, by: Sequence[str], prefix: str | None = None) -> DataFrame:
