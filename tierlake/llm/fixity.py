@@ -22,6 +22,8 @@ SHARD_IDS = 1024
 FANOUT = 16
 #: Records of a file at about; shards of repeated ids with four times as many are split.
 PART_RECORDS = 1024
+#: Shards to split (an id and a count) that are broadcast; more are joined by a shuffle of the records.
+BROADCAST_SHARDS = 100_000
 #: Shards that records without an id are dealt to, below all ids' shards.
 NO_ID_SHARDS = 4096
 #: What stands as WARC-Date where a crawl's time isn't known.
@@ -41,8 +43,11 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     shard = F.when(F.col("page_id").isNull(), spread).otherwise(F.expr(f"floor(page_id / {SHARD_IDS})")).cast("long")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), shard.alias("shard"), F.concat(head, blank("html"), F.lit("\r\n\r\n")).alias("record"))
     large = pages.select(shard.alias("shard")).groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * PART_RECORDS)
+    n = large.count()
+    if not n:
+        return rows.select("page_id", "shard", F.lit(0).alias("part"), "record")
     parts = F.coalesce(F.ceil(F.col("_n") / PART_RECORDS), F.lit(1)).cast("long")
-    return rows.join(large, "shard", "left").select("page_id", "shard", F.pmod(F.xxhash64("record"), parts).cast("int").alias("part"), "record")
+    return rows.join(F.broadcast(large) if n <= BROADCAST_SHARDS else large, "shard", "left").select("page_id", "shard", F.pmod(F.xxhash64("record"), parts).cast("int").alias("part"), "record")
 
 
 def write_archive(recs: DataFrame, path: str) -> None:
