@@ -108,8 +108,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([columns[0], pa.array([shard] * n, pa.int64()), pa.array([part] * n, pa.int32()), *columns[1:]], ["page_id", "shard", "part", "place", "offset", "length", "sha256"])
         give_back()
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long, part int").load(path)
-    return files.select("shard", "part", "content").mapInArrow(run, "page_id long, shard long, part int, place long, offset long, length long, sha256 string")
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # an archive without records has no folders of shards
+        files = files.withColumns({"shard": F.lit(0), "part": F.lit(0)}).limit(0)
+    return files.select(F.col("shard").cast("long").alias("shard"), F.col("part").cast("int").alias("part"), "content").mapInArrow(run, "page_id long, shard long, part int, place long, offset long, length long, sha256 string")
 
 
 class Tree:
