@@ -183,9 +183,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     files = store.manifest()["files"]
     # a row for each file: as many as the store has shards
     sizes = spark.createDataFrame([(n.rsplit("/", 1)[1], s) for n, s in files.items()], "_file string, _size long")
-    rows = store.read().select("doc_id", "lang", "source", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_size").alias("_bytes")).join(sizes, "_file", "left")
-    return rows.select(
+    # texts end here: what is joined are digests
+    rows = store.read().select(
         "doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_size").alias("_bytes"),
+    )
+    return rows.join(sizes, "_file", "left").select(
+        "doc_id", "lang", "source", "n_bytes", "text_sha256",
         (F.col("_bytes") <= int(store.policy.target * 1.1)).alias("fits"), F.col("_bytes").eqNullSafe(F.col("_size")).alias("listed"), F.lit(not store.due(files)).alias("settled"),
     )
 
