@@ -39,8 +39,8 @@ def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence
     Nulls don't count; a group without values has no row.
     """
     rows = table.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
-    bounds = rows.groupBy(*by).agg(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 1000).alias("_cuts"))
-    dealt = rows.join(bounds, [*by]).withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))).drop("_cuts")
+    bounds = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 1000)).alias("_cuts"))
+    dealt = rows.join(bounds, [*by]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     # at most `cuts` rows a group from here on
     sums = dealt.groupBy(*by, "_b").agg(F.count("*").alias("_s"))
     order = Window.partitionBy(*by).orderBy("_b")
