@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tierlake.llm import bpe_codec, decontaminate, fixity, licenses, ngram_join, quality, sharding, token_counts, topk, toxicity
+from tierlake.llm import bpe_codec, decontaminate, exact_dedup, fixity, licenses, ngram_join, periodic_runs, quality, sharding, token_counts, topk, toxicity, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_exact_top_k_search": topk.query,
     "op10_toxicity": toxicity.query,
+    "op11_exact_dedup": exact_dedup.query,
+    "op12_periodic_run_detection": periodic_runs.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 #: Where SQL can say what a query computes. The others are tested against a library, brute force or held-out labels.
@@ -25,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_license_scans": licenses.ORACLE_SQL,
     "op7_warc": fixity.ORACLE_SQL,
     "op9_exact_top_k_search": topk.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
 }
