@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.corpus import Corpus
-from tierlake.operators import enrich, formants, measures, metadata, pauses, rangejoin, syllables, tracks, windows
-from tierlake.plans.dsl import Average, Count, Max, Min, Stdev, Sum, and_, or_
+from tierlake.operators import enrich, formants, measures, metadata, pauses, rangejoin, scans, syllables, tracks, windows
+from tierlake.plans.dsl import Average, Count, InterquartileRange, Max, Median, Min, Quantile, Stdev, Sum, and_, or_
 from tierlake.schema import Schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,19 +69,30 @@ def _sales(spark: SparkSession, sf: str, speaker: str = "l_suppkey") -> Corpus:
     """Order lines in orders of customers in nations in regions; parts are the types of lines, suppliers speak them, nations of customers are discourses."""
     t = lambda n, *c: _t(spark, sf, n, *c)
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    lines = t("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("label"), F.col("l_linenumber").alias("begin"), (F.col("l_linenumber") + 1).alias("end"), F.expr(speaker).alias("speaker"), *none("string", "discourse"), F.col("l_orderkey").alias("order_id"), "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    orders = t("orders").select(F.col("o_orderkey").alias("id"), *none("string", "label"), *none("long", "begin", "end", "speaker"), *none("string", "discourse"), F.col("o_custkey").alias("customer_id"), "o_orderstatus", "o_totalprice", "o_orderpriority")
     place = lambda n, key, name, *more: t(n).select(F.col(key).alias("id"), F.col(name).alias("label"), *none("long", "begin", "end", "speaker"), *none("string", "discourse"), *more)
-    customers = place("customer", "c_custkey", "c_name", F.col("c_nationkey").alias("nation_id"))
-    nations = place("nation", "n_nationkey", "n_name", F.col("n_regionkey").alias("region_id"))
-    parts = t("part").select(F.col("p_partkey").alias("label"), "p_name", "p_brand", "p_size")
-    speakers = t("supplier").select(F.col("s_suppkey").alias("name"), "s_name", "s_nationkey")
-    homes = nations.select(F.col("id").alias("nation_id"), F.col("label").alias("discourse"))
-    placed = t("orders", "o_orderkey", "o_custkey").join(customers.select(F.col("id").alias("o_custkey"), "nation_id"), "o_custkey").join(homes, "nation_id")
-    meets = lines.select("speaker", F.col("order_id").alias("o_orderkey")).join(placed, "o_orderkey").select("speaker", "discourse", F.lit(0).alias("channel")).distinct()
+
+    def lines() -> DataFrame:
+        own = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("label"), F.col("l_linenumber").alias("begin"), (F.col("l_linenumber") + 1).alias("end")
+        return t("lineitem").select(*own, F.expr(speaker).alias("speaker"), *none("string", "discourse"), F.col("l_orderkey").alias("order_id"), "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+
+    def orders() -> DataFrame:
+        none_of = *none("string", "label"), *none("long", "begin", "end", "speaker"), *none("string", "discourse")
+        return t("orders").select(F.col("o_orderkey").alias("id"), *none_of, F.col("o_custkey").alias("customer_id"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+    customers = lambda: place("customer", "c_custkey", "c_name", F.col("c_nationkey").alias("nation_id"))
+    nations = lambda: place("nation", "n_nationkey", "n_name", F.col("n_regionkey").alias("region_id"))
+    parts = lambda: t("part").select(F.col("p_partkey").alias("label"), "p_name", "p_brand", "p_size")
+    speakers = lambda: t("supplier").select(F.col("s_suppkey").alias("name"), "s_name", "s_nationkey")
+
+    def meets() -> DataFrame:
+        homes = nations().select(F.col("id").alias("nation_id"), F.col("label").alias("discourse"))
+        placed = t("orders", "o_orderkey", "o_custkey").join(customers().select(F.col("id").alias("o_custkey"), "nation_id"), "o_custkey").join(homes, "nation_id")
+        own = t("lineitem").select(F.expr(speaker).alias("speaker"), F.col("l_orderkey").alias("o_orderkey"))
+        return own.join(placed, "o_orderkey").select("speaker", "discourse", F.lit(0).alias("channel")).distinct()
+
     levels = {"line": "order", "order": "customer", "customer": "nation", "nation": "region", "region": None}
-    tokens = {"line": lines, "order": orders, "customer": customers, "nation": nations, "region": place("region", "r_regionkey", "r_name")}
-    return Corpus(spark, "sales", Schema(levels), tokens, {"line": parts}, speakers, homes.select(F.col("discourse").alias("name")), meets)
+    tokens = {"line": lines, "order": orders, "customer": customers, "nation": nations, "region": lambda: place("region", "r_regionkey", "r_name")}
+    return Corpus(spark, "sales", Schema(levels), tokens, {"line": parts}, speakers, lambda: nations().select(F.col("label").alias("name")), meets)
 
 
 def _talks(spark: SparkSession, sf: str) -> Corpus:
@@ -368,8 +379,10 @@ def group_aggregates(spark, sf):
 @_query("""SELECT l_returnflag, percentile_disc(0.4) WITHIN GROUP (ORDER BY l_extendedprice) AS q40, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median,
 round(percentile_disc(0.75) WITHIN GROUP (ORDER BY l_extendedprice) - percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS iqr FROM lineitem GROUP BY l_returnflag""")
 def quantile_disc(spark, sf):
-    found = measures.quantiles(_t(spark, sf, "lineitem", "l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"], [0.4, 0.5, 0.75, 0.25])
-    return found.select("l_returnflag", F.col("q0").alias("q40"), F.col("q1").alias("median"), F.round(F.col("q2") - F.col("q3"), 4).alias("iqr"))
+    line = (c := _sales(spark, sf)).line
+    price = line.l_extendedprice
+    found = c.query(line).group_by(line.l_returnflag.column_name("l_returnflag")).aggregate(Quantile(price, 0.4).column_name("q40"), Median(price).column_name("median"), InterquartileRange(price).column_name("iqr"))
+    return found.select("l_returnflag", "q40", "median", F.round("iqr", 4).alias("iqr"))
 
 
 @_query("SELECT l_partkey, l_suppkey % 10 AS speaker, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity, round(stddev_samp(l_quantity), 6) AS sd_quantity FROM lineitem GROUP BY ALL")
@@ -474,7 +487,17 @@ def speaker_adjusted_range(spark, sf):
     return tracks.speaker_range(_events(spark, sf), "value", ["user_id"], floor=10, ceiling=150)
 
 
-@_query()
+def _refinement_sql(rounds: int = 20) -> str:
+    """The rounds one after another: prototypes of the last choice, then the nearest candidate of each token."""
+    sql = """WITH c AS MATERIALIZED (SELECT vec_id, label, k::INTEGER AS candidate, embedding[k + 1]::DOUBLE AS f1, embedding[k + 2]::DOUBLE AS f2 FROM embeddings, (SELECT unnest(range(4)) AS k) WHERE len(embedding) >= 8),
+n AS (SELECT label, count(*) AS n FROM c WHERE candidate = 0 GROUP BY label), r0 AS MATERIALIZED (SELECT * FROM c WHERE candidate = 1)"""
+    for i in range(1, rounds + 1):
+        sql += f""", p{i} AS (SELECT label, avg(f1) AS m1, avg(f2) AS m2, var_samp(f1) AS a, covar_samp(f1, f2) AS b, var_samp(f2) AS d FROM r{i - 1} GROUP BY label),
+r{i} AS MATERIALIZED (SELECT c.* FROM c JOIN p{i} USING (label) QUALIFY row_number() OVER (PARTITION BY vec_id, label ORDER BY ((f1 - m1) ** 2 * d - 2 * (f1 - m1) * (f2 - m2) * b + (f2 - m2) ** 2 * a) / (a * d - b * b), candidate) = 1)"""
+    return f"{sql} SELECT r{rounds}.* FROM r{rounds} JOIN n USING (label) WHERE n >= 6 UNION ALL SELECT r0.* FROM r0 JOIN n USING (label) WHERE n < 6"
+
+
+@_query(_refinement_sql())
 def mahalanobis_refinement(spark, sf):
     """Four neighbouring dimensions of a vector stand for the candidates of a token; labels are the groups."""
     rows = _t(spark, sf, "embeddings").where("size(embedding) >= 8").select("vec_id", "label", F.explode(F.array(*(F.struct(F.lit(k).alias("candidate"), F.get("embedding", F.lit(k)).cast("double").alias("f1"), F.get("embedding", F.lit(k + 1)).cast("double").alias("f2")) for k in range(4)))).alias("c"))
@@ -810,3 +833,89 @@ def query_union(spark, sf):
     c = _sales(spark, sf)
     own = lambda k: c.query(c.line).filter(c.line.l_suppkey == k).columns(*_shown(c.line))
     return own(1).union(own(2))
+
+
+# -- spans that overlap, and one chain of all events ------------------------------------------
+
+#: A signup lasts from an hour to three days, by its id; a user's signups overlap.
+_LASTING = "t + (1 + event_id % 72) * 3600 * 1000000"
+_OVERLAPS = f"{_EV}, s AS (SELECT event_id AS span, user_id, t AS a, {_LASTING} AS b FROM ev WHERE event_type = 'signup')"
+
+
+def _lasting(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span"), F.col("t").alias("a"), F.expr(_LASTING).alias("b"))
+
+
+@_query(f"WITH {_OVERLAPS} SELECT ev.event_id, s.span FROM ev JOIN s ON ev.user_id = s.user_id AND ev.t BETWEEN s.a AND s.b")
+def overlapping_spans(spark, sf):
+    return rangejoin.containing(_events(spark, sf), _lasting(spark, sf), ["user_id"], "t", "a", "b", ["span"]).select("event_id", "span")
+
+
+@_query(f"WITH {_OVERLAPS} SELECT ev.event_id, (SELECT arg_max(span, struct_pack(b := b, a := a, span := span)) FROM s WHERE s.user_id = ev.user_id AND ev.t BETWEEN s.a AND s.b) AS span FROM ev")
+def overlapping_span_that_ends_last(spark, sf):
+    return rangejoin.within(_events(spark, sf), _lasting(spark, sf), ["user_id"], "t", "a", "b", ["span"], inner=False).select("event_id", "span")
+
+
+def _signups(spark: SparkSession, sf: str) -> Corpus:
+    """Signups that last, as overlapping words of users; all events below them."""
+    both = ["user_id AS speaker", "'all' AS discourse"]
+    words = _lasting(spark, sf).selectExpr("cast(span AS string) AS id", "'signup' AS label", "a AS begin", "b AS end", *both)
+    phones = _events(spark, sf).selectExpr("cast(event_id AS string) AS id", "event_type AS label", "t AS begin", "t AS end", *both)
+    return Corpus.from_tiers(spark, "signups", {"phone": phones, "word": words}, ["phone", "word"])
+
+
+@_query(f"WITH {_OVERLAPS} SELECT label, count(word) AS n_inside, count(*) AS n FROM (SELECT event_type AS label, (SELECT arg_max(span, struct_pack(b := b, a := a, span := span::VARCHAR)) FROM s WHERE s.user_id = ev.user_id AND ev.t BETWEEN s.a AND s.b) AS word FROM ev) GROUP BY label")
+def corpus_overlapping_tiers(spark, sf):
+    c = _signups(spark, sf)
+    return c.query(c.phone).group_by(c.phone.label.column_name("label")).aggregate(Count(c.phone.word_id).column_name("n_inside"), Count().column_name("n"))
+
+
+@_query(f"WITH {_OVERLAPS} SELECT s.span, max(value) AS peak FROM s LEFT JOIN ev ON ev.user_id = s.user_id AND ev.t BETWEEN s.a AND s.b GROUP BY s.span")
+def corpus_properties_by_time(spark, sf):
+    c = _signups(spark, sf)
+    c.enrich_tokens_at("word", _events(spark, sf).select(F.lit("all").alias("discourse"), F.col("user_id").alias("speaker"), F.col("t").alias("time"), F.col("value").alias("peak")))
+    return c.query(c.word).columns(c.word.id.column_name("span"), c.word.peak.column_name("peak")).frame().withColumn("span", F.col("span").cast("long"))
+
+
+@_query(f"WITH {_OVERLAPS} SELECT s.span, round(min(value), 6) AS min_value, round(avg(value), 6) AS mean_value, round(max(value), 6) AS max_value FROM s LEFT JOIN ev ON ev.user_id = s.user_id AND ev.t BETWEEN s.a AND s.b GROUP BY s.span")
+def corpus_tracks_of_overlapping_tokens(spark, sf):
+    c = _signups(spark, sf)
+    c.tracks["values"] = _events(spark, sf).select(F.lit("all").alias("discourse"), F.col("user_id").alias("speaker"), F.col("t").cast("double").alias("time"), "value")
+    w, at = c.word, c.word.values.value
+    found = c.query(w).columns(w.id.column_name("span"), at.min.column_name("min_value"), at.mean.column_name("mean_value"), at.max.column_name("max_value")).frame()
+    return found.select(F.col("span").cast("long").alias("span"), *(F.round(n, 6).alias(n) for n in ("min_value", "mean_value", "max_value")))
+
+
+_ALL = (["discourse"], ["t", "event_id"])
+
+
+def _one_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).withColumn("discourse", F.lit("all"))
+
+
+@_query(f"WITH {_EV} SELECT event_id, lag(event_id) OVER w AS previous_event_id, lag(value) OVER w AS previous_value, lead(event_id) OVER w AS following_event_id, lead(event_id, 2) OVER w AS following_2_event_id FROM ev WINDOW w AS (ORDER BY t, event_id)")
+def segmented_neighbours(spark, sf):
+    return scans.neighbours(_one_chain(spark, sf), *_ALL, ["event_id", "value"], 1, 2).select("event_id", "previous_event_id", "previous_value", "following_event_id", "following_2_event_id")
+
+
+@_query(f"""WITH {_EV}, f AS (SELECT event_id, t, event_type = 'error' AS p FROM ev), c AS (SELECT *, coalesce((p <> lag(p) OVER (ORDER BY t, event_id))::INTEGER, 1) AS n FROM f)
+SELECT event_id, p AS is_pause, sum(n) OVER (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM c""")
+def segmented_runs(spark, sf):
+    return scans.runs(_one_chain(spark, sf).withColumn("is_pause", F.col("event_type") == "error"), *_ALL, "is_pause").select("event_id", "is_pause", "run")
+
+
+_BREAK = 600 * 1_000_000
+
+
+@_query(f"""WITH {_EV}, b AS (SELECT *, max(t + event_id % 7 * 60000000) OVER (ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev)
+SELECT event_id, sum(CASE WHEN before IS NULL OR t - before >= {_BREAK} THEN 1 ELSE 0 END) OVER (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM b""")
+def segmented_sessions(spark, sf):
+    ev = _one_chain(spark, sf).withColumn("until", F.expr("t + event_id % 7 * 60000000"))
+    return scans.sessions(ev, *_ALL, "t", "until", _BREAK).select("event_id", "session")
+
+
+@_query(f"WITH {_EV}, m AS (SELECT t, max(event_id) AS mark FROM ev WHERE event_type = 'signup' GROUP BY t) SELECT ev.event_id, m.mark FROM ev ASOF LEFT JOIN m ON ev.t >= m.t")
+def segmented_asof(spark, sf):
+    ev = _one_chain(spark, sf)
+    marks = ev.where("event_type = 'signup'").select("discourse", "t", F.col("event_id").alias("mark"))
+    return scans.asof(ev, marks, ["discourse"], "t", "t", ["mark"]).select("event_id", "mark")

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tierlake.errors import AttributeMissing, QueryError
 from tierlake.operators import enrich, measures, pauses, syllables, tracks, windows
-from tierlake.operators.rangejoin import asof, within
+from tierlake.operators.rangejoin import asof, containing, within
 from tierlake.schema import TOKEN_COLUMNS, Schema
 
 KEYS = ("discourse", "speaker")
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def _identified(level: str, table: DataFrame) -> DataFrame:
+    """table with an id from what each token is; tokens that are the same in all of that are numbered."""
+    if "id" in table.columns:
+        return table
+    what = [*KEYS, "begin", "end", "label"]
+    again = F.row_number().over(Window.partitionBy(*what).orderBy(F.lit(1)))
+    # nothing is added for the first, whose id is what it would be alone
+    return table.withColumn("id", F.sha1(F.concat_ws("|", F.lit(level), *what, F.when(again > 1, again))))
 
 
 def list_corpora(spark: SparkSession, root: str) -> list[str]:
@@ -22,28 +34,71 @@ def list_corpora(spark: SparkSession, root: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
 
 
+class _Levels(dict):
+    """level -> table. A table may be given as a function, which is called when the level is first asked for; opened(level, table) hears of each."""
+
+    def __init__(self, tables: dict, opened: Callable[[str, DataFrame], None]):
+        super().__init__(tables)
+        self._opened, self._told = opened, set()
+
+    def __getitem__(self, level: str) -> DataFrame:
+        table = super().__getitem__(level)
+        if callable(table):
+            table = table()
+            super().__setitem__(level, table)
+        if level not in self._told:
+            self._told.add(level)
+            self._opened(level, table)
+        return table
+
+    def get(self, level: str, default=None):
+        return self[level] if level in self else default
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+    def values(self):
+        return [self[k] for k in self]
+
+
+class _Entities:
+    """A table of entities; it may be given as a function, which is called when the table is first asked for."""
+
+    def __set_name__(self, owner, name: str):
+        self.name = f"_{name}"
+
+    def __get__(self, corpus, owner=None):
+        table = corpus.__dict__[self.name]
+        if callable(table):
+            table = corpus.__dict__[self.name] = table()
+        return table
+
+    def __set__(self, corpus, table) -> None:
+        corpus.__dict__[self.name] = table
+
+
 class Corpus:
     """Tables are lazy; enrichment replaces them by new plans, and save() writes them as a new version.
 
     tokens: level -> id, label, begin, end, speaker, discourse, <higher>_id ..., properties.
     types: level -> label and properties of its types. Entities have name and properties;
-    speaks_in has speaker, discourse, channel.
+    speaks_in has speaker, discourse, channel. Any table may be given as a function without arguments: it is
+    opened when something asks for it, so a query of one level doesn't read the files of the others.
     """
 
-    def __init__(self, spark: SparkSession, name: str, schema: Schema, tokens: dict[str, DataFrame], types: dict[str, DataFrame] | None = None, speakers: DataFrame | None = None, discourses: DataFrame | None = None, speaks_in: DataFrame | None = None):
-        self.spark, self.name, self.schema, self.tokens = spark, name, schema, dict(tokens)
-        for level, table in self.tokens.items():
+    speakers, discourses, speaks_in = _Entities(), _Entities(), _Entities()
+
+    def __init__(self, spark: SparkSession, name: str, schema: Schema, tokens: dict[str, Table], types: dict[str, Table] | None = None, speakers: Table | None = None, discourses: Table | None = None, speaks_in: Table | None = None):
+        self.spark, self.name, self.schema = spark, name, schema
+        for level in tokens:
             schema.require(level)
-            for c, kind in table.dtypes:
-                if c not in TOKEN_COLUMNS and not c.endswith("_id") and c not in ("is_pause", "subsets"):
-                    schema.add("token", level, **{c: kind})
-        self.types = dict(types or {})
-        for level, table in self.types.items():
-            schema.add("type", level, **{c: k for c, k in table.dtypes if c not in ("label", "subsets")})
-        low = self.tokens[schema.lowest]
-        self.speakers = speakers if speakers is not None else low.select(F.col("speaker").alias("name")).distinct()
-        self.discourses = discourses if discourses is not None else low.select(F.col("discourse").alias("name")).distinct()
-        self.speaks_in = speaks_in if speaks_in is not None else low.select("speaker", "discourse", F.lit(0).alias("channel")).distinct()
+        plain = lambda c: c not in TOKEN_COLUMNS and not c.endswith("_id") and c not in ("is_pause", "subsets")
+        self.tokens = _Levels(tokens, lambda level, table: schema.add("token", level, **{c: k for c, k in table.dtypes if plain(c)}))
+        self.types = _Levels(types or {}, lambda level, table: schema.add("type", level, **{c: k for c, k in table.dtypes if c not in ("label", "subsets")}))
+        low = lambda *columns: self.tokens[schema.lowest].select(*columns).distinct()
+        self.speakers = speakers if speakers is not None else lambda: low(F.col("speaker").alias("name"))
+        self.discourses = discourses if discourses is not None else lambda: low(F.col("discourse").alias("name"))
+        self.speaks_in = speaks_in if speaks_in is not None else lambda: low("speaker", "discourse", F.lit(0).alias("channel"))
         self.subannotations: dict[tuple[str, str], DataFrame] = {}
         self.tracks: dict[str, DataFrame] = {}
 
@@ -51,18 +106,15 @@ class Corpus:
 
     @classmethod
     def from_tiers(cls, spark: SparkSession, name: str, tiers: dict[str, DataFrame], order: Sequence[str]) -> Corpus:
-        """From unlinked tiers, `order` from the lowest level to the highest: a token belongs to the one above that holds its midpoint."""
+        """From unlinked tiers, `order` from the lowest level to the highest: a token belongs to the one above that holds its midpoint; of several, to the one that ends last."""
         schema = Schema({level: (order[i + 1] if i + 1 < len(order) else None) for i, level in enumerate(order)})
+        tables = {level: _identified(level, tiers[level].withColumns({"begin": F.least("begin", "end"), "end": F.greatest("begin", "end")})) for level in order}
         tokens = {}
         for i, level in enumerate(order):
-            table = tiers[level].withColumns({"begin": F.least("begin", "end"), "end": F.greatest("begin", "end")})
-            if "id" not in table.columns:
-                table = table.withColumn("id", F.sha1(F.concat_ws("|", F.lit(level), *KEYS, "begin", "end", "label")))
-            table = table.withColumn("_mid", (F.col("begin") + F.col("end")) / 2)
+            table = tables[level].withColumn("_mid", (F.col("begin") + F.col("end")) / 2)
             for up in order[i + 1 :]:
                 if f"{up}_id" not in table.columns:
-                    upper = tiers[up].withColumn("id", F.sha1(F.concat_ws("|", F.lit(up), *KEYS, F.least("begin", "end"), F.greatest("begin", "end"), "label"))) if "id" not in tiers[up].columns else tiers[up]
-                    spans = upper.select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("id").alias(f"{up}_id"))
+                    spans = tables[up].select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("id").alias(f"{up}_id"))
                     table = within(table, spans, KEYS, "_mid", "_b", "_e", [f"{up}_id"], inner=False)
             tokens[level] = table.drop("_mid")
         return cls(spark, name, schema, tokens)
@@ -357,12 +409,11 @@ class Corpus:
         self.schema.add("token", level, **{c: k for c, k in properties.dtypes if c != key})
 
     def enrich_tokens_at(self, level: str, properties: DataFrame, time: str = "time") -> None:
-        """Properties of the tokens of a discourse that hold a time, ends included: one of each speaker, or only the named speaker's if properties have a speaker."""
+        """Properties of all tokens of a discourse that hold a time, ends included, whoever speaks them; only of the named speaker if properties have a speaker. A token that several rows hit gets the greatest of each property."""
         own = [c for c in properties.columns if c not in (*KEYS, time)]
-        spans = self.tokens[level].select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), "id")
-        if "speaker" not in properties.columns:
-            properties = properties.join(self.speaks_in.select(*KEYS).distinct(), "discourse")
-        at = within(properties, spans, KEYS, time, "_b", "_e", ["id"])
+        spans = self.tokens[level].select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("id").alias("_id"))
+        keys = KEYS if "speaker" in properties.columns else ("discourse",)
+        at = containing(properties, spans, keys, time, "_b", "_e", ["_id"]).withColumnRenamed("_id", "id")
         self.enrich_tokens(level, at.groupBy("id").agg(*(F.max(c).alias(c) for c in own)))
 
     def add_subannotations(self, level: str, name: str, rows: DataFrame) -> None:
@@ -435,9 +486,16 @@ class Corpus:
         return column
 
     def remove_discourse(self, discourse: str) -> None:
-        """All of a discourse, and speakers that are in no other."""
+        """All of a discourse: its tokens with their subannotations, its points of tracks, types that no other token has, and speakers that are in no other."""
         other = lambda df, c: df.where(~F.col(c).eqNullSafe(discourse))
+        gone = {level: table.where(F.col("discourse") == discourse) for level, table in self.tokens.items()}
         self.tokens = {k: other(v, "discourse") for k, v in self.tokens.items()}
+        for (level, name), rows in self.subannotations.items():
+            self.subannotations[level, name] = rows.join(gone[level].select(F.col("id").alias("annotated_id")), "annotated_id", "left_anti")
+        for level, table in self.types.items():
+            # types that were there without any token stay
+            alone = gone[level].select("label").distinct().join(self.tokens[level].select("label").distinct(), "label", "left_anti")
+            self.types[level] = table.join(alone, "label", "left_anti")
         self.tracks = {k: other(v, "discourse") for k, v in self.tracks.items()}
         self.speaks_in, self.discourses = other(self.speaks_in, "discourse"), other(self.discourses, "name")
         self.speakers = enrich.orphans_removed(self.speakers, self.speaks_in, "name", "speaker")

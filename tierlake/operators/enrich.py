@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,3 +112,10 @@ def reset_to_old_label(phones: DataFrame) -> DataFrame:
 def orphans_removed(dimension: DataFrame, facts: DataFrame, key: str, foreign: str) -> DataFrame:
     """Rows of a dimension that some fact refers to."""
     return dimension.join(facts.select(F.col(foreign).alias(key)).distinct(), key, "left_semi")
+
+
+def equal_join(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """a with columns of b, where null keys are equal too."""
+    b = b.select(*(F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)), *columns)
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)), F.lit(True))
+    return a.join(b, on, how).drop(*(f"_r{i}" for i in range(len(keys))))

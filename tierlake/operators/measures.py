@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierlake.operators.enrich import equal_join
+
 
 def percentile_disc(column: str, share: float) -> Column:
     """The smallest value whose cumulative share reaches `share`."""
@@ -30,17 +32,25 @@ def statistic(name: str, column: str) -> Column:
     }[name]()
 
 
-def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence[float], cuts: int = 32) -> DataFrame:
+#: Groups of up to so many values are ordered by one task each.
+GATHERED = 1_000_000
+
+
+def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence[float], cuts: int = 32, gathered: int = GATHERED) -> DataFrame:
     """by and q0, q1, ...: the discrete percentile of each share, exact for groups of any size.
 
-    percentile_disc keeps a group's values in one task. Here approximate cut points deal each
+    percentile_disc keeps a group's distinct values in one task, so it is used only if a first count finds no
+    group of more than `gathered` values. Beyond that, approximate cut points deal each
     group's values into buckets, the buckets' counts tell which one holds a rank, and only that
     bucket's distinct values are shuffled and ordered: a `cuts`-th of a group for each share.
-    Nulls don't count; a group without values has no row.
+    Nulls don't count; a group without values has no row. Null group values are a group.
     """
     rows = table.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= gathered:
+        return rows.groupBy(*by).agg(*(percentile_disc("_v", p).alias(f"q{i}") for i, p in enumerate(shares))).where("q0 IS NOT NULL")
     bounds = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 1000)).alias("_cuts"))
-    dealt = rows.join(bounds, [*by]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    dealt = equal_join(rows, bounds, by, ["_cuts"]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     # at most `cuts` rows a group from here on
     sums = dealt.groupBy(*by, "_b").agg(F.count("*").alias("_s"))
     order = Window.partitionBy(*by).orderBy("_b")
@@ -48,9 +58,9 @@ def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence
     asked = sums.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)))).alias("_q"))
     asked = asked.withColumn("_rank", F.greatest(F.ceil(F.col("_q.p") * F.col("_n")), F.lit(1))).where("_rank <= _upto AND _rank > _upto - _s")
     asked = asked.groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col("_q.i").alias("i"), (F.col("_rank") - (F.col("_upto") - F.col("_s"))).alias("left"))).alias("_asked"))
-    inside = dealt.join(asked.select(*by, "_b"), [*by, "_b"], "left_semi").groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"))
+    inside = equal_join(dealt, asked.select(*by, "_b", "_asked"), [*by, "_b"], ["_asked"]).groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"), F.first("_asked").alias("_asked"))
     inside = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v")))
-    found = inside.join(asked, [*by, "_b"]).select(*by, "_v", "_upto", F.explode("_asked").alias("_a")).where("_upto >= _a.left")
+    found = inside.select(*by, "_v", "_upto", F.explode("_asked").alias("_a")).where("_upto >= _a.left")
     return found.groupBy(*by).agg(*(F.min(F.when(F.col("_a.i") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(shares))))
 
 

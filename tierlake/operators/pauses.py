@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +13,7 @@ from tierlake.operators.windows import chain
 
 def encode_pauses(words: DataFrame, pauses: Sequence[str] | str) -> DataFrame:
     """words with is_pause: labels in a list, or matching a regular expression as a whole."""
-    hit = F.col("label").rlike(f"^(?:{pauses})$") if isinstance(pauses, str) else F.col("label").isin(list(pauses))
+    hit = F.col("label").rlike(rf"\A(?:{pauses})\z") if isinstance(pauses, str) else F.col("label").isin(list(pauses))
     return words.withColumn("is_pause", F.coalesce(hit, F.lit(False)))
 
 
@@ -41,27 +40,28 @@ def utterances(words: DataFrame, shortest_pause: float = 0.5, shortest: float =
     """keys, utterance (1, 2, ...), begin, end, n_words.
 
     Speech splits at pauses of at least `shortest_pause` (any pause if 0). A stretch shorter than
-    `shortest` joins the utterance before it if that is nearer than the next one, and is dropped
-    otherwise. The merging depends on order, so it folds the stretches of a chain; these are one
-    row each, far fewer than words.
+    `shortest` joins the utterance before it if that is nearer than the next stretch, and is dropped
+    otherwise. A long stretch always begins an utterance, whatever came before it; so the short ones between
+    two long ones are folded by themselves, over the end that the utterance has so far.
     """
     # a pause of 0.5 that floating point shows as 0.4999999 still is one
     found = spans(words, keys, shortest_pause - 1e-9 if shortest_pause else 0.0).groupBy(*keys, "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_words"))
     if shortest > 0:
-
-        def fold(group: pd.DataFrame) -> pd.DataFrame:
-            rows = group.sort_values("span").to_dict("records")
-            out: list[dict] = []
-            for i, row in enumerate(rows):
-                if row["end"] - row["begin"] < shortest:
-                    to_next = rows[i + 1]["begin"] - row["end"] if i + 1 < len(rows) else float("inf")
-                    if out and row["begin"] - out[-1]["end"] < to_next:
-                        out[-1]["end"], out[-1]["n_words"] = row["end"], out[-1]["n_words"] + row["n_words"]
-                else:
-                    out.append(dict(row))
-            return pd.DataFrame(out, columns=group.columns)
-
-        found = found.groupBy(*keys).applyInPandas(fold, found.schema)
+        w = chain(keys, ["span"])
+        long = F.col("end") - F.col("begin") >= shortest
+        # a null length is not short
+        found = found.withColumn("_long", F.coalesce(long, F.lit(True))).withColumns({"_head": F.sum(F.col("_long").cast("long")).over(w), "_to_next": F.lead("begin").over(w) - F.col("end")})
+        short = F.struct("span", "begin", "end", "n_words", F.coalesce("_to_next", F.lit(float("inf"))).alias("to_next"))
+        groups = found.where("_head > 0").groupBy(*keys, "_head").agg(
+            F.min_by(F.struct("begin", "end", "n_words"), "span").alias("_first"), F.array_sort(F.collect_list(F.when(~F.col("_long"), short))).alias("_short")
+        )
+
+        def join(so_far: Column, s: Column) -> Column:
+            near = s["begin"] - so_far["end"] < s["to_next"]
+            return F.struct(F.when(near, s["end"]).otherwise(so_far["end"]).alias("end"), (so_far["n_words"] + F.when(near, s["n_words"]).otherwise(0)).alias("n_words"))
+
+        folded = F.aggregate("_short", F.struct(F.col("_first.end").alias("end"), F.col("_first.n_words").alias("n_words")), join)
+        found = groups.withColumn("_all", folded).select(*keys, "_first.begin", "_all.end", "_all.n_words")
     return found.withColumn("utterance", F.row_number().over(Window.partitionBy(*keys).orderBy("begin")).cast("int")).select(*keys, "utterance", "begin", "end", "n_words")
 
 

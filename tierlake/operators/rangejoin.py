@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bins are 2 ** this wide at least (of the unit of time), so that their numbers stay exact.
+_FINEST = -20
 
 def asof(points: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, begin: str, columns: Sequence[str], inner: bool = False) -> DataFrame:
     """points with `columns` of the last mark of the same keys that begins at or before the point's time.
@@ -30,14 +32,51 @@ def asof(points: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, be
 
 
 def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str], inner: bool = True, closed: bool = True) -> DataFrame:
-    """points with `columns` of the span of the same keys that contains their time (end included if closed).
+    """points with `columns` of one span of the same keys that contains their time (end included if closed).
 
-    Spans of the same keys must not overlap; a point on a shared border belongs to the later one.
+    Of several such spans the one that ends last counts, of those the one that begins last, then the
+    greatest by columns; so a point on a border that two spans share belongs to the later one. Spans without
+    begin or end contain nothing. containing() gives all spans of a point.
     """
-    names = [*dict.fromkeys([*columns, end])]
-    spans = spans.select(*keys, F.col(begin).alias("_begin"), *[F.col(c).alias(f"_s_{c}") for c in names])
-    found = asof(points, spans, keys, time, "_begin", [f"_s_{c}" for c in names])
-    limit = F.col(f"_s_{end}").cast("double")
-    ok = F.coalesce(F.col(time).cast("double") <= limit if closed else F.col(time).cast("double") < limit, F.lit(False))
-    out = found.select(*points.columns, *[F.when(ok, F.col(f"_s_{c}")).alias(c) for c in columns], ok.alias("_ok"))
-    return (out.where("_ok") if inner else out).drop("_ok")
+    own, names = [*points.columns], [*dict.fromkeys(columns)]
+    keyed = lambda df, *more: df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *more)
+    span = F.struct(F.col(end).cast("double").alias("_end"), F.col(begin).cast("double").alias("_begin"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)))
+    b = keyed(spans.where(F.col(begin).isNotNull() & F.col(end).isNotNull()), F.col(begin).cast("double").alias("_t"), F.lit(0).alias("_side"), span.alias("_m"))
+    a = keyed(points, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_p"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # of all spans begun so far, the one that ends last holds the time if any does
+    both = b.unionByName(a, allowMissingColumns=True).withColumn("_m", F.max("_m").over(w)).where("_side = 1")
+    known = F.col("_t").isNotNull()
+    for i in range(len(keys)):
+        known = known & F.col(f"_k{i}").isNotNull()
+    ok = F.coalesce(known & (F.col("_t") <= F.col("_m._end") if closed else F.col("_t") < F.col("_m._end")), F.lit(False))
+    both = both.where(ok) if inner else both
+    # own columns that the span's replace are dropped, as in a join that overwrites
+    kept = [c for c in own if c not in names]
+    return both.select(*[F.col("_p")[c].alias(c) for c in kept], *[F.when(ok, F.col("_m")[f"_c{names.index(c)}"]).alias(c) for c in columns])
+
+
+def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str], closed: bool = True, pieces: int = 32) -> DataFrame:
+    """points with `columns` of every span of the same keys that contains their time (end included if closed): a row for each pair.
+
+    Spans may overlap in any way. Time is cut into bins at several widths, powers of two: a span goes
+    to the width that cuts it into `pieces` bins at most, a copy into each of them, and a point into its bin of each
+    width that a span uses. Both meet by equality of keys, width and bin, and the time itself is tested then. So
+    neither a long span nor one chain that holds most points makes one bin hot: the points that
+    meet a span come in about `pieces` groups. A null key, time, begin or end finds nothing, and a span that
+    ends before it begins contains nothing.
+    """
+    own, names = [*points.columns], [*dict.fromkeys(columns)]
+    length = F.col("_e") - F.col("_b")
+    width = F.when(length > 0, F.ceil(F.log2(length / pieces))).otherwise(0).cast("int")  # _w; a bin is 2 ** _w wide
+    b = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(begin).cast("double").alias("_b"), F.col(end).cast("double").alias("_e"), F.struct(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names))).alias("_m"))
+    b = b.where(F.col("_b") <= F.col("_e")).withColumn("_w", F.greatest(width, F.lit(_FINEST)))
+    place = lambda t: F.floor(F.col(t) / F.pow(F.lit(2.0), F.col("_w")))
+    widths = b.agg(F.collect_set("_w")).scalar()  # a few whole numbers: logarithms of lengths
+    a = points.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(time).cast("double").alias("_t"), F.struct(*own).alias("_p"))
+    a = a.where("_t is not null").withColumn("_w", F.explode(widths)).withColumn("_bin", place("_t"))
+    b = b.withColumn("_bin", F.explode(F.sequence(place("_b"), place("_e"))))
+    inside = (F.col("_t") >= F.col("_b")) & ((F.col("_t") <= F.col("_e")) if closed else (F.col("_t") < F.col("_e")))
+    met = a.join(b, [*(f"_k{i}" for i in range(len(keys))), "_w", "_bin"]).where(inside)
+    kept = [c for c in own if c not in names]
+    return met.select(*[F.col("_p")[c].alias(c) for c in kept], *[F.col("_m")[f"_c{names.index(c)}"].alias(c) for c in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.operators.measures import statistic
-from tierlake.operators.rangejoin import asof, within
+from tierlake.operators.rangejoin import asof, containing
 
 
 def label_points(track: DataFrame, tokens: DataFrame, keys: Sequence[str], columns: Sequence[str], time: str = "time", begin: str = "begin") -> DataFrame:
@@ -19,8 +19,8 @@ def label_points(track: DataFrame, tokens: DataFrame, keys: Sequence[str], colum
 
 
 def slices(track: DataFrame, tokens: DataFrame, keys: Sequence[str], token_id: str = "id", time: str = "time", begin: str = "begin", end: str = "end") -> DataFrame:
-    """The points of each token, both ends included; tokens of a key must not overlap."""
-    return within(track, tokens, keys, time, begin, end, [token_id])
+    """The points of each token, both ends included; a point that several tokens hold has a row for each."""
+    return containing(track, tokens, keys, time, begin, end, [token_id])
 
 
 def token_statistics(track: DataFrame, tokens: DataFrame, keys: Sequence[str], measure: str, token_id: str = "id", **columns: str) -> DataFrame:
@@ -50,7 +50,7 @@ def relativise(track: DataFrame, measure: str, by: Sequence[str]) -> DataFrame:
 
 def buckets(track: DataFrame, tokens: DataFrame, keys: Sequence[str], measure: str, points: int, token_id: str = "id", time: str = "time", begin: str = "begin", end: str = "end") -> DataFrame:
     """The mean of a measure in `points` equal buckets of each token's time; empty buckets are null. Columns: id, bucket (from 0), mean."""
-    inside = within(track, tokens, keys, time, begin, end, [token_id, begin, end])
+    inside = containing(track, tokens, keys, time, begin, end, [token_id, begin, end])
     width = (F.col(end).cast("double") - F.col(begin).cast("double")) / points
     at = F.when(width > 0, F.least(F.floor((F.col(time).cast("double") - F.col(begin).cast("double")) / width), F.lit(points - 1))).otherwise(0).cast("int")
     means = inside.groupBy(token_id, at.alias("bucket")).agg(F.avg(measure).alias("mean"))
@@ -71,10 +71,10 @@ def interpolated(track: DataFrame, tokens: DataFrame, keys: Sequence[str], measu
     without points is undefined, as are times outside all points; values of 0 or less are ignored,
     and points at one time count as their mean. Tokens without points give no rows.
     """
-    wide = tokens.select(*keys, F.col(token_id), F.col(begin).cast("double").alias("_a"), F.col(end).cast("double").alias("_b"))
-    # a padded span may overlap its neighbour, so a point is offered to the token it is in and to those just after and before
-    near = [within(track.withColumn("_at", F.col(time).cast("double") + shift), wide, keys, "_at", "_a", "_b", [token_id, "_a", "_b"]) for shift in (0.0, padding, -padding)]
-    near = near[0].unionByName(near[1]).unionByName(near[2]).select(token_id, "_a", "_b", F.col(time).cast("double").alias("_t"), F.col(measure).cast("double").alias("_v")).where("_v > 0").distinct()
+    a, b = (F.col(c).cast("double") for c in (begin, end))
+    wide = tokens.select(*keys, F.col(token_id), a.alias("_a"), b.alias("_b"), (a - padding).alias("_from"), (b + padding).alias("_to"))
+    heard = track.select(*keys, F.col(time).cast("double").alias("_t"), F.col(measure).cast("double").alias("_v")).where("_v > 0")
+    near = containing(heard, wide, keys, "_t", "_from", "_to", [token_id, "_a", "_b"])
     near = near.groupBy(token_id, "_a", "_b", "_t").agg(F.avg("_v").alias("_v"))
     # the places asked for stand among the points of their token; each looks for the last point before and the first after it
     places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("place"), F.when(k == points - 1, F.col("_b")).otherwise(F.col("_a") + k * ((F.col("_b") - F.col("_a")) / max(points - 1, 1))).alias("time")))

@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.errors import AttributeMissing, QueryError
-from tierlake.operators import enrich, metadata, tracks, windows
+from tierlake.operators import enrich, measures, metadata, tracks, windows
 
 KEYS = ["discourse", "speaker"]
 _ENDS = {"initial": 1, "final": -1, "penultimate": -2, "antepenultimate": -3}
+#: Discrete quantiles by the shares they need; an own share where none is given.
+_SHARES = {"quantile": None, "median": (0.5,), "iqr": (0.25, 0.75)}
 _STATISTICS = ("min", "max", "mean", "median", "stdev")
 #: Collected attributes of an entity: the entities it meets, and their channels.
 _BRIDGES = {"speaker": ("discourses", "channels"), "discourse": ("speakers", "channels")}
@@ -126,6 +128,8 @@ class Node:
             return self._go("sub", name)
         if name in self.corpus.tracks:
             return Track(self, name)
+        # what a table has is known once it is open
+        self.corpus.types.get(self.level)
         if self.lexicon:
             if name not in ("label", "subset") and not schema.has("type", self.level, name):
                 raise AttributeMissing(f"types of {self.level} have no {name!r}")
@@ -133,6 +137,7 @@ class Node:
         if name.endswith("_id") and name.removesuffix("_id") in schema.higher(self.level):
             return Attribute(self, name)
         known = name in ("id", "label", "begin", "end", "duration", "subset", "follows_pause", "precedes_pause", "count", "rate", "position")
+        self.corpus.tokens.get(self.level)
         if not known and not schema.has("token", self.level, name) and not schema.has("type", self.level, name):
             raise AttributeMissing(f"{self.level} has no {name!r}")
         return Attribute(self, name)
@@ -167,10 +172,11 @@ class _Value:
     __hash__ = object.__hash__
 
     def in_(self, values: Any) -> Clause:
-        """Membership in a list, or in what a query's first column (or equally named attribute) yields."""
+        """Membership in a list, or in what a query's first column (or equally named attribute) yields. Nulls are in nothing, and those among the values play no part."""
         return self._compare("in", values)
 
     def not_in_(self, values: Any) -> Clause:
+        """The values known not to be there: a null is neither in nor not in."""
         return self._compare("not in", values)
 
     def regex(self, pattern: str) -> Clause:
@@ -526,7 +532,7 @@ class _Plan:
         if c.op in ("in", "not in") and isinstance(rest[0], Query):
             value = self.column(first)
             hit = self.marked(self.yielded(first, rest[0]).distinct(), lambda p: value == F.col(f"{p}___in"))
-            return ~hit if c.op == "not in" else hit
+            return ~hit & value.isNotNull() if c.op == "not in" else hit
         if isinstance(first, Attribute) and first.node.step_kind == "down" and first.name not in ("count", "rate"):
             if self._narrows(c):
                 return F.coalesce(self.place(first.node)("_n") > 0, F.lit(False))
@@ -557,9 +563,9 @@ _TESTS: dict[str, Callable[..., Column]] = {
     "<=": lambda a, b: a <= b,
     ">": lambda a, b: a > b,
     ">=": lambda a, b: a >= b,
-    "in": lambda a, b: a.isin(list(b)),
-    "not in": lambda a, b: ~a.isin(list(b)),
-    "regex": lambda a, b: a.rlike(f"^(?:{b})$"),
+    "in": lambda a, b: a.isin([v for v in b if v is not None]),
+    "not in": lambda a, b: a.isNotNull() & ~a.isin([v for v in b if v is not None]),
+    "regex": lambda a, b: a.rlike(rf"\A(?:{b})\z"),
 }
 
 
@@ -690,7 +696,8 @@ class Query:
         for c in semis:
             if c.op != "order":
                 value, inner = c.parts
-                df = df.join(plan.yielded(value, inner), plan.column(value) == F.col("_in"), "left_semi" if c.op == "in" else "left_anti")
+                x = plan.column(value)
+                df = (df if c.op == "in" else df.where(x.isNotNull())).join(plan.yielded(value, inner), x == F.col("_in"), "left_semi" if c.op == "in" else "left_anti")
         return plan, df
 
     def _agg(self, plan: _Plan, a: Aggregate) -> Column:
@@ -700,8 +707,19 @@ class Query:
         if not a.collapses:
             total = F.aggregate(x, F.lit(0.0), lambda s, y: s + y.cast("double"))
             return {"sum": total, "count": F.size(x), "average": F.try_divide(total, F.size(x))}[a.name]
-        disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `_v_{a.label}`)")
-        return {"count": F.count, "average": F.avg, "sum": F.sum, "stdev": F.stddev_samp, "max": F.max, "min": F.min, "quantile": lambda _: disc(a.share), "median": lambda _: disc(0.5), "iqr": lambda _: disc(0.75) - disc(0.25)}[a.name](x)
+        return {"count": F.count, "average": F.avg, "sum": F.sum, "stdev": F.stddev_samp, "max": F.max, "min": F.min}[a.name](x)
+
+    def _quantiles(self, df: DataFrame, named: dict[str, Aggregate], keys: list[str]) -> Iterator[tuple[DataFrame, list[str]]]:
+        """(keys and columns, names of the columns): the discrete quantiles among the named aggregates, those of one value together."""
+        asked: dict[str, dict] = {}
+        for name, a in named.items():
+            if a.name in _SHARES:
+                asked.setdefault(f"_v_{a.label}", {})[name] = _SHARES[a.name] or (a.share,)
+        for column, wanted in asked.items():
+            shares = sorted({p for ps in wanted.values() for p in ps})
+            at = {p: F.col(f"q{i}") for i, p in enumerate(shares)}
+            found = measures.quantiles(df.select(*keys, F.col(f"`{column}`").alias("_x")), "_x", keys, shares)
+            yield found.select(*keys, *((at[ps[-1]] - at[ps[0]] if len(ps) > 1 else at[ps[0]]).alias(name) for name, ps in wanted.items())), [*wanted]
 
     def _table(self) -> DataFrame:
         """The table that the query is about."""
@@ -741,9 +759,14 @@ class Query:
         tested = [c.parts[0] for c in self._having]
         self.aggregates = [*aggregates, *tested]
         plan, df = self._matched()
-        named = [plan.column(v).alias(v.label) for v in self.groups]
-        df = df.withColumns({f"_v_{a.label}": plan.column(a.value) for a in self.aggregates if a.value is not None})
-        out = df.groupBy(*named).agg(*(self._agg(plan, a).alias(a.label) for a in aggregates), *(self._agg(plan, a).alias(f"_h{i}") for i, a in enumerate(tested)))
+        keys = [f"_g{i}" for i in range(len(self.groups))]
+        df = df.withColumns({**{f"_v_{a.label}": plan.column(a.value) for a in self.aggregates if a.value is not None}, **{k: plan.column(v) for k, v in zip(keys, self.groups)}})
+        every = {**{f"_a{i}": a for i, a in enumerate(aggregates)}, **{f"_h{i}": a for i, a in enumerate(tested)}}
+        # a count keeps groups whose values are all null
+        out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *(self._agg(plan, a).alias(n) for n, a in every.items() if a.name not in _SHARES))
+        for ranked, names in self._quantiles(df, every, keys):
+            out = enrich.equal_join(out, ranked, keys, names, "left")
+        out = out.select(*(F.col(k).alias(v.label) for k, v in zip(keys, self.groups)), *(F.col(n).alias(a.label) for n, a in zip(every, aggregates)), *(f"_h{i}" for i in range(len(tested))))
         for i, c in enumerate(self._having):
             out = out.where(_TESTS[c.op](F.col(f"_h{i}"), *c.parts[1:]))
         return out.drop(*(f"_h{i}" for i in range(len(tested))))
