@@ -516,6 +516,20 @@ def test_sharding(spark, tmp_path):
     assert sharding.shard(docs.limit(0)).read().count() == 0
 
 
+def test_the_query_of_sharding_compacts(spark, tmp_path, monkeypatch):
+    """On small tables too; and it would show if compaction did nothing."""
+    docs_of(spark, [f"text {i} " * 20 for i in range(200)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sharding.query(spark, str(tmp_path)).collect()
+    assert len(rows) == 200 and all(r.fits and r.listed and r.settled and r.compacted for r in rows)
+    store = sharding.shard(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    first = [len(store.manifest(v)["files"]) for v in range(1, store.version() + 1)]
+    assert max(first) >= 8 and len(store.manifest()["files"]) < 4 and all(size > 1000 for size in store.manifest()["files"].values())
+    with pytest.raises(ValueError):
+        store.append_each(docs_of(spark, ["x"]), F.lit(0), 1)
+    monkeypatch.setattr(sharding.ShardStore, "compact", lambda self: self.version())
+    assert not any(r.compacted or r.settled for r in sharding.query(spark, str(tmp_path)).collect())
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 150)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 20)
@@ -554,6 +568,37 @@ def test_top_k_is_exact_for_large_numbers(spark, monkeypatch, scale):
         assert [got[q][k] for k in range(1, 6)] == [(j, -s) for s, j in pairs]
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    """With numbered rows, each query row is ranked by itself and only its own row is left out."""
+    chance = np.random.default_rng(2)
+    x = chance.integers(-9, 9, (60, 20)).astype(float)
+    rows = [(i // 2, v.tolist(), i) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, v array<double>, row long")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, table.where("vec_id % 5 = 0"), 5).collect())
+    want = []
+    for i, v, n in rows:
+        if i % 5 == 0:
+            best = sorted((-int(np.dot(v, w)), j) for j, w, m in rows if m != n)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_most_scores_are_not_finished():
+    """In the given 64 dimensions balls rule out nothing; the heads of the vectors rule out most pairs."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.floor(256 * np.array(table["embedding"].to_pylist(), float)), table["vec_id"].to_numpy()
+    shard = topk._Leaves(x, ids, np.arange(len(x)))
+    who = np.flatnonzero(ids % 50 == 0)
+    best = shard.search(x[who], who, np.full(len(who), -np.inf), 5)
+    scores = x[who] @ x.T
+    scores[np.arange(len(who)), who] = -np.inf
+    for row, own in zip(best, scores):
+        assert [(-i, s) for s, i in row] == sorted(zip(ids.tolist(), own.tolist()), key=lambda p: (-p[1], p[0]))[:5]
+    assert shard.finished < 0.4 * shard.pairs
+
+
 def test_shingles_of_slices():
     import pyarrow as pa
 

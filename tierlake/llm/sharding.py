@@ -15,7 +15,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.llm.runtime import shared_dir
@@ -80,10 +80,14 @@ class ShardStore:
             raise Conflict(f"version {version} of {self.root} is taken")
         return version
 
+    def _files(self, run: str) -> dict[str, int]:
+        """The shards of a run, by their names within the store."""
+        return {p.removeprefix(f"{self.root}/"): size for p, size in self._list(run) if p.endswith(".parquet")}
+
     def _write(self, df: DataFrame) -> dict[str, int]:
         run = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.parquet(run)
-        return {p.removeprefix(f"{self.root}/"): size for p, size in self._list(run) if p.endswith(".parquet")}
+        return self._files(run)
 
     def append(self, arrivals: DataFrame) -> int:
         """Add rows as they come, one small shard for each of their partitions; a table of another schema is refused."""
@@ -94,6 +98,29 @@ class ShardStore:
         made = self._write(arrivals)
         return self._kept(made, lambda: self.commit(now["version"], now["schema"] or schema, now["files"] | made))
 
+    def append_each(self, rows: DataFrame, arrival: Column, arrivals: int) -> list[int]:
+        """Add rows as several arrivals, numbered 0 to arrivals - 1, in one pass over them; a version for each that has rows. Nulls arrive first."""
+        now, schema = self.manifest(), json.dumps(rows.schema.jsonValue())
+        if now["version"]:
+            raise ValueError("several arrivals begin a store")
+        name = "_arrival"
+        while name in rows.columns:
+            name += "_"
+        # an open file for each arrival instead of a sort of whole rows
+        own = rows.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+        rows.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(arrivals))
+        try:
+            run = f"{self.root}/data/{uuid.uuid4().hex}"
+            rows.withColumn(name, F.coalesce(arrival, F.lit(0))).write.partitionBy(name).parquet(run)
+        finally:
+            rows.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", own)
+        versions = []
+        for i in range(arrivals):
+            if made := self._files(f"{run}/{name}={i}"):
+                now = self.manifest()
+                versions.append(self.commit(now["version"], now["schema"] or schema, now["files"] | made))
+        return versions or [self.commit(0, schema, {})]
+
     def _kept(self, made: dict[str, int], commit) -> int:
         """commit(), and none of the files made for it if it is refused."""
         try:
@@ -154,33 +181,38 @@ class ShardStore:
         """Delete files that the newest version doesn't list; returns how many. No other writer may be at work."""
         live, gone = set(self.manifest()["files"]), 0
         for run, _ in self._list(f"{self.root}/data"):
-            for path, _ in self._list(run):
-                if path.endswith(".parquet") and path.removeprefix(f"{self.root}/") not in live:
-                    gone += bool(self._fs.delete(self._path(path), False))
+            for folder in [run, *(p for p, _ in self._list(run) if "=" in p.rsplit("/", 1)[1])]:
+                for path, _ in self._list(folder):
+                    if path.endswith(".parquet") and path.removeprefix(f"{self.root}/") not in live:
+                        gone += bool(self._fs.delete(self._path(path), False))
         return gone
 
 
-def shard(docs: DataFrame, root: str | None = None, arrivals: int = 3, policy: Policy = Policy()) -> ShardStore:
-    """A store of docs: rows arrive in a few batches of falling size by a hash of all rows' ids, then are compacted.
+#: Batches that documents arrive in; twice a policy's fan_in makes some tier due, however small the table.
+ARRIVALS = 8
+
+
+def shard(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, policy: Policy = Policy()) -> ShardStore:
+    """A store of docs: rows arrive in batches of about equal size, dealt by a hash of doc_id, each one version of small shards, and are then compacted.
 
-    Rows are stored as they are: nulls, empty and very long texts, repeated rows and further
-    columns included. An empty table gives a store with empty shards.
+    The table is read once. Rows are stored as they are: nulls, empty and very long texts, repeated rows and further
+    columns included. An empty table gives a store without shards; a batch without rows makes no version.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex[:12]}", policy)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(2 ** (arrivals - 1)))
-    for i in range(arrivals):
-        low, high = 2 ** (arrivals - 1) >> (i + 1), 2 ** (arrivals - 1) >> i
-        store.append(docs.where((slot >= (low if i < arrivals - 1 else 0)) & (slot < high)))
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int"), arrivals)
     store.compact()
     store.vacuum()
     return store
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: all documents as the compacted store holds them, with a digest of each text; whether a row's file fits the target (and a tenth), is listed with its true size, and no tier is due."""
+    """op2: all documents as the compacted store holds them, with a digest of each text; whether a row's file fits the target (and a tenth) and is listed with its true size, whether no tier is due any more, whether compaction made versions after those of the arrivals and left fewer files than had arrived."""
     store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    files = store.manifest()["files"]
+    files, steps = store.manifest()["files"], [store.manifest(v)["files"] for v in range(1, store.version() + 1)]
+    # an arrival only adds files, a merge takes some away
+    merges = sum(not set(a) <= set(b) for a, b in zip(steps, steps[1:]))
+    fewer = len(files) < max(len(step) for step in steps)
     # a row for each file: as many as the store has shards
     sizes = spark.createDataFrame([(n.rsplit("/", 1)[1], s) for n, s in files.items()], "_file string, _size long")
     # texts end here: what is joined are digests
@@ -190,8 +222,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
     return rows.join(sizes, "_file", "left").select(
         "doc_id", "lang", "source", "n_bytes", "text_sha256",
-        (F.col("_bytes") <= int(store.policy.target * 1.1)).alias("fits"), F.col("_bytes").eqNullSafe(F.col("_size")).alias("listed"), F.lit(not store.due(files)).alias("settled"),
+        (F.col("_bytes") <= int(store.policy.target * 1.1)).alias("fits"), F.col("_bytes").eqNullSafe(F.col("_size")).alias("listed"), F.lit(not store.due(files)).alias("settled"), F.lit(merges > 0 and fewer).alias("compacted"),
     )
 
 
-ORACLE_SQL = "SELECT doc_id, lang, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, true AS fits, true AS listed, true AS settled FROM documents"
+ORACLE_SQL = "SELECT doc_id, lang, source, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256, true AS fits, true AS listed, true AS settled, true AS compacted FROM documents"
