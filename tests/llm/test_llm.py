@@ -301,6 +301,12 @@ def test_sample_is_bounded(spark):
     assert labelled.gathered(spark.createDataFrame([(1, 0, b"x" * 9), (2, 0, b"x" * 9)], "doc_id long, y int, f binary"), "f", 1).num_rows == 2
     many = spark.createDataFrame([(i, 0, b"x" * 9000) for i in range(4)], "doc_id long, y int, f binary")
     assert labelled.gathered(many, "f", 1).num_rows == 1
+    # one that is too large by itself doesn't take the others with it
+    large = spark.createDataFrame([(i, 0, b"x" * (labelled.ROW_BYTES * 30 if i == 3 else 5)) for i in range(20)], "doc_id long, y int, f binary")
+    assert labelled.gathered(large, "f", 20).num_rows == 19
+    with pytest.raises(ValueError):
+        labelled.gathered(large.where("doc_id = 3"), "f", 20)
+    assert labelled.gathered(large.limit(0), "f", 20).num_rows == 0
     assert len(toxicity.fold_losses(docs, labels, [toxicity.Ftrl(epochs=1)])) == 1 and len(quality.fold_losses(docs, labels, [quality.Settings(epochs=1)], "toxic")) == 1
     wide = toxicity.score(docs.withColumn("score", F.lit(3)), toxicity.fit(docs, labels), "_score")
     assert wide.columns == ["doc_id", "text", "y", "score", "_score"] and wide.count() == 405
@@ -324,6 +330,18 @@ def test_decontamination(spark, settings):
     assert decontaminate.contamination(docs, items.limit(0), settings).count() == 0
 
 
+def test_pairs_that_only_edits_find_are_told_apart(spark, tmp_path):
+    docs, items = benchmark_of(spark)
+    words = next(r.text for r in items.collect() if r.item_id == 7).split()
+    edited = " ".join("zzz" if i % 4 == 2 else w for i, w in enumerate(words))
+    rows = docs.union(docs_of(spark, [f"so {edited} so"], 100))
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(rows, items).collect()}
+    assert found[100, 7].edited and found[100, 7].question_overlap < 0.5 and not found[4, 7].edited
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.query(spark, str(tmp_path)).collect()} == {k for k, r in found.items() if not r.edited}
+
+
 def test_decontamination_of_repeated_and_nameless_rows(spark):
     docs, items = benchmark_of(spark)
     text = next(r.text for r in items.collect() if r.item_id == 7)
@@ -599,6 +617,35 @@ def test_most_scores_are_not_finished():
     assert shard.finished < 0.4 * shard.pairs
 
 
+def test_copies_are_indexed_once_a_task(spark, monkeypatch):
+    """One text in every slice of every task: its entries grow with the tasks, not with its copies."""
+    text, entries = " ".join(f"w{i % 41}{i}" for i in range(400)), {}
+    for copies in (40, 4000):
+        docs = spark.range(copies).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+        join = ngram_join._Join(docs, ngram_join.Fraction(4, 5), 5)
+        join.prepare()
+        dealt = []
+        monkeypatch.setattr(type(docs), "repartition", lambda self, *a, **k: dealt.append(self) or self)
+        join.index(396)
+        monkeypatch.undo()
+        entries[copies] = dealt[0].agg(F.sum(F.octet_length("keys") / 8)).first()[0]
+    assert entries[4000] == entries[40] > 0
+
+
+def test_equal_records_are_dealt_in_turn(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixity, "PART_RECORDS", 500)
+    pages = spark.range(10_000).select(F.lit(5).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>same</p>").alias("html")).union(spark.range(1024, 1100).selectExpr("id", "'v'", "'x'"))
+    sizes = {(r.shard, r.part): r["count"] for r in fixity.records(pages).groupBy("shard", "part").count().collect()}
+    assert len(sizes) == 21 and max(sizes.values()) == 500 and sum(sizes.values()) == 10_076
+    fixity.write_archive(fixity.records(pages), str(tmp_path / "one"))
+    one = fixity.Tree(fixity.read_archive(spark, str(tmp_path / "one")))
+    assert one.leaf.count() == 10_076 and fixity.audit(one, one).count() == 0
+    # bytes count as well as rows
+    monkeypatch.setattr(fixity, "PART_BYTES", 100_000)
+    long = spark.range(0, 40).select("id", F.lit("u"), F.repeat(F.lit("y"), 50_000)).toDF("page_id", "url", "html")
+    assert fixity.records(long).select("shard", "part").distinct().count() > 10
+
+
 def test_shingles_of_slices():
     import pyarrow as pa
 

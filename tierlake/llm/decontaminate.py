@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlake.llm.columns import coded
-from tierlake.llm.runtime import documents, slices
+from tierlake.llm.runtime import Workspace, documents, slices
 from tierlake.llm.shingles import mix
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -250,8 +250,8 @@ class Index:
                         best[item] = max(value, best.get(item, 0.0))
         yield from hits.items()
 
-    def verified(self, words: np.ndarray, found: dict[int, float]) -> Iterator[tuple[int, float, float, float]]:
-        """(item id, score, question overlap, answer overlap) of the items found that the words contain."""
+    def verified(self, words: np.ndarray, found: dict[int, float]) -> Iterator[tuple[int, float, float, float, bool]]:
+        """(item id, score, question overlap, answer overlap, whether only the edit rule tells so) of the items found that the words contain."""
         known: dict[int, np.ndarray] = {}
         for item, value in sorted(found.items()):
             shares = []
@@ -259,8 +259,9 @@ class Index:
                 if width not in known:
                     known[width] = _grams(words, width)
                 shares.append(float(np.isin(grams, known[width], assume_unique=True).mean()) if len(grams) else 1.0)
-            if min(shares) >= self.settings.overlap or _stands(*self.texts[item], words, self.settings.edits):
-                yield self.ids[item], value, *shares
+            edited = min(shares) < self.settings.overlap
+            if not edited or _stands(*self.texts[item], words, self.settings.edits):
+                yield self.ids[item], value, *shares, edited
 
 
 def _count_words(items: DataFrame) -> DataFrame:
@@ -277,13 +278,13 @@ def _count_words(items: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, item_id, bm25, question_overlap, answer_overlap for each document row and benchmark item that it contains.
+    """doc_id, item_id, bm25, question_overlap, answer_overlap, edited for each document row and benchmark item that it contains.
 
     The benchmark goes in passes over the documents, each with at most about `pass_bytes` of its
     text in a broadcast (a single item is never cut); word statistics are those of the whole
     benchmark. An item's last quarter of words is taken as its answer, what stands before as its
-    question. The overlaps are shares of grams; they are below `overlap` where an edited item was
-    found in one place. Null or empty texts of either side, and items with a null id, match nothing;
+    question. The overlaps are shares of grams; one is below `overlap` only where an edited item was
+    found in one place (edited). Null or empty texts of either side, and items with a null id, match nothing;
     very long ones are matched whole, passage by passage; repeated rows are matched each; an item_id that occurs twice is two items; other columns are
     ignored; an empty table on either side gives no rows.
     """
@@ -294,7 +295,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     count, mean = words.where("head").agg(F.count("*"), F.avg("n")).first()
     often = words.groupBy("word").count().where("count > 1")
     passes = max(1, -(-total // settings.pass_bytes))
-    rows = documents(docs)
+    rows, space = documents(docs), Workspace(spark, "decontamination")
     out = None
     for turn in range(passes):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == turn)
@@ -311,23 +312,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[i], item, *x) for index in shared.value for i, hits in index.candidates(words, bounds) for (item, times), *x in index.verified(words[bounds[i] : bounds[i + 1]], hits) for _ in range(times)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
-
-        one = rows.mapInArrow(run, "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double")
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "edited"])
+
+        one = rows.mapInArrow(run, "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, edited boolean")
+        if passes == 1:
+            return one
+        # a pass is written before the next one's index is made, so that one index at a time is held anywhere
+        one = space.keep(one, "pass")
+        shared.destroy()
         out = one if out is None else out.union(one)
     return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: all (document, benchmark item) pairs of contamination."""
+    """op4: all (document, benchmark item) pairs with enough of the item's question and answer in the document, gram by gram. Pairs that only the edit rule finds, whose overlaps are too small, are the operator's (and the pipeline's) but not this query's."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items).select("doc_id", "item_id", F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"))
+    return contamination(docs, items).where("not edited").select("doc_id", "item_id", F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"))
 
 
 _SQL_WORD = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: By brute force, without the index: every gram of every item against every document. Edited items that only `edits` accepts are not in it.
+#: By brute force, without the index: every gram of every item against every document.
 ORACLE_SQL = f"""WITH items AS (SELECT item_id, regexp_extract_all({_SQL_LOWER}, {_SQL_WORD}) AS w FROM benchmark),
 parts AS (
   SELECT item_id, 'q' AS part, w[:len(w) - greatest(1, len(w) // 4)] AS p FROM items WHERE len(w) > 0

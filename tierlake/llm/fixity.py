@@ -22,6 +22,8 @@ SHARD_IDS = 1024
 FANOUT = 16
 #: Records of a file at about; shards of repeated ids with four times as many are split.
 PART_RECORDS = 1024
+#: Bytes of records of a file at about, for shards that have four times as many.
+PART_BYTES = 64 << 20
 #: Shards to split (an id and a count) that are broadcast; more are joined by a shuffle of the records.
 BROADCAST_SHARDS = 100_000
 #: Shards that records without an id are dealt to, below all ids' shards.
@@ -33,7 +35,11 @@ _START = b"WARC/1.0\r\n"
 
 
 def records(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """page_id, shard, part, record: each page as a WARC resource record. Null ids, urls and bodies are written as nothing; other columns are ignored."""
+    """page_id, shard, part, record: each page as a WARC resource record. Null ids, urls and bodies are written as nothing; other columns are ignored.
+
+    A shard with many more records than ids, or with more than four times PART_BYTES, is split into parts. Repeated rows are a
+    record each, dealt to the parts in turn; a very long page is one record, whole; an empty table gives no records.
+    """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), blank("page_id"), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), blank("url"),
@@ -42,12 +48,17 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     spread = -(2**40) - F.pmod(F.xxhash64(blank("url"), blank("html")), F.lit(NO_ID_SHARDS))
     shard = F.when(F.col("page_id").isNull(), spread).otherwise(F.expr(f"floor(page_id / {SHARD_IDS})")).cast("long")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), shard.alias("shard"), F.concat(head, blank("html"), F.lit("\r\n\r\n")).alias("record"))
-    large = pages.select(shard.alias("shard")).groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * PART_RECORDS)
+    sizes = rows.select("shard", F.octet_length("record").cast("long").alias("_b")).groupBy("shard").agg(F.count("*").alias("_n"), F.sum("_b").alias("_b"))
+    large = sizes.where((F.col("_n") > 4 * PART_RECORDS) | (F.col("_b") > 4 * PART_BYTES)).select("shard", F.greatest(F.ceil(F.col("_n") / PART_RECORDS), F.ceil(F.col("_b") / PART_BYTES)).cast("long").alias("_parts"))
     n = large.count()
     if not n:
         return rows.select("page_id", "shard", F.lit(0).alias("part"), "record")
-    parts = F.coalesce(F.ceil(F.col("_n") / PART_RECORDS), F.lit(1)).cast("long")
-    return rows.join(F.broadcast(large) if n <= BROADCAST_SHARDS else large, "shard", "left").select("page_id", "shard", F.pmod(F.xxhash64("record"), parts).cast("int").alias("part"), "record")
+    large = F.broadcast(large) if n <= BROADCAST_SHARDS else large
+    small = rows.join(large, "shard", "left_anti").select("page_id", "shard", F.lit(0).alias("part"), "record")
+    # equal records are counted where they are read, and their copies go to the parts in turn
+    copies = rows.join(large, "shard").groupBy("shard", "page_id", "record", "_parts").agg(F.count("*").alias("_n"))
+    each = copies.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return small.unionByName(each.select("page_id", "shard", F.pmod(F.xxhash64("record") + F.col("_i"), "_parts").cast("int").alias("part"), "record"))
 
 
 def write_archive(recs: DataFrame, path: str) -> None:

@@ -40,10 +40,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
 
 
 def gathered(examples: DataFrame, features: str, rows: int) -> pa.Table:
-    """The sample's examples on the driver: at most rows * ROW_BYTES bytes of features, in the sample's order; a single larger example is left out."""
+    """The sample's examples on the driver: at most rows * ROW_BYTES bytes of features, in the sample's order; an example that is larger by itself is left out, and it is an error if all are."""
     most = rows * ROW_BYTES
     size = F.octet_length(features)
     order = Window.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "y", features)
-    # `rows` rows at most are in this window
-    kept = examples.withColumn("_upto", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return kept.where(F.col("_upto") <= most).drop("_upto").toArrow()
+    # `rows` rows at most are in this window; a row that alone is too large doesn't push the others out
+    kept = examples.where(size <= most).withColumn("_upto", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = kept.where(F.col("_upto") <= most).drop("_upto").toArrow()
+    if not found.num_rows and examples.limit(1).count():
+        raise ValueError(f"every labelled example has more than {most} bytes of features")
+    return found

@@ -48,6 +48,8 @@ from tierlake.llm.shingles import WIDTH, mix, shingle_sets
 
 #: Index entries (16 bytes) that a task takes at about.
 BUCKET_ENTRIES = 750_000
+#: Entries that a task holds before it drops repeated ones.
+COMPACT_ENTRIES = 4_000_000
 #: Entries that a task gathers before it deals them out.
 FLUSH_ENTRIES = 1_000_000
 #: Entries of a row at most, as rows of half a megabyte and more burden the JVM.
@@ -171,13 +173,28 @@ class _Dealer:
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 64], t.type) for x, t in zip(rows, self.schema)], schema=self.schema)
 
 
+def _once(keys: np.ndarray, ids: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries without those whose key and id came before."""
+    order = np.lexsort((ids, keys))
+    keys, ids, levels = keys[order], ids[order], levels[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    return keys[fresh], ids[fresh], levels[fresh]
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of some buckets -> the groups of two or more ids that share a key, equal groups of a band once: gid, level, n_keys, id."""
-    parts = []
+    parts, held, most = [], 0, COMPACT_ENTRIES
     for batch in batches:
         for keys, ids, levels, runs in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
             n = np.frombuffer(runs, np.uint32)
             parts.append((np.frombuffer(keys, np.uint64), np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(levels, np.uint8), n)))
+            held += len(parts[-1][0])
+        if held > most:
+            # a set that many tasks have read is held once
+            parts = [_once(*(np.concatenate(x) for x in zip(*parts)))]
+            held = len(parts[0][0])
+            most = max(COMPACT_ENTRIES, 2 * held)
     if not parts:
         return
     keys, ids, levels = (np.concatenate(x) for x in zip(*parts))
@@ -363,12 +380,14 @@ class _Join:
         buckets = self._buckets(total // 2)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dealer = _Dealer(buckets)
+            dealer, seen = _Dealer(buckets), set()
             for batch in slices(batches):
                 h, bounds = shingle_sets(batch.column("text"), width)
                 ids, _ = ids_of(h, bounds, clashing)
-                once = np.zeros(len(ids), bool)  # copies in a slice are indexed once
+                once = np.zeros(len(ids), bool)  # a task indexes a set once, however many copies it reads
                 once[np.unique(ids, return_index=True)[1]] = True
+                once &= np.fromiter((i not in seen for i in ids.tolist()), bool, len(ids))
+                seen.update(ids[once].tolist())
                 if not once.all():
                     sizes = np.diff(bounds)
                     h, ids, bounds = h[np.repeat(once, sizes)], ids[once], np.concatenate([[0], np.cumsum(sizes[once])])
