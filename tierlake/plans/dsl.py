@@ -13,8 +13,12 @@ Neighbours skip pauses. Speakers and discourses can be queried by themselves.
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -26,6 +30,8 @@ from tierlake.operators import enrich, measures, metadata, tracks, windows
 
 KEYS = ["discourse", "speaker"]
 _ENDS = {"initial": 1, "final": -1, "penultimate": -2, "antepenultimate": -3}
+#: How sort values are written in tokens of pages.
+_EXACT = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Discrete quantiles by the shares they need; an own share where none is given.
 _SHARES = {"quantile": None, "median": (0.5,), "iqr": (0.25, 0.75)}
 _STATISTICS = ("min", "max", "mean", "median", "stdev")
@@ -732,16 +738,9 @@ class Query:
         """The result as a DataFrame; of groups and aggregates, if aggregates are all that is shown."""
         if self.shown and all(isinstance(v, Aggregate) and v.collapses for v in self.shown):
             return self._grouped(self.shown)
-        plan, df = self._matched()
-        shown = self.shown
-        if not shown:
-            names = self._table().columns
-            out = [F.col(f"n0__{c}").alias(c) for c in names]
-        else:
-            out = [(self._agg(plan, v) if isinstance(v, Aggregate) else plan.column(v)).alias(v.label) for v in shown]
+        _, df = self._ordered()
         keys = [F.desc(f"_o{i}") if down else F.asc(f"_o{i}") for i, (_, down) in enumerate(self.order)]
-        df = df.select(*out, *(plan.column(v).alias(f"_o{i}") for i, (v, _) in enumerate(self.order)))
-        df = (df.orderBy(*keys) if keys else df).drop(*(f"_o{i}" for i in range(len(self.order))))
+        df = (df.orderBy(*keys) if keys else df).drop("_id", *(f"_o{i}" for i in range(len(self.order))))
         if self._offset:
             df = df.offset(self._offset)
         return df.limit(self._limit) if self._limit is not None else df
@@ -785,6 +784,35 @@ class Query:
         """The rows of one page, counted from 0, in the query's order."""
         return self.frame().offset(number * size).limit(size).collect()
 
+    def cursor(self, size: int = 10, token: str | None = None, back: bool = False) -> Page:
+        """A page of `size` rows in the query's order, ties by id: the first (the last, if back), or that after (before) the row which a token stands for.
+
+        A token is a page's first or last sort values; a page is found by a condition on them and the first
+        rows after that, so no row before it is sorted, counted or kept, and rows that are added or removed elsewhere
+        don't move it. Rows need an id (or a name or label, of entities and types) of their own.
+        """
+        if self._limit is not None or self._offset:
+            raise QueryError("a query with limit or offset has no pages")
+        plan, out = self._ordered()
+        keys = [(f"_o{i}", down) for i, (_, down) in enumerate(self.order)] + [("_id", False)]
+        df = out
+        if token is not None:
+            kind = out.select(*(k for k, _ in keys)).schema.simpleString()
+            at = F.from_json(F.lit(token), kind, _EXACT)
+            df = df.where(_beyond(keys, at, back))
+        # one row more tells whether there is another page
+        way = [F.desc_nulls_last(k) if down != back else F.asc_nulls_first(k) for k, down in keys]
+        found = df.withColumn("_at", F.to_json(F.struct(*(k for k, _ in keys)), _EXACT)).orderBy(*way).limit(size + 1).collect()
+        more, found = len(found) > size, found[:size]
+        return Page(self, size, found[::-1] if back else found, token, more, back)
+
+    def _ordered(self) -> tuple[_Plan, DataFrame]:
+        """What is shown, with the sort values as _o0, _o1, ... and _id."""
+        plan, df = self._matched()
+        out = [F.col(f"n0__{c}").alias(c) for c in self._table().columns] if not self.shown else [(self._agg(plan, v) if isinstance(v, Aggregate) else plan.column(v)).alias(v.label) for v in self.shown]
+        key = "name" if self.node.entity else "label" if self.node.lexicon else "id"
+        return plan, df.select(*out, *(plan.column(v).alias(f"_o{i}") for i, (v, _) in enumerate(self.order)), F.col(f"n0__{key}").alias("_id"))
+
     def union(self, other: Query) -> DataFrame:
         """The rows of two queries with the same columns, repeated ones included."""
         return self.frame().unionByName(other.frame())
@@ -806,6 +834,28 @@ class Query:
     def to_json(self) -> DataFrame:
         return self.frame().select(F.to_json(F.struct("*")).alias("value"))
 
+    # -- as data
+
+    def plan_json(self) -> str:
+        """The query itself as JSON in one form: equal queries give equal text."""
+        pairs = [[_data(v), down] for v, down in self.order]
+        whole = {"node": _data(self.node), "clauses": _data(self.clauses), "having": _data(self._having), "columns": _data(self.shown), "groups": _data(self.groups), "aggregates": _data(self.aggregates), "order": pairs, "limit": self._limit, "offset": self._offset}
+        return json.dumps(whole, sort_keys=True, separators=(",", ":"))
+
+    @classmethod
+    def from_plan(cls, corpus: Any, text: str) -> Query:
+        """The query that plan_json wrote, asked of a corpus; names are looked up in it as if typed."""
+        plan = json.loads(text)
+        out = cls(_undata(corpus, plan["node"]))
+        out.clauses, out._having, out.shown, out.groups, out.aggregates = (_undata(corpus, plan[k]) for k in ("clauses", "having", "columns", "groups", "aggregates"))
+        out.order = [(_undata(corpus, v), down) for v, down in plan["order"]]
+        out._limit, out._offset = plan["limit"], plan["offset"]
+        return out
+
+    def fingerprint(self) -> str:
+        """A digest of plan_json, for caches and logs."""
+        return hashlib.sha256(self.plan_json().encode()).hexdigest()
+
     # -- changes; each replaces the corpus's table by a new plan
 
     def _change(self, f: Callable[[DataFrame, Column], DataFrame]) -> None:
@@ -860,6 +910,104 @@ class Query:
         corpus.schema.add("token", level, **dict(side.dtypes[1:]))
 
 
+def _data(x: Any) -> Any:
+    """A part of a query as JSON data."""
+    if isinstance(x, Node):
+        return {"is": "node", "root": x.root, "steps": [list(s) for s in x.steps], **{k: v for k in ("subsets", "pauses", "lexicon", "entity") if (v := getattr(x, k))}}
+    if isinstance(x, Attribute):
+        return {"is": "attribute", "node": _data(x.node), "name": x.name, "label": x.label}
+    if isinstance(x, Track):
+        return {"is": "track", "node": _data(x.node), "name": x.track, "statistic": x.statistic, "measure": x.measure, "label": x.label}
+    if isinstance(x, Aggregate):
+        return {"is": "aggregate", "name": x.name, "value": _data(x.value), "share": x.share, "label": x.label}
+    if isinstance(x, Clause):
+        return {"is": "clause", "op": x.op, "parts": [_data(p) for p in x.parts]}
+    if isinstance(x, Query):
+        return {"is": "query", "plan": json.loads(x.plan_json())}
+    if isinstance(x, (list, tuple)):
+        return [_data(v) for v in x]
+    if isinstance(x, (set, frozenset)):
+        return sorted((_data(v) for v in x), key=repr)
+    if x is None or isinstance(x, (bool, int, float, str)):
+        return x
+    if isinstance(x, (datetime.date, Decimal)):  # and datetimes
+        return {"is": type(x).__name__, "text": str(x) if isinstance(x, Decimal) else x.isoformat()}
+    raise QueryError(f"a {type(x).__name__} has no place in a query's JSON")
+
+
+def _undata(corpus: Any, x: Any) -> Any:
+    """What _data wrote, with its nodes in a corpus."""
+    if isinstance(x, list):
+        return [_undata(corpus, v) for v in x]
+    if not isinstance(x, dict):
+        return x
+    kind = x["is"]
+    if kind == "node":
+        return Node(corpus, x["root"], tuple(tuple(s) for s in x["steps"]), tuple(x.get("subsets", ())), *(x.get(k, False) for k in ("pauses", "lexicon", "entity")))
+    if kind == "attribute":
+        node = _undata(corpus, x["node"])
+        if "." not in x["name"] and x["name"] != "*":
+            getattr(node, x["name"])  # an unknown name is an error here, as it is where a query is written
+        return Attribute(node, x["name"], x["label"])
+    if kind == "track":
+        out = Track(_undata(corpus, x["node"]), x["name"], x["statistic"], x["measure"])
+        return out.column_name(x["label"])
+    if kind == "aggregate":
+        return Aggregate(x["name"], _undata(corpus, x["value"]), x["share"]).column_name(x["label"])
+    if kind == "clause":
+        return Clause(x["op"], tuple(_undata(corpus, p) for p in x["parts"]))
+    if kind == "query":
+        return Query.from_plan(corpus, json.dumps(x["plan"]))
+    return {"Decimal": Decimal, "date": datetime.date.fromisoformat, "datetime": datetime.datetime.fromisoformat}[kind](x["text"])
+
+
+def _beyond(keys: list[tuple[str, bool]], at: Column, back: bool) -> Column:
+    """Whether a row comes after the sort values `at` (before, if back): nulls first in rising order, last in falling order."""
+    out, equal = F.lit(False), F.lit(True)
+    for name, down in keys:
+        x, v = F.col(name), at[name]
+        if down != back:  # values fall on the way
+            step = F.when(v.isNull(), F.lit(False)).otherwise(x.isNull() | (x < v))
+        else:
+            step = F.when(v.isNull(), x.isNotNull()).otherwise(F.coalesce(x > v, F.lit(False)))
+        out = out | (equal & step)
+        equal = equal & x.eqNullSafe(v)
+    return out
+
+
+class Page:
+    """Some rows of a query in its order, and the way to those before and after them."""
+
+    def __init__(self, query: Query, size: int, found: list[Row], token: str | None, more: bool, back: bool):
+        hidden = {"_at", "_id", *(f"_o{i}" for i in range(len(query.order)))}
+        self.query, self.size, self._token, self._more, self._back = query, size, token, more, back
+        self._ends = (found[0]["_at"], found[-1]["_at"]) if found else (token, token)
+        self.rows = [Row(**{k: v for k, v in r.asDict().items() if k not in hidden}) for r in found]
+
+    @property
+    def first(self) -> str | None:
+        """A token of the first row."""
+        return self._ends[0]
+
+    @property
+    def last(self) -> str | None:
+        return self._ends[1]
+
+    @property
+    def has_next(self) -> bool:
+        return self._more if not self._back else self._token is not None
+
+    @property
+    def has_previous(self) -> bool:
+        return self._more if self._back else self._token is not None
+
+    def next(self) -> Page:
+        return self.query.cursor(self.size, self.last)
+
+    def previous(self) -> Page:
+        return self.query.cursor(self.size, self.first, back=True)
+
+
 class Metadata:
     """What the columns of a node hold: strings are factors, numbers numerics; factors with more than one value but fewer than rows group."""
 
@@ -887,4 +1035,4 @@ class Metadata:
         return metadata.grouping_factors(self.table)
 
 
-__all__ = ["Metadata", "Aggregate", "Attribute", "Average", "Clause", "Count", "InterquartileRange", "Max", "Median", "Min", "Node", "Quantile", "Query", "Stdev", "Sum", "Track", "and_", "or_"]
+__all__ = ["Metadata", "Aggregate", "Attribute", "Average", "Clause", "Count", "InterquartileRange", "Max", "Median", "Min", "Node", "Page", "Quantile", "Query", "Stdev", "Sum", "Track", "and_", "or_"]
