@@ -943,6 +943,8 @@ def _undata(corpus: Any, x: Any) -> Any:
         return x
     kind = x["is"]
     if kind == "node":
+        for level in [*([] if x.get("entity") else [x["root"]]), *(s[1] for s in x["steps"] if s[0] in ("up", "down"))]:
+            corpus.schema.require(level)
         return Node(corpus, x["root"], tuple(tuple(s) for s in x["steps"]), tuple(x.get("subsets", ())), *(x.get(k, False) for k in ("pauses", "lexicon", "entity")))
     if kind == "attribute":
         node = _undata(corpus, x["node"])
