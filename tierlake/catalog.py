@@ -17,6 +17,8 @@ from tierlake.corpus import Corpus
 from tierlake.operators import enrich, formants, measures, metadata, pauses, rangejoin, scans, syllables, tracks, windows
 from tierlake.plans.dsl import Average, Count, InterquartileRange, Max, Median, Min, Quantile, Stdev, Sum, and_, or_
 from tierlake.schema import Schema
+from tierlake.shared import Rounds
+from tierlake.sources.store import CorpusStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -919,3 +921,69 @@ def segmented_asof(spark, sf):
     ev = _one_chain(spark, sf)
     marks = ev.where("event_type = 'signup'").select("discourse", "t", F.col("event_id").alias("mark"))
     return scans.asof(ev, marks, ["discourse"], "t", "t", ["mark"]).select("event_id", "mark")
+
+
+# -- syllables of all words of the documents ------------------------------------------------------
+
+_LEX = """lex AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents),
+nuc AS (SELECT w, i, row_number() OVER (PARTITION BY w ORDER BY i) AS k, lead(i) OVER (PARTITION BY w ORDER BY i) AS nxt FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM lex) WHERE substr(w, i, 1) IN ('a', 'e', 'i', 'o', 'u')),
+gap AS (SELECT w, k, substr(w, i + 1, nxt - i - 1) AS run FROM nuc WHERE nxt IS NOT NULL),
+ons AS (SELECT regexp_extract(w, '^([^aeiou]*)[aeiou]', 1) AS o, count(*) AS n FROM lex WHERE regexp_matches(w, '[aeiou]') GROUP BY o),
+cod AS (SELECT regexp_extract(w, '[aeiou]([^aeiou]*)$', 1) AS c, count(*) AS n FROM lex WHERE regexp_matches(w, '[aeiou]') GROUP BY c),
+part AS (SELECT run, i, substr(run, 1, i) AS l, substr(run, i + 1) AS r FROM (SELECT run, unnest(range(0, len(run) + 1)) AS i FROM (SELECT DISTINCT run FROM gap))),
+{cut},
+syl AS (SELECT nuc.w, nuc.k, nuc.i, nuc.nxt, cut.c, lag(nuc.i) OVER z AS before, lag(cut.c) OVER z AS had FROM nuc LEFT JOIN gap USING (w, k) LEFT JOIN cut USING (run) WINDOW z AS (PARTITION BY nuc.w ORDER BY nuc.k)),
+spans AS (SELECT w, k, CASE WHEN k = 1 THEN 0 WHEN had IS NULL THEN i - 1 ELSE before + had END AS first, CASE WHEN nxt IS NULL THEN len(w) ELSE i + coalesce(c, 0) END AS stop FROM syl
+  UNION ALL SELECT w, 1, 0, len(w) FROM lex WHERE NOT regexp_matches(w, '[aeiou]'))
+SELECT w AS word, k::INTEGER AS place, first::INTEGER AS "begin", substr(w, first + 1, stop - first) AS label FROM spans"""
+_LONGEST = "cut AS (SELECT run, min(i) AS c FROM part WHERE r = '' OR r IN (SELECT o FROM ons) GROUP BY run)"
+# the logs of the shares: unseen sequences get 0.05 (codas 0.025) of all counts, the empty one half of that share
+_LIKELIEST = """a AS (SELECT s, u, (s * (1 + u)) * u * 0.5 AS e, f + s * u + (s * (1 + u)) * u * 0.5 AS whole FROM (SELECT sum(n) AS s, coalesce(sum(n) FILTER (o <> ''), 0) AS f, 0.05::DOUBLE AS u FROM ons)),
+b AS (SELECT s, u, (s * (1 + u)) * u * 0.5 AS e, f + s * u + (s * (1 + u)) * u * 0.5 AS whole FROM (SELECT sum(n) AS s, coalesce(sum(n) FILTER (c <> ''), 0) AS f, 0.025::DOUBLE AS u FROM cod)),
+odd AS (SELECT run, i, round(ln(CASE WHEN l = '' THEN b.e ELSE coalesce(cod.n, b.s * b.u) END / b.whole) + ln(CASE WHEN r = '' THEN a.e ELSE coalesce(ons.n, a.s * a.u) END / a.whole), 9) AS v FROM part, a, b LEFT JOIN cod ON cod.c = l LEFT JOIN ons ON ons.o = r),
+cut AS (SELECT run, CASE WHEN run = '' THEN 0 ELSE arg_max(i, struct_pack(v := v, i := -i)) END AS c FROM odd GROUP BY run)"""
+
+
+def _lexicon_syllables(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    words = _t(spark, sf, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word_id")).distinct()
+    phones = words.select("word_id", F.posexplode(F.split("word_id", "")).alias("begin", "label"))
+    phones = phones.select("word_id", F.concat_ws("-", "word_id", "begin").alias("id"), "label", "begin", (F.col("begin") + 1).alias("end"))
+    found = syllables.encode_syllables(phones, _VOWELS, method)
+    return found.select(F.col("word_id").alias("word"), "place", "begin", F.replace("label", F.lit("."), F.lit("")).alias("label")).distinct()
+
+
+@_query(f"WITH {_LEX.replace('{cut}', _LONGEST)}")
+def syllables_by_longest_onset(spark, sf):
+    return _lexicon_syllables(spark, sf, "maxonset")
+
+
+@_query(f"WITH {_LEX.replace('{cut}', _LIKELIEST)}")
+def syllables_by_probability(spark, sf):
+    return _lexicon_syllables(spark, sf, "probabilistic")
+
+
+# -- versions of a corpus -------------------------------------------------------------------------
+
+
+@_query("SELECT conv_id AS discourse, turn, CASE WHEN role = 'user' AND turn % 4 = 0 THEN 'edited' ELSE role END AS label FROM conversations WHERE role <> 'assistant' OR turn % 3 <> 0")
+def stored_versions(spark, sf):
+    """Turns saved as a corpus, then edited twice by deletes and parts; the newest version, read back."""
+    store = CorpusStore(spark, Rounds(spark, "stores").root, "talks")
+    store.save(_talks(spark, sf))
+    edited = (F.col("label") == "user") & (F.col("begin") % 4 == 0)
+    store.replace("token_turn", edited, store.table("token_turn").where(edited).withColumn("label", F.lit("edited")))
+    store.replace("token_turn", (F.col("label") == "assistant") & (F.col("begin") % 3 == 0))
+    c = store.open()
+    return c.query(c.turn).columns(c.turn.talk_id.column_name("discourse"), c.turn.begin.column_name("turn"), c.turn.label.column_name("label")).frame()
+
+
+# -- pages ------------------------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r BETWEEN 41 AND 60")
+def query_third_page(spark, sf):
+    """Twenty orders after the two pages before them, by the last of these; then back and forth once more."""
+    o = (c := _sales(spark, sf)).order
+    q = c.query(o).columns(o.id.column_name("o_orderkey"), o.o_totalprice.column_name("o_totalprice")).order_by(o.o_totalprice, True)
+    page = q.cursor(20).next().next().previous().next()
+    return spark.createDataFrame(page.rows, "o_orderkey long, o_totalprice double")
