@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -455,6 +456,50 @@ class Corpus:
             self.tracks.pop(name, None)
             self.schema.tracks.pop(name, None)
 
+    def acoustic_measure(self, name: str, discourse: str, begin: float, end: float, num_points: int = 0, relative_time: bool = False, **tags: object) -> DataFrame:
+        """time and the measures of a track in a stretch of a discourse, both ends included to the thousandth; of tokens and speakers with given tags only: columns of the track such as speaker or phone_label, with a value or a list.
+
+        num_points: means of so many equal parts of the stretch instead, at the parts' begins; a part without
+        points has nulls. relative_time: from 0 at the begin to 1 at the end.
+        """
+        table = self.tracks[name]
+        unknown = [t for t in tags if t not in table.columns]
+        if unknown:
+            raise AttributeMissing(f"points of {name} have no {', '.join(unknown)}")
+        begin, end = round(float(begin), 3), round(float(end), 3)
+        if end <= begin:
+            raise QueryError("a stretch ends after it begins")
+        hit = (F.col("discourse") == discourse) & F.col("time").between(begin, end)
+        for tag, value in tags.items():
+            hit = hit & (F.col(tag).isin([*value]) if isinstance(value, (list, tuple, set)) else F.col(tag).isNull() if value is None else F.col(tag) == value)
+        measures_of = [c for c, k in table.dtypes if k in ("double", "float", "int", "bigint") and c != "time"]
+        points = table.where(hit).select(F.col("time").cast("double").alias("time"), *measures_of)
+        if num_points:
+            width = (end - begin) / num_points
+            part = F.least(F.floor((F.col("time") - begin) / width), F.lit(num_points - 1))
+            means = points.groupBy(part.alias("_part")).agg(*(F.avg(m).alias(m) for m in measures_of))
+            points = self.spark.range(num_points).withColumnRenamed("id", "_part").join(means, "_part", "left").select((F.col("_part") * width + begin).alias("time"), *measures_of)
+        return points.withColumn("time", (F.col("time") - begin) / (end - begin)) if relative_time else points
+
+    def utterance_acoustics(self, name: str, utterance_id: str | None = None, discourse: str | None = None, speaker: str | None = None) -> DataFrame:
+        """time and the measures of a track in one utterance, or in all of a discourse or speaker that is named."""
+        table = self.tracks[name]
+        wanted = {"utterance_id": utterance_id, "discourse": discourse, "speaker": speaker}
+        for column, value in wanted.items():
+            if value is not None:
+                table = table.where(F.col(column) == value)
+        return table.select("time", *(c for c, k in table.dtypes if k in ("double", "float", "int", "bigint") and c != "time"))
+
+    def sql(self, text: str) -> DataFrame:
+        """SQL over the tables of the corpus, named in braces: {word} and other levels, {types_word}, {speakers}, {discourses}, {speaks_in}, {track_f0}, {word_vot} for subannotations."""
+        tables = {k: v for k, v in self._tables().items() if not k.startswith(("token_", "type_", "sub_"))}
+        tables |= {**self.tokens, **{f"types_{k}": v for k, v in self.types.items()}, **{f"{a}_{b}": v for (a, b), v in self.subannotations.items()}}
+        asked = {n for _, n, _, _ in string.Formatter().parse(text) if n}
+        unknown = sorted(asked - {*tables})
+        if unknown:
+            raise AttributeMissing(f"the corpus has no table {', '.join(unknown)}, only {', '.join(sorted(tables))}")
+        return self.spark.sql(text, **{n: tables[n] for n in asked})
+
     def relativise_track(self, name: str, measure: str, by: Sequence[str] = ("speaker",)) -> None:
         """Add <measure>_relativized to a track: the z-score within the groups of `by`."""
         self.tracks[name] = tracks.relativise(self.tracks[name].drop(f"{measure}_relativized"), measure, by)

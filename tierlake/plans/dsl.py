@@ -155,6 +155,9 @@ class _Value:
     label: str
 
     def _compare(self, op: str, other: Any) -> Clause:
+        """A comparison; plain values become what the schema declares the property to be."""
+        if isinstance(self, Attribute) and op != "regex" and self.name != "subset":
+            other = self.coerce(other)
         return Clause(op, (self, other))
 
     def __eq__(self, other: Any) -> Clause:  # type: ignore[override]
@@ -205,13 +208,45 @@ class Attribute(_Value):
             return Attribute(self.node, f"{self.name}.duration")
         raise AttributeError(name)
 
+    @property
+    def value_type(self) -> type | None:
+        """The Python type of the property as the schema declares it; None for what isn't declared, such as ids and times."""
+        schema, node = self.node.corpus.schema, self.node
+        if node.entity or node.step_kind in ("speaker", "discourse"):
+            kinds = getattr(schema, f"{node.root if node.entity else node.step_kind}_properties")
+        elif node.step_kind == "sub":
+            kinds = schema.subannotations.get(replace(node, steps=node.steps[:-1]).level, {}).get(node.steps[-1][1], {})
+        else:
+            kinds = {**schema.type_properties.get(node.level, {}), **schema.token_properties.get(node.level, {})}
+        kind = kinds.get(self.name, "").split("(")[0]
+        return {"string": str, "boolean": bool, "double": float, "float": float, "tinyint": int, "smallint": int, "int": int, "bigint": int}.get(kind)
+
+    def coerce(self, value: Any) -> Any:
+        """A value (or each of a list) as the declared type of the property; refused if it isn't one."""
+        kind = self.value_type
+        if isinstance(value, (list, tuple, set, frozenset)):
+            return [self.coerce(v) for v in value]
+        if value is None or kind is None or isinstance(value, (Query, _Value)) or type(value) is kind:
+            return value
+        if kind is bool and str(value).lower() in ("true", "false", "t", "f", "1", "0"):
+            return str(value).lower() in ("true", "t", "1")
+        if kind is int and isinstance(value, (float, Decimal)):
+            return value  # a bound between two whole numbers
+        if kind in (int, float, str) and isinstance(value, (str, int, float, Decimal)) and not (kind is not str and isinstance(value, bool)):
+            try:
+                return kind(value)
+            except ValueError:
+                pass
+        raise QueryError(f"{self.name} is {kind.__name__}; {value!r} isn't")
+
 
 class Track(_Value):
-    """A track of the queried tokens; statistics of its measure."""
+    """A track of the queried tokens, of those above or of neighbours; statistics of its measure."""
 
     def __init__(self, node: Node, track: str, statistic: str | None = None, measure: str | None = None):
         self.node, self.track, self.statistic, self.measure = node, track, statistic, measure
-        self.label = f"{statistic}_{track}" if statistic else track
+        place = Attribute(node, "x").label.removeprefix(f"node_{node.root}_").removesuffix("x") if node.steps else ""
+        self.label = f"{place}{statistic}_{track}" if statistic else f"{place}{track}"
 
     def __getattr__(self, name: str) -> Track:
         if name in _STATISTICS:
@@ -506,18 +541,19 @@ class _Plan:
         return at(name)
 
     def _track(self, value: Track) -> Column:
-        if value.node.steps:
-            raise QueryError("tracks are those of the queried level")
+        node = value.node
+        if node.step_kind not in ("root", "up", "shift"):
+            raise QueryError("a track needs one token: the queried one, one above or a neighbour")
         table = self.corpus.tracks[value.track]
         measure = value.measure or next(c for c, k in table.dtypes if k == "double" and c != "time")
-        key = (("track", value.track, measure, value.statistic or ""),)
+        key = (("track", node.node_key, value.track, measure, value.statistic or ""),)
         if key not in self.prefixes:
-            tokens = self.corpus.tokens[self.root]
+            tokens, at = self.corpus.tokens[node.level], self.place(replace(node, subsets=()))
             if value.statistic:
                 side = tracks.token_statistics(table, tokens, KEYS, measure)
             else:
                 side = tracks.collected(tracks.slices(table, tokens, KEYS), "id", [measure], tokens=tokens)
-            self._join(key, side, lambda p: F.col("n0__id") == F.col(f"{p}__id"), "left")
+            self._join(key, side, lambda p: at("id") == F.col(f"{p}__id"), "left")
         return F.col(f"{self.prefixes[key]}__{f'{value.statistic}_{measure}' if value.statistic else 'track'}")
 
     def test(self, c: Clause) -> Column:

@@ -61,7 +61,7 @@ class Aligner:
     once: bool = False
 
     def parse(self, text: str) -> list[Token]:
-        out, seen = [], set()
+        out, seen, places = [], set(), {}
         for tier, _, label, begin, end, _ in textgrid(text):
             name, speaker = tier, None
             if " - " in tier and not self.single:
@@ -71,7 +71,9 @@ class Aligner:
             if kind is None or (self.once and (kind, speaker, begin, end) in seen):
                 continue
             seen.add((kind, speaker, begin, end))
-            out.append((kind, speaker, label or "<SIL>", begin, end, {}))
+            # speakers in the order of their tiers
+            own = {} if speaker is None else {"speaker_place": str(places.setdefault(speaker, len(places)))}
+            out.append((kind, speaker, label or "<SIL>", begin, end, own))
         for kind in ("word", "phone"):
             if not any(t[0] == kind for t in out):
                 raise ParseFailure("aligner", f"no tier of {kind}s")
@@ -276,6 +278,12 @@ class Loaded:
         self.tokens = self.rows.where("error is null").drop("error")
         self.errors = self.rows.where("error is not null").select("path", "error")
 
+    def channels(self, sounds: DataFrame) -> DataFrame:
+        """speaker, discourse, channel: where a recording (discourse, n_channels) has several channels its speakers are dealt to them in the order of their tiers, all further ones to the last; 0 otherwise."""
+        place = F.coalesce(F.col("props").getItem("speaker_place").cast("int"), F.lit(0))
+        own = self.tokens.groupBy("speaker", "discourse").agg(F.min(place).alias("_place")).join(sounds.select("discourse", "n_channels"), "discourse", "left")
+        return own.select("speaker", "discourse", F.least("_place", F.coalesce("n_channels", F.lit(1)) - 1).alias("channel"))
+
     def tiers(self) -> dict[str, DataFrame]:
         """Tier name -> label, begin, end, speaker, discourse."""
         names = [r.tier for r in self.tokens.select("tier").distinct().collect()]
@@ -348,8 +356,8 @@ def inspect_directory(spark: SparkSession, path: str) -> dict[str, int]:
     return {r["kind"]: r["count"] for r in rows}
 
 
-def load_corpus(spark: SparkSession, path: str, name: str, format: str | None = None, order: Sequence[str] = ("phone", "word", "line"), strict: bool = True, **options):  # noqa: A002
-    """A corpus of a file or folder; without a format, of the one that most of its files have. order: the levels from the lowest on. Files that can't be read are an error that names them, unless not strict."""
+def load_corpus(spark: SparkSession, path: str, name: str, format: str | None = None, order: Sequence[str] = ("phone", "word", "line"), strict: bool = True, sounds: str | None = None, **options):  # noqa: A002
+    """A corpus of a file or folder; without a format, of the one that most of its files have. order: the levels from the lowest on. Files that can't be read are an error that names them, unless not strict. sounds: a folder of recordings, whose channels the speakers are dealt to."""
     from tierlake.corpus import Corpus
 
     if format is None:
@@ -362,7 +370,10 @@ def load_corpus(spark: SparkSession, path: str, name: str, format: str | None =
     if bad:
         raise ParseFailure(path, "; ".join(f"{r.path}: {r.error}" for r in bad))
     tiers = loaded.tiers()
-    return Corpus.from_tiers(spark, name, tiers, [x for x in order if x in tiers])
+    out = Corpus.from_tiers(spark, name, tiers, [x for x in order if x in tiers])
+    if sounds is not None:
+        out.speaks_in = loaded.channels(sound_info(spark, sounds))
+    return out
 
 
 def sound_info(spark: SparkSession, path: str) -> DataFrame:
