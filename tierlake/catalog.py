@@ -18,6 +18,7 @@ from tierlake.operators import enrich, formants, measures, metadata, pauses, ran
 from tierlake.plans.dsl import Average, Count, InterquartileRange, Max, Median, Min, Quantile, Stdev, Sum, and_, or_
 from tierlake.schema import Schema
 from tierlake.shared import Rounds
+from tierlake.sources.layout import arrange
 from tierlake.sources.store import CorpusStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -987,3 +988,72 @@ def query_third_page(spark, sf):
     q = c.query(o).columns(o.id.column_name("o_orderkey"), o.o_totalprice.column_name("o_totalprice")).order_by(o.o_totalprice, True)
     page = q.cursor(20).next().next().previous().next()
     return spark.createDataFrame(page.rows, "o_orderkey long, o_totalprice double")
+
+
+# -- enrichment asked of a corpus -------------------------------------------------------------------
+
+
+def _spelled(spark: SparkSession, sf: str) -> Corpus:
+    """The words of parts' names as words, their letters as phones; a part is a discourse."""
+    words = _t(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").cast("string").alias("discourse"), F.posexplode(F.split("p_name", " ")).alias("place", "label"))
+    words = words.select(F.concat_ws("-", "discourse", "place").alias("id"), "label", (F.col("place") * 100).alias("begin"), (F.col("place") * 100 + F.length("label")).alias("end"), F.lit("catalog").alias("speaker"), "discourse")
+    letters = words.select("id", "begin", "speaker", "discourse", F.posexplode(F.split("label", "")).alias("i", "letter"))
+    phones = letters.select(F.concat_ws("-", "id", "i").alias("id"), F.col("letter").alias("label"), (F.col("begin") + F.col("i")).alias("begin"), (F.col("begin") + F.col("i") + 1).alias("end"), "speaker", "discourse", F.col("id").alias("word_id"))
+    return Corpus(spark, "spelled", Schema({"phone": "word", "word": None}), {"phone": phones, "word": words})
+
+
+@_query("SELECT concat(p_partkey, '-', i - 1) AS word, greatest(1, length(regexp_replace(w, '[^aeiou]', '', 'g')))::BIGINT AS syllables FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)")
+def corpus_syllables_of_words(spark, sf):
+    c = _spelled(spark, sf)
+    c.encode_syllables(_VOWELS)
+    return c.query(c.word).columns(c.word.id.column_name("word"), c.word.syllable.count.column_name("syllables")).frame()
+
+
+@_query(f"WITH {_EV}, m AS (SELECT user_id, t, max(event_type) AS label FROM ev GROUP BY user_id, t) SELECT m.label, count(*) AS n, round(avg(ev.value), 6) AS mean_value FROM ev ASOF JOIN m ON ev.user_id = m.user_id AND ev.t >= m.t GROUP BY m.label")
+def corpus_track_labels(spark, sf):
+    """Every event's value as a point of a track, labelled by the word that began last."""
+    c = _speech(spark, sf)
+    points = c.tokens["word"].select("discourse", "speaker", F.col("begin").cast("double").alias("time"), "value")
+    c.save_acoustic_track("values", points)
+    return c.tracks["values"].groupBy(F.col("word_label").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@_query(f"""WITH {_EV}, p AS (SELECT least(floor((t / 1e6 - 1704067200) / 86400), 29)::BIGINT AS day, value FROM ev WHERE t / 1e6 BETWEEN 1704067200 AND 1706659200 AND user_id % 3 = 0)
+SELECT day, round(avg(value), 6) AS mean_value FROM (SELECT unnest(range(30)) AS day) LEFT JOIN p USING (day) GROUP BY day""")
+def corpus_stretch_of_a_track(spark, sf):
+    """Daily means of thirty days, of every third user's points."""
+    c = _speech(spark, sf)
+    c.tracks["values"] = _events(spark, sf).select(F.lit("all").alias("discourse"), F.col("user_id").alias("speaker"), (F.col("t") / 1e6).alias("time"), "value", (F.col("user_id") % 3).alias("third"))
+    found = c.acoustic_measure("values", "all", 1704067200, 1706659200, num_points=30, third=0)
+    return found.select(F.round((F.col("time") - 1704067200) / 86400).cast("long").alias("day"), F.round("value", 6).alias("mean_value"))
+
+
+@_query(f"""WITH {_EV}, w AS (SELECT event_id, user_id, t, lead(event_id) OVER ({_W}) AS next_id, lead(t) OVER ({_W}) AS a, lead(t, 2) OVER ({_W}) AS b FROM ev)
+SELECT w.event_id, round(max(ev.value), 6) AS next_peak FROM w LEFT JOIN ev ON ev.user_id = w.user_id AND ev.t BETWEEN w.a AND w.b GROUP BY w.event_id""")
+def query_track_of_the_following(spark, sf):
+    """The largest value while the word after each word lasts."""
+    c = _speech(spark, sf, following=True)
+    c.tracks["values"] = _events(spark, sf).select(F.lit("all").alias("discourse"), F.col("user_id").alias("speaker"), F.col("t").cast("double").alias("time"), "value")
+    w = c.word
+    found = c.query(w).columns(w.id.column_name("event_id"), w.following.values.value.max.column_name("next_peak")).frame()
+    return found.withColumn("next_peak", F.round("next_peak", 6))
+
+
+@_query("SELECT conv_id, turn, role FROM conversations WHERE conv_id <> (SELECT min(conv_id) FROM conversations)")
+def corpus_without_a_discourse(spark, sf):
+    c = _talks(spark, sf)
+    c.remove_discourse(c.discourses.agg(F.min("name")).first()[0])
+    return c.query(c.turn).columns(c.turn.talk_id.column_name("conv_id"), c.turn.begin.column_name("turn"), c.turn.label.column_name("role")).frame()
+
+
+@_query(f"WITH {_EV} SELECT event_id, lag(event_id) OVER ({_W}) AS previous_event_id, lead(event_id) OVER ({_W}) AS following_event_id FROM ev WHERE t >= 1704672000000000 AND t <= 1707264000000000")
+def laid_out_neighbours(spark, sf):
+    """Neighbours of thirty days' events, from a table laid out by chain: no exchange, and only that month's folders."""
+    laid = arrange(_events(spark, sf), f"{Rounds(spark, 'layouts').root}/events", ["user_id"], "t", width=86400e6)
+    some = laid.between(1704672000000000, 1707264000000000)
+    return windows.neighbours(some, *CHAIN, ["event_id"]).select("event_id", "previous_event_id", "following_event_id")
+
+
+@_query("SELECT lower(o_orderpriority) AS priority, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY 1")
+def corpus_sql(spark, sf):
+    return _sales(spark, sf).sql("SELECT lower(o.o_orderpriority) AS priority, count(*) AS n, sum(l.l_quantity) AS quantity FROM {line} l JOIN {order} o ON o.id = l.order_id WHERE l.l_returnflag = 'R' GROUP BY 1")

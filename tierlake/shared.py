@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import tempfile
 import uuid
@@ -29,13 +28,21 @@ def delete(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """A new folder that goes when the driver's JVM ends, whatever is left in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 class Rounds:
     """Tables of one job's rounds: each is written and read again, and goes when it is dropped or the session's program ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, until_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
         self._paths: dict[int, str] = {}
-        atexit.register(delete, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex[:12]}"
