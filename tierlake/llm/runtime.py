@@ -45,12 +45,16 @@ def give_back() -> None:
 
 
 class Workspace:
-    """Tables written under the shared folder, so that no later step depends on an executor's lineage."""
+    """Tables written under the shared folder, so that no later step depends on an executor's lineage. The folder goes when the driver's JVM ends, as results are read from it until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         modest_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """Write df and read it again."""
