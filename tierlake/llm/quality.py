@@ -194,8 +194,8 @@ def score(docs: DataFrame, model: Model, extend: str | None = None) -> DataFrame
     """doc_id, score (0 to 1, higher: better) for each row; or, if `extend` is a
     name that docs has no column of, all columns of docs and the score under that name.
 
-    A null or empty text is scored by its statistics alone. Repeated rows stay; an empty table
-    gives none; other columns are ignored unless extended. The model has SIZE features, whatever the input.
+    A null or empty text is scored by its statistics alone, a very long one whole. Repeated rows stay and
+    score alike, so ties stay ties; an empty table gives none; other columns are ignored unless extended. The model has SIZE features, whatever the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))
     rows = docs if extend else documents(docs).select("doc_id", "text")

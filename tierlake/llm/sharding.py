@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierlake.llm.runtime import shared_dir
+from tierlake.llm.runtime import Workspace, shared_dir
 
 
 @dataclass(frozen=True)
@@ -208,7 +208,7 @@ def shard(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, po
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: all documents as the compacted store holds them, with a digest of each text; whether a row's file fits the target (and a tenth) and is listed with its true size, whether no tier is due any more, whether compaction made versions after those of the arrivals and left fewer files than had arrived."""
-    store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{Workspace(spark, 'shards').root}/store")
     files, steps = store.manifest()["files"], [store.manifest(v)["files"] for v in range(1, store.version() + 1)]
     # an arrival only adds files, a merge takes some away
     merges = sum(not set(a) <= set(b) for a, b in zip(steps, steps[1:]))

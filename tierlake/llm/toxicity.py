@@ -194,7 +194,8 @@ def score(docs: DataFrame, model: Model, extend: str | None = None) -> DataFrame
     name that docs has no column of, all columns of docs and the score under that name.
 
     A feature counts once a text. A null or empty text has no features, so its score is that of
-    the intercept. Repeated rows stay; an empty table gives none. The
+    the intercept; a very long one is scored whole. Repeated rows stay and score alike; an empty table gives none; other
+    columns are ignored unless extended. The
     weights have 2**BITS entries at most, whatever the input, and travel with the task.
     """
     spark = docs.sparkSession
