@@ -26,13 +26,13 @@ def _free(docs: DataFrame) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold. Null and empty texts have the score of the intercept; repeated rows are judged alike, null ids by their texts; all columns stay, whatever their names."""
     model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, name := _free(docs)).where(F.col(name) < toxicity.TOXIC_FROM).select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at or above the quality threshold."""
+    """Documents that score at or above the quality threshold. Null and empty texts are judged by their statistics; repeated rows alike, null ids by their texts; all columns stay, whatever their names."""
     model = quality.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality.score(docs, model, name := _free(docs)).where(F.col(name) >= quality.GOOD_FROM).select(*docs.columns)
 
@@ -59,7 +59,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of what is left."""
+    """The token ids of what is left. A null text counts as empty and has no ids; repeated rows and null ids are encoded each; further columns end here."""
     return bpe_codec.encode(docs, decoded=False).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
 
 
