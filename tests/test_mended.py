@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fixtures import COLUMNS, talk
 from tierlake.corpus import Corpus
+from tierlake.errors import QueryError
 from tierlake.operators import formants, measures, pauses
 from tierlake.plans.dsl import Count, InterquartileRange, Median, Quantile, or_
 from tierlake.schema import Schema
@@ -174,3 +175,31 @@ def test_short_stretches_join_without_python(spark):
         got.setdefault(r.discourse, []).append((r.begin, r.end, r.n_words))
     assert got == {d: u for d, u in want.items() if u}
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_speakers_of_a_query(spark):
+    c = talk(spark)
+    c.tokens["word"] = c.tokens["word"].unionByName(c.tokens["word"].limit(1).withColumns({"id": F.lit("nobody"), "speaker": F.lit(None).cast("string")}))
+    n = lambda q: q.count()
+    assert (n(c.query(c.word).of_speakers("bo")), n(c.query(c.word).without_speakers("bo")), n(c.query(c.word).of_speakers("bo", "ana")), n(c.query(c.word).of_speakers())) == (4, 10, 13, 0)
+    q = c.query(c.word).without_speakers("ana").filter(c.word.label == "um")
+    assert n(type(q).from_plan(c, q.plan_json())) == n(q) == 2
+
+
+def test_lists_and_resets_of_a_corpus(spark, tmp_path):
+    c = talk(spark)
+    assert {r.label for r in c.words.collect()} == {"mela", "tok", "um", "strel", "o", "kanto", "lem"} and c.phones.count() == 11 and c.genders().count() == 0
+    given = spark.createDataFrame([("ana", "f", 3), ("bo", None, 4)], "name string, gender string, age int")
+    c.enrich_speakers(given)
+    assert [r.gender for r in c.genders().collect()] == ["f"]
+    assert c.reset_properties_of(given, entity="speaker") == ["gender", "age"] and c.speakers.columns == ["name"] and not c.schema.has("speaker", None, "age")
+    types = spark.createDataFrame([("tok", 5)], "label string, freq int")
+    c.enrich_types("word", types)
+    assert c.query(c.word).filter(c.word.freq == 5).count() == 3
+    c.reset_properties_of(types, level="word")
+    assert not c.schema.has("type", "word", "freq")
+    with pytest.raises(QueryError):
+        c.reset_properties_of(types)
+    assert not Corpus.exists(spark, str(tmp_path), "talk")
+    c.save(str(tmp_path), 1)
+    assert Corpus.exists(spark, str(tmp_path), "talk")

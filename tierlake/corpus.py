@@ -161,6 +161,27 @@ class Corpus:
         self.schema.require(level)
         return self.tokens[level].select("label").where("label is not null").distinct()
 
+    @property
+    def words(self) -> DataFrame:
+        """The distinct labels of words."""
+        return self.labels(self.schema.word_name)
+
+    @property
+    def phones(self) -> DataFrame:
+        """The distinct labels of phones."""
+        return self.labels(self.schema.phone_name)
+
+    def genders(self, name: str = "gender") -> DataFrame:
+        """The distinct values of a property of speakers; none, if they don't have it."""
+        if name not in self.speakers.columns:
+            return self.spark.createDataFrame([], f"{name} string")
+        return self.speakers.select(name).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
+
+    @staticmethod
+    def exists(spark: SparkSession, root: str, name: str) -> bool:
+        """Whether a corpus of that name is saved under a folder."""
+        return name in list_corpora(spark, root)
+
     def speakers_in(self, discourse: str) -> DataFrame:
         return self.speaks_in.where(F.col("discourse") == discourse).select("speaker").distinct()
 
@@ -318,6 +339,17 @@ class Corpus:
         for part in ("token", "type"):
             self.schema.remove(part, level, *names)
 
+    def reset_properties_of(self, table: DataFrame, level: str | None = None, entity: str | None = None) -> list[str]:
+        """Take away from a level's tokens and types, or from an entity, all properties that a table (as read from a CSV) gave them: its columns but the first, which is the key; returns their names."""
+        if (level is None) == (entity is None):
+            raise QueryError("properties belong to a level or to an entity")
+        names = table.columns[1:]
+        if level is not None:
+            self.reset_property(level, *names)
+        else:
+            self.reset_entity_property(entity, *names)
+        return names
+
     def reset_entity_property(self, entity: str, *names: str) -> None:
         """Take properties of speakers or discourses away."""
         setattr(self, f"{entity}s", getattr(self, f"{entity}s").drop(*names))

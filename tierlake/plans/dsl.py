@@ -566,6 +566,10 @@ class _Plan:
         if c.op in ("left", "right", "not left", "not right"):
             hit = F.col(f"n0___{c.op.split()[-1]}_{c.parts[0]}") & F.col(f"n0__{c.parts[0]}_id").isNotNull()
             return F.col(f"n0__{c.parts[0]}_id").isNotNull() & ~hit if c.op.startswith("not") else hit
+        if c.op == "who":
+            names, among = c.parts
+            hit = F.coalesce(F.col("n0__speaker").cast("string").isin([str(n) for n in names]), F.lit(False))
+            return hit if among else ~hit
         if c.op in ("order", "not order"):
             one, on = self.anchor(c)
             hit = self.marked(one, on)
@@ -657,6 +661,14 @@ class Query:
             self.clauses.append(c)
         return self
 
+    def of_speakers(self, *names: str) -> Query:
+        """Only tokens of these speakers."""
+        return self.filter(Clause("who", (tuple(names), True)))
+
+    def without_speakers(self, *names: str) -> Query:
+        """Only tokens of other speakers; those of no speaker stay."""
+        return self.filter(Clause("who", (tuple(names), False)))
+
     def _normal(self, c: Clause) -> Clause:
         """Alignment is named as such, and tokens below stand on the left of a comparison."""
         if c.op in ("and", "or"):
