@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fixtures import talk
 from tierlake.operators import rangejoin, scans, tracks, windows
 
 
@@ -83,6 +84,37 @@ def test_segmented_scans_equal_windows(spark, pieces):
         same(scans.asof(df, marks, ["k"], "t", "t", ["mark"], inner, pieces), rangejoin.asof(df, marks, ["k"], "t", "t", ["mark"], inner))
 
 
+@pytest.mark.parametrize("closed", [True, False])
+def test_segmented_within_equals_the_window(spark, closed):
+    chance = random.Random(9)
+    _, s = spans_of(spark, chance)
+    _, p = points_of(spark, chance)
+    for inner in (True, False):
+        same(scans.within(p, s, ["k"], "t", "b", "e", ["id"], inner, closed, 7), rangejoin.within(p, s, ["k"], "t", "b", "e", ["id"], inner, closed))
+
+
+def test_a_corpus_with_cut_chains_answers_alike(spark):
+    """Neighbours, pauses, utterances and labels of tracks, chains whole and cut."""
+
+    def answers(pieces):
+        c = talk(spark)
+        c.pieces = pieces
+        c.encode_pauses(["um"])
+        c.encode_utterances(0.5, 0.3)
+        points = spark.createDataFrame([("walk", "ana", t / 10, float(t)) for t in range(70)], "discourse string, speaker string, time double, f double")
+        c.save_acoustic_track("f", points)
+        w = c.word
+        yield c.query(w).columns(w.id, w.previous.label, w.following.label, w.following.following.begin, w.following_pause.label, w.previous_pause.duration, w.utterance.begin).frame()
+        yield c.query(w).filter(w.follows_pause == True).columns(w.id).frame()  # noqa: E712
+        yield c.query(c.phone).filter(c.phone.previous.label == "t").columns(c.phone.id, c.phone.word.previous.label).frame()
+        yield c.tokens["utterance"]
+        yield c.utterance_words(0.5)
+        yield c.tracks["f"]
+
+    for whole, cut in zip(answers(0), answers(5)):
+        same(whole, cut)
+
+
 def test_segments_share_a_hot_chain(spark):
     df = spark.range(20_000).select(F.lit("all").alias("k"), (F.col("id") * F.col("id")).cast("double").alias("t"), "id")
     counts = [r["count"] for r in scans.segmented(df, "t", 16).groupBy("k", "_segment").count().collect()]

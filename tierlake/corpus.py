@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.errors import AttributeMissing, QueryError
-from tierlake.operators import enrich, measures, pauses, syllables, tracks, windows
+from tierlake.operators import enrich, measures, pauses, scans, syllables, tracks, windows
 from tierlake.operators.rangejoin import asof, containing, within
 from tierlake.schema import TOKEN_COLUMNS, Schema
+from tierlake.shared import Rounds
 
 KEYS = ("discourse", "speaker")
 Table = DataFrame | Callable[[], DataFrame]
@@ -100,9 +101,31 @@ class Corpus:
         self.speakers = speakers if speakers is not None else lambda: low(F.col("speaker").alias("name"))
         self.discourses = discourses if discourses is not None else lambda: low(F.col("discourse").alias("name"))
         self.speaks_in = speaks_in if speaks_in is not None else lambda: low("speaker", "discourse", F.lit(0).alias("channel"))
+        #: Segments of time that chains are cut into, where one chain is too long for a task; 0 leaves them whole. A cut
+        #: chain is read several times, so what is scanned is written to the shared folder first.
+        self.pieces = 0
+        self._rounds: Rounds | None = None
         self.subannotations: dict[tuple[str, str], DataFrame] = {}
         self.tracks: dict[str, DataFrame] = {}
 
+    # -- chains
+
+    def _written(self, table: DataFrame) -> DataFrame:
+        """A table that scans of cut chains may read again and again."""
+        self._rounds = self._rounds or Rounds(self.spark, "chains")
+        return self._rounds.keep(table)
+
+    def _within(self, points: DataFrame, spans: DataFrame, time: str, columns: Sequence[str], inner: bool = True) -> DataFrame:
+        """within() by discourse and speaker, over spans from _b to _e, in segments if chains are cut."""
+        if self.pieces:
+            return scans.within(self._written(points), self._written(spans), KEYS, time, "_b", "_e", columns, inner, pieces=self.pieces)
+        return within(points, spans, KEYS, time, "_b", "_e", columns, inner)
+
+    def _asof(self, points: DataFrame, marks: DataFrame, columns: Sequence[str]) -> DataFrame:
+        if self.pieces:
+            return scans.asof(self._written(points), self._written(marks), KEYS, "time", "_b", columns, pieces=self.pieces)
+        return asof(points, marks, KEYS, "time", "_b", columns)
+
     # -- building
 
     @classmethod
@@ -212,9 +235,9 @@ class Corpus:
         """discourse, speaker, utterance, begin, end and the ids of the first and last word of each utterance, without a level for them."""
         table = self.tokens[self.schema.word_name]
         table = table if self.has_pauses else table.withColumn("is_pause", F.lit(False))
-        found = pauses.utterances(table, shortest_pause, shortest, KEYS)
+        found = pauses.utterances(self._written(table) if self.pieces else table, shortest_pause, shortest, KEYS, self.pieces)
         spans = found.select(*KEYS, "utterance", F.col("begin").alias("_b"), F.col("end").alias("_e"))
-        inside = within(table.where(~F.col("is_pause")).select(*KEYS, "id", "begin"), spans, KEYS, "begin", "_b", "_e", ["utterance"])
+        inside = self._within(table.where(~F.col("is_pause")).select(*KEYS, "id", "begin"), spans, "begin", ["utterance"])
         ends = inside.groupBy(*KEYS, "utterance").agg(F.min_by("id", F.struct("begin", "id")).alias("first_id"), F.max_by("id", F.struct("begin", "id")).alias("last_id"))
         return found.join(ends, [*KEYS, "utterance"]).select(*KEYS, "utterance", "begin", "end", "first_id", "last_id")
 
@@ -224,12 +247,12 @@ class Corpus:
             self.reset_utterances()
         words = self.schema.word_name
         table = self.tokens[words] if self.has_pauses else self.tokens[words].withColumn("is_pause", F.lit(False))
-        found = pauses.utterances(table, shortest_pause, shortest, KEYS)
+        found = pauses.utterances(self._written(table) if self.pieces else table, shortest_pause, shortest, KEYS, self.pieces)
         found = found.select(F.sha1(F.concat_ws("|", F.lit("utterance"), *KEYS, "utterance")).alias("id"), F.lit(None).cast("string").alias("label"), "begin", "end", *KEYS)
         spans = found.select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("id").alias("utterance_id"))
         for level in [words, *self.schema.lower(words)]:
             mid = self.tokens[level].withColumn("_mid", (F.col("begin") + F.col("end")) / 2)
-            self.tokens[level] = within(mid, spans, KEYS, "_mid", "_b", "_e", ["utterance_id"], inner=False).drop("_mid")
+            self.tokens[level] = self._within(mid, spans, "_mid", ["utterance_id"], inner=False).drop("_mid")
         self.schema.add_level("utterance", self.schema.contains[words], words)
         self.tokens["utterance"] = found
 
@@ -462,7 +485,7 @@ class Corpus:
         for level in (self.schema.phone_name, self.schema.word_name, "syllable"):
             if level in self.tokens:
                 names = self.tokens[level].select(*KEYS, F.col("begin").alias("_b"), F.col("label").alias(f"{level}_label"))
-                points = asof(points, names, KEYS, "time", "_b", [f"{level}_label"])
+                points = self._asof(points, names, [f"{level}_label"])
         if "utterance" in self.tokens:
             points = self._in_utterances(points)
         old = self.tracks.get(name)
@@ -471,7 +494,7 @@ class Corpus:
 
     def _in_utterances(self, points: DataFrame) -> DataFrame:
         spans = self.tokens["utterance"].select(*KEYS, F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("id").alias("utterance_id"))
-        return within(points.drop("utterance_id"), spans, KEYS, "time", "_b", "_e", ["utterance_id"], inner=False)
+        return self._within(points.drop("utterance_id"), spans, "time", ["utterance_id"], inner=False)
 
     def reassess_utterances(self, name: str) -> None:
         """Tell the points of a track their utterances anew; null outside of all."""

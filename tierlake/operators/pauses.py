@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierlake.operators.windows import chain
+from tierlake.operators import scans
+from tierlake.operators.windows import chain, sessions
 
 
 def encode_pauses(words: DataFrame, pauses: Sequence[str] | str) -> DataFrame:
@@ -26,26 +27,28 @@ def speech_bounds(words: DataFrame) -> DataFrame:
     return words.where(~F.col("is_pause")).groupBy("discourse").agg(F.min("begin").alias("speech_begin"), F.max("end").alias("speech_end"))
 
 
-def spans(words: DataFrame, keys: Sequence[str], shortest_pause: float) -> DataFrame:
-    """words that are no pauses, with span: stretches between which at least `shortest_pause` seconds pass."""
-    speech = words.where(~F.col("is_pause"))
-    w = chain(keys, ["begin", "id"])
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col("begin") - before
-    new = F.when(before.isNull() | ((gap >= shortest_pause) if shortest_pause > 0 else (gap > 0)), 1).otherwise(0)
-    return speech.withColumn("_new", new).withColumn("span", F.sum("_new").over(w)).drop("_new")
+def spans(words: DataFrame, keys: Sequence[str], shortest_pause: float, pieces: int = 0) -> DataFrame:
+    """words that are no pauses, with span: stretches between which at least `shortest_pause` seconds pass. pieces: chains are cut into so many segments of time, if any."""
+    speech, order = words.where(~F.col("is_pause")), ["begin", "id"]
+    # any gap, however short, where no shortest one is asked for
+    gap = shortest_pause if shortest_pause > 0 else 5e-324
+    if pieces:
+        found = scans.sessions(speech, keys, order, "begin", "end", gap, pieces)
+    else:
+        found = sessions(speech, keys, order, "begin", "end", gap)
+    return found.withColumnRenamed("session", "span")
 
 
-def utterances(words: DataFrame, shortest_pause: float = 0.5, shortest: float = 0.0, keys: Sequence[str] = ("discourse",)) -> DataFrame:
+def utterances(words: DataFrame, shortest_pause: float = 0.5, shortest: float = 0.0, keys: Sequence[str] = ("discourse",), pieces: int = 0) -> DataFrame:
     """keys, utterance (1, 2, ...), begin, end, n_words.
 
     Speech splits at pauses of at least `shortest_pause` (any pause if 0). A stretch shorter than
     `shortest` joins the utterance before it if that is nearer than the next stretch, and is dropped
     otherwise. A long stretch always begins an utterance, whatever came before it; so the short ones between
-    two long ones are folded by themselves, over the end that the utterance has so far.
+    two long ones are folded by themselves, over the end that the utterance has so far. pieces: as in spans().
     """
     # a pause of 0.5 that floating point shows as 0.4999999 still is one
-    found = spans(words, keys, shortest_pause - 1e-9 if shortest_pause else 0.0).groupBy(*keys, "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_words"))
+    found = spans(words, keys, shortest_pause - 1e-9 if shortest_pause else 0.0, pieces).groupBy(*keys, "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_words"))
     if shortest > 0:
         w = chain(keys, ["span"])
         long = F.col("end") - F.col("begin") >= shortest

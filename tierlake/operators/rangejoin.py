@@ -31,6 +31,28 @@ def asof(points: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, be
     return both.select(*[F.col("_p")[c].alias(c) for c in own], *[F.col("_m")[c].alias(c) for c in columns])
 
 
+def sides(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str]) -> DataFrame:
+    """Points (_side 1, _p) and begins of spans (_side 0, _m) under one another: _k0, ..., _t. The greatest _m is the span that ends last."""
+    keyed = lambda df, *more: df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *more)
+    span = F.struct(F.col(end).cast("double").alias("_end"), F.col(begin).cast("double").alias("_begin"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(dict.fromkeys(columns))))
+    b = keyed(spans.where(F.col(begin).isNotNull() & F.col(end).isNotNull()), F.col(begin).cast("double").alias("_t"), F.lit(0).alias("_side"), span.alias("_m"))
+    a = keyed(points, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_p"))
+    return b.unionByName(a, allowMissingColumns=True)
+
+
+def held(both: DataFrame, own: Sequence[str], n_keys: int, columns: Sequence[str], inner: bool, closed: bool) -> DataFrame:
+    """The points of sides(), with columns of _m where that span holds their time."""
+    names, known = [*dict.fromkeys(columns)], F.col("_t").isNotNull()
+    for i in range(n_keys):
+        known = known & F.col(f"_k{i}").isNotNull()
+    ok = F.coalesce(known & (F.col("_t") <= F.col("_m._end") if closed else F.col("_t") < F.col("_m._end")), F.lit(False))
+    both = both.where("_side = 1")
+    both = both.where(ok) if inner else both
+    # own columns that the span's replace are dropped, as in a join that overwrites
+    kept = [c for c in own if c not in names]
+    return both.select(*[F.col("_p")[c].alias(c) for c in kept], *[F.when(ok, F.col("_m")[f"_c{names.index(c)}"]).alias(c) for c in columns])
+
+
 def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str], inner: bool = True, closed: bool = True) -> DataFrame:
     """points with `columns` of one span of the same keys that contains their time (end included if closed).
 
@@ -38,22 +60,10 @@ def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str,
     greatest by columns; so a point on a border that two spans share belongs to the later one. Spans without
     begin or end contain nothing. containing() gives all spans of a point.
     """
-    own, names = [*points.columns], [*dict.fromkeys(columns)]
-    keyed = lambda df, *more: df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *more)
-    span = F.struct(F.col(end).cast("double").alias("_end"), F.col(begin).cast("double").alias("_begin"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)))
-    b = keyed(spans.where(F.col(begin).isNotNull() & F.col(end).isNotNull()), F.col(begin).cast("double").alias("_t"), F.lit(0).alias("_side"), span.alias("_m"))
-    a = keyed(points, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_p"))
+    both = sides(points, spans, keys, time, begin, end, columns)
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     # of all spans begun so far, the one that ends last holds the time if any does
-    both = b.unionByName(a, allowMissingColumns=True).withColumn("_m", F.max("_m").over(w)).where("_side = 1")
-    known = F.col("_t").isNotNull()
-    for i in range(len(keys)):
-        known = known & F.col(f"_k{i}").isNotNull()
-    ok = F.coalesce(known & (F.col("_t") <= F.col("_m._end") if closed else F.col("_t") < F.col("_m._end")), F.lit(False))
-    both = both.where(ok) if inner else both
-    # own columns that the span's replace are dropped, as in a join that overwrites
-    kept = [c for c in own if c not in names]
-    return both.select(*[F.col("_p")[c].alias(c) for c in kept], *[F.when(ok, F.col("_m")[f"_c{names.index(c)}"]).alias(c) for c in columns])
+    return held(both.withColumn("_m", F.max("_m").over(w)), points.columns, len(keys), columns, inner, closed)
 
 
 def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str], closed: bool = True, pieces: int = 32) -> DataFrame:

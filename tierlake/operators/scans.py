@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tierlake.operators import rangejoin
+
 _SEGMENT = "_segment"
 
 
@@ -124,3 +126,12 @@ def asof(points: DataFrame, marks: DataFrame, keys: Sequence[str], time: str, be
     if inner:
         both = both.where("_m is not null")
     return both.select(*[F.col("_p")[c].alias(c) for c in own], *[F.col("_m")[c].alias(c) for c in columns])
+
+
+def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str], inner: bool = True, closed: bool = True, pieces: int = 64) -> DataFrame:
+    """As rangejoin.within: points with `columns` of the span that holds their time, of several the one that ends last."""
+    chain = [f"_k{i}" for i in range(len(keys))]
+    both = segmented(rangejoin.sides(points, spans, keys, time, begin, end, columns), "_t", pieces)
+    both = _carried(both, chain, [F.max("_m").alias("_last")], {"_came": F.max("_last").over(_earlier(chain).rowsBetween(Window.unboundedPreceding, -1))})
+    local = F.max("_m").over(_local(chain, ["_t", "_side"]).rowsBetween(Window.unboundedPreceding, 0))
+    return rangejoin.held(both.withColumn("_m", F.greatest(local, "_came")), points.columns, len(keys), columns, inner, closed)

@@ -57,9 +57,9 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) ->
     return df.withColumn("_change", change).withColumn("run", F.sum("_change").over(w)).drop("_change")
 
 
-def flagged_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, begin: str, end: str, label: str) -> DataFrame:
-    """One row for each run of flagged rows: keys, run, run_begin, run_end, run_duration, size, labels in order."""
-    marked = runs(df, keys, order, flag).where(flag)
+def flagged_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, begin: str, end: str, label: str, numbered: DataFrame | None = None) -> DataFrame:
+    """One row for each run of flagged rows: keys, run, run_begin, run_end, run_duration, size, labels in order. numbered: df with its runs, where they are known."""
+    marked = (runs(df, keys, order, flag) if numbered is None else numbered).where(flag)
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(label).alias("_l"))))
     found = marked.groupBy(*keys, "run").agg(F.min(begin).alias("run_begin"), F.max(end).alias("run_end"), F.count("*").alias("size"), F.transform(items, lambda x: x["_l"]).alias("labels"))
     return found.withColumn("run_duration", F.col("run_end") - F.col("run_begin"))

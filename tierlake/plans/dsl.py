@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.errors import AttributeMissing, QueryError
-from tierlake.operators import enrich, measures, metadata, tracks, windows
+from tierlake.operators import enrich, measures, metadata, scans, tracks, windows
 
 KEYS = ["discourse", "speaker"]
 _ENDS = {"initial": 1, "final": -1, "penultimate": -2, "antepenultimate": -3}
@@ -369,13 +369,27 @@ class _Plan:
         beyond = {n for v in self.wanted if len(v.node.steps) > len(steps) and v.node.steps[: len(steps)] == steps and v.node.steps[len(steps)][0] == "shift" for n in self._asked(v.node.steps[: len(steps) + 1])}
         flagged = {"subset"} if not steps and self.q.node.subsets or any(isinstance(v, Attribute) and v.name == "position" and v.node.subsets for v in self.wanted) else set()
         table = self._typed(self.corpus.tokens[level], level, self._asked(steps) - {"*"} | beyond | flagged | ({"*"} if any(isinstance(v, Attribute) and v.name == "*" and v.node.steps == steps for v in self.wanted) else set()))
+        order, pieces = ["begin", "id"], self.corpus.pieces
+        if "is_pause" in table.columns and pieces:
+            written = self.corpus._written
+            table = scans.neighbours(written(scans.runs(written(table), KEYS, order, "is_pause", pieces)), KEYS, order, ["is_pause"], pieces=pieces)
+            beside = {"_after_pause": "previous_is_pause", "_before_pause": "following_is_pause"}
+            table = table.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in beside.items()}).drop(*beside.values())
+        elif "is_pause" in table.columns:
+            table = windows.runs(table, KEYS, order, "is_pause")
+            table = table.withColumns({"_after_pause": windows.next_to(table, KEYS, order, "is_pause", "after"), "_before_pause": windows.next_to(table, KEYS, order, "is_pause", "before")})
         if "is_pause" in table.columns:
-            table = windows.runs(table, KEYS, ["begin", "id"], "is_pause")
-            table = table.withColumns({"_after_pause": windows.next_to(table, KEYS, ["begin", "id"], "is_pause", "after"), "_before_pause": windows.next_to(table, KEYS, ["begin", "id"], "is_pause", "before")})
             table = table.where(F.col("is_pause") if self.q.node.pauses and not steps else ~F.col("is_pause"))
         shifts = {v.node.steps[len(steps)][1] for v in self.wanted if len(v.node.steps) > len(steps) and v.node.steps[: len(steps)] == steps and v.node.steps[len(steps)][0] == "shift"}
-        w = windows.chain(KEYS, ["begin", "id"])
-        table = table.withColumns({f"_shift_{k}": (F.lag if k < 0 else F.lead)(F.struct(*self._columns(self._asked((*steps, ("shift", k))), table)), abs(k)).over(w) for k in sorted(shifts)})
+        beside = {k: self._columns(self._asked((*steps, ("shift", k))), table) for k in sorted(shifts)}
+        if pieces and beside:
+            plain = table.withColumns({f"_beside_{k}": F.struct(*names) for k, names in beside.items()})
+            near = scans.neighbours(self.corpus._written(plain), KEYS, order, [f"_beside_{k}" for k in beside], max(-min(shifts), 0), max(max(shifts), 0), pieces)
+            name = lambda k: f"{'previous' if k < 0 else 'following'}_{'' if abs(k) == 1 else f'{abs(k)}_'}_beside_{k}"
+            table = near.select(*table.columns, *(F.col(name(k)).alias(f"_shift_{k}") for k in beside))
+        else:
+            w = windows.chain(KEYS, order)
+            table = table.withColumns({f"_shift_{k}": (F.lag if k < 0 else F.lead)(F.struct(*names), abs(k)).over(w) for k, names in beside.items()})
         if not steps:
             ups = [u for u in schema.higher(level) if f"{u}_id" in table.columns]
             for u in ups:
@@ -429,7 +443,8 @@ class _Plan:
                 prefix = self._join(key, items, lambda p: at("id") == F.col(f"{p}__parent"), how)
             elif kind == "pause_run":
                 level = base.level
-                runs = windows.flagged_runs(self.corpus.tokens[level], KEYS, ["begin", "id"], "is_pause", "begin", "end", "label")
+                numbered = self.corpus._written(scans.runs(self.corpus._written(self.corpus.tokens[level]), KEYS, ["begin", "id"], "is_pause", self.corpus.pieces)) if self.corpus.pieces else None
+                runs = windows.flagged_runs(self.corpus.tokens[level], KEYS, ["begin", "id"], "is_pause", "begin", "end", "label", numbered)
                 beside = at("_before_pause" if value > 0 else "_after_pause")
                 prefix = self._join(key, runs, lambda p: (at("discourse") == F.col(f"{p}__discourse")) & (at("speaker") == F.col(f"{p}__speaker")) & (at("run") + value == F.col(f"{p}__run")) & beside, how)
             else:
