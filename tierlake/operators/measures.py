@@ -48,7 +48,10 @@ def quantiles(table: DataFrame, column: str, by: Sequence[str], shares: Sequence
     rows = table.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
     largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if largest <= gathered:
-        return rows.groupBy(*by).agg(*(percentile_disc("_v", p).alias(f"q{i}") for i, p in enumerate(shares))).where("q0 IS NOT NULL")
+        # one map of a group's values for all shares
+        every = F.expr(f"percentile_disc(array({', '.join(map(repr, map(float, shares)))})) WITHIN GROUP (ORDER BY _v)")
+        found = rows.groupBy(*by).agg(every.alias("_q")).where("_q IS NOT NULL")
+        return found.select(*by, *(F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(shares))))
     bounds = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 1000)).alias("_cuts"))
     dealt = equal_join(rows, bounds, by, ["_cuts"]).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     # at most `cuts` rows a group from here on

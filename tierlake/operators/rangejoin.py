@@ -69,16 +69,16 @@ def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str,
 def containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, begin: str, end: str, columns: Sequence[str], closed: bool = True, pieces: int = 32) -> DataFrame:
     """points with `columns` of every span of the same keys that contains their time (end included if closed): a row for each pair.
 
-    Spans may overlap in any way. Time is cut into bins at several widths, powers of two: a span goes
+    Spans may overlap in any way. Time is cut into bins at several widths, powers of four: a span goes
     to the width that cuts it into `pieces` bins at most, a copy into each of them, and a point into its bin of each
     width that a span uses. Both meet by equality of keys, width and bin, and the time itself is tested then. So
     neither a long span nor one chain that holds most points makes one bin hot: the points that
-    meet a span come in about `pieces` groups. A null key, time, begin or end finds nothing, and a span that
+    meet a span come in a quarter of `pieces` groups at least. A null key, time, begin or end finds nothing, and a span that
     ends before it begins contains nothing.
     """
     own, names = [*points.columns], [*dict.fromkeys(columns)]
     length = F.col("_e") - F.col("_b")
-    width = F.when(length > 0, F.ceil(F.log2(length / pieces))).otherwise(0).cast("int")  # _w; a bin is 2 ** _w wide
+    width = F.when(length > 0, 2 * F.ceil(F.log2(length / pieces) / 2)).otherwise(0).cast("int")  # _w; a bin is 2 ** _w wide
     b = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(begin).cast("double").alias("_b"), F.col(end).cast("double").alias("_e"), F.struct(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names))).alias("_m"))
     b = b.where(F.col("_b") <= F.col("_e")).withColumn("_w", F.greatest(width, F.lit(_FINEST)))
     place = lambda t: F.floor(F.col(t) / F.pow(F.lit(2.0), F.col("_w")))

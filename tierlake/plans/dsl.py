@@ -780,11 +780,12 @@ class Query:
 
     def _quantiles(self, df: DataFrame, named: dict[str, Aggregate], keys: list[str]) -> Iterator[tuple[DataFrame, list[str]]]:
         """(keys and columns, names of the columns): the discrete quantiles among the named aggregates, those of one value together."""
-        asked: dict[str, dict] = {}
+        asked: dict[str, tuple[str, dict]] = {}
         for name, a in named.items():
             if a.name in _SHARES:
-                asked.setdefault(f"_v_{a.label}", {})[name] = _SHARES[a.name] or (a.share,)
-        for column, wanted in asked.items():
+                value = {k: v for k, v in _data(a.value).items() if k != "label"}
+                asked.setdefault(str(value), (f"_v_{a.label}", {}))[1][name] = _SHARES[a.name] or (a.share,)
+        for column, wanted in asked.values():
             shares = sorted({p for ps in wanted.values() for p in ps})
             at = {p: F.col(f"q{i}") for i, p in enumerate(shares)}
             found = measures.quantiles(df.select(*keys, F.col(f"`{column}`").alias("_x")), "_x", keys, shares)
