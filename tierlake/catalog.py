@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierlake.corpus import Corpus
-from tierlake.operators import enrich, formants, measures, metadata, pauses, rangejoin, scans, syllables, tracks, windows
+from tierlake.operators import edits, enrich, formants, measures, metadata, pauses, rangejoin, scans, syllables, tracks, windows
 from tierlake.plans.dsl import Average, Count, InterquartileRange, Max, Median, Min, Quantile, Stdev, Sum, and_, or_
 from tierlake.schema import Schema
 from tierlake.shared import Rounds
@@ -978,6 +978,50 @@ def stored_versions(spark, sf):
     return c.query(c.turn).columns(c.turn.talk_id.column_name("discourse"), c.turn.begin.column_name("turn"), c.turn.label.column_name("label")).frame()
 
 
+@_query("""WITH e AS (SELECT user_id * 13 AS k, event_type AS kind, value, row_number() OVER (ORDER BY ts, event_id) AS place FROM events),
+g AS (SELECT k, coalesce(max(place) FILTER (kind = 'error'), 0) AS gone, coalesce(max(place) FILTER (kind = 'signup'), 0) AS put FROM e GROUP BY k),
+v AS (SELECT k, arg_max(value, place) FILTER (kind <> 'view') AS balance, arg_max(CASE WHEN kind <> 'click' THEN kind ELSE '' END, place) FILTER (kind <> 'purchase') AS segment FROM e JOIN g USING (k) WHERE place > gone AND kind <> 'error' GROUP BY k)
+SELECT coalesce(c_custkey, g.k) AS c_custkey, CASE WHEN gone > 0 THEN NULL ELSE c_name END AS c_name, CASE WHEN gone > 0 OR balance IS NOT NULL THEN balance ELSE c_acctbal END AS c_acctbal,
+nullif(CASE WHEN gone > 0 OR segment IS NOT NULL THEN segment ELSE c_mktsegment END, '') AS c_mktsegment
+FROM customer FULL JOIN g ON c_custkey = g.k LEFT JOIN v ON v.k = g.k WHERE put > gone OR (c_custkey IS NOT NULL AND coalesce(gone, 0) = 0)""")
+def edited_customers(spark, sf):
+    """Events as a log of edits of every thirteenth customer, some of whom there aren't yet: signups put, errors delete, clicks clear the segment."""
+    log = _t(spark, sf, "events").select((F.col("user_id") * 13).alias("c_custkey"), F.struct("ts", "event_id").alias("at"), "event_type", "value")
+    op = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "error", "delete").otherwise("set")
+    segment = F.when(~F.col("event_type").isin("click", "purchase"), F.col("event_type"))
+    cleared = F.when(F.col("event_type") == "click", F.array(F.lit("c_mktsegment")))
+    log = log.select("c_custkey", "at", op.alias("op"), F.when(F.col("event_type") != "view", F.col("value")).alias("c_acctbal"), segment.alias("c_mktsegment"), cleared.alias("cleared"))
+    return edits.applied(_t(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment"), log, "c_custkey")
+
+
+@_query(f"""WITH {_EV} SELECT event_id, t - CAST(floor(value) AS BIGINT) AS mark_begin, CASE WHEN value > 100 THEN t + 1 ELSE t END AS mark_end FROM ev WHERE event_type = 'purchase' AND value >= 20""")
+def corpus_edited_subannotations(spark, sf):
+    """A mark before each purchase, given with its ends exchanged; then small ones are deleted and large ones end later."""
+    c = _speech(spark, sf)
+    bought = c.tokens["word"].where("label = 'purchase'").select("id", F.col("id").alias("annotated_id"), F.col("begin"), (F.col("begin") - F.floor("value")).alias("end"), "value")
+    c.edit_subannotations("word", "mark", bought.select("id", "annotated_id", "begin", "end", F.lit("put").alias("op")))
+    small = bought.where("value < 20").select("id", F.lit("delete").alias("op"))
+    c.edit_subannotations("word", "mark", small.unionByName(bought.where("value > 100").select("id", F.lit("set").alias("op"), (F.col("begin") + 1).alias("end")), allowMissingColumns=True))
+    w = c.word
+    found = c.query(w).filter(w.label == "purchase").columns(w.id.column_name("event_id"), w.mark.begin.column_name("begins"), w.mark.end.column_name("ends")).frame()
+    return found.select("event_id", F.explode(F.arrays_zip("begins", "ends")).alias("m")).select("event_id", F.col("m.begins").cast("long").alias("mark_begin"), F.col("m.ends").cast("long").alias("mark_end"))
+
+
+@_query("""SELECT concat(conv_id, '-', turn) AS id, CASE WHEN turn % 4 = 1 THEN 'edited' ELSE role END AS label, CASE WHEN turn % 4 = 1 THEN 'checked' END AS state FROM conversations WHERE turn % 5 <> 2
+UNION ALL SELECT concat(conv_id, '-end'), 'end', NULL FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def stored_edits(spark, sf):
+    """Turns saved as a corpus and a log of edits merged into it: some set, some deleted, one added to each talk; the newest version, read back."""
+    store, c = CorpusStore(spark, Rounds(spark, "stores").root, "talks"), _talks(spark, sf)
+    store.save(c)
+    turns = c.tokens["turn"]
+    op = F.when(F.col("begin") % 5 == 2, "delete").when(F.col("begin") % 4 == 1, "set")
+    log = turns.select("id", op.alias("op"), F.lit("edited").alias("label"), F.lit("checked").alias("state")).where("op is not null")
+    ends = turns.select("talk_id").distinct().select(F.concat_ws("-", "talk_id", F.lit("end")).alias("id"), F.lit("put").alias("op"), F.lit("end").alias("label"), "talk_id")
+    store.merge("token_turn", log.unionByName(ends, allowMissingColumns=True))
+    c = store.open()
+    return c.query(c.turn).columns(c.turn.id.column_name("id"), c.turn.label.column_name("label"), c.turn.state.column_name("state")).frame()
+
+
 # -- pages ------------------------------------------------------------------------------------------
 
 

@@ -11,11 +11,13 @@ from pyspark.sql.window import Window
 
 from tierlake.errors import AttributeMissing, QueryError
 from tierlake.operators import enrich, measures, pauses, scans, syllables, tracks, windows
+from tierlake.operators.edits import applied
 from tierlake.operators.rangejoin import asof, containing, within
 from tierlake.schema import TOKEN_COLUMNS, Schema
 from tierlake.shared import Rounds
 
 KEYS = ("discourse", "speaker")
+_LOG = ("id", "op", "at", "cleared")
 Table = DataFrame | Callable[[], DataFrame]
 
 
@@ -477,6 +479,21 @@ class Corpus:
         self.subannotations[level, name] = rows.withColumns({"begin": F.least("begin", "end"), "end": F.greatest("begin", "end")})
         self.schema.add_subannotation(level, name, **dict(rows.dtypes))
 
+    def edit_tokens(self, level: str, edits: DataFrame) -> None:
+        """A log of edits by id (see operators.edits): properties set and cleared, tokens added and deleted; a token whose end would come before its begin has both exchanged."""
+        self.tokens[level] = applied(self.tokens[level], edits, span=("begin", "end"))
+        self.schema.add("token", level, **{c: k for c, k in edits.dtypes if c not in _LOG})
+
+    def edit_subannotations(self, level: str, name: str, edits: DataFrame) -> None:
+        """A log of edits of subannotations by id, the same; new ones name their token in annotated_id, and those of tokens that aren't there are left out."""
+        own = {c: k for c, k in edits.dtypes if c not in _LOG[1:]}
+        table = self.subannotations.get((level, name))
+        if table is None:
+            own = {"id": own["id"], **{"annotated_id": dict(self.tokens[level].dtypes)["id"], "begin": "double", "end": "double"}, **own}
+            table = self.spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in own.items()))
+        rows = applied(table, edits, span=("begin", "end"))
+        self.add_subannotations(level, name, rows.join(self.tokens[level].select(F.col("id").alias("annotated_id")), "annotated_id", "left_semi"))
+
     # -- tracks
 
     def save_acoustic_track(self, name: str, points: DataFrame, time: str = "time") -> None:

@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from tierlake.corpus import Corpus
 from tierlake.errors import EngineError, QueryError
+from tierlake.operators.edits import applied
 from tierlake.schema import Schema
 from tierlake.sources.readers import load_corpus, stem
 
@@ -209,6 +210,22 @@ class CorpusStore:
             self._part(tables, run, name, new)
         return self._commit(now["version"], now["schema"], tables)
 
+    def merge(self, name: str, edits: DataFrame, key: str = "id") -> int:
+        """A log of edits (see operators.edits) merged into a table: only rows that it names are written again. Begin and end of tokens and subannotations are kept in order."""
+        now, run = self.manifest(), uuid.uuid4().hex
+        tables = self._copied(now)
+        rows = self._rows(tables[name], placed=True)
+        named = rows.join(edits.select(key).distinct(), key, "left_semi")
+        span = ("begin", "end") if name.startswith(("token_", "sub_")) else ()
+        changed = applied(named.drop(*_PLACE), edits, key, span=span)
+        self._gone(tables, run, name, named)
+        self._part(tables, run, name, changed)
+        schema = Schema.from_json(now["schema"])
+        part, _, level = name.partition("_")
+        if part in ("token", "type"):
+            schema.add(part, level, **{c: k for c, k in edits.dtypes if c not in (key, "op", "at", "cleared")})
+        return self._commit(now["version"], schema.to_json(), tables)
+
     # -- loading
 
     def sync(self, path: str, format: str, removed: bool = True, **options) -> dict[str, int]:  # noqa: A002
