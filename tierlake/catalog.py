@@ -8,6 +8,7 @@ language are asked of corpora over these tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ from tierlake.plans.dsl import Average, Count, InterquartileRange, Max, Median,
 from tierlake.schema import Schema
 from tierlake.shared import Rounds
 from tierlake.sources.layout import arrange
+from tierlake.sources.readers import load, load_corpus, tracks_from_csv
+from tierlake.sources.sinks import write_csv
 from tierlake.sources.store import CorpusStore
+from tierlake.sources.writers import aligner_tiers, buckeye_lines, from_folder, partitur_lines, timit_lines, write_lines, write_textgrids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1022,6 +1026,113 @@ def stored_edits(spark, sf):
     return c.query(c.turn).columns(c.turn.id.column_name("id"), c.turn.label.column_name("label"), c.turn.state.column_name("state")).frame()
 
 
+# -- recordings written and read as files -----------------------------------------------------------
+
+_READ = """w AS (SELECT p_partkey // 100 AS talk, p_partkey % 100 AS part, unnest(string_split(p_name, ' ')) AS label, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS i FROM part),
+r AS (SELECT CAST(talk AS VARCHAR) AS discourse, concat('s', talk % 7) AS speaker, label, part * 64.0 + i * 4.0 AS b, length(label) AS phones, talk, part, i FROM w)"""
+_READ_WORDS = f"WITH {_READ} SELECT discourse, speaker, label, CAST(b AS DOUBLE) AS word_begin, CAST(b + phones / 16 AS DOUBLE) AS word_end, phones FROM r"
+
+
+def _read_aloud(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Names of parts, a hundred to a recording, as words that begin every four seconds; each letter is a phone of a sixteenth."""
+    talk = F.floor(F.col("p_partkey") / 100)
+    own = F.col("talk").cast("string").alias("discourse"), F.concat(F.lit("s"), F.col("talk") % 7).alias("speaker")
+    words = _t(spark, sf, "part", "p_partkey", "p_name").select("p_partkey", talk.alias("talk"), F.posexplode(F.split("p_name", " ")).alias("i", "label"))
+    words = words.withColumn("begin", ((F.col("p_partkey") % 100) * 64 + F.col("i") * 4).cast("double"))
+    words = words.select(*own, F.concat_ws("-", "p_partkey", "i").alias("id"), "label", "begin", (F.col("begin") + F.length("label") / 16).alias("end"), "talk")
+    letters = words.select("discourse", "speaker", "talk", F.col("id").alias("word_id"), "begin", F.posexplode(F.split("label", "")).alias("j", "label"))
+    at = F.col("begin") + F.col("j") / 16
+    return {"word": words, "phone": letters.select("discourse", "speaker", "talk", "word_id", "label", at.alias("begin"), (at + 1 / 16).alias("end"))}
+
+
+_FOLDERS = ["speaker", "discourse"]
+
+
+def _loaded_words(spark: SparkSession, path: str, format: str, **more) -> DataFrame:  # noqa: A002
+    """The words that speak, of a corpus of files in folders of speakers and recordings."""
+    c = load_corpus(spark, path, "read", format, speaker=from_folder("speaker"), discourse=from_folder("discourse"), pattern="*.txt", **more)
+    w = c.word
+    shown = w.discourse.name.column_name("discourse"), w.speaker.name.column_name("speaker"), w.label.column_name("label"), w.begin.column_name("word_begin"), w.end.column_name("word_end"), w.phone.count.column_name("phones")
+    return c.query(w).filter(w.label != "<SIL>").columns(*shown).frame()
+
+
+@_query(_READ_WORDS)
+def files_of_aligners(spark, sf):
+    """Recordings as TextGrids of four aligners, a quarter each, loaded as corpora."""
+    root, read, found = Rounds(spark, "files").root, _read_aloud(spark, sf), []
+    for i, name in enumerate(("mfa", "fave", "maus", "labbcat")):
+        own = {level: t.where(F.col("talk") % 4 == i) for level, t in read.items()}
+        write_textgrids(aligner_tiers(own, name), f"{root}/{name}", _FOLDERS)
+        found.append(_loaded_words(spark, f"{root}/{name}", name))
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query(_READ_WORDS)
+def files_of_partitur(spark, sf):
+    root, read = Rounds(spark, "files").root, _read_aloud(spark, sf)
+    write_lines(partitur_lines(read["word"], read["phone"], _FOLDERS), f"{root}/partitur", _FOLDERS, ["_part", "_place"])
+    return _loaded_words(spark, f"{root}/partitur", "partitur")
+
+
+@_query(_READ_WORDS)
+def files_of_timit(spark, sf):
+    root, read = Rounds(spark, "files").root, _read_aloud(spark, sf)
+    for level, tokens in read.items():
+        write_lines(timit_lines(tokens, by=_FOLDERS), f"{root}/{level}", _FOLDERS, ["begin"])
+    return _loaded_words(spark, f"{root}/word", "timit", phones=f"{root}/phone")
+
+
+@_query(_READ_WORDS)
+def files_of_buckeye(spark, sf):
+    root, read = Rounds(spark, "files").root, _read_aloud(spark, sf)
+    for level, tokens in read.items():
+        write_lines(buckeye_lines(tokens, _FOLDERS), f"{root}/{level}", _FOLDERS, ["begin"])
+    return _loaded_words(spark, f"{root}/word", "buckeye", phones=f"{root}/phone")
+
+
+@_query(f"WITH {_READ} SELECT discourse, row_number() OVER (PARTITION BY discourse ORDER BY part, i) - 1 AS place, label, label AS heard, (length(label))::INTEGER AS letters FROM r")
+def files_of_text(spark, sf):
+    """A line of text a part, as running text, as transcriptions and with glosses; words of all three are joined by their place."""
+    root, parts = Rounds(spark, "files").root, _t(spark, sf, "part", "p_partkey", "p_name")
+    lines = parts.select(F.floor(F.col("p_partkey") / 100).cast("string").alias("discourse"), "p_partkey", F.split("p_name", " ").alias("words"))
+    spelled = F.transform("words", lambda w: F.array_join(F.split(w, ""), "."))
+    texts = {"orthography": F.array_join("words", " "), "transcription": F.array_join(spelled, " ")}
+    texts["interlinear"] = F.concat_ws("\n", F.array_join("words", " "), F.array_join(F.transform("words", lambda w: F.length(w).cast("string")), " "), F.lit(""))
+    read = {}
+    for name, text in texts.items():
+        write_lines(lines.select("discourse", "p_partkey", text.alias("line")), f"{root}/{name}", ["discourse"], ["p_partkey"])
+        loaded = load(spark, f"{root}/{name}", name, speaker=from_folder("discourse"), discourse=from_folder("discourse"), tiers=["word", "letters"])
+        read[name] = loaded.tokens.where("tier = 'word'").select("discourse", F.col("begin").cast("long").alias("place"), "label", "props")
+    heard = read["transcription"].select("discourse", "place", F.replace(F.col("props")["transcription"], F.lit("."), F.lit("")).alias("heard"))
+    gloss = read["interlinear"].select("discourse", "place", F.col("props")["letters"].cast("int").alias("letters"))
+    return read["orthography"].drop("props").join(heard, ["discourse", "place"]).join(gloss, ["discourse", "place"])
+
+
+@_query(f"WITH {_EV} SELECT CAST(user_id AS VARCHAR) AS discourse, round(t / 1e6 - 1704067200, 3) AS time, value FROM ev")
+def files_of_tracks(spark, sf):
+    """Users' values as CSVs with times, a file each, read as tracks."""
+    root = Rounds(spark, "files").root
+    points = _events(spark, sf).select(F.col("user_id").cast("string").alias("discourse"), "t", "event_id", F.concat_ws(",", F.round(F.col("t") / 1e6 - 1704067200, 3), "value").alias("line"))
+    head = points.select("discourse").distinct().select("discourse", F.lit(-1).cast("long").alias("t"), F.lit(-1).cast("long").alias("event_id"), F.lit("time,value").alias("line"))
+    write_lines(head.unionByName(points), f"{root}/tracks", ["discourse"], ["t", "event_id"])
+    return tracks_from_csv(spark, f"{root}/tracks", from_folder("discourse"))
+
+
+@_query("""WITH w AS (SELECT p_size, upper(p_brand) AS name FROM part) SELECT s_suppkey, r.size_of_brand, coalesce(r.name, 'none') AS brand FROM supplier LEFT JOIN
+(SELECT name, min(p_size) AS size_of_brand, row_number() OVER (ORDER BY name) - 1 AS k FROM w GROUP BY name) r ON k = s_suppkey""")
+def files_of_properties(spark, sf):
+    """Speakers with properties read from a CSV, whose types are told from its values."""
+    root = Rounds(spark, "files").root
+    brands = _t(spark, sf, "part", "p_size", "p_brand").groupBy("p_brand").agg(F.min("p_size").alias("p_size"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_brand")) - 1  # twenty-five brands
+    write_csv(brands.select(place.alias("name"), F.col("p_size").alias("size of brand"), F.upper("p_brand").alias("brand")), f"{root}/speakers")
+    c = _sales(spark, sf)
+    c.enrich_speakers(enrich.read_properties(spark, f"{root}/speakers").withColumn("name", F.col("name").cast("long")))
+    s = c.speaker
+    found = c.query_speakers().columns(s.name.column_name("s_suppkey"), s.size_of_brand.column_name("size_of_brand"), s.brand.column_name("brand")).frame()
+    return found.select("s_suppkey", F.col("size_of_brand").cast("long").alias("size_of_brand"), F.coalesce("brand", F.lit("none")).alias("brand"))
+
+
 # -- pages ------------------------------------------------------------------------------------------
 
 

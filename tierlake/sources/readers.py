@@ -290,16 +290,21 @@ class Loaded:
         return {n: self.tokens.where(F.col("tier") == n).select("label", "begin", "end", "speaker", "discourse") for n in names}
 
 
-def _files(spark: SparkSession, path: str, pattern: str, speaker: Callable[[Column], Column]) -> DataFrame:
+def _files(spark: SparkSession, path: str, pattern: str, speaker: Callable[[Column], Column], discourse: Callable[[Column], Column] = stem) -> DataFrame:
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select("path", stem(F.col("path")).alias("discourse"), speaker(F.col("path")).alias("speaker"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    return raw.select("path", discourse(F.col("path")).alias("discourse"), speaker(F.col("path")).alias("speaker"), F.regexp_replace("value", "^﻿", "").alias("value"))
 
 
-def load(spark: SparkSession, path: str, format: str, speaker: Callable[[Column], Column] = speaker_from_directory, **options) -> Loaded:  # noqa: A002
-    """Read a file or folder. Formats: textgrid, mfa, fave, maus, labbcat, buckeye, timit, partitur, interlinear, orthography, transcription."""
+def load(spark: SparkSession, path: str, format: str, speaker: Callable[[Column], Column] = speaker_from_directory, discourse: Callable[[Column], Column] = stem, pattern: str | None = None, phones: str | None = None, **options) -> Loaded:  # noqa: A002
+    """Read a file or folder. Formats: textgrid, mfa, fave, maus, labbcat, buckeye, timit, partitur, interlinear, orthography, transcription.
+
+    speaker, discourse: what a path tells of them (the folder and the file's name by default). pattern: the names of the files, where
+    they aren't the format's. phones: the folder with the phones of buckeye and timit, if they lie apart; the names of both are then `pattern` (all by default).
+    """
     paired = {"buckeye": ("*.words", "*.phones"), "timit": ("*.[wW][rR][dD]", "*.[pP][hH][nN]")}
     if format in paired:
-        one, two = (_files(spark, path, p, speaker) for p in paired[format])
+        ways = [(path, pattern or "*"), (phones, pattern or "*")] if phones else [(path, p) for p in paired[format]]
+        one, two = (_files(spark, where, p, speaker, discourse) for where, p in ways)
         both = one.join(two.select("discourse", "speaker", F.col("value").alias("other")), ["discourse", "speaker"], "left")
         return Loaded(_run(both, buckeye if format == "buckeye" else timit, ["value", "other"]))
     if format in ALIGNERS:
@@ -312,8 +317,8 @@ def load(spark: SparkSession, path: str, format: str, speaker: Callable[[Column]
         if format not in simple:
             raise ValueError(f"unknown format {format!r}")
         parse = simple[format]
-    pattern = {"partitur": "*.par*", "interlinear": "*.txt", "orthography": "*.txt", "transcription": "*.txt"}.get(format, "*.TextGrid")
-    return Loaded(_run(_files(spark, path, pattern, speaker), parse, ["value"]))
+    pattern = pattern or {"partitur": "*.par*", "interlinear": "*.txt", "orthography": "*.txt", "transcription": "*.txt"}.get(format, "*.TextGrid")
+    return Loaded(_run(_files(spark, path, pattern, speaker, discourse), parse, ["value"]))
 
 
 #: A format for each file extension; TextGrids are told apart by their tiers, and text by what it holds.
@@ -343,7 +348,8 @@ def inspect_directory(spark: SparkSession, path: str) -> dict[str, int]:
             kinds = []
             for name, value in zip(batch["path"], batch["value"]):
                 kind = _EXTENSIONS.get(name.rsplit(".", 1)[-1].lower())
-                if kind == "textgrid":
+                if kind == "textgrid" or (value or "").startswith('File type = "ooTextFile"'):
+                    kind = "textgrid"
                     try:
                         kind = guess_textgrid_format(list(dict.fromkeys(t[0] for t in textgrid(value or ""))))
                     except (ParseFailure, ValueError, IndexError, TypeError):
@@ -396,11 +402,11 @@ def sound_info(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, sampling_rate int, n_channels int, duration double").select(stem(F.col("path")).alias("discourse"), "path", "sampling_rate", "n_channels", "duration")
 
 
-def tracks_from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """discourse (the file's stem), time and the measures of CSVs with the header time,m1,..."""
+def tracks_from_csv(spark: SparkSession, path: str, discourse: Callable[[Column], Column] = stem) -> DataFrame:
+    """discourse (of the path; the file's stem by default), time and the measures of CSVs with the header time,m1,..."""
     raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     measures = [c for c in raw.columns if c != "time"]
-    return raw.select(stem(F.col("_metadata.file_path")).alias("discourse"), F.round(F.col("time").try_cast("double"), 3).alias("time"), *(F.col(c).try_cast("double").alias(c) for c in measures)).where("time is not null")
+    return raw.select(discourse(F.col("_metadata.file_path")).alias("discourse"), F.round(F.col("time").try_cast("double"), 3).alias("time"), *(F.col(c).try_cast("double").alias(c) for c in measures)).where("time is not null")
 
 
 # -- guessing -----------------------------------------------------------------------------
