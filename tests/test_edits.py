@@ -86,6 +86,17 @@ def test_tokens_and_subannotations_of_a_corpus(spark):
     assert c.query(c.word).columns(c.word.mark.begin.column_name("b")).filter(c.word.state == "seen").frame().collect()[0].b == [0.5]
 
 
+def test_corrected_subannotations_stay(spark):
+    c = talk(spark)
+    (word,) = (r.id for r in c.tokens["word"].limit(1).collect())
+    log = lambda *rows: spark.createDataFrame(rows, "id string, op string, annotated_id string, begin double, end double, edited boolean")
+    c.edit_subannotations("word", "vot", log(("a", "put", word, 1.0, 2.0, True), ("b", "put", word, 1.0, 2.0, None)))
+    c.edit_subannotations("word", "vot", log(("a", "put", word, 5.0, 6.0, None), ("b", "put", word, 5.0, 6.0, None)), overwrite_edited=False)
+    assert {r.id: r.begin for r in c.subannotations["word", "vot"].collect()} == {"a": 1.0, "b": 5.0}
+    c.edit_subannotations("word", "vot", log(("a", "put", word, 5.0, 6.0, None)))
+    assert {r.id: r.begin for r in c.subannotations["word", "vot"].collect()} == {"a": 5.0, "b": 5.0}
+
+
 def test_a_store_writes_only_rows_that_a_log_names(spark, tmp_path):
     c, store = talk(spark), CorpusStore(spark, str(tmp_path), "talk")
     store.save(c)

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tierlake.corpus import list_corpora
 from tierlake.errors import ParseFailure, QueryError
@@ -132,6 +133,31 @@ def test_tier_specs_and_points(spark, tmp_path):
         spec("x", "word", "nothing")
 
 
+def test_tiers_of_morphemes_transcriptions_and_groups(spark):
+    rows = [("w", "redo", 0.0, 0.4), ("w", "ships", 0.5, 1.0), ("m", "re-do", 0.0, 0.4), ("m", "ship=s", 0.5, 1.0), ("t", "r.e.d.o", 0.0, 0.4), ("t", "sh.i.ps", 0.5, 1.0), ("breath", "ignored", 0.0, 1.0)]
+    table = spark.createDataFrame([(*r, "s", "d") for r in rows], "tier string, label string, begin double, end double, speaker string, discourse string")
+    spec = tiers.TierSpec
+    specs = [spec("w", "word"), spec("m", "word", "morphemes"), spec("t", "word", "transcription", "heard", delimiter=".", below="phone"), spec("breath", "breath", "grouping")]
+    c = tiers.build(spark, "t", table, specs, ["phone", "word", "breath"])
+    got = {r[0]: tuple(r[1:]) for r in c.query(c.word).columns(c.word.label, c.word.morphemes, c.word.heard, c.word.phone.label).all()}
+    assert got == {"redo": (["re", "do"], "r.e.d.o", ["r", "e", "d", "o"]), "ships": (["ship", "s"], "sh.i.ps", ["sh", "i", "ps"])}
+    assert [round(r.begin, 6) for r in c.tokens["phone"].where("word_id is not null").orderBy("begin").collect()][:4] == [0.0, 0.1, 0.2, 0.3]
+    assert c.query(c.phone).filter(c.phone.breath.label == None).count() == 7  # noqa: E711
+    with pytest.raises(ValueError, match="level below"):
+        spec("t", "word", "transcription")
+    with pytest.raises(ValueError, match="tier of its own"):
+        tiers.build(spark, "t", table, [*specs, spec("p", "phone")], ["phone", "word", "breath"])
+
+
+def test_segments_by_the_engine_equal_those_of_one_value(spark):
+    values = ["tshan", "a.b..c", "", None, "s h", "(x)y", "ng-ng"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for delimiter, digraphs, ignored in ((None, ("tsh", "sh", "ng"), ""), (".", (), ""), (None, (), "()")):
+        got = [r[0] for r in df.select(readers.segments_of(F.col("v"), delimiter, digraphs, ignored)).collect()]
+        assert got == [None if v is None else readers.split_transcription(v, delimiter, digraphs, ignored) for v in values]
+    assert [r[0] for r in df.select(readers.morphemes_of(F.col("v"))).collect()] == [None if v is None else readers.split_morphemes(v) for v in values]
+
+
 def test_inspection_and_corpus_of_a_folder(spark, tmp_path):
     (tmp_path / "in" / "anna").mkdir(parents=True)
     for i in range(2):

@@ -23,6 +23,8 @@ from tierlake.sources.layout import arrange
 from tierlake.sources.readers import load, load_corpus, tracks_from_csv
 from tierlake.sources.sinks import write_csv
 from tierlake.sources.store import CorpusStore
+from tierlake.sources.tiers import TierSpec, export_points, import_points
+from tierlake.sources.tiers import build as build_tiers
 from tierlake.sources.writers import aligner_tiers, buckeye_lines, from_folder, partitur_lines, timit_lines, write_lines, write_textgrids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1133,6 +1135,39 @@ def files_of_properties(spark, sf):
     return found.select("s_suppkey", F.col("size_of_brand").cast("long").alias("size_of_brand"), F.coalesce("brand", F.lit("none")).alias("brand"))
 
 
+@_query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS label, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS i FROM part),
+l AS (SELECT p_partkey, i, label, CASE WHEN length(label) > 4 THEN concat(label[:3], '-', label[4:]) ELSE label END AS parts FROM w)
+SELECT CAST(p_partkey AS VARCHAR) AS discourse, i AS place, label, string_split(parts, '-') AS morphemes, regexp_extract_all(label, 'ed|ee|ll|.') AS segments FROM l""")
+def tiers_of_transcriptions(spark, sf):
+    """Names of parts as a tier of words, one of morphemes and one of transcriptions with digraphs, whose segments become phones."""
+    words = _t(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").cast("string").alias("discourse"), F.lit("catalog").alias("speaker"), F.posexplode(F.split("p_name", " ")).alias("i", "label"))
+    words = words.select("discourse", "speaker", "label", F.col("i").cast("double").alias("begin"), (F.col("i") + 1).cast("double").alias("end"))
+    cut = F.when(F.length("label") > 4, F.concat(F.substring("label", 1, 3), F.lit("-"), F.expr("substring(label, 4)"))).otherwise(F.col("label"))
+    rows = reduce(DataFrame.unionByName, (words.withColumns({"tier": F.lit(t), "label": v}) for t, v in (("words", F.col("label")), ("parts", cut), ("heard", F.col("label")))))
+    specs = [TierSpec("words", "word"), TierSpec("parts", "word", "morphemes", delimiter="-"), TierSpec("heard", "word", "transcription", digraphs=("ed", "ee", "ll"), below="phone")]
+    w = (c := build_tiers(spark, "parts", rows, specs, ["phone", "word"])).word
+    return c.query(w).columns(w.discourse.name.column_name("discourse"), w.begin.column_name("place"), w.label.column_name("label"), w.morphemes.column_name("morphemes"), w.phone.label.column_name("segments")).frame().withColumn("place", F.col("place").cast("long"))
+
+
+@_query(f"WITH {_EV} SELECT event_id, value FROM ev WHERE value > 50")
+def points_through_csv(spark, sf):
+    """A measure of words written as CSV and read into a corpus that hasn't got it, then asked for."""
+    root, c = Rounds(spark, "files").root, _speech(spark, sf)
+    export_points(c, "word", ["value"], f"{root}/points")
+    c.tokens["word"] = c.tokens["word"].drop("value")
+    c.schema.remove("token", "word", "value")
+    import_points(c, "word", f"{root}/points", ["value"])
+    return c.query(c.word).filter(c.word.value > 50).columns(c.word.id.column_name("event_id"), c.word.value.column_name("value")).frame()
+
+
+@_query(f"WITH {_EV} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(value AS VARCHAR) AS value, coalesce(lag(event_type) OVER ({_W}), '') AS before FROM ev")
+def results_as_csv(spark, sf):
+    """Results of a query written as CSV, nulls as nothing, read again as text."""
+    root, w = Rounds(spark, "files").root, (c := _speech(spark, sf)).word
+    c.query(w).columns(w.id.column_name("event_id"), w.value.column_name("value"), w.previous.label.column_name("before")).to_csv(f"{root}/results")
+    return spark.read.option("header", True).csv(f"{root}/results").fillna("")
+
+
 # -- pages ------------------------------------------------------------------------------------------
 
 

@@ -484,13 +484,15 @@ class Corpus:
         self.tokens[level] = applied(self.tokens[level], edits, span=("begin", "end"))
         self.schema.add("token", level, **{c: k for c, k in edits.dtypes if c not in _LOG})
 
-    def edit_subannotations(self, level: str, name: str, edits: DataFrame) -> None:
-        """A log of edits of subannotations by id, the same; new ones name their token in annotated_id, and those of tokens that aren't there are left out."""
+    def edit_subannotations(self, level: str, name: str, edits: DataFrame, overwrite_edited: bool = True) -> None:
+        """A log of edits of subannotations by id, the same; new ones name their token in annotated_id, and those of tokens that aren't there are left out. Without overwrite_edited those whose property `edited` is true stay as they are, as when an analysis is run again over corrected ones."""
         own = {c: k for c, k in edits.dtypes if c not in _LOG[1:]}
         table = self.subannotations.get((level, name))
         if table is None:
             own = {"id": own["id"], **{"annotated_id": dict(self.tokens[level].dtypes)["id"], "begin": "double", "end": "double"}, **own}
             table = self.spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in own.items()))
+        if not overwrite_edited and "edited" in table.columns:
+            edits = edits.join(table.where("edited").select("id").distinct(), "id", "left_anti")
         rows = applied(table, edits, span=("begin", "end"))
         self.add_subannotations(level, name, rows.join(self.tokens[level].select(F.col("id").alias("annotated_id")), "annotated_id", "left_semi"))
 

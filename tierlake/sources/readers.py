@@ -214,6 +214,20 @@ def split_transcription(value: str, delimiter: str | None = None, digraphs: Sequ
     return re.findall("|".join(options), value)
 
 
+def segments_of(value: Column, delimiter: str | None = None, digraphs: Sequence[str] = (), ignored: str = "") -> Column:
+    """split_transcription of a column, by the engine; null has no segments."""
+    value = F.translate(value, ignored, "") if ignored else value
+    if delimiter:
+        return F.filter(F.split(value, re.escape(delimiter)), lambda x: x != "")
+    options = "|".join([*(re.escape(d) for d in sorted(digraphs, key=len, reverse=True)), r"\S"])
+    return F.regexp_extract_all(value, F.lit(options), F.lit(0))
+
+
+def morphemes_of(value: Column, delimiters: str = "-=") -> Column:
+    """split_morphemes of a column, by the engine."""
+    return F.filter(F.split(value, f"[{re.escape(delimiters)}]"), lambda x: x != "")
+
+
 def parse_transcription(value: str, delimiter: str | None = None, digraphs: Sequence[str] = (), ignored: str = "", morphemes: str = "", numbers: str | None = None) -> list[dict[str, str]]:
     """Segments of a transcription with the number of their morpheme and, if numbers is stress or tone, the digits of each segment under that name; the label is without them."""
     out = []
