@@ -54,6 +54,25 @@ def test_no_bin_holds_what_a_long_span_covers(spark):
     assert "Join Inner" in shuffled and "_bin" in shuffled and "Cartesian" not in met._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("busy", [0, 40, rangejoin.BUSY])
+def test_spans_that_lie_apart_are_not_copied(spark, busy):
+    """Spans that touch, have no length or overlap, points on their borders; chains on both sides of `busy`. Bins are for what isn't free."""
+    chance = random.Random(busy)
+    spans, at = [], 0.0
+    for i in range(120):
+        end = at + chance.choice([0.0, 0.0, 1.0, 2.0, 7.0])
+        spans.append((i, chance.choice("ab"), at, end))
+        at = chance.choice([at, end, end, end + 1.0])
+    points = [(i, chance.choice("aab"), float(chance.randint(0, int(at) + 1))) for i in range(120)]
+    s, p = spark.createDataFrame(spans, "id int, k string, b double, e double"), spark.createDataFrame(points, "p int, k string, t double")
+    for closed in (True, False):
+        want = sorted((i, n) for i, k, t in points for n, j, b, e in spans if k == j and b <= t and (t <= e if closed else t < e))
+        assert sorted((r.p, r.id) for r in rangejoin.containing(p, s, ["k"], "t", "b", "e", ["id"], closed, busy=busy).collect()) == want
+    words = spark.range(1000).select(F.col("id"), F.lit("k").alias("k"), F.col("id").cast("double").alias("b"), (F.col("id") + 1).cast("double").alias("e")).withColumn("_loud", F.lit(None).cast("boolean"))
+    own = words.select(F.col("k").alias("_k0"), F.col("b").alias("_b"), F.col("e").alias("_e"), F.struct("id").alias("_m"), "_loud")
+    assert rangejoin.apart(own, ["_k0"]).where("not _free").isEmpty()
+
+
 def test_slices_of_overlapping_tokens(spark):
     tokens = spark.createDataFrame([("a", "k", 0.0, 10.0), ("b", "k", 2.0, 4.0)], "id string, k string, begin double, end double")
     track = spark.createDataFrame([("k", float(t), float(t)) for t in range(12)], "k string, time double, f double")
