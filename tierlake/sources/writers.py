@@ -28,10 +28,17 @@ def from_folder(name: str):
 
 
 def write_lines(lines: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> None:
-    """Write `line` of a table as text, a file for each value of `by`, its lines in order."""
-    dealt = lines.select(*by, *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), "line").repartition(*by)
+    """Write `line` of a table as text, a file for each value of `by`, its lines in order.
+
+    Lines are dealt by a hash of `by`, not by `by` itself: Spark leaves out an exchange that a union seems to have made already,
+    and then joins small partitions of the union's sides each in its own way, so that a recording would get several files.
+    Their number is told, as a file takes its time however short it is, and Spark would give all small ones to one task.
+    Files go to their places by task, not one after another by the driver; the folder is new, so none is there before.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select(*by, *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), "line").repartition(tasks, F.xxhash64(*by))
     keys = [f"_{i}" for i in range(len(order))]
-    dealt.sortWithinPartitions(*by, *keys).drop(*keys).write.partitionBy(*by).text(path)
+    dealt.sortWithinPartitions(*by, *keys).drop(*keys).write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(*by).text(path)
 
 
 def _seconds(c: Column | str) -> Column:
