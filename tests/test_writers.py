@@ -2,10 +2,12 @@
 
 import pathlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fixtures import levels, talk
-from tierlake.sources.readers import inspect_directory, load, load_corpus
+from tierlake.sources.readers import TOKENS, buckeye, inspect_directory, load, load_corpus
 from tierlake.sources.writers import aligner_tiers, buckeye_lines, from_folder, textgrid_lines, write_lines, write_textgrids
 
 
@@ -54,6 +56,41 @@ def test_names_of_folders_keep_any_character(spark, tmp_path):
     assert got == {n: [f"line {i}" for i in range(30)] for n in names}
 
 
+def test_a_recording_has_one_file(spark, tmp_path):
+    """Also where both sides of a union are dealt by recording already, and Spark joins the small partitions of each in its own way."""
+    rows = spark.range(30_000).select((F.col("id") % 40).cast("string").alias("discourse"), F.col("id").alias("n"), F.concat(F.lit("line "), "id", F.lit("x" * 400)).alias("line"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("discourse").orderBy("n")))
+    heads = rows.select("discourse").distinct().select("discourse", F.lit(-1).alias("n"), F.lit("head").alias("line"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    try:
+        for k, v in zip(kept, ("16", "64k", "false")):
+            spark.conf.set(k, v)
+        write_lines(heads.unionByName(numbered), f"{tmp_path}/out", ["discourse"], ["n"])
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = [*pathlib.Path(f"{tmp_path}/out").rglob("*.txt")]
+    assert len(files) == 40 and all(f.read_text().startswith("head\nline") for f in files)
+
+
+def test_a_long_recording_in_order(spark):
+    """Words whose phones don't come in order of time find theirs too."""
+    words = "#\n" + "\n".join(f"{i + 1} 121 w{i}; a; b" for i in range(4))
+    phones = "#\n0.5 121 p\n1.5 121 q\n0.2 121 r\n2.5 121 s\n3.5 121 t"
+    spans = [(t[3] + t[4]) / 2 for t in buckeye(words, phones) if t[0] == "phone" and t[2] != "?"]
+    assert spans != sorted(spans)
+    found = [(t[2], t[3], t[4]) for t in buckeye(words, phones) if t[0] == "word"]
+    assert found == [("w0", 0.0, 0.2), ("w1", 0.2, 2.5), ("w2", 2.5, 3.0), ("w3", 3.0, 3.5)]
+
+
+def test_tokens_leave_the_reader_before_they_are_many(spark, tmp_path):
+    """Many files of one task are not gathered: as many tokens as TOKENS go on at once, and one file more."""
+    for i in range(30):
+        (tmp_path / f"{i}.txt").write_text(" ".join(["word"] * 2000))
+    sizes = load(spark, str(tmp_path), "orthography").rows.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= TOKENS + 2001 and load(spark, str(tmp_path), "orthography").tokens.count() == 30 * 2001
+
+
 def test_buckeye_gaps_and_properties(spark, tmp_path):
     own = tokens(spark)
     for level, tier in (("word", own["word"].withColumn("kind", F.lit("NN"))), ("phone", own["phone"])):

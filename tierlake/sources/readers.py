@@ -1,21 +1,24 @@
 """Readers of annotated speech: files become rows of (path, speaker, discourse, tier, label, begin, end).
 
 Spark lists and reads the files; a reader is a pure function of one file's text, run in
-mapInPandas, so files spread over executors. A file that can't be read yields a row in `errors`
+mapInArrow, so files spread over executors. A file that can't be read yields a row in `errors`
 instead of stopping the others. Files of speech annotations are small (a recording each).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierlake.errors import ParseFailure
+from tierlake.shared import Rounds
 
 ROW = "path string, speaker string, discourse string, tier string, label string, begin double, end double, props map<string,string>, error string"
 
@@ -113,13 +116,15 @@ def buckeye(words: str, phones: str) -> list[Token]:
         begin = end
     out: list[Token] = []
     begin = 0.0
+    middles = [(p[3] + p[4]) / 2 for p in segments]
+    rising = all(a <= b for a, b in zip(middles, middles[1:]))
     for end, rest in _timed_lines(words):
         fields = [x.strip() for x in rest.split(";")]
         label = fields[0]
         if label.startswith("{"):
             begin = end
             continue
-        own = [p for p in segments if begin <= (p[3] + p[4]) / 2 < end]
+        own = segments[bisect_left(middles, begin) : bisect_left(middles, end)] if rising else [p for p, m in zip(segments, middles) if begin <= m < end]
         filler = label.startswith("<")
         surface = fields[2] if len(fields) > 2 else ("UH" if filler else "?")
         stop = own[-1][4] if own else end
@@ -265,19 +270,33 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./,]*(?:,\d)?)?$", 1)
 
 
+#: Tokens that a reader hands on at once; a file's go together.
+TOKENS = 20_000
+
+
 def _run(files: DataFrame, parse: Callable[..., list[Token]], columns: Sequence[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string()] * 5 + [pa.float64()] * 2 + [pa.map_(pa.string(), pa.string()), pa.string()]
+    names = [c.split()[0] for c in ROW.split(", ")]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
+            # one file's text at a time becomes Python's, and tokens leave before they are many
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 try:
-                    found = parse(*(getattr(row, c) or "" for c in columns))
-                    out += [(row.path, s or row.speaker, row.discourse, t, label, float(a), float(b), {k: str(v) for k, v in p.items()}, None) for t, s, label, a, b, p in found]
+                    found = parse(*(row[c] or "" for c in columns))
+                    out += [(row["path"], s or row["speaker"], row["discourse"], t, label, float(a), float(b), [(k, str(v)) for k, v in p.items()], None) for t, s, label, a, b, p in found]
                 except (ParseFailure, ValueError, IndexError, TypeError) as why:
-                    out.append((row.path, row.speaker, row.discourse, None, None, None, None, None, f"{type(why).__name__}: {why}"))
-            yield pd.DataFrame(out, columns=["path", "speaker", "discourse", "tier", "label", "begin", "end", "props", "error"])
+                    out.append((row["path"], row["speaker"], row["discourse"], None, None, None, None, None, f"{type(why).__name__}: {why}"))
+                if len(out) >= TOKENS:
+                    yield pack(out)
+                    out = []
+        if out:
+            yield pack(out)
 
-    return files.mapInPandas(run, ROW)
+    return files.mapInArrow(run, ROW)
 
 
 @dataclass
@@ -385,7 +404,8 @@ def load_corpus(spark: SparkSession, path: str, name: str, format: str | None =
         if not found:
             raise ParseFailure(path, "no file of a known format")
         format = next(iter(found))  # noqa: A001
-    loaded = load(spark, path, format, **options)
+    # each file is parsed once: errors, tiers and every level are asked of what is kept
+    loaded = Loaded(Rounds(spark, "loaded").keep(load(spark, path, format, **options).rows))
     bad = loaded.errors.limit(20).collect() if strict else []
     if bad:
         raise ParseFailure(path, "; ".join(f"{r.path}: {r.error}" for r in bad))
