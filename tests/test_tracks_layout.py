@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fixtures import talk
 from test_store import recording
 from tierlake.errors import AttributeMissing, QueryError
-from tierlake.operators import windows
+from tierlake.operators import tracks, windows
 from tierlake.sources.layout import Arranged, arrange
 from tierlake.sources.readers import load_corpus
 
@@ -129,3 +129,9 @@ def test_chains_laid_out_need_no_exchange(spark, tmp_path):
     spark.sql(f"DROP TABLE {laid.name}")
     again = Arranged.open(spark, str(tmp_path / "tokens"))
     assert again.frame().count() == 2001 and "Exchange" not in plan(windows.neighbours(again.frame(), keys, ["begin", "id"], ["id"])).toString()
+
+
+def test_ranges_at_whole_numbers(spark):
+    """A sum that isn't exact doesn't decide on which side of a whole number a mean is."""
+    df = spark.createDataFrame([("u", v) for v in (39.99999999999999, 40.0, 40.0)], "k string, f double").coalesce(1)
+    assert [tuple(r) for r in tracks.speaker_range(df, "f", ["k"], floor=10, ceiling=150).collect()] == [("u", 20, 80)]

@@ -59,8 +59,11 @@ def buckets(track: DataFrame, tokens: DataFrame, keys: Sequence[str], measure: s
 
 
 def speaker_range(track: DataFrame, measure: str, by: Sequence[str], octaves: float = 1.0, floor: float = 55, ceiling: float = 2000) -> DataFrame:
-    """The range of a second pass: mean / 2**octaves to mean * 2**octaves in whole numbers, within floor and ceiling."""
-    mean = F.avg(measure)
+    """The range of a second pass: mean / 2**octaves to mean * 2**octaves in whole numbers, within floor and ceiling.
+
+    The mean counts to nine places, so that the order in which values are added doesn't decide on which side of a whole number it is.
+    """
+    mean = F.round(F.avg(measure), 9)
     return track.groupBy(*by).agg(F.greatest(F.floor(mean / 2**octaves), F.lit(floor)).cast("int").alias("least"), F.least(F.floor(mean * 2**octaves), F.lit(ceiling)).cast("int").alias("most"))
 
 
