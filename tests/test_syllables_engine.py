@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from fixtures import talk
 from tierlake.functions.syllables import UNSEEN_CODAS, UNSEEN_ONSETS, log_shares, split_at_longest_prefix, split_prefix_by_probability, syllabify
 from tierlake.operators import syllables
 
@@ -48,3 +49,12 @@ def test_joins_split_as_the_functions_do(spark, method, custom):
     assert found.count() == len(got)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_phones_are_not_sent_to_the_driver(spark):
+    """Words and phones that come of a small table by explode look as small as it is."""
+    c = talk(spark)
+    c.encode_syllables(sorted(NUCLEI))
+    for table in (c.tokens["phone"], c.tokens["syllable"]):
+        plan = table._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("phone_id" in x or "word_id" in x)] and "SortMergeJoin" in plan

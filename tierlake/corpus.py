@@ -287,10 +287,10 @@ class Corpus:
         phones, words = self.schema.phone_name, self.schema.word_name
         found = syllables.encode_syllables(self.tokens[phones], nuclei, method, custom_onsets, f"{words}_id")
         ups = [f"{u}_id" for u in self.schema.higher(phones) if f"{u}_id" in self.tokens[phones].columns]
-        whole = self.tokens[phones].select(F.col("id").alias("phone_id"), *KEYS, *[u for u in ups if u != f"{words}_id"]).join(found, "phone_id")
+        whole = self.tokens[phones].select(F.col("id").alias("phone_id"), *KEYS, *[u for u in ups if u != f"{words}_id"]).join(found.hint("merge"), "phone_id")  # as many rows as phones, whatever Spark guesses
         self.tokens["syllable"] = whole.groupBy(F.col("syllable_id").alias("id")).agg(*(F.min(c).alias(c) for c in ("label", "begin", "end", *KEYS, *ups, "place")))
         own = found.select(F.col("phone_id").alias("id"), "syllable_id", F.col("part").alias("syllable_position"))
-        self.tokens[phones] = self.tokens[phones].join(own, "id", "left")
+        self.tokens[phones] = self.tokens[phones].join(own.hint("merge"), "id", "left")
         self.schema.add_level("syllable", words, phones)
         self.schema.add("token", phones, syllable_position="string")
         self.schema.add("token", "syllable", place="int")

@@ -101,7 +101,7 @@ def encode_syllables(phones: DataFrame, nuclei: Sequence[str], method: str = "ma
     known = [splits(runs.where(test), counts, ends, bare).withColumn("bare", F.lit(bare)) for bare, test in ((False, "k > 0 and size(run) > 0"), (True, "k = 0"))]
     cut = F.when((F.col("k") > 0) & (F.size("run") == 0), 0).otherwise(F.col("cut"))
     cuts = runs.join(known[0].unionByName(known[1]), ["run", "bare"], "left").groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", cut.alias("cut")))), lambda x: x["cut"]).alias("_cuts"))
-    found = words.join(cuts, parent, "left")
+    found = words.join(cuts.hint("merge"), parent, "left")  # exploded rows aren't in Spark's guess of a size: they are not for the driver
     after = lambda k: F.get("_cuts", k - 1)  # the cut after the k-th nucleus
     size = F.size("phones")
 
