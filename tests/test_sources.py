@@ -209,3 +209,23 @@ def test_sound_headers(spark, tmp_path):
     (tmp_path / "two.wav").write_bytes(b"no sound")
     got = {r.discourse: (r.sampling_rate, r.n_channels, r.duration) for r in readers.sound_info(spark, str(tmp_path)).collect()}
     assert got == {"one": (8000, 2, 0.5), "two": (None, None, None)}
+
+
+def test_many_folders_are_listed_by_few_tasks_and_once(spark, tmp_path):
+    from tierlake.sources.writers import from_folder
+
+    for i in range(40):
+        (tmp_path / f"discourse=d{i}").mkdir()
+        (tmp_path / f"discourse=d{i}" / "part.csv").write_text(f"time,f0\n0.5,{i}\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("lists folders", "")
+    try:
+        tracks = readers.tracks_from_csv(spark, str(tmp_path), from_folder("discourse"), ["f0"])
+        jobs = sc.statusTracker().getJobIdsForGroup("lists folders")
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc._jsc.clearJobGroup()
+    assert len(stages) == 1 and stages[0].numTasks <= readers.LISTERS * sc.defaultParallelism
+    assert sorted(map(tuple, tracks.collect())) == sorted((f"d{i}", 0.5, float(i)) for i in range(40))
+    with pytest.raises(Exception, match="f0"):
+        readers.tracks_from_csv(spark, str(tmp_path), measures=["f1"]).collect()

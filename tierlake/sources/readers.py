@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tierlake.errors import ParseFailure
 from tierlake.shared import Rounds
@@ -323,7 +324,19 @@ class Loaded:
         return {n: self.tokens.where(F.col("tier") == n).select("label", "begin", "end", "speaker", "discourse") for n in names}
 
 
+#: Tasks that list folders, for each core. Spark's default is one a folder, up to 10,000, and a folder here holds a recording.
+LISTERS = 4
+
+
+def modest_listing(spark: SparkSession) -> None:
+    """Folders are listed by LISTERS tasks a core, many to a task, where the session has Spark's default."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(LISTERS * spark.sparkContext.defaultParallelism))
+
+
 def _files(spark: SparkSession, path: str, pattern: str, speaker: Callable[[Column], Column], discourse: Callable[[Column], Column] = stem) -> DataFrame:
+    modest_listing(spark)
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), "value")
     return raw.select("path", discourse(F.col("path")).alias("discourse"), speaker(F.col("path")).alias("speaker"), F.regexp_replace("value", "^﻿", "").alias("value"))
 
@@ -436,9 +449,17 @@ def sound_info(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, sampling_rate int, n_channels int, duration double").select(stem(F.col("path")).alias("discourse"), "path", "sampling_rate", "n_channels", "duration")
 
 
-def tracks_from_csv(spark: SparkSession, path: str, discourse: Callable[[Column], Column] = stem) -> DataFrame:
-    """discourse (of the path; the file's stem by default), time and the measures of CSVs with the header time,m1,..."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+def tracks_from_csv(spark: SparkSession, path: str, discourse: Callable[[Column], Column] = stem, measures: Sequence[str] | None = None) -> DataFrame:
+    """discourse (of the path; the file's stem by default), time and the measures of CSVs with the header time,m1,...
+
+    measures: their names in the order of the files' columns; without them Spark lists all files once more to read a header. A file
+    whose header says otherwise is an error then.
+    """
+    modest_listing(spark)
+    reader = spark.read.option("header", True).option("recursiveFileLookup", True)
+    if measures is not None:
+        reader = reader.option("enforceSchema", False).schema(StructType([StructField(c, StringType()) for c in ("time", *measures)]))
+    raw = reader.csv(path)
     measures = [c for c in raw.columns if c != "time"]
     return raw.select(discourse(F.col("_metadata.file_path")).alias("discourse"), F.round(F.col("time").try_cast("double"), 3).alias("time"), *(F.col(c).try_cast("double").alias(c) for c in measures)).where("time is not null")
 
