@@ -127,3 +127,24 @@ def test_run_is_the_stages(spark, tmp_path):
     empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_a_fit_gives_the_samples_memory_back(monkeypatch):
+    """What the driver gathered for a classifier is freed, and then returned to the system, before later stages need room."""
+    import weakref
+
+    import numpy as np
+
+    from tierlake.llm import quality, toxicity
+
+    left = []
+    for classifier in (toxicity, quality):
+        gathered = [np.arange(4, dtype=np.uint32) for _ in range(8)]
+        seen, truth = [weakref.ref(x) for x in gathered], np.array([0, 1] * 4, float)
+        values = [[np.ones(4, np.float32) for _ in gathered]] if classifier is quality else []
+        parts = [gathered, *values, truth]
+        del gathered, values
+        monkeypatch.setattr(classifier, "_examples", lambda *a, p=parts: tuple(p.pop(0) for _ in range(len(p))))
+        monkeypatch.setattr(classifier, "give_back", lambda s=seen: left.append(sum(x() is not None for x in s)))
+        classifier.fit(None, None)
+    assert left == [0, 0]

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tierlake.llm.columns import coded
 from tierlake.llm.columns import distinct as distinct_in
 from tierlake.llm.labelled import SAMPLE_ROWS, gathered, held_out, sample
-from tierlake.llm.runtime import documents, slices
+from tierlake.llm.runtime import documents, give_back, slices
 
 BITS = 14
 #: Steps that a statistic's range is cut into, each a feature of its own beside the value itself.
@@ -168,7 +168,9 @@ def learn(what: list[np.ndarray], x: list[np.ndarray], truth: np.ndarray, settin
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> Model:
     """Fit on at most `rows` labelled rows (see labelled.sample). Without any, every score is a half."""
-    return learn(*_examples(docs, labels, label, rows), settings)
+    model = learn(*_examples(docs, labels, label, rows), settings)
+    give_back()
+    return model
 
 
 def fold_losses(docs: DataFrame, labels: DataFrame, settings: Sequence[Settings], label: str = "quality", rows: int = SAMPLE_ROWS, folds: int = 3) -> list[float]:

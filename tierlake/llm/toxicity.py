@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tierlake.llm.columns import coded, distinct
 from tierlake.llm.labelled import SAMPLE_ROWS, gathered, held_out, sample
-from tierlake.llm.runtime import documents, slices
+from tierlake.llm.runtime import documents, give_back, slices
 from tierlake.llm.shingles import mix
 
 BITS = 18
@@ -169,7 +169,9 @@ def learn(numbers: list[np.ndarray], truth: np.ndarray, settings: Ftrl = Ftrl())
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Ftrl = Ftrl(), rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most `rows` labelled rows (see labelled.sample). Without any, every score is 0."""
-    return learn(*_examples(docs, labels, label, rows), settings)
+    model = learn(*_examples(docs, labels, label, rows), settings)
+    give_back()
+    return model
 
 
 def fold_losses(docs: DataFrame, labels: DataFrame, settings: Sequence[Ftrl], label: str = "toxic", rows: int = SAMPLE_ROWS, folds: int = 3) -> list[float]:
