@@ -3,6 +3,7 @@
 import pathlib
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,3 +103,34 @@ def test_buckeye_gaps_and_properties(spark, tmp_path):
     assert {r.props["category"] for r in words} == {"NN"} and {r.props["surface"] for r in words} == {r.label for r in words}
     kept = lambda df: sorted((r.discourse, r.label, round(r.begin, 6), round(r.end, 6)) for r in df.collect())
     assert kept(loaded.tokens.where("tier = 'word'")) == kept(own["word"].where("speaker = 'ana'")) and kept(loaded.tokens.where("tier = 'phone'")) == kept(own["phone"].where("speaker = 'ana'"))
+
+
+def tree(root):
+    """Folder -> text of all files under it; hidden ones, as of checksums, are files too."""
+    found = {}
+    for f in pathlib.Path(root).rglob("*"):
+        if f.is_file() and f.name != "_SUCCESS" and f.name != "._SUCCESS.crc":
+            found.setdefault(str(f.parent.relative_to(root)), []).append(f.read_bytes().decode("utf-8", "replace"))
+    return found
+
+
+def test_mounted_files_are_named_as_by_spark(spark, tmp_path):
+    """A recording costs one file and nothing beside it; its folder is the one that Spark's writer gives, for any character and null."""
+    names = [f"x{chr(i)}y" for i in (*range(1, 256), 0x4E2D, 0x1F600)] + ["", None]
+    rows = [(n, k, i, None if i == 1 else f"{k} ü {i}") for k, n in enumerate(names) for i in range(3)]
+    lines = spark.createDataFrame(rows, "discourse string, k int, n int, line string")
+    write_lines(lines, f"{tmp_path}/own", ["discourse", "k"], ["n"])
+    lines.repartition(4, "k").sortWithinPartitions("discourse", "k", "n").drop("n").write.partitionBy("discourse", "k").text(f"{tmp_path}/spark")
+    own, by_spark = tree(f"{tmp_path}/own"), {f: [t for t in texts if not t.startswith("crc")] for f, texts in tree(f"{tmp_path}/spark").items()}
+    assert own == by_spark and len(own) == len(names)
+    assert own["discourse=xay/k=96"] == ["96 ü 0\n\n96 ü 2\n"]
+    with pytest.raises(FileExistsError):
+        write_lines(lines, f"{tmp_path}/own", ["discourse", "k"], ["n"])
+
+
+def test_lines_in_a_store_that_is_not_mounted(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lines.link./in", f"file://{tmp_path}")
+    lines = spark.createDataFrame([(d, i, f"{d} {i}") for d in "ab" for i in range(3)], "discourse string, n int, line string")
+    write_lines(lines, "viewfs://lines/in/out", ["discourse"], ["n"])
+    read = spark.read.text("viewfs://lines/in/out", wholetext=True, recursiveFileLookup=True).select(from_folder("discourse")(F.col("_metadata.file_path")).alias("d"), "value")
+    assert {r.d: r.value for r in read.collect()} == {d: f"{d} 0\n{d} 1\n{d} 2\n" for d in "ab"}

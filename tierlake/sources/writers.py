@@ -7,8 +7,13 @@ readers take both from there by `from_folder`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +32,16 @@ def from_folder(name: str):
     return value
 
 
+#: Characters that Spark escapes in the name of a folder.
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def _folder(by: Sequence[str], values: Sequence[str]) -> str:
+    """speaker=ana/discourse=walk, as Spark names the folders of a partition."""
+    plain = lambda v: _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) or "__HIVE_DEFAULT_PARTITION__"
+    return "/".join(f"{plain(c)}={plain(v)}" for c, v in zip(by, values))
+
+
 def write_lines(lines: DataFrame, path: str, by: Sequence[str], order: Sequence[str]) -> None:
     """Write `line` of a table as text, a file for each value of `by`, its lines in order.
 
@@ -34,11 +49,59 @@ def write_lines(lines: DataFrame, path: str, by: Sequence[str], order: Sequence[
     and then joins small partitions of the union's sides each in its own way, so that a recording would get several files.
     Their number is told, as a file takes its time however short it is, and Spark would give all small ones to one task.
     Files go to their places by task, not one after another by the driver; the folder is new, so none is there before.
+    On a file system that is mounted (file:) tasks write them as plain files, see _write_mounted.
     """
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = lines.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.select(*by, *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), "line").repartition(tasks, F.xxhash64(*by))
     keys = [f"_{i}" for i in range(len(order))]
-    dealt.sortWithinPartitions(*by, *keys).drop(*keys).write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(*by).text(path)
+    sorted_ = dealt.sortWithinPartitions(*by, *keys).drop(*keys)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(at).toUri()
+    if uri.getScheme() != "file":
+        sorted_.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(*by).text(path)
+        return
+    if fs.exists(at):
+        raise FileExistsError(path)
+    fs.mkdirs(at)
+    _write_mounted(sorted_, uri.getPath(), by)
+
+
+def _write_mounted(lines: DataFrame, root: str, by: Sequence[str]) -> None:
+    """Sorted lines (by, line) as files under a folder that all executors have mounted: `root`/by=value/part-00000.txt.
+
+    Spark's own writer starts a process for each folder, file and checksum that it makes there (chmod, as Hadoop's native
+    library is seldom present), four for a recording, which take far longer than its text. A file gets its name when it
+    is whole, and the same name however often its task is tried.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, own = f"part-{task.partitionId():05d}.txt", f".part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        now, out, n = None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, os.path.join(os.path.dirname(out.name), name))
+
+        for batch in batches:
+            at = 0
+            runs = pc.run_end_encode(batch.column(0))
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if key != now:
+                    close()
+                    folder = os.path.join(root, _folder(by, key.split("\0")))
+                    os.makedirs(folder, exist_ok=True)
+                    now, out, n = key, open(os.path.join(folder, own), "w", encoding="utf-8", newline=""), n + 1  # noqa: SIM115
+                out.writelines(f"{line or ''}\n" for line in batch.column(1).slice(at, end - at).to_pylist())
+                at = end
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    key = F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
+    lines.select(key.alias("key"), "line").mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
 
 
 def _seconds(c: Column | str) -> Column:
