@@ -203,3 +203,12 @@ def test_lists_and_resets_of_a_corpus(spark, tmp_path):
     assert not Corpus.exists(spark, str(tmp_path), "talk")
     c.save(str(tmp_path), 1)
     assert Corpus.exists(spark, str(tmp_path), "talk")
+
+
+def test_tokens_below_are_not_sent_to_the_driver(spark):
+    """Their numbers are a row for each token of the level above, though Spark may guess them to be few."""
+    c = talk(spark)
+    found = c.query(c.word).columns(c.word.label.column_name("word"), c.word.phone.count.column_name("phones")).frame()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan, plan
+    assert found.where("phones > 0").count() > 0

@@ -436,7 +436,8 @@ class _Plan:
             elif kind in ("speaker", "discourse"):
                 prefix = self._join(key, getattr(self.corpus, f"{kind}s"), lambda p: at(kind) == F.col(f"{p}__name"), "inner")
             elif kind == "down":
-                prefix = self._join(key, self._below(node, f"{base.level}_id"), lambda p: at("id") == F.col(f"{p}__parent"), how)
+                # a row for each token of the level above: they grow with the corpus, and Spark's guess from the size of files would send them to the driver
+                prefix = self._join(key, self._below(node, f"{base.level}_id").hint("merge"), lambda p: at("id") == F.col(f"{p}__parent"), how)
             elif kind == "sub":
                 table = self.corpus.subannotations[base.level, value]
                 items = table.groupBy(F.col("annotated_id").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("begin", *[c for c in table.columns if c not in ("begin", "annotated_id")]))).alias("_items"))
