@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from fixtures import levels, talk
 from tierlake.sources.readers import TOKENS, buckeye, inspect_directory, load, load_corpus
-from tierlake.sources.writers import aligner_tiers, buckeye_lines, from_folder, textgrid_lines, write_lines, write_textgrids
+from tierlake.sources.writers import aligner_tiers, buckeye_lines, from_folder, partitur_lines, textgrid_lines, write_lines, write_textgrids
 
 
 def tokens(spark):
@@ -134,3 +134,31 @@ def test_lines_in_a_store_that_is_not_mounted(spark, tmp_path):
     write_lines(lines, "viewfs://lines/in/out", ["discourse"], ["n"])
     read = spark.read.text("viewfs://lines/in/out", wholetext=True, recursiveFileLookup=True).select(from_folder("discourse")(F.col("_metadata.file_path")).alias("d"), "value")
     assert {r.d: r.value for r in read.collect()} == {d: f"{d} 0\n{d} 1\n{d} 2\n" for d in "ab"}
+
+
+def test_a_partitur_has_words_and_phones(spark, tmp_path):
+    """Lines of words and of phones come of different joins; a file with one kind alone would have no tokens at all."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        words = spark.range(180).select((F.col("id") % 12).cast("string").alias("discourse"), F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("label"), F.floor(F.col("id") / 12).cast("double").alias("begin"))
+        phones = words.select("discourse", F.col("id").alias("word_id"), "begin", F.posexplode(F.split(F.left("label", F.lit(4)), "")).alias("j", "label"))
+        phones = phones.select("discourse", "word_id", "label", (F.col("begin") + F.col("j") / 16).alias("begin"), (F.col("begin") + (F.col("j") + 1) / 16).alias("end"))
+        write_lines(partitur_lines(words, F.broadcast(phones)), f"{tmp_path}/out", ["discourse"], ["_part", "_place"])
+        assert len(list(pathlib.Path(f"{tmp_path}/out").rglob("*.txt"))) == 12
+        found = load(spark, f"{tmp_path}/out", "partitur", discourse=from_folder("discourse"), pattern="*.txt").tokens.groupBy("tier").count()
+        assert {r["tier"]: r["count"] for r in found.collect()} == {"word": 180, "phone": 720}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_phones_of_a_partitur_are_not_sent_to_the_driver(spark):
+    words = spark.range(20).select(F.lit("d").alias("discourse"), F.col("id").cast("string").alias("id"), F.lit("tok").alias("label"), F.col("id").cast("double").alias("begin"))
+    phones = words.select(F.col("id").alias("word_id"), F.explode(F.split("label", "")).alias("label"), "begin", (F.col("begin") + 0.5).alias("end"))
+    lines = partitur_lines(words, phones)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    assert {r["_part"]: r["count"] for r in lines.groupBy("_part").count().collect()} == {1: 20, 2: 20, 3: 60}

@@ -164,8 +164,9 @@ def partitur_lines(words: DataFrame, phones: DataFrame, by: Sequence[str] = ("di
     canon = heard.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "label"))), lambda p: p["label"]), " ").alias("canon"))
     row = lambda df, part, line: df.select(*by, F.lit(part).alias("_part"), F.col("_place").cast("double").alias("_place"), line.alias("line"))
     ort = row(numbered, 1, F.concat_ws(" ", F.lit("ORT:"), "_place", "label"))
-    kan = row(numbered.join(canon, "id"), 2, F.concat_ws(" ", F.lit("KAN:"), "_place", "canon"))
-    mau = heard.join(numbered.select(*by, "id", "_place"), "id").select(*by, F.lit(3).alias("_part"), F.col("begin").cast("double").alias("_place"), F.concat_ws(" ", F.lit("MAU:"), samples("begin"), samples("end") - samples("begin"), "_place", "label").alias("line"))
+    # both joins are by shuffles: phones grow with the corpus, and Spark's guess from the size of files would send them to the driver
+    kan = row(numbered.join(canon.hint("merge"), "id"), 2, F.concat_ws(" ", F.lit("KAN:"), "_place", "canon"))
+    mau = heard.hint("merge").join(numbered.select(*by, "id", "_place"), "id").select(*by, F.lit(3).alias("_part"), F.col("begin").cast("double").alias("_place"), F.concat_ws(" ", F.lit("MAU:"), samples("begin"), samples("end") - samples("begin"), "_place", "label").alias("line"))
     return ort.unionByName(kan).unionByName(mau)
 
 
